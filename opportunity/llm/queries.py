@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opportunity.llm import token_codes
+from opportunity.llm import token_codes, token_transducer
 from opportunity.llm.common import table
 
 
@@ -19,8 +19,13 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
+
+
 QUERIES = {
     "op1_token_codes": op1_token_codes,
+    "op4_token_counts": op4_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
