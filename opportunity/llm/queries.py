@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opportunity.llm import token_codes, token_transducer
+from opportunity.llm import prefix_fingerprints, token_codes, token_transducer
 from opportunity.llm.common import table
 
 
@@ -19,12 +19,17 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
 QUERIES = {
     "op1_token_codes": op1_token_codes,
+    "op3_prefix_fingerprints": op3_prefix_fingerprints,
     "op4_token_counts": op4_token_counts,
 }
 
