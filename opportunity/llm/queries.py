@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opportunity.llm import prefix_fingerprints, token_codes, token_transducer
+from opportunity.llm import minhash_dedup, prefix_fingerprints, token_codes, token_transducer
 from opportunity.llm.common import table
 
 
@@ -27,10 +27,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 QUERIES = {
     "op1_token_codes": op1_token_codes,
     "op3_prefix_fingerprints": op3_prefix_fingerprints,
     "op4_token_counts": op4_token_counts,
+    "op5_minhash_dedup": op5_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
