@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opportunity.llm import minhash_dedup, prefix_fingerprints, token_codes, token_transducer
+from opportunity.llm import decontaminate, minhash_dedup, mixing, prefix_fingerprints, token_codes, token_transducer
 from opportunity.llm.common import table
 
 
@@ -31,11 +31,23 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), repeats=2.0)
+
+
 QUERIES = {
     "op1_token_codes": op1_token_codes,
     "op3_prefix_fingerprints": op3_prefix_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": decontaminate.ORACLE_SQL,
+}
