@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opportunity.llm import decontaminate, minhash_dedup, mixing, prefix_fingerprints, token_codes, token_transducer
+from opportunity.llm import decontaminate, license_rules, minhash_dedup, mixing, prefix_fingerprints, token_codes, token_transducer
 from opportunity.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), repeats=2.0)
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_license_rules": op7_license_rules,
     "op10_mixing": op10_mixing,
 }
 
