@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opportunity.llm import decontaminate, license_rules, minhash_dedup, mixing, prefix_fingerprints, token_codes, token_transducer
+from opportunity.llm import decontaminate, license_rules, minhash_dedup, mixing, prefix_fingerprints, quality_nbsvm, token_codes, token_transducer, toxicity_chain
 from opportunity.llm.common import table
 
 
@@ -39,6 +39,14 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_nbsvm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), repeats=2.0)
 
@@ -50,6 +58,8 @@ QUERIES = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_license_rules": op7_license_rules,
+    "op8_toxicity_chain": op8_toxicity_chain,
+    "op9_quality_nbsvm": op9_quality_nbsvm,
     "op10_mixing": op10_mixing,
 }
 
