@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opportunity.llm import decontaminate, license_rules, minhash_dedup, mixing, prefix_fingerprints, quality_nbsvm, token_codes, token_transducer, toxicity_chain
+from opportunity.llm import decontaminate, license_rules, minhash_dedup, mixing, pii_surrogates, prefix_fingerprints, quality_nbsvm, token_codes, token_transducer, toxicity_chain
 from opportunity.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_surrogates.replaced(docs, key="opportunity")
+
+
 def op3_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_codes": op1_token_codes,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_prefix_fingerprints": op3_prefix_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op5_minhash_dedup": op5_minhash_dedup,
