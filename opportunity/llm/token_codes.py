@@ -16,6 +16,8 @@ long text makes a block of its own. An empty table gives an empty store.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -34,72 +36,94 @@ STORE_SCHEMA = (
 )
 #: Tokens after which a block is closed at the next document's end.
 BLOCK_TOKENS = 1 << 17
-WORD_SPACES = str.maketrans("\t\n\r", "   ")
 #: Marks that no merge joins to a letter before them, since the splitter parts the two.
 TAIL_MARKS = ".,;:!?|&%$*#"
 
 
 #: Longer words are encoded again each time, so that the memory of words stays small.
 LONG_WORD = 256
+#: Code points that are looked up together.
+RUN_CHARS = 1_000_000
 
 
 class WordEncoder:
     """Encodes texts with the tokenizers library, which sees each distinct word once.
 
     A word is what stands between spaces, tabs and line ends. The splitter of the tokenizer
-    must never join across these; that holds for tokenizers that drop white space.
-    The memory of words is emptied when it holds ``max_words``.
+    must never join across these; that holds for tokenizers that drop white space. The memory
+    of words has two generations of ``max_words`` at most: when the young one is full it
+    becomes the old one, and words still in use come back from there.
     """
 
-    def __init__(self, path: str, max_words: int = 1_200_000):
-        import json
-
+    def __init__(self, path: str, max_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.wide = self.library.get_vocab_size(with_added_tokens=True) > 65_536
         with open(path, encoding="utf-8") as file:
             normalizer = (json.load(file).get("normalizer") or {}).get("normalizers", [])
-        self.folds = any(step["type"] == "Lowercase" for step in normalizer)
+        self.folds = [step["type"] for step in normalizer if step["type"] != "Replace"] == ["NFC", "Lowercase"]
         self.max_words = max_words
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _words(self, text: str) -> list[str]:
+        # The library lower-cases code point by code point; where str.lower() looks at more, it is left alone.
+        if self.folds and "<|" not in text and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+            text = text.lower()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return array("I" if self.wide else "H", ids).tobytes()
+    def _encoded(self, names: list[str]) -> Iterator[bytes]:
+        kind = "I" if self.wide else "H"
+        for start in range(0, len(names), 4096):
+            for encoded in self.library.encode_batch_fast(names[start : start + 4096], add_special_tokens=False):
+                yield array(kind, encoded.ids).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: set[str]) -> list[str]:
+        """Adds new words; returns the long ones, which are dropped after use."""
+        known, old = self.words, self.old
         parts: dict[str, tuple[str, str]] = {}
         wanted: set[str] = set()
         for word in new:
-            key = word.lower() if self.folds and word.isascii() and "<" not in word else word
-            core = key.rstrip(TAIL_MARKS)
-            parts[word] = (core, key[len(core) :]) if core and core[-1].isalpha() and "<" not in key else (key, "")
-            wanted.update(part for part in parts[word] if part not in self.words)
-        names = list(wanted)
-        for start in range(0, len(names), 4096):
-            some = names[start : start + 4096]
-            for name, encoded in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.words[name] = self._pack(encoded.ids)
+            if word in old:
+                known[word] = old[word]
+                continue
+            core = word.rstrip(TAIL_MARKS)
+            if core and core != word and core[-1].isalpha() and "<" not in core:
+                parts[word] = core, word[len(core) :]
+                wanted.update(parts[word])
+            else:
+                wanted.add(word)
+        names = [name for name in wanted if name not in known]
+        known.update(zip(names, self._encoded(names)))
         for word, (core, tail) in parts.items():
-            if tail or core != word:
-                self.words[word] = self.words[core] + self.words[tail]
+            known[word] = known[core] + known[tail]
+        return [word for word in (*new, *names) if len(word) > LONG_WORD]
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         kind = np.uint32 if self.wide else np.uint16
+        held: list[list[str]] = []
+        chars = 0
         for text in texts:
-            if len(self.words) > self.max_words:
-                self.words = {"": b""}
-            words = text.translate(WORD_SPACES).split(" ")
-            known = self.words
-            try:
-                yield np.frombuffer(b"".join([known[word] for word in words]), kind)
-            except KeyError:
-                new = {word for word in words if word not in known}
-                self._learn(new)
-                yield np.frombuffer(b"".join([self.words[word] for word in words]), kind)
-                for word in new:
-                    if len(word) > LONG_WORD:
-                        del self.words[word]
+            held.append(self._words(text))
+            chars += len(text)
+            if chars >= RUN_CHARS:
+                yield from self._run(held, kind)
+                held, chars = [], 0
+        yield from self._run(held, kind)
+
+    def _run(self, texts: list[list[str]], kind: type) -> Iterator[np.ndarray]:
+        all_words = set().union(*texts)
+        new = all_words.difference(self.words)
+        if len(self.words) + 2 * len(new) > self.max_words:
+            self.old, self.words = self.words, {}
+            new = all_words
+        long = self._learn(new) if new else []
+        known = self.words
+        for words in texts:
+            yield np.frombuffer(b"".join([known[word] for word in words]), kind)
+        for word in long:
+            known.pop(word, None)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
