@@ -165,7 +165,7 @@ def unpack_block(chunks: list[bytes], more: list[bytes]) -> np.ndarray:
 
 def token_in_block(chunks: list[bytes], more: list[bytes], ranks: list[bytes], i: int) -> int:
     """One id by rank queries alone; reads a few bytes of each level."""
-    value = 0
+    value, i = 0, int(i)
     for level in range(len(chunks)):
         value |= chunks[level][i] << (8 * level)
         if not more[level][i >> 3] >> (i & 7) & 1:
