@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opportunity.llm.common import small
+from opportunity.llm.common import small, written
 
 #: Every pattern of two substitutions in 13 words leaves one of these whole (checked in the tests).
 MASKS = ("111001001", "10001111", "110111")
@@ -83,11 +83,11 @@ def overlaps(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without those that overlap a test item."""
-    flagged = overlaps(docs, benchmark, **parameters).select("doc_id").distinct()
+    """``docs`` without those that overlap a test item. Rows with one doc_id, null too, go together."""
+    flagged = written(overlaps(docs, benchmark, **parameters).select(F.col("doc_id").alias("_flagged")).distinct(), "flagged")
     if small(flagged):
         flagged = F.broadcast(flagged)
-    return docs.join(flagged, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(flagged, docs["doc_id"].eqNullSafe(F.col("_flagged")), "left_anti")
 
 
 ORACLE_SQL = r"""

@@ -220,9 +220,12 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` (doc_id, text and more) with surrogates in ``text``, and n_entities and kinds beside it."""
+    """``docs`` (doc_id, text and more) with surrogates in ``text``, and n_entities and kinds beside it.
+
+    Columns of ``docs`` that are named n_entities or kinds give way to the new ones.
+    """
     exceptions = written(collisions(docs, key), "pii-exceptions")
-    source = docs.withColumn("_found", entities(F.col("text")))
+    source = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), entities(F.col("text")).alias("_found"))
     if exceptions.isEmpty():
         attempt = lambda match: F.lit(0)
     else:
@@ -232,16 +235,16 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
         odd = odd.join(broadcast_if_small(exceptions), ["kind", "normal"])
         entry = F.struct(F.concat_ws("|", "kind", "normal").alias("key"), F.col("attempt").alias("value"))
         odd = written(odd.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(entry)).alias("_attempts")).withColumnRenamed("doc_id", "_odd"), "pii-odd")
-        source = source.join(broadcast_if_small(odd), F.col("doc_id").eqNullSafe(F.col("_odd")), "left").drop("_odd")
+        source = source.join(broadcast_if_small(odd), F.col("_id").eqNullSafe(F.col("_odd")), "left")
 
         def attempt(match: Column) -> Column:
             own = F.concat_ws("|", kind_of(match), normal_form(kind_of(match), match))
             return F.coalesce(F.try_element_at("_attempts", own), F.lit(0))
 
-    pieces = F.split(F.col("text"), ENTITY, -1)
+    pieces = F.split(F.col("_text"), ENTITY, -1)
     new = F.transform("_found", lambda match: surrogate(match, attempt(match), key))
     whole = F.array_join(F.zip_with(pieces, new, lambda piece, s: F.concat(piece, F.coalesce(s, F.lit("")))), "")
-    out = source.withColumn("_new", F.when(F.size("_found") > 0, whole).otherwise(F.col("text")))
+    text = F.when(F.size("_found") > 0, whole).otherwise(F.col("_text"))
     kinds = F.array_sort(F.array_distinct(F.transform("_found", lambda match: kind_of(match))))
-    columns = [F.col("_new").alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*columns, F.size("_found").cast("long").alias("n_entities"), kinds.alias("kinds"))
+    columns = [text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_entities", "kinds")]
+    return source.select(*columns, F.size("_found").cast("long").alias("n_entities"), kinds.alias("kinds"))

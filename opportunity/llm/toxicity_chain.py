@@ -137,31 +137,35 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFra
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their own columns."""
-    found = scored(docs.select(F.struct(*docs.columns).alias("_row"), "text"), *fitted_chain(docs, labels, **parameters), keep=["_row"])
-    return found.filter(~F.col("toxic")).select("_row.*")
+    chain, stems = fitted_chain(docs, labels, **parameters)
 
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        return pd.Series([probabilities(chain, stems.features(t))[-1] >= chain[-1].threshold for t in texts], dtype=bool)
 
-def scored(docs: DataFrame, chain: list[Link], grams: Stems, keep: list[str] | None = None) -> DataFrame:
-    """Probabilities p_<category> and the decision of the last category, beside the columns in ``keep``."""
-    keep = ["doc_id"] if keep is None else keep
+    return docs.filter(~toxic(F.col("text")))
+
+
+def probabilities(chain: list[Link], features: np.ndarray) -> list[float]:
+    """Probability of each category; each model sees those before it."""
+    before: list[float] = []
+    for link in chain:
+        before.append(link.probability(features, before))
+    return before
+
+
+def scored(docs: DataFrame, chain: list[Link], stems: Stems) -> DataFrame:
+    """doc_id, p_<category> for each category, and the decision of the last one."""
     last = chain[-1]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            table = []
-            for text in batch["_text"]:
-                features, before = grams.features(text), []
-                for link in chain:
-                    before.append(link.probability(features, before))
-                table.append(before)
-            found = np.array(table).reshape(len(batch), len(chain))
-            out = batch[keep].copy()
+            found = np.array([probabilities(chain, stems.features(t)) for t in batch["text"]]).reshape(len(batch), len(chain))
+            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")})
             for k, link in enumerate(chain):
                 out[f"p_{link.name}"] = found[:, k]
             out[last.name] = found[:, -1] >= last.threshold
             yield out
 
-    read = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    schema = ", ".join([*kinds, *(f"p_{link.name} double" for link in chain), f"{last.name} boolean"])
-    return read.mapInPandas(score, schema)
+    schema = ", ".join(["doc_id long", *(f"p_{link.name} double" for link in chain), f"{last.name} boolean"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, schema)
