@@ -12,8 +12,12 @@ as the only shingle; one without words has none and is linked with nothing.
    so a bucket of n members gives n - 1 candidate edges.
 4. Candidates are confirmed on the full sets and joined to components. Star edges alone can
    miss a link between two members that both differ from the centre. So the members of buckets
-   that still hold several components are compared once more by prefix filtering: two sets as
-   like as asked share one of their rarest shingles. Only pairs across components are tried.
+   that still hold several components get pivots: one for all that such buckets connect. Each is
+   compared with its pivot, and described by what it lacks of the pivot and what it adds. Two
+   sets are as like as asked only if they share enough of these differences, which the sizes
+   tell exactly; a join on the rarest differences, under that bound, finds the few pairs left.
+   Members far from their pivot go through the same once more, and what is then still far is
+   joined on the rarest shingles of the whole sets. Only pairs across components are tried.
 
 The sets, edges and components stay in tables of the work folder; the driver holds counts only.
 
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from opportunity.llm.common import broadcast_if_small, written
 
 BANDS, ROWS = 32, 4
+PIVOT_TURNS = 2
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -210,6 +215,71 @@ def rare_shingle_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
+def _pivoted(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """id, pivot, sizes n and m of both, and both (their common shingles) of the members (bucket, id); links to pivots.
+
+    A pivot is the smallest id of those that the buckets connect.
+    """
+    centres = members.groupBy("bucket").agg(F.min("id").alias("b"))
+    ties = members.join(centres, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b")
+    roots = components(ties).filter("id <> component").select("id", F.col("component").alias("pivot"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["hashes"], batch["base"])]
+            out = batch[["id", "pivot"]].copy()
+            out["n"], out["m"] = [len(x) for x, _ in pairs], [len(y) for _, y in pairs]
+            out["both"] = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs]
+            yield out
+
+    joined = roots.join(sets.select("id", "hashes"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("base")), "pivot")
+    found = written(joined.select("id", "pivot", "hashes", "base").mapInPandas(compare, "id long, pivot long, n long, m long, both long"), "pivots")
+    alike = 100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))
+    return found, found.filter(alike).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+
+
+def difference_pairs(pivots: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that may be alike, of members near one pivot.
+
+    With ``x`` lacking ``ax`` shingles of the pivot's ``m``, two sets have
+    ``m - ax - ay + (common differences)`` shingles in common, and need
+    ``percent * (nx + ny) / (100 + percent)``. Where that needs no common difference the pair is
+    linked, and so are both with the member of the least ``percent * n / (100 + percent) + a``.
+    Otherwise they share one of the first ``differences - needed + 1`` in order of frequency.
+    """
+    share = percent / (100 + percent)
+    # Likeness to the pivot differs by 100 - percent points at most, so two like sets are both near or both far.
+    near = pivots.filter(100 * F.col("both") >= (2 * percent - 120) * (F.col("n") + F.col("m") - F.col("both")))
+    near = near.withColumn("lacks", F.col("m") - F.col("both")).withColumn("size", F.col("n") + F.col("m") - 2 * F.col("both"))
+    near = _labelled(near.withColumn("g", share * F.col("n") + F.col("lacks")), labels, "id")
+    groups = near.groupBy("pivot").agg(F.min("g").alias("g_low"), F.min_by("id", F.struct("g", "id")).alias("least"), F.min("id_in").alias("low"), F.max("id_in").alias("high"))
+    near = written(near.join(groups.filter("low < high").drop("low", "high"), "pivot"), "near")
+    trivial = near.filter((F.col("g") + F.col("g_low") <= F.col("m") + 1e-9) & (F.col("id") != F.col("least")))
+    trivial = trivial.select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
+
+    def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own, base = np.frombuffer(row.hashes, np.uint64), np.frombuffer(row.base, np.uint64)
+                # A hash names one shingle, which a member either lacks or adds; no tag is needed.
+                yield pd.DataFrame({"pivot": row.pivot, "id": row.id, "mark": np.setxor1d(own, base, assume_unique=True).view(np.int64)})
+
+    joined = near.select("id", "pivot").join(sets.select("id", "hashes"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("base")), "pivot")
+    marks = written(joined.select("id", "pivot", "hashes", "base").mapInPandas(differences, "pivot long, id long, mark long"), "marks")
+    common = marks.groupBy("pivot", "mark").agg(F.count("*").alias("df")).filter("df > 1")
+    by_doc = Window.partitionBy("pivot", "id")
+    ranked = marks.join(common, ["pivot", "mark"]).withColumn("shared", F.count("*").over(by_doc)).withColumn("place", F.row_number().over(by_doc.orderBy("df", "mark")))
+    ranked = ranked.join(near.select("pivot", "id", "id_in", "m", "g", "g_low", "size"), ["pivot", "id"]).withColumn("rank", F.col("size") - F.col("shared") + F.col("place"))
+    least_need = F.greatest(F.lit(1), F.ceil(F.col("g") + F.col("g_low") - F.col("m") - 1e-9))
+    prefix = written(ranked.filter(F.col("rank") <= F.col("size") - least_need + 1).select("pivot", "mark", "id", "id_in", "m", "g", "size", "rank"), "prefixes")
+    x = prefix.select("pivot", "mark", "m", F.col("id").alias("a"), F.col("id_in").alias("ca"), F.col("g").alias("ga"), F.col("size").alias("sa"), F.col("rank").alias("ra"))
+    y = prefix.select("pivot", "mark", F.col("id").alias("b"), F.col("id_in").alias("cb"), F.col("g").alias("gb"), F.col("size").alias("sb"), F.col("rank").alias("rb"))
+    need = F.ceil(F.col("ga") + F.col("gb") - F.col("m") - 1e-9)
+    fits = (need >= 1) & (F.col("ra") <= F.col("sa") - need + 1) & (F.col("rb") <= F.col("sb") - need + 1)
+    pairs = x.join(y, ["pivot", "mark"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
+    return pairs.unionByName(trivial).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     signed = written(signatures(docs, words, bands, rows), "signatures")
@@ -235,9 +305,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     inside = _labelled(buckets.filter("size > 2").select("bucket", "id"), labels, "id")
     split = inside.groupBy("bucket").agg(F.min("id_in").alias("low"), F.max("id_in").alias("high")).filter("low < high")
-    open_ids = inside.join(split, "bucket").select("id", "id_in").distinct()
-    rest = rare_shingle_pairs(sets.join(open_ids, "id"), percent)
-    labels = components(links.unionByName(confirmed(rest, sets, percent)))
+    rest = written(inside.join(split.select("bucket"), "bucket").select("bucket", "id"), "open")
+    for _ in range(PIVOT_TURNS):
+        if rest.isEmpty():
+            break
+        pivots, near = _pivoted(rest, sets, percent)
+        links = written(links.unionByName(near), "links")
+        labels = components(links)
+        links = written(links.unionByName(confirmed(difference_pairs(pivots, sets, labels, percent), sets, percent)), "links")
+        labels = components(links)
+        far = pivots.filter(100 * F.col("both") < (percent - 20) * (F.col("n") + F.col("m") - F.col("both"))).select("id")
+        rest = written(rest.join(far, "id", "left_semi").select("bucket", "id"), "open")
+    last = _labelled(rest.select("id").distinct(), labels, "id")
+    labels = components(links.unionByName(confirmed(rare_shingle_pairs(sets.join(last, "id"), percent), sets, percent)))
 
     named = _labelled(classes.select("set_key", "id"), labels, "id").select("set_key", F.col("id_in").alias("found"))
     joined = signed.select("doc_id", "n_shingles", "set_key").join(written(named, "named"), "set_key", "left")
