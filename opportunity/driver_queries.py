@@ -904,3 +904,141 @@ def q8_missing_references(spark, sf_dir):
 @query("q9_profile", PLAYS_SQL + " select season::bigint as season, count(*) as rows, round(avg((air_yards is null)::int), 6) as air_yards_null_share, round(avg((shotgun is null)::int), 6) as shotgun_null_share from plays group by season")
 def q9_profile(spark, sf_dir):
     return quality.profile(plays(spark, sf_dir), ["season"], ["air_yards", "shotgun"])
+
+
+RECONCILE_SQL = "with r as (select c_custkey as player_id, c_nationkey as team, case c_custkey % 3 when 0 then 'ACT' when 1 then 'RES' else 'CUT' end as status from customer), c as (select s_suppkey as player_id, s_nationkey as team, case s_suppkey % 4 when 0 then 'ACT' when 1 then 'RES' when 2 then 'CUT' else 'DEV' end as status from supplier)"
+
+
+@query(
+    "j3_reconcile_roster",
+    RECONCILE_SQL + " select r.player_id, case when c.status in ('ACT', 'RES', 'DEV') then c.team else r.team end::bigint as team, coalesce(c.status, r.status) as status, case when c.status is null then 'no_catalog' when c.status in ('ACT', 'RES', 'DEV') and c.team <> r.team then 'affiliation' when c.status <> r.status then 'status' end as review from r left join c using (player_id)",
+)
+def j3_reconcile_roster(spark, sf_dir):
+    roster_rows = _read(spark, sf_dir, "customer").selectExpr("c_custkey as player_id", "c_nationkey as team", "case c_custkey % 3 when 0 then 'ACT' when 1 then 'RES' else 'CUT' end as status")
+    catalog = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey as player_id", "s_nationkey as team", "case s_suppkey % 4 when 0 then 'ACT' when 1 then 'RES' when 2 then 'CUT' else 'DEV' end as status")
+    return joins.reconcile_roster(roster_rows, catalog, ["ACT", "RES", "DEV"])
+
+
+@query(
+    "j5_snaps_to_players",
+    "with c as (select s_suppkey % 60 as other_id, min(s_suppkey) as player_id from supplier where s_suppkey % 60 <> 7 group by 1 having count(distinct s_suppkey) = 1), s as (select o_custkey % 80 as other_id, count(*) as games from orders group by 1) select s.other_id, games, player_id::double as player_id from s left join c using (other_id)",
+)
+def j5_snaps_to_players(spark, sf_dir):
+    catalog = _read(spark, sf_dir, "supplier").filter("s_suppkey % 60 <> 7").selectExpr("s_suppkey % 60 as other_id", "s_suppkey as player_id")
+    snaps = _read(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 80).alias("other_id")).agg(F.count("*").alias("games"))
+    return as_double(joins.snaps_to_players(snaps, catalog), "player_id")
+
+
+CROSSWALK_SQL = (
+    "with ro as (select c_custkey as player_id, c_custkey % 97 as name_key, c_nationkey % 5 as team, c_custkey % 3 as position from customer where c_custkey % 4 <> 1), "
+    "mk as (select s_suppkey as source_id, s_suppkey % 120 as name_key, s_nationkey % 5 as team, s_suppkey % 3 as position from supplier), "
+    "ex as (select name_key, team, position, min(player_id) as id, count(distinct player_id) as n from ro group by all), lo as (select name_key, position, count(*) as n from ro group by all), "
+    "j as (select mk.*, case when ex.n = 1 then ex.id end as pid, ex.n as en, lo.n as ln from mk left join ex using (name_key, team, position) left join lo on lo.name_key = mk.name_key and lo.position = mk.position), "
+    "k as (select *, case when pid is not null then count(*) over (partition by pid) end as claims from j), s as (select *, case when claims > 1 then 'review' when claims = 1 then 'resolved' when ln is not null then 'review' else 'unmatched' end as status from k)"
+)
+
+
+@query("j6_market_crosswalk", CROSSWALK_SQL + " select source_id, case when status = 'resolved' then pid end::double as player_id, status from s")
+def j6_market_crosswalk(spark, sf_dir):
+    roster_rows = _read(spark, sf_dir, "customer").filter("c_custkey % 4 <> 1").selectExpr("c_custkey as player_id", "c_custkey % 97 as name_key", "c_nationkey % 5 as team", "c_custkey % 3 as position")
+    market = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey as source_id", "s_suppkey % 120 as name_key", "s_nationkey % 5 as team", "s_suppkey % 3 as position")
+    return as_double(joins.market_crosswalk(market, roster_rows), "player_id")
+
+
+@query(
+    "j17_caller_episodes",
+    "with ce as (select distinct o_custkey % 50 as caller_key, o_orderkey % 8 as team, year(o_orderdate) as season from orders), f as (select * from ce where caller_key in (select c_custkey % 60 from customer where c_custkey % 3 = 0)) select caller_key, team, season::bigint as season, case when season % 4 = 1 and team = 2 then 0.0 else 1.0 end as weight from f union all select n_nationkey::bigint, 99, 2005, 1.0 from nation",
+)
+def j17_caller_episodes(spark, sf_dir):
+    census = _read(spark, sf_dir, "orders").selectExpr("o_custkey % 50 as caller_key", "o_orderkey % 8 as team", "year(o_orderdate) as season").distinct()
+    current = _read(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").selectExpr("c_custkey % 60 as caller_key")
+    additions = _read(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as caller_key", "99L as team", "2005 as season")
+    return joins.caller_episodes(census, current, census.filter("season % 4 = 1 and team = 2"), additions)
+
+
+@query(
+    "j18_evidence_dates",
+    "with t as (select c_custkey as team, unnest([c_custkey % 40, c_custkey % 23, c_custkey % 90]) as source_id, unnest([0, 1, 2]) as place from customer), s as (select o_orderkey as source_id, o_orderdate::date as published from orders where o_orderkey < 100 and o_orderkey % 5 <> 0) select team, arg_min(source_id, place) as primary_source, max(published)::varchar as latest from t join s using (source_id) group by team",
+)
+def j18_evidence_dates(spark, sf_dir):
+    teams = _read(spark, sf_dir, "customer").selectExpr("c_custkey as team", "array(c_custkey % 40, c_custkey % 23, c_custkey % 90) as source_ids")
+    sources = _read(spark, sf_dir, "orders").filter("o_orderkey < 100 and o_orderkey % 5 <> 0").selectExpr("o_orderkey as source_id", "to_date(o_orderdate) as published")
+    return joins.evidence_dates(teams, sources)
+
+
+@query(
+    "f1_caller_fingerprints",
+    SEASON_SQL + ", v as (select season, team, sum(carries) / count(*) as value from player group by all), ow as (select team, sum(power(0.75, 2001 - season) * value) / sum(power(0.75, 2001 - season)) as own, count(*) as anchors from v where team % 3 <> 0 and season < 2001 group by team), lg as (select avg(value) as league from v) select v.team, 'carries' as metric, coalesce(anchors, 0) as anchors, round(coalesce(0.5 * own + 0.3 * value + 0.2 * league, (0.3 * value + 0.2 * league) / 0.5), 6) as forecast from v left join ow using (team), lg where season = 2001",
+)
+def f1_caller_fingerprints(spark, sf_dir):
+    player = agg.season_usage(season_rows(spark, sf_dir))
+    rows = player.groupBy("season", "team").agg((F.sum("carries") / F.count("*")).alias("value")).withColumn("metric", F.lit("carries"))
+    anchors = rows.filter("team % 3 <> 0 and season < 2001").withColumn("age", 2001 - F.col("season"))
+    return forecast.caller_fingerprints(anchors, rows.filter("season = 2001"), rows.groupBy("metric").agg(F.avg("value").alias("value")))
+
+
+@query(
+    "f2_position_environments",
+    "with m as (select s_suppkey as team, s_suppkey % 17 as pace, s_suppkey % 13 as volume from supplier), p as (select team, pace, volume, (rank() over (order by pace) - 1 + (count(*) over (partition by pace) - 1) / 2.0) / (count(*) over () - 1) as a, (rank() over (order by volume) - 1 + (count(*) over (partition by volume) - 1) / 2.0) / (count(*) over () - 1) as b from m), s as (select *, round(100 * (0.6 * a + 0.4 * b), 6) as score from p) select team, pace, volume, round(a, 6) as pace_percentile, round(b, 6) as volume_percentile, score from s",
+)
+def f2_position_environments(spark, sf_dir):
+    metrics = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey as team", "s_suppkey % 17 as pace", "s_suppkey % 13 as volume")
+    return forecast.position_environments(metrics, {"pace": 0.6, "volume": 0.4}).drop("rank")
+
+
+@query(
+    "f6_latent_roles",
+    WEEKLY_SQL + ", e as (select team, player_id, sum(volume) / sum(sum(volume)) over (partition by team) as share from weekly group by team, player_id), a as (select team, player_id, share / sum(share) over (partition by team) as act from e where player_id % 4 <> 1), m as (select team, sum(share) as mass from e semi join a using (team, player_id) group by team) select e.team, e.player_id, round(case when act is not null then act * mass else share end, 6) as latent from e left join a using (team, player_id) left join m on m.team = e.team",
+)
+def f6_latent_roles(spark, sf_dir):
+    rows = weekly(spark, sf_dir).groupBy("team", "player_id").agg(F.sum("volume").alias("v"))
+    everyone = windows.share_in_group(rows, ["team"], "v").select("team", "player_id", "share")
+    active = windows.share_in_group(everyone.filter("player_id % 4 <> 1").withColumnRenamed("share", "s"), ["team"], "s").select("team", "player_id", F.col("share").alias("active_share"))
+    return forecast.latent_roles(active, everyone, ["team"]).select("team", "player_id", "latent")
+
+
+@query(
+    "e8_rate_multipliers",
+    SEASON_SQL + ", ev as (select player_id, season, team, sum(targets) as high, sum(carries) as base from player group by all), tm2 as (select season, team, sum(high) as th, sum(base) as tb from ev group by all), tg as (select player_id, min(team) as target_team from player where season = 2000 group by player_id), w as (select ev.*, th, tb, target_team, power(0.65, 1999 - ev.season) * case when ev.team = target_team then 1.0 else 0.7 end as w from ev join tm2 using (season, team) join tg using (player_id) where ev.season between 1997 and 1999), "
+    "s as (select player_id, target_team, sum(w * high) as h, sum(w * base) as b, sum(w * th) as th, sum(w * tb) as tb, max(season) as last from w group by all), q as (select s.*, exists (select 1 from w where w.player_id = s.player_id and w.season = s.last and w.team = s.target_team) as same from s), r as (select *, (h + 24 * th / tb) / (b + 24) / (th / tb) as raw from q) select player_id, 2000 as target_season, round(h, 6) as high, round(b, 6) as base, round(least(4.0, greatest(0.25, case when same then raw else 1 + 0.45 * (raw - 1) end)), 6) as p24 from r",
+)
+def e8_rate_multipliers(spark, sf_dir):
+    player = agg.season_usage(season_rows(spark, sf_dir))
+    events = player.groupBy("player_id", "season", "team").agg(F.sum("targets").alias("high"), F.sum("carries").alias("base"))
+    teams = events.groupBy("season", "team").agg(F.sum("high").alias("team_high"), F.sum("base").alias("team_base"))
+    targets = player.filter("season = 2000").groupBy("player_id").agg(F.min("team").alias("team")).withColumn("target_season", F.lit(2000))
+    return stats.shrunk_rate_multiplier(events, teams, targets, 3, priors=(24,))
+
+
+@query(
+    "e13_promotion_gate",
+    EVAL_SQL + ", ev as (select position as metric, window_end, model, avg(error) as error, count(*) as events from e group by all), m as (select metric, model, avg(error) as mean, count(distinct window_end) as w from ev group by all), b as (select metric, mean as base from m where model = 'base'), d as (select m.metric, max(case when model <> 'base' then mean - base end) as worst, min(w) as w, arg_min(model, case when model <> 'base' then mean end) as best from m join b using (metric) group by m.metric), lst as (select metric, events from ev where model = 'base' and window_end = 18), cp as (select metric, window_end, error - (select error from ev x where x.metric = ev.metric and x.window_end = ev.window_end and x.model = 'base') as dl from ev where model = 'p24'), o as (select metric, sum((dl + 0.05 < 0)::int)::bigint as wins, sum((dl - 0.05 > 0)::int)::bigint as losses from cp group by metric) select d.metric, round(worst, 6) + 0.0 as worst_delta, best as best_model, wins, losses, (w = 3 and events >= 10 and wins >= 2 and losses = 0 and worst < 0) as promoted from d join lst using (metric) join o using (metric)",
+)
+def e13_promotion_gate(spark, sf_dir):
+    rows = errors(spark, sf_dir).groupBy(F.col("position").alias("metric"), "window_end", "model").agg(F.avg("error").alias("error"), F.count("*").alias("events"))
+    rows = rows.withColumn("rooms", F.col("events"))
+    deltas = windows.scope_deltas(rows, ["metric", "window_end"], "model", "error", "base")
+    comparisons = deltas.select("metric", "window_end", F.col("model").alias("challenger"), (F.col("delta") - 0.05).alias("low"), (F.col("delta") + 0.05).alias("high"))
+    return stats.promotion_gate(rows, comparisons, "base", "p24", (4, 8, 18), 10, 10)
+
+
+@query("c14_status_families", "select case event_type when 'click' then 'active_53' when 'view' then 'practice_squad' else 'reserve_other' end as family, count(*) as rows from events group by 1")
+def c14_status_families(spark, sf_dir):
+    codes = F.expr("case event_type when 'click' then ' act' when 'view' then 'DEV' else 'res' end")
+    return _read(spark, sf_dir, "events").select(clean.status_family(codes, F.lit("R99")).alias("family")).groupBy("family").agg(F.count("*").alias("rows"))
+
+
+@query("c10_points", "select l_orderkey as game_id, l_linenumber::bigint as line, round(coalesce(case when l_partkey % 10 = 0 then 5.0 end, l_quantity * 0.1 + l_tax * 6), 6) as points from lineitem where l_orderkey % 4 = 0")
+def c10_points(spark, sf_dir):
+    projected = F.expr("case when l_partkey % 10 = 0 then 5.0D end")
+    points = clean.fantasy_points(projected, {"yards": F.col("l_quantity"), "scores": F.col("l_tax")}, {"yards": 0.1, "scores": 6.0})
+    return _read(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("line"), points.alias("points"))
+
+
+@query("f12_f13_event_counts", WEEKLY_SQL + ", p as (select team, sum(volume) as pool from weekly group by team), r as (select team, pool, 0.1 + team / 100.0 as rate from p), s as (select team, week, player_id, volume / sum(volume) over (partition by team, week) as share from weekly) select s.team, player_id, round(sum(pool * rate * share), 6) as season_events from s join r using (team) group by all")
+def f12_f13_event_counts(spark, sf_dir):
+    rows = weekly(spark, sf_dir)
+    pools = rows.groupBy("team").agg(F.sum("volume").alias("pool"))
+    rates = pools.select("team", (0.1 + F.col("team") / 100).alias("rate"))
+    events = forecast.event_pools(pools, rates, pool_radius=1.0, rate_radius=0.02).select("team", "events")
+    return forecast.player_event_counts(rows.select("team", "week", "player_id", F.col("volume").alias("share")), events)
