@@ -15,7 +15,7 @@ from opportunity import quality, stats
 from opportunity.functions import clean
 from opportunity.operators import aggregates as agg
 from opportunity.operators import joins, windows
-from opportunity.plans import forecast
+from opportunity.plans import backtests, forecast
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1042,3 +1042,55 @@ def f12_f13_event_counts(spark, sf_dir):
     rates = pools.select("team", (0.1 + F.col("team") / 100).alias("rate"))
     events = forecast.event_pools(pools, rates, pool_radius=1.0, rate_radius=0.02).select("team", "events")
     return forecast.player_event_counts(rows.select("team", "week", "player_id", F.col("volume").alias("share")), events)
+
+
+RATE_SQL = (
+    PLAYS_SQL
+    + ", v as (select season, week, team, sum(pass) as amount, count(distinct game_id) as games from plays group by season, week, team), "
+    + "tg as (select unnest([1999, 2000, 2001]) as target), past as (select target, v.*, power(0.65, target - 1 - season) as w from v, tg where season between target - 3 and target - 1), "
+    + "t as (select target, team, sum(w * amount) as x, sum(w * games) as n from past group by all), l as (select target, sum(w * amount) / sum(w * games) as league from past group by target), "
+    + "act as (select season as target, team, we as window_end, sum(amount) / sum(games) as actual from v, (select unnest([4, 8, 18]) as we) where week <= we group by all), "
+    + "pr as (select target, team, unnest(['league', 'raw', 'p4', 'p17']) as model, unnest([league, x / n, (x + 4 * league) / (n + 4), (x + 17 * league) / (n + 17)]) as forecast from t join l using (target)), "
+    + "rt as (select pr.*, window_end, actual, abs(forecast - actual) as error from pr join act using (target, team))"
+)
+
+
+def rate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = plays(spark, sf_dir).groupBy("season", "week", "team").agg(F.sum("pass").alias("amount"), F.countDistinct("game_id").alias("games"))
+    return backtests.rate_backtest(values, (1999, 2000, 2001))
+
+
+@query(
+    "e17_rate_backtest",
+    RATE_SQL + ", s as (select unnest(['ALL', target::varchar]) as scope, window_end, model, error from rt), g as (select scope, window_end, model, count(*) as n, avg(error) as m, median(error) as md, quantile_cont(error, 0.75) as q, sqrt(avg(error * error)) as r from s group by all), b as (select *, max(case when model = 'league' then m end) over (partition by scope, window_end) as base from g) select scope, window_end::bigint as window_end, model, n, round(m, 6) as mean_error, round(md, 6) as median_error, round(q, 6) as p75_error, round(r, 6) as rmse, round(m - base, 6) + 0.0 as delta, round((base - m) / base, 6) + 0.0 as improvement from b",
+)
+def e17_rate_backtest(spark, sf_dir):
+    return backtests.rate_summary(rate_rows(spark, sf_dir))
+
+
+@query(
+    "e17_holdout_calibration",
+    RATE_SQL + ", o as (select window_end, error, row_number() over (partition by window_end order by error) as i, count(*) over (partition by window_end) as n from rt where model = 'p17' and target < 2001), r as (select window_end, error as radius from o where i = least(n, ceil((n + 1) * 0.9))), h as (select rt.window_end, actual - forecast as d, radius from rt join r using (window_end) where model = 'p17' and target = 2001) select window_end::bigint as window_end, count(*) as rows, sum((abs(d) <= radius)::int)::bigint as covered, sum((d < -radius)::int)::bigint as below, sum((d > radius)::int)::bigint as above, round(avg(2 * radius), 6) as mean_width, round(avg((abs(d) <= radius)::int), 6) as rate, round(any_value(radius), 6) as radius from h group by window_end",
+)
+def e17_holdout_calibration(spark, sf_dir):
+    return backtests.holdout_calibration(rate_rows(spark, sf_dir), 2001, "p17")
+
+
+@query(
+    "e15_allocation_backtest",
+    WEEKLY_SQL + ", act0 as (select 2024 as season, team, 'R' as resource, week, player_id, volume as amount from weekly where player_id % 7 <> 0), act as (select distinct team, week, player_id from weekly where player_id % 3 <> 0), "
+    "wt as (select team, player_id, unnest(['even', 'steep']) as model, unnest([1.0, 1.0 / (1 + player_id % 5)]::double[]) as weight from (select distinct team, player_id from weekly where player_id % 5 <> 0)), pool as (select team, week, sum(amount) as pool from act0 group by all), "
+    "live as (select a.team, a.week, w.model, a.player_id, w.weight from act a join wt w using (team, player_id)), tot as (select team, week, model, sum(weight) as t from live group by all), "
+    "al as (select l.team, l.week, l.model, l.player_id::varchar as player_id, pool * weight / t as x from live l join tot using (team, week, model) join pool using (team, week) union all select p.team, p.week, m.model, '__UNALLOCATED__', p.pool from pool p cross join (select distinct team as mt, model from wt) m where m.mt = p.team and not exists (select 1 from tot where tot.team = p.team and tot.week = p.week and tot.model = m.model)), "
+    "we as (select unnest([4, 8, 18]) as window_end), f as (select team, model, window_end, player_id, sum(x) as f from al, we where week <= window_end group by all), ac as (select team, window_end, player_id::varchar as player_id, sum(amount) as a from act0, we where week <= window_end group by all), am as (select ac.*, model from ac join (select distinct team, model from wt) using (team)), tp as (select team, window_end, sum(pool) as pool from pool, we where week <= window_end group by all), "
+    "j as (select coalesce(f.team, am.team) as team, coalesce(f.model, am.model) as model, coalesce(f.window_end, am.window_end) as window_end, coalesce(f.player_id, am.player_id) as player_id, coalesce(f, 0) as f, coalesce(a, 0) as a, f.team is not null as opening from f full join am on f.team = am.team and f.model = am.model and f.window_end = am.window_end and f.player_id = am.player_id), "
+    "s as (select j.*, f / pool as fs, a / pool as acs from j join tp using (team, window_end)) select 2024 as season, team, 'R' as resource, model, window_end::bigint as window_end, round(sum(abs(fs - acs)) / 2, 6) as total_variation, round(avg(abs(fs - acs)), 6) as mean_error, round(sum(case when opening then acs else 0 end), 6) as coverage, (first(player_id order by fs desc, player_id) = first(player_id order by acs desc, player_id)) as top_hit from s group by team, model, window_end",
+)
+def e15_allocation_backtest(spark, sf_dir):
+    rows = weekly(spark, sf_dir)
+    key = rows.withColumn("season", F.lit(2024)).withColumn("resource", F.lit("R"))
+    actual = key.filter("player_id % 7 <> 0").select("season", "team", "resource", "week", "player_id", F.col("volume").alias("amount"))
+    active = key.filter("player_id % 3 <> 0").select("season", "team", "week", "player_id").distinct()
+    weights = key.filter("player_id % 5 <> 0").select("season", "team", "resource", "player_id").distinct()
+    weights = weights.withColumn("even", F.lit(1.0)).withColumn("steep", 1 / (1 + F.col("player_id") % 5)).unpivot(["season", "team", "resource", "player_id"], ["even", "steep"], "model", "weight")
+    return backtests.allocation_backtest(weights, active, actual)

@@ -32,14 +32,15 @@ def room_errors(rows: DataFrame, room: Sequence[str]) -> DataFrame:
     return out.withColumn("top_hit", F.col("_f") == F.col("_a")).drop("_f", "_a")
 
 
-def oracle_allocation(weights: DataFrame, active: DataFrame, pools: DataFrame, room: Sequence[str]) -> DataFrame:
+def oracle_allocation(weights: DataFrame, active: DataFrame, pools: DataFrame, room: Sequence[str], active_by: Sequence[str] | None = None) -> DataFrame:
     """Each week's pool shared by weight among the players active that week.
 
-    ``weights`` has the room, player_id and weight; ``active`` the room, week and player_id;
-    ``pools`` the room, week and pool. A pool without an active player goes to ``__UNALLOCATED__``.
+    ``weights`` has the room, player_id and weight; ``active`` the room (or ``active_by`` of it),
+    week and player_id; ``pools`` the room, week and pool. A pool without an active player goes to
+    ``__UNALLOCATED__``.
     """
     key = [*room, "week"]
-    live = active.join(weights, [*room, "player_id"])
+    live = active.join(weights, [*(room if active_by is None else active_by), "player_id"])
     totals = live.groupBy(*key).agg(F.sum("weight").alias("_total")).filter("_total > 0")
     shared = live.join(totals, key).join(pools, key).select(*room, "week", "player_id", (F.col("pool") * F.col("weight") / F.col("_total")).alias("allocated"))
     left = pools.join(totals, key, "left_anti").select(*room, "week", F.lit("__UNALLOCATED__").alias("player_id"), F.col("pool").alias("allocated"))
