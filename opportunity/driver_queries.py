@@ -1094,3 +1094,62 @@ def e15_allocation_backtest(spark, sf_dir):
     weights = key.filter("player_id % 5 <> 0").select("season", "team", "resource", "player_id").distinct()
     weights = weights.withColumn("even", F.lit(1.0)).withColumn("steep", 1 / (1 + F.col("player_id") % 5)).unpivot(["season", "team", "resource", "player_id"], ["even", "steep"], "model", "weight")
     return backtests.allocation_backtest(weights, active, actual)
+
+
+TRANSITION_SQL = (
+    PLAYS_SQL
+    + f", ep as (select * from plays where {ELIGIBLE}), st as (select season, team, sum(pass)::double / count(*) as pass_rate, sum(success)::double / count(*) as success_rate from ep group by all), "
+    + "pr as (select team, unnest(['pass_rate', 'success_rate']) as metric, unnest([pass_rate, success_rate]) as value from st where season = 1999), lg as (select metric, median(value) as league from pr group by metric), "
+    + "wk as (select we as window_end, team, sum(pass)::double / count(*) as pass_rate, sum(success)::double / count(*) as success_rate from ep, (select unnest([6, 8]) as we) where season = 2000 and week <= we group by all), ac as (select team, window_end, unnest(['pass_rate', 'success_rate']) as metric, unnest([pass_rate, success_rate]) as actual from wk), "
+    + "co as (select distinct team, case team % 3 when 0 then 'returning' when 1 then 'changed_with_anchor' else 'changed_without_anchor' end as cohort, case when team % 3 = 1 then team - 1 end as anchor_team from pr), "
+    + "j as (select pr.team, pr.metric, cohort, pr.value as persistence, league, an.value as anchor from pr join lg using (metric) join co on co.team = pr.team left join pr an on an.team = co.anchor_team and an.metric = pr.metric), "
+    + "f as (select team, metric, cohort, unnest(['persistence', 'shrunken', 'caller_aware']) as model, unnest([persistence, 0.8 * persistence + 0.2 * league, case cohort when 'returning' then 0.95 * persistence + 0.05 * league when 'changed_with_anchor' then 0.7 * anchor + 0.2 * persistence + 0.1 * league else 0.6 * persistence + 0.4 * league end]) as forecast from j), "
+    + "tr as (select f.*, window_end, actual, abs(forecast - actual) / 0.05 as error from f join ac using (team, metric) where forecast is not null)"
+)
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = plays(spark, sf_dir)
+    metrics = ["pass_rate", "success_rate"]
+    prior = agg.unpivoted(agg.team_style(rows.filter("season = 1999")), ["team"], metrics)
+    parts = [agg.unpivoted(agg.team_style(rows.filter("season = 2000"), weeks=(1, w)), ["team"], metrics).withColumn("window_end", F.lit(w)) for w in (6, 8)]
+    kind = F.expr("case team % 3 when 0 then 'returning' when 1 then 'changed_with_anchor' else 'changed_without_anchor' end")
+    cohorts = prior.select("team").distinct().select("team", kind.alias("cohort"), F.expr("case when team % 3 = 1 then team - 1 end").alias("anchor_team"))
+    tolerances = spark.createDataFrame([(m, 0.05) for m in metrics], "metric string, tolerance double")
+    return backtests.transition_backtest(prior, parts[0].unionByName(parts[1]), cohorts, tolerances)
+
+
+@query("e18_transition_backtest", TRANSITION_SQL + " select team::bigint as team, metric, cohort, model, window_end::bigint as window_end, round(forecast, 6) as forecast, round(actual, 6) as actual, round(error, 6) as error from tr")
+def e18_transition_backtest(spark, sf_dir):
+    return transitions(spark, sf_dir).drop("tolerance")
+
+
+@query(
+    "e19_paired_effects",
+    TRANSITION_SQL + " select c.team::bigint as team, c.window_end::bigint as window_end, round(avg(c.error - b.error), 6) + 0.0 as paired_delta, count(*) as metrics from tr c join tr b using (team, window_end, metric) where c.model = 'caller_aware' and b.model = 'shrunken' group by all",
+)
+def e19_paired_effects(spark, sf_dir):
+    return backtests.paired_team_effects(transitions(spark, sf_dir))
+
+
+@query(
+    "f7_availability_queue",
+    "with r as (select c_custkey as player_id, c_nationkey as team, c_custkey % 4 as position, case c_custkey % 5 when 0 then 'ACT' when 1 then 'RES' when 2 then 'PUP' else 'CUT' end as status from customer), d as (select s_suppkey as player_id, s_nationkey as team, s_suppkey % 4 as position, s_suppkey % 3 + 1 as depth_rank from supplier), m as (select p_partkey as player_id, p_size::double as adp from part where p_partkey % 3 = 0), g as (select o_custkey as player_id, count(*) as games from orders group by 1), k as (select r.*, depth_rank, adp, games from r left join d using (player_id, team, position) left join m using (player_id) left join g using (player_id) where status in ('RES', 'PUP') and (depth_rank is not null or adp is not null or games > 0)) select player_id, row_number() over (partition by team order by adp asc nulls last, player_id) as queue_rank from k",
+)
+def f7_availability_queue(spark, sf_dir):
+    roster_rows = _read(spark, sf_dir, "customer").selectExpr("c_custkey as player_id", "c_nationkey as team", "c_custkey % 4 as position", "case c_custkey % 5 when 0 then 'ACT' when 1 then 'RES' when 2 then 'PUP' else 'CUT' end as status")
+    depth = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey as player_id", "s_nationkey as team", "s_suppkey % 4 as position", "s_suppkey % 3 + 1 as depth_rank")
+    market = _read(spark, sf_dir, "part").filter("p_partkey % 3 = 0").selectExpr("p_partkey as player_id", "cast(p_size as double) as adp")
+    games = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("player_id")).agg(F.count("*").alias("games"))
+    return forecast.availability_queue(roster_rows, depth, market, games, ["ACT", "RES", "PUP"]).select("player_id", "queue_rank")
+
+
+@query(
+    "f21_live_board",
+    BOARD_SQL + ", b as (select player_id % 3 as draft_id, player_id, position, points / 100 as ds, case player_id % 3 when 0 then 'starter' when 1 then 'flex' else 'bench' end as status, size % 14 + 1 as rd, size % 5 as dr, size * 2 as sv, 0.5 + size % 10 / 10.0 as ps, size % 9 as rn, size % 4 as ov from board), t as (select *, ds + case status when 'starter' then 0.45 + least(1.0, (rd - 1) / 12.0) * 1.2 when 'flex' then 0.25 + least(1.0, (rd - 1) / 12.0) * 0.65 else 0 end + least(2.4, dr * 0.55) + greatest(-1.4, least(1.4, (50 - sv) / 50.0 * 1.4)) + greatest(-0.8, least(0.8, (ps - 1) * 0.9)) + least(1.28, rn * 0.16) - case when position = 'K' and rd < 12 then (12 - rd) * 0.65 else 0 end - case when status = 'bench' then greatest(1, ov + 1) * 0.8 else 0 end as total from b) select draft_id, player_id, round(total, 4) as total from t",
+)
+def f21_live_board(spark, sf_dir):
+    rows = board(spark, sf_dir).selectExpr(
+        "player_id % 3 as draft_id", "player_id", "position", "points / 100 as draft_score", "case player_id % 3 when 0 then 'starter' when 1 then 'flex' else 'bench' end as status", "size % 14 + 1 as round", "size % 5 as drop", "size * 2 as survival", "0.5D + size % 10 / 10 as pressure", "size % 9 as run", "size % 4 as over"
+    )
+    return forecast.live_board(rows).select("draft_id", "player_id", F.round("total", 4).alias("total"))

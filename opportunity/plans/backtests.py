@@ -83,3 +83,35 @@ def holdout_calibration(rows: DataFrame, holdout: int, model: str, coverage: flo
     own = rows.filter(F.col("model") == model)
     radius = conformal_radius(own.filter(F.col("target_season") < holdout), ["window_end"], "error", coverage)
     return holdout_coverage(own.filter(F.col("target_season") == holdout), radius, ["window_end"]).join(radius.select("window_end", "radius"), "window_end")
+
+
+# Weights of caller's anchor, team and league by cohort.
+CALLER_BLENDS = {"returning": (0.0, 0.95, 0.05), "changed_with_anchor": (0.70, 0.20, 0.10), "changed_without_anchor": (0.0, 0.60, 0.40)}
+
+
+def transition_backtest(prior: DataFrame, actual: DataFrame, cohorts: DataFrame, tolerances: DataFrame) -> DataFrame:
+    """Three style forecasts of each team and metric against what followed.
+
+    ``prior`` has team, metric and value of the season before; ``actual`` team, window_end, metric
+    and value; ``cohorts`` is what ``caller_cohort`` returns; ``tolerances`` metric and tolerance.
+    Ambiguous callers have no caller-aware forecast and are left out.
+    """
+    league = prior.groupBy("metric").agg(F.median("value").alias("league"))
+    own = prior.select("team", "metric", F.col("value").alias("persistence"))
+    anchor = prior.select(F.col("team").alias("anchor_team"), "metric", F.col("value").alias("anchor"))
+    rows = own.join(league, "metric").join(cohorts.filter(F.col("cohort").isin(*CALLER_BLENDS)).select("team", "cohort", "anchor_team"), "team").join(anchor, ["anchor_team", "metric"], "left")
+    aware = F.lit(None).cast("double")
+    for cohort, (a, d, l) in CALLER_BLENDS.items():
+        blend = d * F.col("persistence") + l * F.col("league")
+        aware = F.when(F.col("cohort") == cohort, blend + a * F.col("anchor") if a else blend).otherwise(aware)
+    rows = rows.withColumn("shrunken", 0.8 * F.col("persistence") + 0.2 * F.col("league")).withColumn("caller_aware", aware)
+    long = rows.unpivot(["team", "metric", "cohort"], ["persistence", "shrunken", "caller_aware"], "model", "forecast")
+    found = long.join(actual.withColumnRenamed("value", "actual"), ["team", "metric"]).join(F.broadcast(tolerances), "metric")  # a row for each metric
+    return found.filter("forecast is not null and actual is not null").withColumn("error", F.abs(F.col("forecast") - F.col("actual")) / F.col("tolerance"))
+
+
+def paired_team_effects(rows: DataFrame, candidate: str = "caller_aware", baseline: str = "shrunken") -> DataFrame:
+    """Mean error of the candidate less the baseline's, per team and window, over the metrics both have."""
+    by = ["team", "window_end", "metric"]
+    wide = rows.filter(F.col("model").isin(candidate, baseline)).groupBy(*by).agg(F.max(F.when(F.col("model") == candidate, F.col("error"))).alias("_c"), F.max(F.when(F.col("model") == baseline, F.col("error"))).alias("_b"))
+    return wide.filter("_c is not null and _b is not null").groupBy("team", "window_end").agg(F.avg(F.col("_c") - F.col("_b")).alias("paired_delta"), F.count("*").alias("metrics"))

@@ -276,3 +276,35 @@ def ownership_replay(transactions: DataFrame) -> DataFrame:
     kept = kept.filter(F.col("_lowest").isNull() | (F.col("_lowest") >= F.col("_level")))
     last = keep_best(kept.select("league_id", "player_id", "seq", "kind", "owner"), ["league_id", "player_id"], [-F.col("seq")])
     return last.filter("kind = 'add'").select("league_id", "player_id", "owner")
+
+
+def availability_queue(roster: DataFrame, depth: DataFrame, market: DataFrame, games: DataFrame, affiliated: Sequence[str]) -> DataFrame:
+    """affiliated players who are not active and have depth, market or history evidence.
+
+    ``roster`` has player_id, team, position and status; ``depth`` player_id, team, position and
+    depth_rank; ``market`` player_id and adp; ``games`` player_id and games. ``queue_rank`` puts the
+    earliest market position first and those without one last.
+    """
+    rows = roster.filter(F.col("status").isin(*affiliated) & (F.col("status") != "ACT"))
+    rows = rows.join(depth, ["player_id", "team", "position"], "left").join(market, "player_id", "left").join(games, "player_id", "left")
+    kept = rows.filter(F.col("depth_rank").isNotNull() | F.col("adp").isNotNull() | (F.col("games") > 0))
+    return rank_in(kept, ["team"], [F.asc_nulls_last("adp"), F.col("player_id")], "queue_rank")
+
+
+def live_board(board: DataFrame) -> DataFrame:
+    """draft score with need, scarcity, urgency, opponent demand, position run and penalties.
+
+    ``board`` has draft_id, player_id, position, draft_score, status (of ``lineup_status``), round,
+    drop (to the player likely to be left), survival (0-100), pressure, run (recent picks of the
+    position) and over (players of the position beyond its slots).
+    """
+    progress = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("round") - 1) / 12))
+    need = F.when(F.col("status") == "starter", 0.45 + progress * 1.2).when(F.col("status") == "flex", 0.25 + progress * 0.65).otherwise(0.0)
+    scarcity = F.least(F.lit(2.4), F.col("drop") * 0.55)
+    urgency = F.greatest(F.lit(-1.4), F.least(F.lit(1.4), (50 - F.col("survival")) / 50 * 1.4))
+    opponent = F.greatest(F.lit(-0.8), F.least(F.lit(0.8), (F.col("pressure") - 1) * 0.9))
+    run = F.least(F.lit(1.28), F.col("run") * 0.16)
+    early = F.when(F.col("position").isin("K", "DST") & (F.col("round") < 12), (12 - F.col("round")) * 0.65).otherwise(0.0)
+    bench = F.when(F.col("status") == "bench", F.greatest(F.lit(1), F.col("over") + 1) * 0.8).otherwise(0.0)
+    scored = board.withColumn("total", F.col("draft_score") + need + scarcity + urgency + opponent + run - early - bench)
+    return rank_in(scored, ["draft_id"], [F.desc("total"), F.col("player_id")])

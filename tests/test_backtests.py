@@ -46,3 +46,14 @@ def test_role_models(spark):
     assert got["prior", 4].total_variation == pytest.approx(0) and got["prior", 4].top_hit
     assert got["depth", 4].total_variation > 0.5
     assert got["prior", 8].total_variation == pytest.approx(0.6) and got["prior", 8].coverage == pytest.approx(0.8)
+
+
+def test_transition_blends(spark):
+    prior = spark.createDataFrame([("A", "m", 0.6), ("B", "m", 0.4), ("C", "m", 0.5)], "team string, metric string, value double")
+    actual = spark.createDataFrame([(t, 6, "m", 0.5) for t in "ABC"], "team string, window_end int, metric string, value double")
+    cohorts = spark.createDataFrame([("A", "returning", None), ("B", "changed_with_anchor", "A"), ("C", "ambiguous", None)], "team string, cohort string, anchor_team string")
+    rows = backtests.transition_backtest(prior, actual, cohorts, spark.createDataFrame([("m", 0.05)], "metric string, tolerance double"))
+    got = {(r.team, r.model): r.forecast for r in rows.collect()}
+    assert got == pytest.approx({("A", "persistence"): 0.6, ("A", "shrunken"): 0.58, ("A", "caller_aware"): 0.595, ("B", "persistence"): 0.4, ("B", "shrunken"): 0.42, ("B", "caller_aware"): 0.55})
+    effects = {r.team: r.paired_delta for r in backtests.paired_team_effects(rows).collect()}
+    assert effects == pytest.approx({"A": 0.3, "B": -0.6})
