@@ -324,3 +324,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("found"))).otherwise(F.col("doc_id"))
     out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The same rows for three words and a likeness of 85 percent.
+ORACLE_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents
+), s as (
+  select doc_id, unnest(case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+l as (select x, y from shared join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id, doc_id as c from documents union select r.doc_id, e.y from r join e on r.c = e.x)
+select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(c) as component_id, r.doc_id = min(c) as kept
+from r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""

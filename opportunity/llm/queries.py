@@ -70,5 +70,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op6_decontamination": decontaminate.ORACLE_SQL,
 }
