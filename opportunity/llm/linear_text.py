@@ -6,8 +6,9 @@ is scored where it is read. Features come from the text alone.
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -152,28 +153,40 @@ def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int, seed: int = 11) -> DataFrame:
     """doc_id, text and labels of at most ``max_rows`` rows, the first by a keyed hash of doc_id.
 
-    Rows with a null id or label are left out. The bound makes the sample fit for broadcast.
+    Rows with a null id or label are left out; of rows with one id the smallest text is taken. The
+    bound makes the chosen ids fit for broadcast.
     """
     known = labels.select("doc_id", *columns).dropna()
     chosen = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * max_rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", *columns).agg(F.min("text").alias("text"))
 
 
-def collected(sample: DataFrame, grams: Grams | Stems, columns: list[str]) -> tuple[Rows, dict[str, np.ndarray], list[str]]:
-    """Features and labels of a bounded sample on the driver, in the order of doc_id."""
+def fitted(sample: DataFrame, grams: Grams | Stems, columns: list[str], fit: Callable[[Rows, dict[str, np.ndarray], list], object]) -> object:
+    """What ``fit`` makes of the features, labels and ids of a bounded sample, in the order of doc_id.
+
+    Features are taken where the rows are; one task fits, so the driver holds only the model.
+    """
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[["doc_id", *columns]].copy()
-            out["features"] = [grams.features(t) for t in batch["text"]]
+            out["features"] = [grams.features(t).astype(np.int32).tobytes() for t in batch["text"]]
             yield out
 
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["doc_id", *columns], kind="stable")
+        rows = Rows([np.frombuffer(x, np.int32) for x in frame["features"]])
+        model = fit(rows, {c: frame[c].to_numpy(dtype=float) for c in columns}, frame["doc_id"].tolist())
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
     wanted = ", ".join(f"{c} int" for c in columns)
     read = sample.select("doc_id", *[F.col(c).cast("int") for c in columns], "text")
-    found = read.mapInPandas(extract, f"doc_id long, {wanted}, features array<long>").toPandas()
-    found = found.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    rows = Rows([np.asarray(x, np.int64) for x in found["features"]])
-    return rows, {c: found[c].to_numpy(dtype=float) for c in columns}, list(found["doc_id"])
+    taken = read.mapInPandas(extract, f"doc_id long, {wanted}, features binary").withColumn("_all", F.lit(0))
+    found = taken.groupBy("_all").applyInPandas(learn, "model binary").first()
+    if found is None:
+        return fit(Rows([]), {c: np.zeros(0) for c in columns}, [])
+    return pickle.loads(found.model)
 
 
 def folds_of(ids: list, folds: int) -> np.ndarray:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opportunity.llm.linear_text import SIZE, Grams, Rows, collected, fit_platt, folds_of, labelled_sample, sigmoid
+from opportunity.llm.linear_text import SIZE, Grams, Rows, fit_platt, fitted, folds_of, labelled_sample, sigmoid
 
 MAX_TRAIN = 8_000
 
@@ -39,7 +39,8 @@ def dual_descent(rows: Rows, chosen: np.ndarray, y: np.ndarray, ratio: np.ndarra
     rng = np.random.default_rng(seed)
     weights, offset = np.zeros(SIZE), 0.0
     signs = np.where(y == 1, 1.0, -1.0)
-    values, lengths = {}, {}
+    values: dict[int, np.ndarray] = {}
+    lengths: dict[int, float] = {}
     for i in chosen:
         v = ratio[rows.rows[i]]
         norm = np.sqrt((v * v).sum()) or 1.0
@@ -105,7 +106,8 @@ def fit(rows: Rows, y: np.ndarray, ids: list, cost: float = 1.0, epochs: int = 8
         if len(inside) and 0 < y[outside].sum() < len(outside):
             margins[inside] = _margins(rows, inside, *once(outside))
     slope, shift = fit_platt(margins, y)
-    return Quality(*once(np.arange(len(y))), slope, shift)
+    ratio, weights, offset = once(np.arange(len(y)))
+    return Quality(ratio.astype(np.float32), weights.astype(np.float32), offset, slope, shift)
 
 
 def held_out_column():
@@ -116,8 +118,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     """doc_id, held_out, score and predicted of every row; labels of held-out rows are never read."""
     grams = Grams(words=2, shapes=True)
     usable = labels.filter(~held_out_column())
-    rows, y, ids = collected(labelled_sample(docs, usable, ["quality"], max_train), grams, ["quality"])
-    model = fit(rows, y["quality"], ids)
+    model = fitted(labelled_sample(docs, usable, ["quality"], max_train), grams, ["quality"], lambda rows, y, ids: fit(rows, y["quality"], ids))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opportunity.llm.linear_text import SIZE, Rows, Stems, best_threshold, collected, folds_of, labelled_sample, sigmoid
+from opportunity.llm.linear_text import SIZE, Rows, Stems, best_threshold, fitted, folds_of, labelled_sample, sigmoid
 
 MAX_TRAIN = 8_000
 
@@ -87,7 +87,7 @@ def fit_logistic(rows: Rows, chosen: np.ndarray, y: np.ndarray, before: np.ndarr
             earlier -= rate * error * seen / np.sqrt(earlier_squares)
             offset_square += error * error
             offset -= rate * error / np.sqrt(offset_square)
-    return scale, weights, earlier, offset
+    return scale.astype(np.float32), weights.astype(np.float32), earlier, offset
 
 
 def fit_chain(rows: Rows, labels: dict[str, np.ndarray], ids: list, folds: int = 4) -> list[Link]:
@@ -126,8 +126,7 @@ def fitted_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
     for name, words in terms.items():
         found = F.lower(F.coalesce("text", F.lit(""))).rlike(rf"\b(?:{'|'.join(words)})\b")
         sample = sample.withColumn(name, (found & (F.col("toxic") == 1)).cast("int"))
-    rows, y, ids = collected(sample, grams, names)
-    return fit_chain(rows, {name: y[name] for name in names}, ids), grams
+    return fitted(sample, grams, names, fit_chain), grams
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
