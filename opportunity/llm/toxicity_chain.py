@@ -69,7 +69,7 @@ def fit_logistic(rows: Rows, chosen: np.ndarray, y: np.ndarray, before: np.ndarr
     values = {}
     for i in chosen:
         v = scale[rows.rows[i]]
-        values[i] = v / (float(np.sqrt((v * v).sum())) or 1.0)
+        values[i] = (v / (float(np.sqrt((v * v).sum())) or 1.0)).astype(np.float32)
     weights, squares = np.zeros(SIZE), np.full(SIZE, 1e-3)
     earlier, earlier_squares = np.zeros(before.shape[1]), np.full(before.shape[1], 1e-1)
     ones = y[chosen].sum()
