@@ -602,6 +602,13 @@ def t4_observed_universe(spark, sf_dir):
     return windows.observed_universe([catalog, saved, _read(spark, sf_dir, "customer").selectExpr("c_custkey as id", "c_name as name")], "id")
 
 
+@query("t4_observed_universe_all", "with s as (select p_partkey as id, p_name as name, 0 as s from part union all select s_suppkey, s_name, 1 from supplier union all select c_custkey, c_name, 2 from customer) select id, name from s qualify row_number() over (partition by id order by s, name) = 1")
+def t4_observed_universe_all(spark, sf_dir):
+    catalog = _read(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_name as name")
+    saved = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "s_name as name")
+    return windows.observed_universe([catalog, saved, _read(spark, sf_dir, "customer").selectExpr("c_custkey as id", "c_name as name")], "id")
+
+
 @query("j8_asof_latest", USAGE_SQL.replace("value as volume", "value as volume, ts") + ", f as (select * from usage where ts < timestamp '2024-01-20 00:00:00') select player_id, event_id, role from f where ts = (select max(g.ts) from f g where g.player_id = f.player_id)")
 def j8_asof_latest(spark, sf_dir):
     rows = _read(spark, sf_dir, "events").selectExpr("user_id as player_id", "event_id", "event_type as role", "ts")
@@ -966,6 +973,19 @@ def j18_evidence_dates(spark, sf_dir):
     return joins.evidence_dates(teams, sources)
 
 
+# Ten orders a customer, so that the ids range over all orders; the first id of each is no order's.
+CITED = ["-1 - c_custkey", *[f"c_custkey * 10 + {k}" for k in range(10)]]
+
+
+@query(
+    "j18_evidence_dates_all",
+    f"with t as (select c_custkey as team, unnest([{', '.join(CITED)}]) as source_id, unnest(range(11)) as place from customer), s as (select o_orderkey as source_id, o_orderdate::date as published from orders) select team, arg_min(source_id, place) as primary_source, max(published)::varchar as latest from t join s using (source_id) group by team",
+)
+def j18_evidence_dates_all(spark, sf_dir):
+    teams = _read(spark, sf_dir, "customer").selectExpr("c_custkey as team", f"array({', '.join(CITED)}) as source_ids")
+    return joins.evidence_dates(teams, _read(spark, sf_dir, "orders").selectExpr("o_orderkey as source_id", "to_date(o_orderdate) as published"))
+
+
 @query(
     "f1_caller_fingerprints",
     SEASON_SQL + ", v as (select season, team, sum(carries) / count(*) as value from player group by all), ow as (select team, sum(power(0.75, 2001 - season) * value) / sum(power(0.75, 2001 - season)) as own, count(*) as anchors from v where team % 3 <> 0 and season < 2001 group by team), lg as (select avg(value) as league from v) select v.team, 'carries' as metric, coalesce(anchors, 0) as anchors, round(coalesce(0.5 * own + 0.3 * value + 0.2 * league, (0.3 * value + 0.2 * league) / 0.5), 6) as forecast from v left join ow using (team), lg where season = 2001",
@@ -1035,6 +1055,13 @@ def c10_points(spark, sf_dir):
     return _read(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("line"), points.alias("points"))
 
 
+@query("c10_points_all", "select l_orderkey as game_id, l_linenumber::bigint as line, round(coalesce(case when l_partkey % 10 = 0 then 5.0 end, l_quantity * 0.1 + l_tax * 6), 6) as points from lineitem")
+def c10_points_all(spark, sf_dir):
+    projected = F.expr("case when l_partkey % 10 = 0 then 5.0D end")
+    points = clean.fantasy_points(projected, {"yards": F.col("l_quantity"), "scores": F.col("l_tax")}, {"yards": 0.1, "scores": 6.0})
+    return _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("line"), points.alias("points"))
+
+
 @query("f12_f13_event_counts", WEEKLY_SQL + ", p as (select team, sum(volume) as pool from weekly group by team), r as (select team, pool, 0.1 + team / 100.0 as rate from p), s as (select team, week, player_id, volume / sum(volume) over (partition by team, week) as share from weekly) select s.team, player_id, round(sum(pool * rate * share), 6) as season_events from s join r using (team) group by all")
 def f12_f13_event_counts(spark, sf_dir):
     rows = weekly(spark, sf_dir)
