@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from opportunity import quality, stats
 from opportunity.functions import clean
+from opportunity.functions.stored import stored
 from opportunity.operators import aggregates as agg
 from opportunity.operators import joins, windows
 from opportunity.plans import backtests, forecast
@@ -1030,6 +1031,59 @@ def e8_rate_multipliers(spark, sf_dir):
     return stats.shrunk_rate_multiplier(events, teams, targets, 3, priors=(24,))
 
 
+PRIORS_SQL = (
+    SEASON_SQL
+    + ", ev as (select position || '_HIGH' as metric, player_id, season, team, sum(targets) as high, sum(carries) as base from player group by all), tt as (select metric, season, team, sum(high) as th, sum(base) as tb from ev group by all), "
+    + "ro as (select metric, team, player_id, base as weight, high > 3 as active from ev where season = 2000), "
+    + "w as (select ro.metric, ro.team as role, ro.player_id, ev.season, ev.team, ev.high, ev.base, th, tb, power(0.65, 1999 - ev.season) * case when ev.team = ro.team then 1.0 else 0.7 end as w from ro join ev on ev.metric = ro.metric and ev.player_id = ro.player_id join tt on tt.metric = ev.metric and tt.season = ev.season and tt.team = ev.team where ev.season between 1997 and 1999), "
+    + "sm as (select metric, role, player_id, sum(w * high) as h, sum(w * base) as b, sum(w * th) / sum(w * tb) as rate, max(season) as last, max(case when team = role then season end) as own from w group by all), "
+    + "mu as (select metric, role as team, player_id, h, b, unnest([12, 24, 48]) as k, rate, last is not distinct from own as same from sm), "
+    + "mm as (select metric, team, player_id, h, b, k, least(4.0, greatest(0.25, case when same then (h + k * rate) / (b + k) / rate else 1 + 0.45 * ((h + k * rate) / (b + k) / rate - 1) end)) as m from mu), "
+    + "mp as (select metric, team, player_id, any_value(h) as h, any_value(b) as b, max(case when k = 12 then m end) as p12, max(case when k = 24 then m end) as p24, max(case when k = 48 then m end) as p48 from mm group by all), "
+    + "bs as (select ro.*, weight / sum(weight) over (partition by metric, team) as base_share from ro), "
+    + "jn as (select bs.*, coalesce(h, 0) as high, coalesce(b, 0) as base, coalesce(p12, 1) as p12, coalesce(p24, 1) as p24, coalesce(p48, 1) as p48 from bs left join mp using (metric, team, player_id)), "
+    + "sh as (select *, base_share * p12 / sum(base_share * p12) over r as share_p12, base_share * p24 / sum(base_share * p24) over r as share_p24, base_share * p48 / sum(base_share * p48) over r as share_p48 from jn window r as (partition by metric, team)), "
+    + "pr as (select *, case when active then share_p24 / sum(case when active then share_p24 end) over (partition by metric, team) end as active_share, share_p24 - base_share as delta from sh)"
+)
+
+
+def priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    player = agg.season_usage(season_rows(spark, sf_dir))
+    events = player.groupBy(F.concat("position", F.lit("_HIGH")).alias("metric"), "player_id", "season", "team").agg(F.sum("targets").alias("high"), F.sum("carries").alias("base"))
+    events = stored(events, "events")
+    roles = events.filter("season = 2000").select("metric", "team", "player_id", F.col("base").alias("weight"), (F.col("high") > 3).alias("active"))
+    return stored(forecast.high_value_priors(roles, events, 2000), "priors")
+
+
+@query(
+    "f10_high_value_priors",
+    PRIORS_SQL + " select metric, team, player_id, round(base_share, 6) as base_share, round(high, 6)::double as high, round(base, 6)::double as base, round(p12, 6)::double as p12, round(p24, 6)::double as p24, round(p48, 6)::double as p48, round(share_p12, 6) as share_p12, round(share_p24, 6) as share_p24, round(share_p48, 6) as share_p48, round(active_share, 6) as active_share, round(least(share_p12, share_p24, share_p48), 6) as share_low, round(greatest(share_p12, share_p24, share_p48), 6) as share_high, round(delta, 6) + 0.0 as delta, case when base <= 0 then 'none' when base < 24 then 'limited' when base < 48 then 'moderate' else 'strong' end as history_support from pr",
+)
+def f10_high_value_priors(spark, sf_dir):
+    return as_double(priors(spark, sf_dir), "high", "base").drop("weight", "active").select("metric", "team", "player_id", "base_share", "high", "base", "p12", "p24", "p48", "share_p12", "share_p24", "share_p48", "active_share", "share_low", "share_high", "delta", "history_support")
+
+
+@query(
+    "f10_high_value_reviews",
+    PRIORS_SQL + " select metric, team, player_id::double as player_id, unnest(list_filter([case when base <= 0 and base_share >= 0.05 then 'role_without_history' end, case when base > 0 and base < 24 and base_share >= 0.05 then 'role_with_limited_history' end, case when abs(delta) >= 0.1 then 'large_adjustment' end], lambda x: x is not null)) as issue from pr union all select metric, team, null, 'no_active_candidate' from pr group by metric, team having not bool_or(active)",
+)
+def f10_high_value_reviews(spark, sf_dir):
+    return as_double(forecast.high_value_reviews(priors(spark, sf_dir)), "player_id")
+
+
+@query(
+    "f11_high_value_scenarios",
+    PRIORS_SQL + ", ca as (select team, week, metric, player_id, share_p24 as weight, 0.3 + (player_id % 5) / 10.0 as p, (team + week) % 3 <> 0 as scheduled from pr, (select unnest([1, 2, 3]) as week)), dr as (select *, unnest(range(20)) as draw from ca), on_ as (select *, scheduled and ('0x' || substr(md5('7|' || player_id || '|' || week || '|' || draw), 1, 8))::bigint / 4294967296.0 < p as live from dr), "
+    "to_ as (select *, sum(case when live then weight end) over (partition by team, week, metric, draw) as t from on_), sd as (select *, case when live and t > 0 then weight / t else 0.0 end as share from to_), un as (select team, week, metric, count(distinct case when t > 0 then draw end) as f from to_ where scheduled group by all) "
+    "select team, week::bigint as week, metric, player_id::varchar as player_id, round(avg(share), 6) as mean_share, round(quantile_cont(share, 0.1), 6) as p10, round(quantile_cont(share, 0.5), 6) as p50, round(quantile_cont(share, 0.9), 6) as p90 from sd group by all union all select team, week, metric, '__UNALLOCATED__', round((20 - f) / 20.0, 6), null, null, null from un where f < 20",
+)
+def f11_high_value_scenarios(spark, sf_dir):
+    found = priors(spark, sf_dir)
+    weeks = found.select("team", "player_id").distinct().withColumn("week", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])))
+    weeks = weeks.withColumn("p", 0.3 + (F.col("player_id") % 5) / 10).withColumn("scheduled", (F.col("team") + F.col("week")) % 3 != 0)
+    return forecast.high_value_scenarios(found, weeks, draws=20, seed=7)
+
+
 @query(
     "e13_promotion_gate",
     EVAL_SQL + ", ev as (select position as metric, window_end, model, avg(error) as error, count(*) as events from e group by all), m as (select metric, model, avg(error) as mean, count(distinct window_end) as w from ev group by all), b as (select metric, mean as base from m where model = 'base'), d as (select m.metric, max(case when model <> 'base' then mean - base end) as worst, min(w) as w, arg_min(model, case when model <> 'base' then mean end) as best from m join b using (metric) group by m.metric), lst as (select metric, events from ev where model = 'base' and window_end = 18), cp as (select metric, window_end, error - (select error from ev x where x.metric = ev.metric and x.window_end = ev.window_end and x.model = 'base') as dl from ev where model = 'p24'), o as (select metric, sum((dl + 0.05 < 0)::int)::bigint as wins, sum((dl - 0.05 > 0)::int)::bigint as losses from cp group by metric) select d.metric, round(worst, 6) + 0.0 as worst_delta, best as best_model, wins, losses, (w = 3 and events >= 10 and wins >= 2 and losses = 0 and worst < 0) as promoted from d join lst using (metric) join o using (metric)",

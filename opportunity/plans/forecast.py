@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from opportunity.functions.clean import depth_weight, normal_cdf, safe_ratio, score_band, snake_owner
 from opportunity.operators.aggregates import weighted_mean
 from opportunity.operators.windows import average_rank_percentile, cume_percentile, drop_to_kth_next, keep_best, ordinal_percentile, rank_in, share_in_group
-from opportunity.stats import laplace_mean, wilson_bounds
+from opportunity.stats import laplace_mean, shrunk_rate_multiplier, wilson_bounds
 
 RESOURCES = ("QB_DROPBACKS", "QB_RUSH_OPPORTUNITIES", "RB_CARRIES", "RB_TARGETS", "WR_TARGETS", "TE_TARGETS")
 # Fixed values.
@@ -146,6 +147,85 @@ def role_scenarios(roles: DataFrame, availability: DataFrame, draws: int, seed:
     return out.unionByName(none)
 
 
+def scenario_shares(roles: DataFrame, availability: DataFrame, draws: int, seed: int) -> DataFrame:
+    """F9 with percentiles: mean, p10, p50 and p90 of every candidate's share over all draws.
+
+    Tables as in ``role_scenarios``; ``availability`` may have scheduled. A draw without the player
+    counts as 0. A week without a game gives shares of 0 and leaves nothing unallocated.
+    """
+    if "scheduled" not in availability.columns:
+        availability = availability.withColumn("scheduled", F.lit(True))
+    key = ["team", "week", "resource"]
+    candidates = availability.select("team", "week", "player_id", "p", "scheduled").join(roles, ["team", "player_id"])
+    live = candidates.filter("scheduled").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    live = live.filter(uniform_draw(seed, F.col("player_id"), F.col("week"), F.col("draw")) < F.col("p")).select(*key, "draw", "player_id", "weight")
+    total = live.groupBy(*key, "draw").agg(F.sum("weight").alias("_total")).filter("_total > 0")
+    shares = live.join(total, [*key, "draw"]).groupBy(*key, "player_id").agg(F.sort_array(F.collect_list(F.col("weight") / F.col("_total"))).alias("_shares"))
+    found = candidates.select(*key, "player_id").join(shares, [*key, "player_id"], "left").withColumn("_shares", F.coalesce("_shares", F.array().cast("array<double>")))
+    absent = F.lit(draws) - F.size("_shares")
+
+    def at(place: int) -> Column:
+        return F.when(F.lit(place) < absent, 0.0).otherwise(F.get("_shares", F.lit(place) - absent))
+
+    def percentile(q: float) -> Column:
+        place = q * (draws - 1)
+        low, high = math.floor(place), math.ceil(place)
+        return at(low) + (at(high) - at(low)) * (place - low)
+
+    mean = F.aggregate("_shares", F.lit(0.0), lambda x, y: x + y) / draws
+    out = found.select(*key, F.col("player_id").cast("string").alias("player_id"), mean.alias("mean_share"), *[percentile(q).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9)])
+    rooms = candidates.filter("scheduled").select(*key).distinct()
+    filled = total.groupBy(*key).agg(F.count("*").alias("_filled"))
+    empty = rooms.join(filled, key, "left").withColumn("_empty", draws - F.coalesce("_filled", F.lit(0))).filter("_empty > 0")
+    none = F.lit(None).cast("double")
+    return out.unionByName(empty.select(*key, F.lit("__UNALLOCATED__").alias("player_id"), (F.col("_empty") / draws).alias("mean_share"), none.alias("p10"), none.alias("p50"), none.alias("p90")))
+
+
+def high_value_priors(roles: DataFrame, events: DataFrame, season: int, lookback: int = 3, priors: Sequence[int] = (12, 24, 48), primary: int = 24) -> DataFrame:
+    """latent role shares times E8 multipliers at each prior strength, scaled to 1 in each room.
+
+    ``roles`` has metric, team, player_id, weight and active; ``events`` metric, player_id, season,
+    team, high and base. ``active_share`` is the primary share among the active.
+    """
+    key = ["metric", "team", "player_id"]
+    # The keys of E8 hold the metric, and the role's team, as a player may have roles in several.
+    own = events.join(roles.select("metric", "player_id", F.col("team").alias("_role")), ["metric", "player_id"])
+    team, player = F.struct("team", "metric"), F.struct("metric", F.col("_role").alias("team"), "player_id")
+    history = own.select(player.alias("player_id"), "season", team.alias("team"), "high", "base")
+    teams = events.groupBy("season", team.alias("team")).agg(F.sum("high").alias("team_high"), F.sum("base").alias("team_base"))
+    targets = roles.withColumn("_role", F.col("team")).select(player.alias("player_id"), F.lit(season).alias("target_season"), team.alias("team"))
+    found = shrunk_rate_multiplier(history, teams, targets, lookback, priors)
+    found = found.select("player_id.*", "high", "base", *[f"p{p}" for p in priors])
+    out = roles.join(found, key, "left").fillna(0, ["high", "base"]).fillna(1.0, [f"p{p}" for p in priors])
+    masses = {"base_share": F.col("weight"), **{f"share_p{p}": F.col("weight") * F.col(f"p{p}") for p in priors}}
+    masses["active_share"] = F.when(F.col("active"), masses[f"share_p{primary}"])
+    totals = out.groupBy("metric", "team").agg(*[F.sum(mass).alias(f"_{name}") for name, mass in masses.items()])
+    out = out.join(totals, ["metric", "team"]).withColumns({name: safe_ratio(mass, F.when(F.col(f"_{name}") != 0, F.col(f"_{name}"))) for name, mass in masses.items()}).drop(*totals.columns[2:])
+    main = F.col(f"share_p{primary}")
+    shares = [F.col(f"share_p{p}") for p in priors]
+    support = F.when(F.col("base") <= 0, "none").when(F.col("base") < 24, "limited").when(F.col("base") < 48, "moderate").otherwise("strong")
+    return out.withColumn("share_low", F.least(*shares)).withColumn("share_high", F.greatest(*shares)).withColumn("delta", main - F.col("base_share")).withColumn("history_support", support)
+
+
+def high_value_reviews(priors: DataFrame, primary: int = 24, material: float = 0.05, large: float = 0.10) -> DataFrame:
+    """metric, team, player_id and issue of what needs a look; a room without active players has no player_id."""
+    much = F.col("base_share") >= material
+    issue = F.array(
+        F.when((F.col("base") <= 0) & much, "role_without_history"),
+        F.when((F.col("base") > 0) & (F.col("base") < primary) & much, "role_with_limited_history"),
+        F.when(F.abs("delta") >= large, "large_adjustment"),
+    )
+    players = priors.select("metric", "team", "player_id", F.explode(F.array_compact(issue)).alias("issue"))
+    rooms = priors.groupBy("metric", "team").agg(F.coalesce(F.bool_or("active"), F.lit(False)).alias("_any")).filter("not _any")
+    return players.unionByName(rooms.select("metric", "team", F.lit(None).cast(priors.schema["player_id"].dataType).alias("player_id"), F.lit("no_active_candidate").alias("issue")))
+
+
+def high_value_scenarios(priors: DataFrame, availability: DataFrame, draws: int, seed: int, primary: int = 24) -> DataFrame:
+    """``scenario_shares`` of the primary shares, with the metric in place of the resource."""
+    roles = priors.select("team", F.col("metric").alias("resource"), "player_id", F.col(f"share_p{primary}").alias("weight"))
+    return scenario_shares(roles, availability, draws, seed).withColumnRenamed("resource", "metric")
+
+
 def event_pools(pools: DataFrame, rates: DataFrame, pool_radius: float, rate_radius: float) -> DataFrame:
     """expected events of a pool at a rate, with the envelope of both radii."""
     joined = pools.join(rates, "team")
