@@ -15,7 +15,7 @@ texts have no words. Nothing is shuffled.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -30,6 +30,9 @@ BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache",
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 _TO_SPACE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
+#: Runs of white space, and the comment marks that open the next line.
+_FOLDED = re.compile(r"[ \t\f\v]*+[\r\n][ \t\f\v\r\n]*+(?:(?:[/*#;%!]++|--)[ \t\f\v\r\n]++)*+|[ \t\f\v]{2,}+|[\t\f\v]")
+
 #: Families: label, names as they are written in notices (regular expressions), versions, identifiers.
 FAMILIES = (
     ("gpl", r"gnu (?:general public|gpl) licen[cs]e", ("1", "2", "3"), ("gpl-1.0", "gpl-2.0", "gpl-3.0")),
@@ -132,13 +135,28 @@ def shared_rules() -> tuple[Rule, ...]:
     return default_rules()
 
 
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """``text`` with each run as one space; places from ``starts[k - 1]`` on were ``shifts[k]`` further on."""
+    parts, starts, shifts = [], [], [0]
+    at, size = 0, 0
+    for m in _FOLDED.finditer(text):
+        parts += [text[at : m.start()], " "]
+        size += m.start() - at + 1
+        at = m.end()
+        if at - size != shifts[-1]:
+            starts.append(size)
+            shifts.append(at - size)
+    parts.append(text[at:])
+    return "".join(parts), starts, shifts
+
+
 def detections(text: str, rules: tuple[Rule, ...] | None = None) -> list[tuple[int, int, Rule]]:
     """Spans (start, end, rule) that are left after suppression, in order of their start."""
     rules = shared_rules() if rules is None else rules
     lower = text.lower()
     if len(lower) != len(text):  # then places would move
         lower = text.translate(_ASCII_LOWER)
-    lower = lower.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    lower, starts_at, shifts = folded(lower)
     known: dict[str, bool] = {}
     found: list[tuple[int, int, Rule, int]] = []
     for order, rule in enumerate(rules):
@@ -148,7 +166,9 @@ def detections(text: str, rules: tuple[Rule, ...] | None = None) -> list[tuple[i
             if not known[keyword]:
                 break
         else:
-            found += [(m.start(), m.end(), rule, order) for m in rule.compiled.finditer(lower)]
+            for m in rule.compiled.finditer(lower):
+                start, last = (k + shifts[bisect_right(starts_at, k)] for k in (m.start(), m.end() - 1))
+                found.append((start, last + 1, rule, order))
     found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[3]))
     starts: list[int] = []
     kept: list[tuple[int, int, Rule]] = []
