@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows up to which a side may be broadcast; the count is always taken first.
 BROADCAST_ROWS = 200_000
@@ -20,12 +24,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Smaller Arrow batches for the session, so that Python workers stay small next to a full heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
@@ -59,3 +57,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def beside_texts(rows: DataFrame, begin: Callable[[], Callable[[list], dict[str, list]]], added: str) -> DataFrame:
+    """The columns of ``rows`` but ``text``, and the ``added`` ones (a schema) that a batch's texts give.
+
+    ``begin`` is called once a task. The other columns stay in Arrow: pandas would hold 64-bit ids
+    beside a null as doubles and lose their last bits.
+    """
+    kept = [c for c in rows.columns if c != "text"]
+    new = StructType.fromDDL(added)
+    fields = to_arrow_schema(new)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = begin()
+        for batch in batches:
+            made = work(batch.column("text").to_pylist())
+            columns = [*(batch.column(c) for c in kept), *(pa.array(made[f.name], f.type) for f in fields)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *fields.names])
+
+    return rows.mapInArrow(mapped, StructType([*rows.select(*kept).schema.fields, *new.fields]))

@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opportunity.llm.common import beside_texts
+
 #: Phrases of the base layer and their labels.
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -203,6 +203,12 @@ def base_places(text: str, phrases: dict[str, str] = BASE_PHRASES) -> tuple[int,
     return len(words), hits
 
 
+SCAN_SCHEMA = (
+    "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
+    "spans array<struct<label: string, start: int, end: int, weight: double>>"
+)
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """Base places, labels, score and spans of every row.
 
@@ -210,39 +216,28 @@ def scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, rules: tuple[R
     left. ``score`` is 1 - prod(1 - weight) over the spans, with 0.5 for a base place alone.
     """
 
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                n_words, hits = base_places(text, phrases)
-                spans = detections(text, rules)
-                base = {label for _, label in hits}
-                places = [word for word, _ in hits]
-                rest = 0.5 if hits else 1.0
-                for _, _, rule in spans:
-                    rest *= 1 - rule.weight
-                rows.append(
-                    {
-                        "doc_id": doc_id,
-                        "n_words": n_words,
-                        "n_base": len(hits),
-                        "first_word": min(places, default=None),
-                        "last_word": max(places, default=None),
-                        "base_labels": ",".join(sorted(base)),
-                        "labels": ",".join(sorted(base | {rule.label for _, _, rule in spans})),
-                        "score": 1 - rest,
-                        "spans": [{"label": r.label, "start": a, "end": b, "weight": r.weight} for a, b, r in spans],
-                    }
-                )
-            out = pd.DataFrame(rows)
-            for column in ("doc_id", "first_word", "last_word"):
-                out[column] = out[column].astype("Int64")
-            yield out
-
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        scanned,
-        "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
-        "spans array<struct<label: string, start: int, end: int, weight: double>>",
-    )
+    def scanned(texts: list[str]) -> dict[str, list]:
+        found: dict[str, list] = {name: [] for name in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
+        for text in texts:
+            n_words, hits = base_places(text, phrases)
+            spans = detections(text, rules)
+            base = {label for _, label in hits}
+            places = [word for word, _ in hits]
+            rest = 0.5 if hits else 1.0
+            for _, _, rule in spans:
+                rest *= 1 - rule.weight
+            row = (
+                n_words,
+                len(hits),
+                min(places, default=None),
+                max(places, default=None),
+                ",".join(sorted(base)),
+                ",".join(sorted(base | {rule.label for _, _, rule in spans})),
+                1 - rest,
+                [{"label": r.label, "start": a, "end": b, "weight": r.weight} for a, b, r in spans],
+            )
+            for values, value in zip(found.values(), row):
+                values.append(value)
+        return found
+
+    return beside_texts(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), lambda: scanned, SCAN_SCHEMA)

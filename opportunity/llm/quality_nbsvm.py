@@ -13,14 +13,13 @@ smoothed share. Rows with the same doc_id are scored by their own texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opportunity.llm.common import beside_texts
 from opportunity.llm.linear_text import SIZE, Grams, Rows, fit_platt, fitted, folds_of, labelled_sample, sigmoid
 
 MAX_TRAIN = 8_000
@@ -120,9 +119,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     usable = labels.filter(~held_out_column())
     model = fitted(labelled_sample(docs, usable, ["quality"], max_train), grams, ["quality"], lambda rows, y, ids: fit(rows, y["quality"], ids))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": [model.score(grams.features(t)) for t in batch["text"]]})
-
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(scored, "doc_id long, score double")
+    read = docs.select(F.col("doc_id").cast("long"), "text")
+    out = beside_texts(read, lambda: lambda texts: {"score": [model.score(grams.features(t)) for t in texts]}, "score double")
     return out.select("doc_id", F.coalesce(held_out_column(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

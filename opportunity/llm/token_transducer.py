@@ -21,13 +21,12 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opportunity.llm.common import beside_texts
+
 #: Code points of one run of the splitter; longer texts go alone.
 RUN_CHARS = 1_500_000
 CHUNK = 256
@@ -316,11 +315,7 @@ def token_counter(path: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each row."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = token_counter(tokenizer)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": counter.count(batch["text"].tolist())})
-
     text = F.coalesce("text", F.lit(""))
     read = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return read.mapInPandas(counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = beside_texts(read, lambda: lambda texts: {"n_tokens": token_counter(tokenizer).count(texts)}, "n_tokens long")
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)

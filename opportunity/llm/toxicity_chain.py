@@ -14,7 +14,6 @@ never predicted. Rows with the same doc_id are scored by their own texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opportunity.llm.common import beside_texts
 from opportunity.llm.linear_text import SIZE, Rows, Stems, best_threshold, fitted, folds_of, labelled_sample, sigmoid
 
 MAX_TRAIN = 8_000
@@ -157,14 +157,9 @@ def scored(docs: DataFrame, chain: list[Link], stems: Stems) -> DataFrame:
     """doc_id, p_<category> for each category, and the decision of the last one."""
     last = chain[-1]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.array([probabilities(chain, stems.features(t)) for t in batch["text"]]).reshape(len(batch), len(chain))
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")})
-            for k, link in enumerate(chain):
-                out[f"p_{link.name}"] = found[:, k]
-            out[last.name] = found[:, -1] >= last.threshold
-            yield out
-
-    schema = ", ".join(["doc_id long", *(f"p_{link.name} double" for link in chain), f"{last.name} boolean"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, schema)
+    def score(texts: list[str | None]) -> dict[str, list]:
+        found = np.array([probabilities(chain, stems.features(t)) for t in texts]).reshape(len(texts), len(chain))
+        return {f"p_{link.name}": found[:, k] for k, link in enumerate(chain)} | {last.name: found[:, -1] >= last.threshold}
+
+    added = ", ".join([*(f"p_{link.name} double" for link in chain), f"{last.name} boolean"])
+    return beside_texts(docs.select(F.col("doc_id").cast("long"), "text"), lambda: score, added)
