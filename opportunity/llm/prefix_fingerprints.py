@@ -8,17 +8,19 @@ search over span lengths gives the longest common extension from any two places.
 A fingerprint has three parts: the hash of the whole text; for each of 64 slots the smallest
 mixed hash of the spans of 20 code points that fall into it (the whole text where it is shorter);
 and the same for 16 slots and spans of 4. It does not depend on where a passage stands. The
-likeness of two fingerprints is the share of equal slots among those either one has, in the long
-spans, or the mean of both shares where a text has less than 96 code points; 1 where the
-fingerprints are equal; 0 where one is of an empty text and the other isn't. Equal texts have
-equal fingerprints.
+likeness of two fingerprints is the share of equal slots among those either one has: of the long
+spans and, with a weight of 10 / (20 + code points of the shorter text), of the short ones; 1
+where the fingerprints are equal; 0 where one is of an empty text and the other isn't. Equal
+texts have equal fingerprints.
 
 ``edited_pairs`` compares each document with an edited copy and with the next document in
-ascending doc_id order. Documents are dealt into ranges of ids by bounded quantiles, and the
-first document of each range also goes to the range before, so that every pair meets in one
-task with one shuffle of the texts and no global window. Null texts count as empty. Repeated
-ids are ordered by a hash of their text, and null ids come first. A table of one row has itself
-as the next document; an empty table gives an empty result.
+ascending doc_id order; rows of one id, null ids too, are ordered by a hash of their text, and
+null ids come first. Documents are dealt into ranges of (doc_id, hash) whose bounds are quantiles
+of sampled keys, as in any range partitioning, so that many rows of one id are spread as well;
+only rows alike in id and text stay together. The first document of each range also goes to the
+range before, so that every pair meets in one task with one shuffle of the texts and no global
+window. Null texts count as empty. A table of one row has itself as the next document; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,17 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from opportunity.llm.common import partitions
+from opportunity.llm.common import beside_texts, partitions
 
 P = (1 << 31) - 1
 BASES = (911382323, 972663749)
 SPAN, SLOTS = 20, 64
-SHORT_SPAN, SHORT_SLOTS, SHORT_TEXT = 4, 16, 96
-#: Quantiles of the ids that deal the documents out; more ranges than tasks, so tasks even out.
-MAX_RANGES = 4096
+SHORT_SPAN, SHORT_SLOTS = 4, 16
+#: Ranges for each task, so that tasks even out, and sampled keys for each range.
+RANGES_A_TASK, KEYS_A_RANGE = 8, 16
+#: Stands for a null id in the order of documents.
+FIRST_ID = -(1 << 63)
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -147,10 +154,8 @@ def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
     x, y = a.split("-"), b.split("-")
-    long = _share(x[3], y[3])
-    if min(int(x[0], 16), int(y[0], 16)) >= SHORT_TEXT:
-        return long
-    return (long + _share(x[4], y[4])) / 2
+    short = SPAN / 2 / (SPAN + min(int(x[0], 16), int(y[0], 16)))
+    return (1 - short) * _share(x[3], y[3]) + short * _share(x[4], y[4])
 
 
 def edited(text: str, following: str) -> str:
@@ -162,43 +167,54 @@ def edited(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars and fingerprint of every row; nothing is shuffled."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            marks = [PrefixHashes(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_chars": [m.n for m in marks], "fingerprint": [fingerprint(m) for m in marks]})
+    def each(texts: list[str]) -> dict[str, list]:
+        marks = [PrefixHashes(t) for t in texts]
+        return {"n_chars": [m.n for m in marks], "fingerprint": [fingerprint(m) for m in marks]}
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "doc_id long, n_chars long, fingerprint string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return beside_texts(read, lambda: each, "n_chars long, fingerprint string")
+
+
+def _ranges(rows: DataFrame, ranges: int) -> Column:
+    """The range of each row of ``rows`` by (place, tie), as a column."""
+    total = rows.count()
+    sample = rows.sample(min(1.0, KEYS_A_RANGE * ranges / max(1, total)), 23).select("place", F.xxhash64("text").alias("tie"))
+    keys = sorted((r.place, r.tie) for r in sample.collect())  # KEYS_A_RANGE for each range, whatever the table's size
+    cuts = sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []
+    ids, ties = (np.array([cut[i] for cut in cuts], np.int64) for i in (0, 1))
+
+    @F.pandas_udf("int")
+    def range_of(place: pd.Series, tie: pd.Series) -> pd.Series:
+        """How many cuts are at or before a row."""
+        low, at = (np.searchsorted(ids, place, side) for side in ("left", "right"))
+        for first in np.unique(low[low < at]):  # ids that are cuts themselves
+            own = (low == first) & (low < at)
+            upto = np.searchsorted(ids, ids[first], "right")
+            at[own] = first + np.searchsorted(ties[first:upto], tie[own], "right")
+        return pd.Series(at.astype(np.int32))
+
+    return range_of("place", "tie")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Each document against its edited text and against the next document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ranges = min(MAX_RANGES, 8 * partitions(spark))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("cuts")).first().cuts
-    cuts = np.array(sorted(set(cuts or [])), np.int64)
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        known = ids.fillna(np.iinfo(np.int64).min).astype("int64")
-        return pd.Series(np.searchsorted(cuts, known, side="right").astype(np.int32))
-
-    dealt = rows.withColumn("at", range_of("doc_id"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
-    firsts = {r.at: r.first for r in dealt.groupBy("at").agg(F.min(order).alias("first")).collect()}  # a row for each range
-    if not firsts:
-        return rows.select("doc_id").mapInPandas(lambda x: iter(()), PAIRS_SCHEMA)
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(doc_id, F.lit(FIRST_ID)).alias("place"))
+    at = _ranges(rows, RANGES_A_TASK * partitions(spark))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    dealt = rows.withColumn("at", at)
+    firsts = {r.at: r.first for r in dealt.groupBy("at").agg(F.min(F.struct("place", "tie")).alias("first")).collect()}  # a row for each range
     filled = sorted(firsts)
-    before = [(firsts[at], filled[k - 1], 1 if k else 2) for k, at in enumerate(filled)]
-    lookahead = spark.createDataFrame(
-        [(f.doc_id, f.tie, at, turn) for f, at, turn in before], "first_id long, first_tie long, range_before int, turn int"
-    )
-    shown = dealt.withColumn("turn", F.lit(0)).select("doc_id", "text", "tie", "at", "turn")
-    # As many rows as there are ranges, MAX_RANGES at most.
-    heads = rows.join(F.broadcast(lookahead), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")))
-    heads = heads.select("doc_id", "text", "tie", F.col("range_before").alias("at"), "turn")
-    together = shown.unionByName(heads).repartition(partitions(spark), "at").sortWithinPartitions("at", "turn", "doc_id", "tie")
-    return together.mapInPandas(_compare, PAIRS_SCHEMA)
+    before = [(firsts[at].place, firsts[at].tie, filled[k - 1], 1 if k else 2) for k, at in enumerate(filled)]
+    lookahead = spark.createDataFrame(before, "place long, tie long, range_before int, turn int")
+    shown = dealt.withColumn("turn", F.lit(0)).select("doc_id", "text", "place", "tie", "at", "turn")
+    # As many rows as there are ranges; of rows alike in id and text any one will do.
+    heads = rows.join(F.broadcast(lookahead), ["place", "tie"]).dropDuplicates(["range_before", "turn"])
+    heads = heads.select("doc_id", "text", "place", "tie", F.col("range_before").alias("at"), "turn")
+    together = shown.unionByName(heads).repartition(partitions(spark), "at").sortWithinPartitions("at", "turn", "place", "tie")
+    fields = to_arrow_schema(StructType.fromDDL(PAIRS_SCHEMA))
+    return together.select("doc_id", "text", "at", "turn").mapInArrow(lambda batches: _compare(batches, fields), PAIRS_SCHEMA)
 
 
 PAIRS_SCHEMA = (
@@ -207,12 +223,12 @@ PAIRS_SCHEMA = (
 )
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pa.RecordBatch], fields: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows come by range and order; rows with a turn over 0 only follow as the next document."""
     held: tuple | None = None
     for batch in batches:
         out = []
-        for doc_id, text, at, turn in zip(batch["doc_id"], batch["text"], batch["at"], batch["turn"]):
+        for doc_id, text, at, turn in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at", "turn"))):
             here = PrefixHashes(text)
             mark = fingerprint(here)
             if held is not None and held[4] == at:
@@ -220,21 +236,9 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 changed_text = edited(old_text, text)
                 changed = PrefixHashes(changed_text)
                 changed_mark = fingerprint(changed)
-                out.append(
-                    (
-                        None if pd.isna(old_id) else int(old_id),
-                        old.n,
-                        hashlib.sha256(changed_text.encode()).hexdigest(),
-                        old_mark,
-                        changed_mark,
-                        likeness(old_mark, changed_mark),
-                        likeness(old_mark, mark),
-                        common_extension(old, 0, changed, 0),
-                        common_extension(old, 0, here, 0),
-                    )
-                )
+                digest = hashlib.sha256(changed_text.encode()).hexdigest()
+                near = likeness(old_mark, changed_mark), likeness(old_mark, mark)
+                same = common_extension(old, 0, changed, 0), common_extension(old, 0, here, 0)
+                out.append((old_id, old.n, digest, old_mark, changed_mark, *near, *same))
             held = (doc_id, text, here, mark, at) if turn == 0 else None
-        names = [c.split()[0] for c in PAIRS_SCHEMA.split(", ")]
-        found = pd.DataFrame(out, columns=names)
-        found["doc_id"] = found["doc_id"].astype("Int64")
-        yield found
+        yield pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*out) if out else [[]] * len(fields), fields)], schema=fields)
