@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def test_word_encoder_on_odd_words():
     rng = random.Random(3)
     cases = [" ".join(rng.choices(odd, k=rng.randrange(12))) for _ in range(300)] + ["", "a" * 3000]
     want = [e.ids for e in encoder.library.encode_batch(cases, add_special_tokens=False)]
-    assert [x.tolist() for x in encoder.encode(cases)] == want
+    assert [x.tolist() for x in encoder.encode(pa.array(cases))] == want
 
 
 # 2 -----------------------------------------------------------------------------------------
