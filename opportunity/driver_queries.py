@@ -535,7 +535,7 @@ def w7_keep_best(spark, sf_dir):
     return windows.keep_best(usage(spark, sf_dir), ["player_id", "week"], [-F.col("volume"), F.col("event_id")]).select("player_id", "week", "role", "volume")
 
 
-@query("w8_top_role", WEEKLY_SQL + " select team, week::bigint as week, player_id as top_player from weekly qualify row_number() over (partition by team, week order by volume desc, player_id) = 1")
+@query("w8_top_role", WEEKLY_SQL + " select team, week::bigint as week, player_id as top_player from weekly qualify row_number() over (partition by team, week order by round(volume, 9) desc, player_id) = 1")
 def w8_top_role(spark, sf_dir):
     return windows.top_role(weekly(spark, sf_dir), ["team", "week"], "player_id", "volume")
 
@@ -659,7 +659,7 @@ def j16_forecast_vs_actual(spark, sf_dir):
 
 @query(
     "e1_room_errors",
-    FVA_SQL + " select team, round(sum(abs(forecast - actual)) / 2, 6) as total_variation, round(avg(abs(forecast - actual)), 6) as mean_error, round(sum(case when row_type = 'opening' then actual else 0 end), 6) as coverage, (first(player_id order by forecast desc, player_id) = first(player_id order by actual desc, player_id)) as top_hit from fa group by team",
+    FVA_SQL + " select team, round(sum(abs(forecast - actual)) / 2, 6) as total_variation, round(avg(abs(forecast - actual)), 6) as mean_error, round(sum(case when row_type = 'opening' then actual else 0 end), 6) as coverage, (first(player_id order by round(forecast, 9) desc, player_id) = first(player_id order by round(actual, 9) desc, player_id)) as top_hit from fa group by team",
 )
 def e1_room_errors(spark, sf_dir):
     return stats.room_errors(forecast_rows(spark, sf_dir), ["team"])
@@ -1165,7 +1165,7 @@ def e17_holdout_calibration(spark, sf_dir):
     "al as (select l.team, l.week, l.model, l.player_id::varchar as player_id, pool * weight / t as x from live l join tot using (team, week, model) join pool using (team, week) union all select p.team, p.week, m.model, '__UNALLOCATED__', p.pool from pool p cross join (select distinct team as mt, model from wt) m where m.mt = p.team and not exists (select 1 from tot where tot.team = p.team and tot.week = p.week and tot.model = m.model)), "
     "we as (select unnest([4, 8, 18]) as window_end), f as (select team, model, window_end, player_id, sum(x) as f from al, we where week <= window_end group by all), ac as (select team, window_end, player_id::varchar as player_id, sum(amount) as a from act0, we where week <= window_end group by all), am as (select ac.*, model from ac join (select distinct team, model from wt) using (team)), tp as (select team, window_end, sum(pool) as pool from pool, we where week <= window_end group by all), "
     "j as (select coalesce(f.team, am.team) as team, coalesce(f.model, am.model) as model, coalesce(f.window_end, am.window_end) as window_end, coalesce(f.player_id, am.player_id) as player_id, coalesce(f, 0) as f, coalesce(a, 0) as a, f.team is not null as opening from f full join am on f.team = am.team and f.model = am.model and f.window_end = am.window_end and f.player_id = am.player_id), "
-    "s as (select j.*, f / pool as fs, a / pool as acs from j join tp using (team, window_end)) select 2024 as season, team, 'R' as resource, model, window_end::bigint as window_end, round(sum(abs(fs - acs)) / 2, 6) as total_variation, round(avg(abs(fs - acs)), 6) as mean_error, round(sum(case when opening then acs else 0 end), 6) as coverage, (first(player_id order by fs desc, player_id) = first(player_id order by acs desc, player_id)) as top_hit from s group by team, model, window_end",
+    "s as (select j.*, f / pool as fs, a / pool as acs from j join tp using (team, window_end)) select 2024 as season, team, 'R' as resource, model, window_end::bigint as window_end, round(sum(abs(fs - acs)) / 2, 6) as total_variation, round(avg(abs(fs - acs)), 6) as mean_error, round(sum(case when opening then acs else 0 end), 6) as coverage, (first(player_id order by round(fs, 9) desc, player_id) = first(player_id order by round(acs, 9) desc, player_id)) as top_hit from s group by team, model, window_end",
 )
 def e15_allocation_backtest(spark, sf_dir):
     rows = weekly(spark, sf_dir)

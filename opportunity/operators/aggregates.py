@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opportunity.functions.clean import event_flags, play_flags, safe_ratio
+from opportunity.operators.ranges import percentiles_by_rank
 
 #: Numeric columns of plays that ``team_style`` reads, beside its keys.
 PLAY_COLUMNS = ("down", "qtr", "pass", "rush", "qb_kneel", "qb_spike", "qb_scramble", "wp", "yardline_100", "air_yards", "yards_gained", "pass_oe", "shotgun", "no_huddle", "success", "epa")
@@ -181,7 +182,7 @@ def status_cohort_counts(rows: DataFrame) -> DataFrame:
     ``rows`` has season, week, family, position and active (0 or 1 outcome).
     """
     flag = F.when(F.col("family") == "active_53", "active_53").otherwise("nonactive")
-    families, positions = F.array_distinct(F.array(F.col("family"), flag)), F.array(F.col("position"), F.lit("ALL"))
+    families = F.array_distinct(F.array(F.col("family"), flag))
     spread = rows.select("season", "week", "active", F.explode(families).alias("family"), "position").select("season", "week", "active", "family", F.explode(F.array(F.col("position"), F.lit("ALL"))).alias("position"))
     return spread.groupBy("season", "week", "family", "position").agg(F.count("*").alias("trials"), F.sum("active").cast("long").alias("successes"))
 
@@ -246,8 +247,8 @@ def league_median(style: DataFrame, metrics: Sequence[str], keys: Sequence[str]
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float]) -> DataFrame:
-    """Percentiles with linear interpolation."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, p).alias(name) for name, p in points.items()])
+    """Percentiles with linear interpolation, from counts of the values."""
+    return percentiles_by_rank(df, keys, value, points)
 
 
 def staff_continuity(changes: DataFrame) -> DataFrame:
@@ -274,11 +275,14 @@ def pool_by_window(weekly: DataFrame, keys: Sequence[str], values: Sequence[str]
 def evaluation_summary(rows: DataFrame, scopes: Column, baseline: str) -> DataFrame:
     """Errors per scope, window and model, and against the baseline model.
 
-    ``rows`` has window_end, model and error; ``scopes`` is an array column of the scopes a row is in.
+    ``rows`` has window_end, model and error, and may have top_hit, whose mean is the hit rate;
+    ``scopes`` is an array column of the scopes a row is in.
     """
+    more = [F.avg(F.col("top_hit").cast("double")).alias("hit_rate")] if "top_hit" in rows.columns else []
     spread = rows.withColumn("scope", F.explode(scopes))
     out = spread.groupBy("scope", "window_end", "model").agg(
-        F.count("error").alias("n"), F.avg("error").alias("mean_error"), F.median("error").alias("median_error"), F.percentile("error", 0.75).alias("p75_error"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse")
+        F.count("error").alias("n"), F.avg("error").alias("mean_error"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), *more
     )
+    out = out.join(percentiles_by_rank(spread, ["scope", "window_end", "model"], "error", {"median_error": 0.5, "p75_error": 0.75}), ["scope", "window_end", "model"])
     base = F.max(F.when(F.col("model") == baseline, F.col("mean_error"))).over(Window.partitionBy("scope", "window_end"))
     return out.withColumn("delta", F.col("mean_error") - base).withColumn("improvement", safe_ratio(base - F.col("mean_error"), base))

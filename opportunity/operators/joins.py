@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Joined on in place of a blank id, so that rows without one are spread.
+BLANK_KEYS = 1024
+
+
 def with_positions(plays: DataFrame, roster: DataFrame, player: str, name: str) -> DataFrame:
-    """Adds the position of ``player`` from ``roster`` (player_id, position); UNKNOWN if it has none.
+    """Adds the position of ``player`` from ``roster`` (player_id, position); UNKNOWN if it has none, null for no player.
 
-    Blank ids never match and are left out of the join, so they cannot pile up in one task.
+    Blank ids never match: they are joined on a key of their own, one of ``BLANK_KEYS`` by a hash of
+    the row, so they do not pile up in one task. The plays are read once.
     """
-    blank = F.col(player).isNull()
-    known = roster.select(F.col("player_id").alias(player), F.col("position").alias(name))
-    joined = plays.filter(~blank).join(known, player, "left").withColumn(name, F.coalesce(name, F.lit("UNKNOWN")))
-    return joined.unionByName(plays.filter(blank).withColumn(name, F.lit(None).cast("string")))
+    blank = F.concat(F.lit("~"), F.pmod(F.xxhash64(*plays.columns), F.lit(BLANK_KEYS)))
+    known = roster.select(F.concat(F.lit("="), F.col("player_id")).alias("_key"), F.col("position").alias(name))
+    joined = plays.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(player)), blank)).join(known, "_key", "left").drop("_key")
+    return joined.withColumn(name, F.when(F.col(player).isNotNull(), F.coalesce(name, F.lit("UNKNOWN"))))
 
 
 def with_charting(plays: DataFrame, charting: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -189,9 +194,3 @@ def evidence_dates(teams: DataFrame, sources: DataFrame) -> DataFrame:
     """``teams`` (team, source_ids) with the first source's id and the latest date."""
     rows = teams.select("team", F.posexplode("source_ids").alias("place", "source_id")).join(sources, "source_id")
     return rows.groupBy("team").agg(F.min_by("source_id", "place").alias("primary_source"), F.max("published").alias("latest"))
-
-
-def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in a total order."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_place", place).filter("_place = 1").drop("_place")

@@ -8,18 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opportunity.functions.clean import safe_ratio
+from opportunity.functions.stored import stored
+from opportunity.operators.ranges import counted_values, running_total
 
 
-def _cumulative(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, value, rows with the value, rows below it, and rows of the key.
-
-    Groups with few keys and many rows are counted by value first, so the window runs over the
-    distinct values and not over the rows.
-    """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_equal"))
-    part = Window.partitionBy(*keys)
-    below = F.coalesce(F.sum("_equal").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("_below", below).withColumn("_all", F.sum("_equal").over(part))
+#: Digits to which shares are compared: sums of the same numbers in another order are equal.
+TIE_DIGITS = 9
 
 
 def share_in_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -30,38 +24,36 @@ def share_in_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def average_rank_percentile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean rank of ties on 0..1; 0.5 for a group of one."""
-    place = (F.col("_below") + (F.col("_equal") - 1) / 2) / (F.col("_all") - 1)
-    ranks = _cumulative(df, keys, value).withColumn("percentile", F.when(F.col("_all") == 1, 0.5).otherwise(place))
-    return df.join(ranks.drop("_below", "_equal", "_all"), [*keys, value], "left")
+    place = (F.col("_upto") - (F.col("_equal") + 1) / 2) / (F.col("_all") - 1)
+    ranks = counted_values(df, keys, value).withColumn("percentile", F.when(F.col("_all") == 1, 0.5).otherwise(place))
+    return df.join(ranks.drop("_upto", "_equal", "_all"), [*keys, value], "left")
 
 
 def midrank_percentile(df: DataFrame, reference: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(below + half of equal) over the size of a reference set; 0.5 without one."""
     both = df.select(*keys, value).distinct().withColumn("_n", F.lit(0)).unionByName(reference.select(*keys, value).withColumn("_n", F.lit(1)))
     counted = both.groupBy(*keys, value).agg(F.sum("_n").alias("_equal"))
-    part = Window.partitionBy(*keys)
-    below = F.coalesce(F.sum("_equal").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("_equal").over(part)
-    ranks = counted.select(*keys, value, F.when(whole == 0, 0.5).otherwise((below + F.col("_equal") / 2) / whole).alias("percentile"))
+    ranked = running_total(counted, keys, [F.col(value)], F.col("_equal"))
+    ranks = ranked.select(*keys, value, F.when(F.col("_all") == 0, 0.5).otherwise((F.col("_upto") - F.col("_equal") / 2) / F.col("_all")).alias("percentile"))
     return df.join(ranks, [*keys, value], "left")
 
 
 def cume_percentile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """100 times the share of peers at or below the value."""
-    ranks = _cumulative(df, keys, value).withColumn("percentile", 100 * (F.col("_below") + F.col("_equal")) / F.col("_all"))
-    return df.join(ranks.drop("_below", "_equal", "_all"), [*keys, value], "left")
+    ranks = counted_values(df, keys, value).withColumn("percentile", 100 * F.col("_upto") / F.col("_all"))
+    return df.join(ranks.drop("_upto", "_equal", "_all"), [*keys, value], "left")
 
 
 def ordinal_percentile(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Place in a total order on 0..100, one decimal; 50 for a group of one."""
-    part = Window.partitionBy(*keys)
-    place, count = F.row_number().over(part.orderBy(*order)), F.count("*").over(part)
-    return df.withColumn("percentile", F.when(count == 1, 50.0).otherwise(F.round(100 * (place - 1) / (count - 1), 1)))
+    place, count = F.col("_upto"), F.col("_all")
+    ranked = running_total(df, keys, order)
+    return ranked.withColumn("percentile", F.when(count == 1, 50.0).otherwise(F.round(100 * (place - 1) / (count - 1), 1))).drop("_upto", "_all")
 
 
 def rank_in(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Rank from 1 in a total order."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return running_total(df, keys, order).withColumnRenamed("_upto", name).drop("_all")
 
 
 def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -73,7 +65,7 @@ def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
 
 def top_role(df: DataFrame, room: Sequence[str], player: str, share: str) -> DataFrame:
     """The player with the largest share, the smallest id of equal ones."""
-    return df.groupBy(*room).agg(F.min_by(player, F.struct(-F.col(share), F.col(player))).alias("top_player"))
+    return df.groupBy(*room).agg(F.min_by(player, F.struct(-F.round(share, TIE_DIGITS), F.col(player))).alias("top_player"))
 
 
 def half_season_trend(usage: DataFrame, through_week: int) -> DataFrame:
@@ -102,8 +94,7 @@ def rolling_usage(usage: DataFrame, latest: int, width: int = 3) -> DataFrame:
 
 def drop_to_kth_next(df: DataFrame, keys: Sequence[str], player: str, points: str, k: str) -> DataFrame:
     """Points minus those of the player ``k`` places below (the last one past the end), 0 at least."""
-    part = Window.partitionBy(*keys)
-    ranked = df.withColumn("_place", F.row_number().over(part.orderBy(F.desc(points), player))).withColumn("_all", F.count("*").over(part))
+    ranked = stored(running_total(df, keys, [F.desc(points), F.col(player)]).withColumnRenamed("_upto", "_place"), "places")
     other = ranked.select(*keys, F.col("_place").alias("_at"), F.col(points).alias("_points"))
     joined = ranked.withColumn("_at", F.least(F.col("_all"), F.col("_place") + F.col(k))).join(other, [*keys, "_at"])
     return joined.withColumn("drop", F.greatest(F.lit(0.0), F.col(points) - F.col("_points"))).select(*df.columns, "drop")
@@ -127,7 +118,9 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, by: Sequence[str] = ()
     """The first ``n`` rows in a total order, of each group where ``by`` is given."""
     if not by:
         return df.orderBy(*order).limit(n)
-    return rank_in(df, by, order, "_place").filter(F.col("_place") <= n).drop("_place")
+    # A limit on row_number lets every task drop the rest of a group before the shuffle.
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
 def key_differences(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -276,11 +276,10 @@ def replacement_levels(players: DataFrame, teams: int, starters: dict[str, int],
     A flex slot takes the best of those that are left, of its positions; equal points go to the
     later position by name. So each slot is a ranking, and the loop is over the few slots.
     """
-    order = Window.partitionBy("position").orderBy(F.desc("points"), "player_id")
     want = F.lit(0)
     for position, count in starters.items():
         want = F.when(F.col("position") == position, teams * count).otherwise(want)
-    rows = players.withColumn("_place", F.row_number().over(order)).withColumn("_used", F.col("_place") <= want)
+    rows = rank_in(players, ["position"], [F.desc("points"), F.col("player_id")], "_place").withColumn("_used", F.col("_place") <= want)
     for eligible, count in flex:
         free = rows.filter(~F.col("_used") & F.col("position").isin(*eligible))
         best = free.orderBy(F.desc("points"), F.desc("position"), "_place").limit(teams * count).select("player_id", F.lit(True).alias("_taken"))

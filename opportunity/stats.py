@@ -8,11 +8,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opportunity.functions.clean import safe_ratio
 from opportunity.operators.joins import prior_history
+from opportunity.operators.ranges import counted_values
+from opportunity.operators.windows import TIE_DIGITS
 
 
 def room_errors(rows: DataFrame, room: Sequence[str]) -> DataFrame:
@@ -21,7 +23,8 @@ def room_errors(rows: DataFrame, room: Sequence[str]) -> DataFrame:
     ``rows`` is what ``forecast_vs_actual`` returns, with a player_id.
     """
     gap = F.abs(F.col("forecast") - F.col("actual"))
-    top = lambda share: F.min_by("player_id", F.struct(-F.col(share), F.col("player_id")))
+    # Shares are sums, whose last bits depend on the order of rows: equal ones must stay equal.
+    top = lambda share: F.min_by("player_id", F.struct(-F.round(share, TIE_DIGITS), F.col("player_id")))
     out = rows.groupBy(*room).agg(
         (F.sum(gap) / 2).alias("total_variation"),
         F.avg(gap).alias("mean_error"),
@@ -109,10 +112,7 @@ def laplace_mean(successes: Column, trials: Column) -> Column:
 
 def conformal_radius(errors: DataFrame, keys: Sequence[str], error: str, coverage: float = 0.90) -> DataFrame:
     """The error at rank min(n, ceil((n + 1) * coverage)) of each key."""
-    counted = errors.filter(F.col(error).isNotNull()).groupBy(*keys, error).agg(F.count("*").alias("_equal"))
-    part = Window.partitionBy(*keys)
-    upto, n = F.sum("_equal").over(part.orderBy(error).rowsBetween(Window.unboundedPreceding, 0)), F.sum("_equal").over(part)
-    ranked = counted.withColumn("_upto", upto).withColumn("n", n)
+    ranked = counted_values(errors, keys, error).withColumnRenamed("_all", "n")
     want = F.least(F.col("n"), F.ceil((F.col("n") + 1) * coverage))
     return ranked.filter(F.col("_upto") >= want).groupBy(*keys).agg(F.min(error).alias("radius"), F.first("n").alias("n"))
 
@@ -176,9 +176,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Correlation of average ranks."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     for name in (x, y):
-        counted = both.groupBy(*keys, name).agg(F.count("*").alias("_equal"))
-        below = F.coalesce(F.sum("_equal").over(Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counted.select(*keys, name, (below + (F.col("_equal") + 1) / 2).alias(f"_{name}_rank"))
+        ranks = counted_values(both, keys, name).select(*keys, name, (F.col("_upto") - (F.col("_equal") - 1) / 2).alias(f"_{name}_rank"))
         both = both.join(ranks, [*keys, name])
     return both.groupBy(*keys).agg(F.corr(f"_{x}_rank", f"_{y}_rank").alias("spearman"), F.count("*").alias("n"))
 
