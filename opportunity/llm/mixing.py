@@ -3,8 +3,9 @@
 A source with the share p of all tokens gets the weight ``p ** a / sum(p ** a)``. The exponent
 ``a`` is found by bisection on [0, 1]: the largest ``a`` that reaches a target entropy (as a
 share of the largest possible one), or the smallest that keeps every source within a limit of
-repetitions. Both change with ``a`` in one direction only. Each turn is one small aggregate
-over the sources; their shares never come to the driver.
+repetitions. Both change with ``a`` in one direction only. Five turns of the bisection are one
+small aggregate over the sources, for the 31 exponents that these turns can ask for; the shares
+never come to the driver.
 
 The weights are realised as blocks. A source's budget is its weight times the total budget. It
 is filled by whole passes over the source and one more, partial, pass. For a partial pass the
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from opportunity.llm.common import broadcast_if_small, written
 
-TURNS = 40
+#: Rounds of five turns of the bisection each.
+ROUNDS, TURNS = 8, 5
 
 
 def token_column(text: str = "text"):
@@ -44,14 +46,13 @@ def source_shares(sized: DataFrame) -> DataFrame:
     return totals.crossJoin(F.broadcast(whole)).withColumn("share", F.col("tokens") / F.col("all_tokens"))  # one row on the right
 
 
-def _powers(shares: DataFrame, exponent: float) -> tuple[float, float, float]:
-    """Entropy, and the most and the fewest passes over a source for a budget of all tokens."""
-    power = F.pow("share", F.lit(exponent))
+def _powers(shares: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float, float]]:
+    """For each exponent the entropy, and the most and the fewest passes over a source for a budget of all tokens."""
+    rows = shares.select("share", F.explode(F.array(*[F.lit(float(a)) for a in exponents])).alias("a"))
+    power = F.pow("share", F.col("a"))
     passes = power / F.col("share")
-    row = shares.agg(F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("s"), F.max(passes).alias("top"), F.min(passes).alias("low")).first()
-    if not row.z:
-        return 0.0, 1.0, 1.0
-    return math.log(row.z) - exponent * row.s / row.z, row.top / row.z, row.low / row.z
+    found = rows.groupBy("a").agg(F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("s"), F.max(passes).alias("top"), F.min(passes).alias("low"))
+    return {r.a: (math.log(r.z) - r.a * r.s / r.z, r.top / r.z, r.low / r.z) for r in found.collect()}  # a row for each exponent
 
 
 def find_exponent(shares: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: float | None = 1.0) -> float:
@@ -63,24 +64,23 @@ def find_exponent(shares: DataFrame, entropy: float | None = None, repeats: floa
         raise ValueError("give a target entropy or a limit of repetitions")
     most = math.log(max(1, shares.count()))
 
-    def flat_enough(exponent: float) -> bool:
-        got, top, fewest = _powers(shares, exponent)
+    def flat_enough(measures: tuple[float, float, float]) -> bool:
+        got, top, fewest = measures
         if entropy is not None:
             return got >= entropy * most - 1e-12
         return top * (1 / fewest if budget is None else budget) > repeats
 
-    low, high = 0.0, 1.0
-    if flat_enough(high):
-        return high
-    if not flat_enough(low):
-        return low
-    for _ in range(TURNS):
-        middle = (low + high) / 2
-        if flat_enough(middle):
-            low = middle
-        else:
-            high = middle
-    return low if entropy is not None else high
+    low, width = 0.0, 1.0
+    ends = _powers(shares, [0.0, 1.0])
+    if not ends or flat_enough(ends[1.0]):
+        return 1.0
+    if not flat_enough(ends[0.0]):
+        return 0.0
+    for _ in range(ROUNDS):
+        width /= 1 << TURNS  # all exponents are whole multiples of a power of two
+        measures = _powers(shares, [low + k * width for k in range(1, 1 << TURNS)])
+        low += width * sum(flat_enough(m) for m in measures.values())
+    return low if entropy is not None else low + width
 
 
 def mix_plan(shares: DataFrame, exponent: float, budget: float | None = 1.0) -> DataFrame:
