@@ -1,8 +1,13 @@
 """Toxicity by a classifier chain.
 
+Labels say only whether a text is toxic. The categories before ``toxic`` are kinds of toxic texts
+that are learned from the sample: the toxic rows are parted by what tells them from the others
+(spherical k-means over the features that toxic texts have more often), and each part is a
+category of its own. No word lists are used, in any language.
+
 Categories are predicted one after the other. The first model sees the hashed words of a text
-and their beginnings, since word stems carry over in inflected languages; each later one also sees the probabilities of the categories before it. When a later model is
-fitted, those probabilities come from models that were fitted without the row (out-of-fold), so
+and their beginnings, since word stems carry over in inflected languages; each later one also
+sees the probabilities of the categories before it. When a later model is fitted, those probabilities come from models that were fitted without the row (out-of-fold), so
 it learns how far to trust them; when a row is scored they come from the models fitted on all.
 Each category's decision threshold has the best F1 on out-of-fold probabilities.
 
@@ -25,13 +30,8 @@ from opportunity.llm.common import beside_texts
 from opportunity.llm.linear_text import SIZE, Rows, Stems, best_threshold, fitted, folds_of, labelled_sample, sigmoid
 
 MAX_TRAIN = 8_000
-
-#: Terms whose presence in a toxic text labels the categories that come before ``toxic``.
-TERMS = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid", "fool", "dumb", "imbecile"),
-    "degrading": ("scum", "trash", "worthless", "disgusting", "pathetic", "filth", "vermin", "garbage"),
-}
-
+#: Kinds of toxic texts, the categories before ``toxic``.
+KINDS = 2
 
 @dataclass
 class Link:
@@ -114,19 +114,49 @@ def fit_chain(rows: Rows, labels: dict[str, np.ndarray], ids: list, folds: int =
     return chain
 
 
-def fitted_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, terms: dict[str, tuple[str, ...]] = TERMS) -> tuple[list[Link], Stems]:
-    """The chain over the categories of ``terms``, then ``toxic``.
-
-    ``labels`` has only ``toxic``, so a text of the sample has an earlier category if it is toxic
-    and holds one of the category's terms as a word.
-    """
-    grams = Stems()
-    names = [*terms, "toxic"]
+def toxic_kinds(rows: Rows, y: np.ndarray, kinds: int, turns: int = 12) -> dict[str, np.ndarray]:
+    """Membership of each row in each kind of toxic texts; no row has a kind where there are too few toxic ones."""
+    out = {f"kind_{k + 1}": np.zeros(len(y)) for k in range(kinds)}
+    toxic = np.flatnonzero(y == 1)
+    telling = np.maximum(feature_scale(rows, np.arange(len(y)), y), 0.0) if len(y) else np.zeros(SIZE)
+    own = [rows.rows[i][telling[rows.rows[i]] > 0] for i in toxic]
+    usable = [k for k, features in enumerate(own) if len(features)]
+    if len(usable) < 2 * kinds:
+        return out
+    values = {k: telling[own[k]] / np.linalg.norm(telling[own[k]]) for k in usable}
+
+    def likeness(centre: np.ndarray) -> np.ndarray:
+        return np.array([centre[own[k]] @ values[k] for k in usable])
+
+    def centre_of(members: list[int]) -> np.ndarray:
+        centre = np.zeros(SIZE)
+        for k in members:
+            centre[own[k]] += values[k]
+        return centre / (np.linalg.norm(centre) or 1.0)
+
+    # Each centre starts at the text that is least like all centres before it.
+    near = likeness(centre_of(usable))
+    centres: list[np.ndarray] = []
+    for _ in range(kinds):
+        centres.append(centre_of([usable[int(near.argmin())]]))
+        near = np.maximum(near, likeness(centres[-1])) if len(centres) > 1 else likeness(centres[-1])
+    for _ in range(turns):
+        part = np.argmax([likeness(c) for c in centres], axis=0)
+        centres = [centre_of([k for k, p in zip(usable, part) if p == kind]) if (part == kind).any() else centres[kind] for kind in range(kinds)]
+    for k, p in zip(usable, part):
+        out[f"kind_{p + 1}"][toxic[k]] = 1.0
+    return out
+
+
+def fitted_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, kinds: int = KINDS) -> tuple[list[Link], Stems]:
+    """The chain over ``kinds`` kinds of toxic texts, then ``toxic``."""
+    stems = Stems()
     sample = labelled_sample(docs, labels.select("doc_id", "toxic"), ["toxic"], max_train)
-    for name, words in terms.items():
-        found = F.lower(F.coalesce("text", F.lit(""))).rlike(rf"\b(?:{'|'.join(words)})\b")
-        sample = sample.withColumn(name, (found & (F.col("toxic") == 1)).cast("int"))
-    return fitted(sample, grams, names, fit_chain), grams
+
+    def fit(rows: Rows, found: dict[str, np.ndarray], ids: list) -> list[Link]:
+        return fit_chain(rows, toxic_kinds(rows, found["toxic"], kinds) | {"toxic": found["toxic"]}, ids)
+
+    return fitted(sample, stems, ["toxic"], fit), stems
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
