@@ -1,20 +1,25 @@
 """Keyed surrogates for personal data, with DataFrame functions only.
 
 Entities are e-mail addresses, secrets in hex, IPv4 addresses, IBANs, phone numbers, card
-numbers, social security numbers and names after a form of address. Each gets a surrogate that
+numbers, social security numbers, and names after a form of address or an introduction ("my name
+is", "signed by", "Dear" and the like). Each gets a surrogate that
 depends on a key, its kind and its normal form alone, so an entity reads alike everywhere
 (coreference), in whatever format it is written:
 
 * marks, spaces and the number and case of characters stay; digits become digits, letters letters;
 * phone numbers keep their country code, card numbers their first digit and whether their check
   digit is right, addresses the size of their parts, IBANs their country, e-mails the top level;
-* e-mails of one domain keep one domain;
-* names keep the form of address, the gender it tells and their script (Latin, Cyrillic, Greek).
+* e-mails of one domain keep one domain, and those of different domains different ones;
+* names keep what stands before them, the gender that it tells (if it does) and their script
+  (Latin, Cyrillic, Greek).
 
 Distinct entities must stay distinct, and a surrogate must not be another entity of the corpus.
-All entities are checked for that in one aggregate and one join; those that collide, but for the
-first of each group, are drawn again, up to ``ROUNDS`` times, and then written as
-``<KIND-16 hex digits>``. Only the exceptions, few or none, are joined back to documents.
+All entities, the domains of e-mails among them, are checked for that in one aggregate and one
+join; those that collide, but for the first of each group, are drawn again. Every further attempt
+draws from a larger space where the format leaves room: family names grow by a syllable, and from
+the third attempt on the parts of an address may change size. What still collides after
+``ROUNDS`` attempts, which takes as many distinct entities as their format has forms, is written
+as ``<KIND-16 hex digits>``. Only the exceptions, few or none, are joined back to documents.
 
 Null texts stay null, empty ones empty. Rows with the same doc_id are replaced by their own
 texts. Overlapping patterns are matched from the left, in the order above.
@@ -25,11 +30,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opportunity.llm.common import broadcast_if_small, written
+from opportunity.llm.common import broadcast_if_small, partitions, written
 
-ROUNDS = 8
+ROUNDS = 12
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")
+#: What introduces a name without telling a gender.
+CUES = (
+    "[Mm]y name is", "[Nn]ame:", "[Ss]igned by", "[Ww]ritten by", "[Aa]uthor:", "[Cc]ontact:", "[Aa]ttn:", "Dear", "Sincerely,", "Regards,", "[Dd]octor", "Dr", "Prof",
+    "[Mm]ein Name ist", "[Ii]ch heiße", "[Jj]e m'appelle", "[Mm]on nom est", "[Mm]e llamo", "[Mm]i nombre es",
+    "[Мм]еня зовут", "[Μμ]ε λένε",
+)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b",
@@ -39,20 +50,22 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,4}){1,2}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b",
     "card": r"\b\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "name": rf"\b(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "name": rf"\b(?:(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?|(?:{'|'.join(CUES)})\.? \p{{Lu}}\p{{L}}+ \p{{Lu}}\p{{L}}+)",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every text with an entity has; the others are not searched further.
-GATE = rf"[0-9@]|(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}"
+GATE = rf"[0-9@]|(?:{'|'.join(MALE + FEMALE + CUES)})\.? \p{{Lu}}"
+#: The part of a name's match before the name itself.
+BEFORE = rf"^(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))}|{'|'.join(CUES)})\.? "
 SYLLABLES = {
     "latin": ("ba", "co", "de", "fi", "ga", "hu", "jo", "ka", "le", "mi", "no", "pe", "ra", "si", "ta", "vo"),
     "cyrillic": ("ба", "во", "ге", "ди", "жа", "зу", "ки", "ла", "ме", "ни", "по", "ра", "се", "та", "фи", "ша"),
     "greek": ("βα", "γο", "δε", "ζι", "θα", "κυ", "λο", "μα", "νε", "ξι", "πο", "ρα", "σε", "τι", "φα", "χο"),
 }
 ENDINGS = {
-    "latin": {"male": ("n", "r", "s", "l"), "female": ("a", "ia", "na", "lla"), "family": ("man", "sen", "ler", "ton")},
-    "cyrillic": {"male": ("н", "р", "м", "л"), "female": ("я", "на", "ла", "ша"), "family": ("ко", "енко", "ых", "ук")},
-    "greek": {"male": ("ς", "ος", "ης", "ων"), "female": ("α", "η", "ία", "ώ"), "family": ("ίδη", "άκη", "έα", "ού")},
+    "latin": {"any": ("en", "is", "or", "y"), "male": ("n", "r", "s", "l"), "female": ("a", "ia", "na", "lla"), "family": ("man", "sen", "ler", "ton")},
+    "cyrillic": {"any": ("и", "о", "е", "ю"), "male": ("н", "р", "м", "л"), "female": ("я", "на", "ла", "ша"), "family": ("ко", "енко", "ых", "ук")},
+    "greek": {"any": ("ι", "υ", "ε", "ω"), "male": ("ς", "ος", "ης", "ων"), "female": ("α", "η", "ία", "ώ"), "family": ("ίδη", "άκη", "έα", "ού")},
 }
 
 
@@ -131,29 +144,41 @@ def _card(match: Column, digest: Column) -> Column:
     return F.when(luhn_sum(F.regexp_replace(match, "[^0-9]", "")) == 0, F.concat(body, check)).otherwise(new)
 
 
-def _address(match: Column, digest: Column) -> Column:
+def _address(match: Column, digest: Column, attempt: Column) -> Column:
     def part(octet: Column, i: Column) -> Column:
         number = _number(digest, i)
         low = F.when(F.length(octet) == 1, 1).when(F.length(octet) == 2, 10).otherwise(100)
         span = F.when(F.length(octet) == 1, 9).when(F.length(octet) == 2, 90).otherwise(156)
-        return (low + F.pmod(number, span)).cast("string")
+        return F.when(attempt > 2, 1 + F.pmod(number, F.lit(255))).otherwise(low + F.pmod(number, span)).cast("string")
 
     return F.array_join(F.transform(F.split(match, r"\."), part), ".")
 
 
-def _email(match: Column, digest: Column, key: str) -> Column:
-    local, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
+def _domain(domain: Column, attempt: Column, key: str) -> Column:
     top = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    new_host = _let(_digest(key, F.lit("domain"), F.lower(domain)), lambda shared: _like(host, shared, F.lit(0)))
-    return F.concat(_like(local, digest, F.lit(0)), F.lit("@"), new_host, F.lit("."), top)
+    new = _let(_digest(key, F.lit("domain"), F.lower(domain), attempt.cast("string")), lambda shared: _like(host, shared, F.lit(0)))
+    # A short host has few forms: later attempts add letters.
+    longer = F.substring(F.translate(_digest(key, F.lit("more"), F.lower(domain), attempt.cast("string")), "0123456789", "ghijklmnop"), F.lit(1), F.greatest(F.lit(0), attempt))
+    return F.concat(new, longer, F.lit("."), top)
+
+
+def _email(match: Column, digest: Column, key: str, domain_attempt: Column) -> Column:
+    local, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
+    return F.concat(_like(local, digest, F.lit(0)), F.lit("@"), _domain(domain, domain_attempt, key))
+
+
+def _syllables(count: Column, digest: Column, known: tuple[str, ...]) -> Column:
+    places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(places, lambda k: _pick(known, _number(digest, 4 + k))), "")
 
 
 def _name(match: Column, attempt: Column, key: str) -> Column:
     """Word by word, so that a family name reads alike with and without a given name."""
-    words = F.split(match, " ")
-    title = F.regexp_replace(F.get(words, 0), r"\.", "")
-    gender = F.when(title.isin(*MALE), F.lit("male")).otherwise(F.lit("female"))
+    before = F.regexp_extract(match, BEFORE, 0)
+    title = F.regexp_replace(before, r"\.? $", "")
+    words = F.split(F.substring(match, F.length(before) + 1, F.length(match)), " ")
+    gender = F.when(title.isin(*MALE), F.lit("male")).when(title.isin(*FEMALE), F.lit("female")).otherwise(F.lit("any"))
     script = F.when(match.rlike(r"\p{IsCyrillic}+(?: |$)"), F.lit("cyrillic")).when(match.rlike(r"\p{IsGreek}+(?: |$)"), F.lit("greek")).otherwise(F.lit("latin"))
 
     def word(w: Column, i: Column) -> Column:
@@ -164,16 +189,17 @@ def _name(match: Column, attempt: Column, key: str) -> Column:
             for name, syllables in SYLLABLES.items():
                 stem = F.concat(_pick(syllables, _number(digest, F.lit(1))), _pick(syllables, _number(digest, F.lit(2))))
                 third = F.when(role == "family", _pick(syllables, _number(digest, F.lit(3)))).otherwise(F.lit(""))
+                more = _syllables(F.when((role == "family") & (attempt > 0), attempt).otherwise(0), digest, syllables)
                 end = F.lit("")
                 for kind, endings in ENDINGS[name].items():
                     end = F.when(role == kind, _pick(endings, _number(digest, F.lit(4)))).otherwise(end)
-                whole = F.initcap(F.concat(stem, third, end))
+                whole = F.initcap(F.concat(stem, third, more, end))
                 made = whole if made is None else F.when(script == name, whole).otherwise(made)
             return made
 
-        return F.when(i == 0, w).otherwise(_let(_digest(key, F.lit("word"), role, w, attempt.cast("string")), spelled))
+        return _let(_digest(key, F.lit("word"), role, w, attempt.cast("string")), spelled)
 
-    return F.array_join(F.transform(words, word), " ")
+    return F.concat(before, F.array_join(F.transform(words, word), " "))
 
 
 def _let(value: Column, body) -> Column:
@@ -181,14 +207,15 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def surrogate(match: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of one match; attempt 0 at first, -1 for the plain form."""
+def surrogate(match: Column, attempt: Column, key: str, domain_attempt: Column | None = None) -> Column:
+    """The surrogate of one match; attempt 0 at first, -1 for the plain form. ``domain_attempt`` is that of an e-mail's domain."""
+    domain_attempt = F.lit(0) if domain_attempt is None else domain_attempt
 
     def drawn(kind: Column, digest: Column) -> Column:
         country = F.length(F.regexp_extract(match, r"^\+\d{1,3}(?=[ .(-])", 0))
         fixed = F.when(kind == "iban", 2).when(kind == "phone", country).otherwise(0)
         plain = F.concat(F.lit("<"), F.upper(kind), F.lit("-"), F.substring(digest, 1, 16), F.lit(">"))
-        found = F.when(attempt < 0, plain).when(kind == "email", _email(match, digest, key)).when(kind == "ip", _address(match, digest))
+        found = F.when(attempt < 0, plain).when(kind == "email", _email(match, digest, key, domain_attempt)).when(kind == "ip", _address(match, digest, attempt))
         found = found.when(kind == "card", _card(match, digest)).when(kind == "name", _name(match, attempt, key))
         return found.otherwise(_let(fixed, lambda n: _like(match, digest, n, kind == "secret")))
 
@@ -198,20 +225,31 @@ def surrogate(match: Column, attempt: Column, key: str) -> Column:
     return _let(kind_of(match), keyed)
 
 
+def domain_of(match: Column) -> Column:
+    return F.lower(F.substring_index(match, "@", -1))
+
+
 def collisions(docs: DataFrame, key: str) -> DataFrame:
-    """normal, kind and attempt of the entities that need another attempt than 0."""
+    """normal, kind and attempt of the entities, and domains of e-mails, that need another attempt than 0."""
     found = docs.select(F.explode(entities(F.col("text"))).alias("match"))
     found = found.withColumn("kind", kind_of(F.col("match"))).withColumn("normal", normal_form(F.col("kind"), F.col("match")))
+    own = F.array(F.struct("kind", "normal", "match"), F.when(F.col("kind") == "email", F.struct(F.lit("domain").alias("kind"), domain_of(F.col("match")).alias("normal"), domain_of(F.col("match")).alias("match"))))
+    found = found.select(F.explode(F.array_compact(own)).alias("e")).select("e.*")
     known = written(found.groupBy("kind", "normal").agg(F.min("match").alias("match")).withColumn("attempt", F.lit(0)), "entities")
     settled = known
     for turn in range(1, ROUNDS + 2):
-        drawn = settled.withColumn("new", surrogate(F.col("match"), F.col("attempt"), key))
-        drawn = drawn.withColumn("new", F.when(F.col("attempt") < 0, F.col("new")).otherwise(normal_form(F.col("kind"), F.col("new"))))
+        # Few bytes, but much work on each of them.
+        drawn = settled.repartition(partitions(docs.sparkSession), "kind", "normal")
+        new = F.when((F.col("kind") == "domain") & (F.col("attempt") >= 0), _domain(F.col("match"), F.col("attempt"), key)).otherwise(surrogate(F.col("match"), F.col("attempt"), key))
+        drawn = drawn.withColumn("new", new)
+        drawn = drawn.withColumn("new", F.when((F.col("attempt") < 0) | (F.col("kind") == "domain"), F.col("new")).otherwise(normal_form(F.col("kind"), F.col("new"))))
         taken = known.select("kind", F.col("normal").alias("new"), F.lit(True).alias("real"))
         # An earlier attempt goes first, so settled entities stay.
         order = Window.partitionBy("kind", "new").orderBy(F.abs("attempt"), "normal")
         judged = drawn.join(taken, ["kind", "new"], "left").withColumn("again", F.col("real").isNotNull() | (F.row_number().over(order) > 1))
-        again = F.when(F.col("again") & (F.col("attempt") >= 0), F.lit(turn if turn <= ROUNDS else -1)).otherwise(F.col("attempt"))
+        # A domain has longer forms with every attempt, so it never needs the plain one.
+        last = F.when(F.col("kind") == "domain", F.lit(turn)).otherwise(F.lit(turn if turn <= ROUNDS else -1))
+        again = F.when(F.col("again") & (F.col("attempt") >= 0), last).otherwise(F.col("attempt"))
         judged = written(judged.select("kind", "normal", "match", again.alias("attempt"), (F.col("again") & (F.col("attempt") >= 0)).alias("moved")), "entities")
         settled = judged.drop("moved")
         if judged.filter("moved").isEmpty():
@@ -227,11 +265,12 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     exceptions = written(collisions(docs, key), "pii-exceptions")
     source = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), entities(F.col("text")).alias("_found"))
     if exceptions.isEmpty():
-        attempt = lambda match: F.lit(0)
+        attempt = domain_attempt = lambda match: F.lit(0)
     else:
         kind = kind_of(F.col("match"))
         odd = docs.select("doc_id", F.explode(entities(F.col("text"))).alias("match"))
-        odd = odd.select("doc_id", kind.alias("kind"), normal_form(kind, F.col("match")).alias("normal"))
+        own = F.array(F.struct(kind.alias("kind"), normal_form(kind, F.col("match")).alias("normal")), F.when(kind == "email", F.struct(F.lit("domain").alias("kind"), domain_of(F.col("match")).alias("normal"))))
+        odd = odd.select("doc_id", F.explode(F.array_compact(own)).alias("e")).select("doc_id", "e.*")
         odd = odd.join(broadcast_if_small(exceptions), ["kind", "normal"])
         entry = F.struct(F.concat_ws("|", "kind", "normal").alias("key"), F.col("attempt").alias("value"))
         odd = written(odd.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(entry)).alias("_attempts")).withColumnRenamed("doc_id", "_odd"), "pii-odd")
@@ -241,8 +280,11 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
             own = F.concat_ws("|", kind_of(match), normal_form(kind_of(match), match))
             return F.coalesce(F.try_element_at("_attempts", own), F.lit(0))
 
+        def domain_attempt(match: Column) -> Column:
+            return F.coalesce(F.try_element_at("_attempts", F.concat(F.lit("domain|"), domain_of(match))), F.lit(0))
+
     pieces = F.split(F.col("_text"), ENTITY, -1)
-    new = F.transform("_found", lambda match: surrogate(match, attempt(match), key))
+    new = F.transform("_found", lambda match: surrogate(match, attempt(match), key, domain_attempt(match)))
     whole = F.array_join(F.zip_with(pieces, new, lambda piece, s: F.concat(piece, F.coalesce(s, F.lit("")))), "")
     text = F.when(F.size("_found") > 0, whole).otherwise(F.col("_text"))
     kinds = F.array_sort(F.array_distinct(F.transform("_found", lambda match: kind_of(match))))
