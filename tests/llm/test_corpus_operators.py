@@ -110,7 +110,7 @@ def test_surrogates_do_not_collide(spark):
 
 def test_exhausted_spaces_get_plain_forms(spark, monkeypatch):
     monkeypatch.setattr(pii_surrogates, "ROUNDS", 1)
-    monkeypatch.setattr(pii_surrogates, "_address", lambda match, digest: F.lit("9.9.9.9"))
+    monkeypatch.setattr(pii_surrogates, "_address", lambda match, digest, attempt: F.lit("9.9.9.9"))
     docs = spark.createDataFrame([(i, f"at {i}.1.1.1 x") for i in range(1, 7)], "doc_id long, text string")
     new = [r.text.split()[1] for r in pii_surrogates.replaced(docs, "k").collect()]
     assert len(set(new)) == 6 and sum(x.startswith("<IP-") for x in new) == 5

@@ -125,3 +125,17 @@ def test_items_of_every_length(spark, monkeypatch):
     assert sorted((r.doc_id, r.text) for r in decontaminate.decontaminated(docs, bench).collect()) == sorted(r for k, r in enumerate(rows) if k not in dirty)
     monkeypatch.setattr(decontaminate, "SEED_ROWS", 3)
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()} == want
+
+
+def test_domains_stay_distinct_and_introductions_count(spark):
+    from opportunity.llm import pii_surrogates
+
+    rows = [(i, f"write a{i}@x{c}.org or b@x{c}.org") for i, c in enumerate("abcdefghijklmnopqrstuvwx")]
+    rows += [(100, "My name is John Smith, signed by John Smith"), (101, "Dear Ann Lee")]
+    found = {r.doc_id: r for r in pii_surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    domains = [{w.split("@")[1] for w in found[i].text.split() if "@" in w} for i in range(24)]
+    assert all(len(d) == 1 for d in domains) and len(set.union(*domains)) == 24
+    assert not set.union(*domains) & {f"x{c}.org" for c in "abcdefghijklmnopqrstuvwx"}
+    first, second = found[100].text.removeprefix("My name is ").split(", signed by ")
+    assert first == second != "John Smith" and found[100].n_entities == 2
+    assert found[101].text.startswith("Dear ") and found[101].text != "Dear Ann Lee"
