@@ -8,27 +8,20 @@ as Parquet in the work folder and the next stage reads them from there.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from opportunity.llm import decontaminate, minhash_dedup, mixing, token_codes, toxicity_chain
-from opportunity.llm.common import small, small_batches, table, written
+from opportunity.llm.common import table, written
 from opportunity.llm.queries import tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not predict to be toxic."""
-    small_batches(spark)
     return toxicity_chain.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; five words a shingle, likeness of 0.8 or more."""
-    small_batches(spark)
-    found = minhash_dedup.near_duplicates(docs, words=5, percent=80)
-    dropped = written(found.filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    if small(dropped):
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return minhash_dedup.deduplicated(docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +36,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token codes of what is left, read back: doc_id, start, n_tokens and ids_crc32 of each row."""
-    small_batches(spark)
     return token_codes.token_codes(docs, tokenizer_file("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Rows up to which a side may be broadcast; the count is always taken first.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which a side of wide rows may be broadcast; their sum is always taken first.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def broadcast_if_light(df: DataFrame, column: str, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a written side whose bytes in ``column``, which holds nearly all of them, were summed first."""
+    held = df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if held <= size else df
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

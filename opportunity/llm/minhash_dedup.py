@@ -4,7 +4,8 @@ Words are runs of bytes other than ASCII white space, after A-Z are lower-cased.
 document holds its distinct word shingles; a document with fewer words has its whole sequence
 as the only shingle; one without words has none and is linked with nothing.
 
-1. Documents with equal sets form a class at once, named by its smallest doc_id.
+1. Every row gets a number when its signature is written. Rows with equal sets form a class at
+   once, named by its smallest row number.
 2. One hash of each shingle gives the whole signature: the hash range is cut into bins, the
    smallest hash of each bin is kept, and empty bins copy a filled one found by a probe
    sequence that depends on the bin alone (optimal densification).
@@ -20,9 +21,13 @@ as the only shingle; one without words has none and is linked with nothing.
    joined on the rarest shingles of the whole sets. Only pairs across components are tried.
 
 The sets, edges and components stay in tables of the work folder; the driver holds counts only.
+Components are contracted turn by turn, until the edges left are few enough for one task
+(``TASK_EDGES``, counted); later links only contract the components that they join.
 
-Rows with a null doc_id get a null component and are kept. Rows that share a doc_id and have
-different texts are linked by their own texts. An empty table gives an empty result.
+Rows are told apart by their numbers, so rows that share a doc_id, or have none, are linked by
+their own texts. The component_id is the smallest known doc_id of a component, null if none is
+known; a row without a doc_id is kept if its component has none either. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -32,13 +37,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opportunity.llm.common import broadcast_if_small, written
+from opportunity.llm.common import beside_texts, broadcast_if_light, broadcast_if_small, written
 
 BANDS, ROWS = 32, 4
 PIVOT_TURNS = 2
+#: Turns in which groups are linked to one member each, and pairs a row from which that is done.
+STAR_TURNS, PAIRS_A_ROW = 4, 4
+#: Edges that one task joins to components at most (two 64-bit numbers each).
+TASK_EDGES = 500_000
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -103,37 +114,43 @@ class OnePermutation:
         return _mixed(key).view(np.int64)
 
 
+def _place() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _tie() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set) and band keys of every row."""
+    """doc_id, tie, n_shingles, set_key (128 bits of the whole set) and band keys of every row."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         hasher = OnePermutation(bands, rows)
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "n_shingles": [len(s) for s in sets],
-                    "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "bands": [hasher.keys(s) if len(s) else [] for s in sets],
-                }
-            )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+        def sign(texts: list[str | None]) -> dict[str, list]:
+            sets = [shingle_set(t, words) for t in texts]
+            return {
+                "n_shingles": [len(s) for s in sets],
+                "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                "bands": [hasher.keys(s) if len(s) else [] for s in sets],
+            }
 
+        return sign
 
-def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, set_key and hashes of the documents whose class is named in ``ids`` (id, set_key)."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tie().alias("tie"), "text")
+    return beside_texts(read, begin, "n_shingles long, set_key binary, bands array<long>")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "hashes": [s.tobytes() for s in sets]})
 
-    ids = broadcast_if_small(ids)
-    asked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.select("id"), "id", "left_semi")
-    found = asked.mapInPandas(read, "id long, set_key binary, hashes binary")
-    return found.join(ids, ["id", "set_key"], "left_semi").dropDuplicates(["id"])
+def full_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """id and hashes of each class of ``asked`` (id, place, tie of one of its rows; at most one class for each text)."""
+
+    def read(texts: list[str | None]) -> dict[str, list]:
+        return {"hashes": [shingle_set(t, words).tobytes() for t in texts]}
+
+    texts = docs.select(_place().alias("place"), _tie().alias("tie"), "text").join(broadcast_if_small(asked), ["place", "tie"])
+    return beside_texts(texts.select("id", "text"), lambda: read, "hashes binary").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,29 +170,55 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(alike, "a long, b long")
 
 
+def _joined(edges: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Smallest id reachable from each end of all edges (a, b) of one task."""
+    pairs = [frame.to_numpy(np.int64) for frame in edges]
+    ids, ends = np.unique(np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        open_ = a != b
+        a, b = a[open_], b[open_]
+    yield pd.DataFrame({"id": ids, "component": ids[root]})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component (smallest id reachable) of every end of the edges (a, b).
 
     Each turn maps a vertex to its smallest neighbour, or itself, and keeps the edges between
-    different images; the smallest vertex of a component is never mapped away.
+    different images; the smallest vertex of a component is never mapped away. Once the edges
+    left are at most ``TASK_EDGES``, one task joins them.
     """
     current = written(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    labels = None
-    while not current.isEmpty():
+    steps = []
+    while current.count() > TASK_EDGES:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")), "labels")
-        if labels is None:
-            labels = step
-        else:
-            on = step.select(F.col("id").alias("component"), F.col("component").alias("next"))
-            labels = labels.join(on, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+        steps.append(step)
         left = step.select(F.col("id").alias("a"), F.col("component").alias("pa"))
         right = step.select(F.col("id").alias("b"), F.col("component").alias("pb"))
         moved = current.join(left, "a").join(right, "b").filter("pa <> pb")
         current = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-    if labels is None:
-        return current.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return written(labels, "components")
+    labels = written(current.coalesce(1).mapInPandas(_joined, "id long, component long"), "components")
+    for step in reversed(steps):
+        later = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        labels = written(step.join(later, "component", "left").select("id", F.coalesce("next", "component").alias("component")), "components")
+    return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after more links (a, b)."""
+    moved = written(_labelled(links, labels, "a", "b").filter("a_in <> b_in").select(F.col("a_in").alias("a"), F.col("b_in").alias("b")), "moved")
+    if not moved.count():
+        return labels
+    roots = components(moved)
+    later = roots.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    known = labels.join(later, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+    return written(known.unionByName(roots.join(labels.select("id"), "id", "left_anti")), "components")
 
 
 def _labelled(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
@@ -186,10 +229,10 @@ def _labelled(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def rare_shingle_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components whose sets may be alike, by prefix filtering.
+def by_rare_shingles(own: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``labels`` after the links among the sets of ``own``, by prefix filtering.
 
-    ``sets`` has id, id_in and hashes. The rarest shingles come first in each set. Sets with the
+    ``own`` has id, id_in and hashes. The rarest shingles come first in each set. Sets with the
     asked likeness have sizes in that ratio and share a shingle among their first
     ``n - ceil(n * percent / 100) + 1``.
     """
@@ -200,7 +243,7 @@ def rare_shingle_pairs(sets: DataFrame, percent: int) -> DataFrame:
                 hashes = np.frombuffer(data, np.int64)
                 yield pd.DataFrame({"id": id_, "comp": comp, "n": len(hashes), "shingle": hashes})
 
-    shingles = sets.select("id", "id_in", "hashes").mapInPandas(rows, "id long, comp long, n long, shingle long")
+    shingles = own.select("id", "id_in", "hashes").mapInPandas(rows, "id long, comp long, n long, shingle long")
     shingles = written(shingles, "shingles")
     common = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("df > 1")
     shared = shingles.join(common, "shingle")
@@ -209,10 +252,14 @@ def rare_shingle_pairs(sets: DataFrame, percent: int) -> DataFrame:
     ranked = shared.withColumn("alone", F.col("n") - F.count("*").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy("df", "shingle")))
     size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = written(ranked.filter(F.col("alone") + F.col("rank") <= size).filter("low < high").select("shingle", "id", "comp", "n"), "prefixes")
-    a = prefix.select("shingle", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    b = prefix.select("shingle", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    pairs = a.join(b, "shingle").filter("a < b and ca <> cb").filter((F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent))
-    return pairs.select("a", "b").distinct()
+    fits = (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
+    return by_groups(prefix.drop("comp"), ["shingle"], {"n": "n"}, fits, sets, labels, percent)
+
+
+def _pivot_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """pivot and base (its hashes); a pivot of many rows must not gather them in one task, so few bytes are broadcast."""
+    pivots = rows.select(F.col("pivot").alias("id")).distinct()
+    return broadcast_if_light(written(sets.join(pivots, "id").select(F.col("id").alias("pivot"), F.col("hashes").alias("base")), "bases"), "base")
 
 
 def _pivoted(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -220,7 +267,7 @@ def _pivoted(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
 
     A pivot is the smallest id of those that the buckets connect.
     """
-    centres = members.groupBy("bucket").agg(F.min("id").alias("b"))
+    centres = broadcast_if_small(written(members.groupBy("bucket").agg(F.min("id").alias("b")), "centres"))
     ties = members.join(centres, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b")
     roots = components(ties).filter("id <> component").select("id", F.col("component").alias("pivot"))
 
@@ -232,14 +279,14 @@ def _pivoted(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
             out["both"] = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs]
             yield out
 
-    joined = roots.join(sets.select("id", "hashes"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("base")), "pivot")
+    joined = roots.join(sets.select("id", "hashes"), "id").join(_pivot_sets(roots, sets), "pivot")
     found = written(joined.select("id", "pivot", "hashes", "base").mapInPandas(compare, "id long, pivot long, n long, m long, both long"), "pivots")
     alike = 100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))
     return found, found.filter(alike).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
 
 
-def difference_pairs(pivots: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components that may be alike, of members near one pivot.
+def by_differences(pivots: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``labels`` after the links among members near one pivot.
 
     With ``x`` lacking ``ax`` shingles of the pivot's ``m``, two sets have
     ``m - ax - ay + (common differences)`` shingles in common, and need
@@ -264,7 +311,7 @@ def difference_pairs(pivots: DataFrame, sets: DataFrame, labels: DataFrame, perc
                 # A hash names one shingle, which a member either lacks or adds; no tag is needed.
                 yield pd.DataFrame({"pivot": row.pivot, "id": row.id, "mark": np.setxor1d(own, base, assume_unique=True).view(np.int64)})
 
-    joined = near.select("id", "pivot").join(sets.select("id", "hashes"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("base")), "pivot")
+    joined = near.select("id", "pivot").join(sets.select("id", "hashes"), "id").join(_pivot_sets(near, sets), "pivot")
     marks = written(joined.select("id", "pivot", "hashes", "base").mapInPandas(differences, "pivot long, id long, mark long"), "marks")
     common = marks.groupBy("pivot", "mark").agg(F.count("*").alias("df")).filter("df > 1")
     by_doc = Window.partitionBy("pivot", "id")
@@ -272,19 +319,49 @@ def difference_pairs(pivots: DataFrame, sets: DataFrame, labels: DataFrame, perc
     ranked = ranked.join(near.select("pivot", "id", "id_in", "m", "g", "g_low", "size"), ["pivot", "id"]).withColumn("rank", F.col("size") - F.col("shared") + F.col("place"))
     least_need = F.greatest(F.lit(1), F.ceil(F.col("g") + F.col("g_low") - F.col("m") - 1e-9))
     prefix = written(ranked.filter(F.col("rank") <= F.col("size") - least_need + 1).select("pivot", "mark", "id", "id_in", "m", "g", "size", "rank"), "prefixes")
-    x = prefix.select("pivot", "mark", "m", F.col("id").alias("a"), F.col("id_in").alias("ca"), F.col("g").alias("ga"), F.col("size").alias("sa"), F.col("rank").alias("ra"))
-    y = prefix.select("pivot", "mark", F.col("id").alias("b"), F.col("id_in").alias("cb"), F.col("g").alias("gb"), F.col("size").alias("sb"), F.col("rank").alias("rb"))
+    labels = merged(labels, confirmed(trivial.distinct(), sets, percent))
     need = F.ceil(F.col("ga") + F.col("gb") - F.col("m") - 1e-9)
     fits = (need >= 1) & (F.col("ra") <= F.col("sa") - need + 1) & (F.col("rb") <= F.col("sb") - need + 1)
-    pairs = x.join(y, ["pivot", "mark"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
-    return pairs.unionByName(trivial).distinct()
+    return by_groups(prefix.drop("id_in"), ["pivot", "mark", "m"], {"g": "g", "size": "s", "rank": "r"}, fits, sets, labels, percent)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
-    signed = written(signatures(docs, words, bands, rows), "signatures")
-    linked = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = linked.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+def by_groups(prefix: DataFrame, keys: list[str], columns: dict[str, str], fits: Column, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``labels`` after all links between rows of ``prefix`` (keys, id, columns) that share the keys and satisfy ``fits``.
+
+    ``fits`` names a pair's columns by their short name and a or b. Only pairs across components
+    matter, so groups are first linked to one member each, which gives a candidate a row, as long
+    as that joins components and many pairs are left; then what is left is paired.
+    """
+    for turn in range(STAR_TURNS + 1):
+        rows = written(_labelled(prefix, labels, "id"), "grouped")
+        order = F.xxhash64(F.col("id"), F.lit(turn))
+        groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("id_in").alias("_low"), F.max("id_in").alias("_high"), F.min_by("id", order).alias("b"), F.min_by("id_in", order).alias("b_in")).filter("_low < _high")
+        groups = written(groups, "groups")
+        load = groups.agg(F.sum(F.col("_n")).alias("n"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("pairs")).first()
+        if not load.n:
+            return labels
+        if turn == STAR_TURNS or load.pairs <= PAIRS_A_ROW * load.n:
+            break
+        stars = rows.join(groups.drop("_n", "_low", "_high"), keys).filter("id_in <> b_in").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        more = merged(labels, confirmed(stars, sets, percent))
+        if more is labels:
+            break
+        labels = more
+    split = rows.join(groups.select(*keys), keys, "left_semi")
+    left = split.select(*keys, F.col("id").alias("a"), F.col("id_in").alias("ca"), *[F.col(c).alias(f"{short}a") for c, short in columns.items()])
+    right = split.select(*keys, F.col("id").alias("b"), F.col("id_in").alias("cb"), *[F.col(c).alias(f"{short}b") for c, short in columns.items()])
+    pairs = left.join(right, keys).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+    return merged(labels, confirmed(pairs, sets, percent))
+
+
+def row_components(docs: DataFrame, words: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """row, doc_id, tie, n_shingles and component (a row number; null where a row has no words) of every row."""
+    numbered = signatures(docs, words, bands, rows).withColumn("row", F.monotonically_increasing_id())
+    signed = written(numbered, "signatures")  # the numbers stay as they are written
+    linked = signed.filter("n_shingles > 0").withColumn("place", _place())
+    classes = linked.groupBy("set_key").agg(
+        F.min("row").alias("id"), F.min(F.struct("place", "tie")).alias("text"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+    )
     classes = written(classes, "classes")
     members = classes.select("id", "n", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).filter("size > 1")
@@ -294,36 +371,61 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     stars = stars.select(F.col("id").alias("a"), F.col("centre").alias("b"), "na").join(sized, "b")
     stars = written(stars.filter((F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)).select("a", "b"), "stars")
 
-    asked = buckets.select("id").distinct().join(classes.select("id", "set_key"), "id")
+    asked = buckets.select("id").distinct().join(classes.select("id", "text.place", "text.tie"), "id")
     sets = written(full_sets(docs, written(asked, "asked"), words), "sets")
     nearest = stars.groupBy("a").agg(F.min("b").alias("b"))
-    links = written(confirmed(nearest, sets, percent), "links")
-    labels = components(links)
+    labels = components(confirmed(nearest, sets, percent))
     more = _labelled(stars, labels, "a", "b").filter("a_in <> b_in").select("a", "b")
-    links = written(links.unionByName(confirmed(more.join(nearest, ["a", "b"], "left_anti"), sets, percent)), "links")
-    labels = components(links)
+    labels = merged(labels, confirmed(more.join(nearest, ["a", "b"], "left_anti"), sets, percent))
 
     inside = _labelled(buckets.filter("size > 2").select("bucket", "id"), labels, "id")
     split = inside.groupBy("bucket").agg(F.min("id_in").alias("low"), F.max("id_in").alias("high")).filter("low < high")
-    rest = written(inside.join(split.select("bucket"), "bucket").select("bucket", "id"), "open")
+    split = broadcast_if_small(written(split.select("bucket"), "split"))
+    rest = written(buckets.filter("size > 2").join(split, "bucket").select("bucket", "id"), "open")
     for _ in range(PIVOT_TURNS):
-        if rest.isEmpty():
+        if not rest.count():
             break
         pivots, near = _pivoted(rest, sets, percent)
-        links = written(links.unionByName(near), "links")
-        labels = components(links)
-        links = written(links.unionByName(confirmed(difference_pairs(pivots, sets, labels, percent), sets, percent)), "links")
-        labels = components(links)
+        labels = merged(labels, near)
+        labels = by_differences(pivots, sets, labels, percent)
         far = pivots.filter(100 * F.col("both") < (percent - 20) * (F.col("n") + F.col("m") - F.col("both"))).select("id")
         rest = written(rest.join(far, "id", "left_semi").select("bucket", "id"), "open")
-    last = _labelled(rest.select("id").distinct(), labels, "id")
-    labels = components(links.unionByName(confirmed(rare_shingle_pairs(sets.join(last, "id"), percent), sets, percent)))
+    if rest.count():
+        last = _labelled(rest.select("id").distinct(), labels, "id")
+        labels = by_rare_shingles(sets.join(last, "id"), sets, labels, percent)
+
+    found = _labelled(classes.select("set_key", "id"), labels, "id").select("set_key", F.col("id_in").alias("component"))
+    joined = signed.select("row", "doc_id", "tie", "n_shingles", "set_key").join(written(found, "named"), "set_key", "left")
+    return joined.select("row", "doc_id", "tie", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
 
-    named = _labelled(classes.select("set_key", "id"), labels, "id").select("set_key", F.col("id_in").alias("found"))
-    joined = signed.select("doc_id", "n_shingles", "set_key").join(written(named, "named"), "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("found"))).otherwise(F.col("doc_id"))
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    found = written(row_components(docs, words, percent, bands, rows), "rows")
+    smallest = found.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    joined = found.join(written(smallest, "smallest"), "component", "left")
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
     out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the one with the smallest doc_id stays.
+
+    Rows go by doc_id and text, so rows that share an id are told apart; of rows alike in both one
+    stays. Null ids come last. Rows without words all stay.
+    """
+    found = written(row_components(docs, words, percent).filter("component is not null").withColumn("place", _place()), "rows")
+    order = F.struct(F.col("doc_id").isNull(), "place", "tie")
+    best = found.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("size")).filter("size > 1")
+    joined = found.join(written(best, "best"), "component")
+    texts = written(joined.groupBy("place", "tie").agg(F.count("*").alias("copies"), F.max(order == F.col("best")).alias("stays")), "texts")
+    gone = broadcast_if_small(written(texts.filter("not stays").select("place", "tie"), "gone"))
+    several = broadcast_if_small(written(texts.filter("stays and copies > 1").select("place", "tie"), "several"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _place().alias("place"), _tie().alias("tie"))
+    once = rows.join(several, ["place", "tie"], "left_semi").dropDuplicates(["place", "tie"])
+    rest = rows.join(gone, ["place", "tie"], "left_anti").join(several, ["place", "tie"], "left_anti")
+    return rest.unionByName(once).select("_row.*")
 
 
 #: The same rows for three words and a likeness of 85 percent.
