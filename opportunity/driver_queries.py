@@ -62,6 +62,7 @@ CHARTING = {
     "is_qb_out_of_pocket": "o_orderpriority like '4%'",
     "is_qb_sneak": "o_custkey % 10 = 0",
     "qb_location": "case o_custkey % 4 when 0 then 'U' when 1 then 'S' when 2 then 'P' end",
+    "backfield": "case when o_custkey % 7 < 5 then o_custkey % 7 end",
 }
 USAGE = {
     "player_id": "user_id",
@@ -209,6 +210,7 @@ CHARTED |= {
     "under_center_rate": _rate("qb_location = 'U'", "charted and qb_location is not null"),
     "pistol_rate": _rate("qb_location = 'P'", "charted and qb_location is not null"),
     "charting_coverage_rate": _rate("charted"),
+    "multi_back_rate": _rate("backfield >= 2", "charted and backfield is not null"),
 }
 
 
@@ -253,8 +255,20 @@ EVENT_SQL = {
     "two_minute_carries": "qtr in (2, 4) and half_seconds_remaining between 0 and 120",
     "qb_scramble_carries": "position = 'QB' and qb_scramble = 1",
     "designed_qb_carries": "position = 'QB' and qb_scramble <> 1",
+    "designed_qb_red_zone_carries": "position = 'QB' and qb_scramble <> 1 and yardline_100 <= 20",
+    "designed_qb_inside_10_carries": "position = 'QB' and qb_scramble <> 1 and yardline_100 <= 10",
     "designed_qb_inside_5_carries": "position = 'QB' and qb_scramble <> 1 and yardline_100 <= 5",
 }
+READ_SQL = {
+    "charted_targets": ("read_code is not null", 1997),
+    "read_labeled_targets": ("read_code is not null", 1997),
+    "first_read_targets": ("read_code = '0'", 1999),
+    "second_read_targets": ("read_code = '1'", 1997),
+    "third_later_read_targets": ("read_code = '2'", 1997),
+    "designed_targets": ("read_code = 'DES'", 1997),
+    "checkdown_targets": ("read_code = 'CHK'", 1997),
+    "scramble_drill_targets": ("read_code = 'SD'", 1997),
+}
 EVENTS_SQL = (
     PLAYS_SQL
     + ", rows as (select *, receiver_id as player_id, receiver_position as position, 'target' as kind from plays where pass = 1 and receiver_id is not null union all select *, rusher_id, rusher_position, 'carry' from plays where rush = 1 and rusher_id is not null), "
@@ -263,7 +277,7 @@ EVENTS_SQL = (
     + ", round(sum(case when kind = 'target' then coalesce(air_yards, 0) else 0 end), 3) as target_air_yards"
     + "".join(
         f", case when season >= {s} then sum(case when kind = 'target' and ({e}) then 1 else 0 end)::double end as {n}"
-        for n, e, s in (("read_labeled_targets", "read_code is not null", 1997), ("first_read_targets", "read_code = '0'", 1999), ("checkdown_targets", "read_code = 'CHK'", 1997))
+        for n, (e, s) in READ_SQL.items()
     )
     + " from rows group by season, week, team, player_id, position)"
 )
@@ -271,7 +285,7 @@ EVENTS_SQL = (
 
 def player_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = agg.player_week_events(plays(spark, sf_dir), read_from=1997, first_read_from=1999)
-    return as_double(events, "read_labeled_targets", "first_read_targets", "checkdown_targets")
+    return as_double(events, *READ_SQL)
 
 
 @query("a3_player_week_events", EVENTS_SQL + " select * from pw")
@@ -289,7 +303,8 @@ def a4_team_week_events(spark, sf_dir):
 
 COVERAGE_SQL = EVENTS_SQL + (
     ", cov as (select season, count(distinct team) as teams, count(distinct week) as weeks, sum(targets)::bigint as targets, "
-    "round(sum(case when position <> 'UNKNOWN' then targets else 0 end)::double / sum(targets), 6) as mapped_rate, round(sum(read_labeled_targets)::double / sum(targets), 6) as label_rate from pw group by season)"
+    "round(sum(case when position <> 'UNKNOWN' then targets else 0 end)::double / sum(targets), 6) as mapped_rate, round(sum(charted_targets)::double / sum(targets), 6) as charted_rate, round(sum(read_labeled_targets)::double / sum(targets), 6) as label_rate, "
+    "sum(read_labeled_targets - coalesce(first_read_targets, 0) - second_read_targets - third_later_read_targets - designed_targets - checkdown_targets - scramble_drill_targets) as unknown_codes from pw group by season)"
 )
 
 
@@ -347,10 +362,12 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j9_a8_historical_share",
-    HISTORY_SQL + " select player_id, target_season::bigint as target_season, target_team, round(coalesce(sum(weight * carries) / nullif(sum(weight * room_carries), 0), 0), 6) as share, round(sum(weight * games), 6) as weighted_games, count(distinct season) as season_count, arg_max(team, season * 1000 + team) as latest_team from hist group by player_id, target_season, target_team",
+    HISTORY_SQL + " select player_id, target_season::bigint as target_season, target_team, round(coalesce(sum(weight * carries) / nullif(sum(weight * room_carries), 0), 0), 6) as share, round(sum(weight * games), 6) as weighted_games, count(distinct season) as season_count, arg_max(team, season * 1000 + team) as latest_team, any_value(latest_teams) as latest_teams, bool_or(season = last and team = target_team) as same_team "
+    "from hist join (select player_id, max(season) as last, string_agg(distinct team::varchar, ',' order by team::varchar) filter (where season = ms) as latest_teams from (select *, max(season) over (partition by player_id) as ms from hist) group by player_id) using (player_id) group by player_id, target_season, target_team",
 )
 def j9_a8_historical_share(spark, sf_dir):
-    return agg.historical_share(history(spark, sf_dir), "carries", "room_carries")
+    found = agg.historical_share(history(spark, sf_dir), "carries", "room_carries")
+    return found.withColumn("latest_teams", F.array_join(F.array_sort(F.col("latest_teams").cast("array<string>")), ","))
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import Column
@@ -21,12 +23,14 @@ TEAM_ALIASES = {
     "STL": "LAR",
     "WSH": "WAS",
 }
+# Fixed values.
 DEPTH_WEIGHTS = {
     "QB": (1.0, 0.07, 0.015, 0.005),
     "RB": (1.0, 0.55, 0.28, 0.14, 0.07, 0.035),
     "WR": (1.0, 0.90, 0.80, 0.35, 0.22, 0.13, 0.08, 0.05),
     "TE": (1.0, 0.45, 0.18, 0.08, 0.04, 0.02),
 }
+# Fixed values.
 HISTORY_STATUS = {
     "ACT": "active_53",
     "INA": "active_53",
@@ -35,6 +39,7 @@ HISTORY_STATUS = {
     "EXE": "exempt_suspended",
     "SUS": "exempt_suspended",
 }
+# Fixed values.
 RESERVE_CODES = {
     "R04": "return_eligible_reserve",
     "R48": "return_eligible_reserve",
@@ -46,11 +51,49 @@ RESERVE_CODES = {
     "R33": "exempt_suspended",
     "R40": "exempt_suspended",
 }
+# Fixed values.
+CURRENT_STATUS = {
+    "ACT": "active_53",
+    "DEV": "practice_squad",
+    "PUP": "return_eligible_reserve",
+    "RSR": "return_eligible_reserve",
+    "RSN": "reserve_nfi",
+    "RES": "reserve_other",
+    "SUS": "exempt_suspended",
+    "EXE": "exempt_suspended",
+}
+# Fixed values.
+EVIDENCE_STATUS = {
+    "practice_squad": "practice_squad",
+    "reserve_pup": "return_eligible_reserve",
+    "reserve_injured_designated_for_return": "return_eligible_reserve",
+    "reserve_injured": "reserve_other",
+    "commissioners_exempt": "exempt_suspended",
+}
+# Fixed values.
 EVIDENCE_BANDS = ((80, "strong_role_evidence"), (65, "moderate_role_evidence"), (50, "limited_role_evidence"))
+# Fixed values.
 TOPICS = {
-    "injury": r"injur|hurt|ruled out",
-    "contract": r"contract|sign(?:s|ed)|extension",
-    "trade": r"\btrade",
+    "play_calling": r"\b(play.?call(?:er|ing)?|call(?:ing|s)? plays?|coordinator)\b",
+    "scheme_style": r"\b(scheme|system|offense|tempo|motion|formation|play.?action|rpo)\b",
+    "offensive_line": r"\b(offensive line|o-line|lineman|guard|tackle|center)\b",
+    "injury_availability": r"\b(injur|recover|return|absen|questionable|pup|reserve)\w*\b",
+    "role_usage": r"\b(starter|starting|depth chart|rotation|snaps?|targets?|carries|routes?)\b",
+    "quarterback": r"\b(quarterback|\bqb\b)\b",
+    "running_back": r"\b(running back|\brb\b|backfield)\b",
+    "receiver_tight_end": r"\b(receiver|wideout|tight end|\bwr\b|\bte\b)\b",
+}
+# Responsibilities of offensive staff and what a title says for each.
+RESPONSIBILITIES = {
+    "offensive_coordinator": r"offens(?:iv)?e coordinator",
+    "quarterbacks": r"quarterback",
+    "running_backs": r"running back",
+    "wide_receivers": r"wide receiver",
+    "tight_ends": r"tight end",
+    "offensive_line": r"offens(?:iv)?e line",
+    "pass_game": r"pass(?:ing)? game",
+    "run_game": r"run(?:ning)? game",
+    "offensive_assistant": r"assistant|quality control|analyst",
 }
 
 
@@ -112,14 +155,43 @@ def canonical_team(col: Column) -> Column:
     return F.coalesce(lookup(TEAM_ALIASES, word), word)
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decomposition without marks: characters with one plain base, their bases, and those with several."""
+    one, bases, several = [], [], {}
+    for code in range(0xA0, 0x10000):
+        char = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char).casefold() if not unicodedata.combining(c))
+        if plain == char or 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+            continue
+        if len(plain) == 1:
+            one.append(char)
+            bases.append(plain)
+        elif plain.isascii() and plain.isalnum():
+            several[char] = plain
+    return "".join(one), "".join(bases), several
+
+
+def folded_name(col: Column) -> Column:
+    """A name without case, accents and compatibility forms (NFKD, by a table made from the Unicode data)."""
+    one, bases, several = _folds()
+    name = F.translate(F.regexp_replace(F.lower(col), r"\p{M}", ""), one, bases)
+    for base in sorted(set(several.values())):
+        chars = "".join(c for c, plain in several.items() if plain == base)
+        name = F.regexp_replace(name, f"[{chars}]", base)
+    return name
+
+
 def identity_key(col: Column) -> Column:
-    """A name without marks, accents of Latin letters, case and generational suffix."""
-    accents = "áàâäãåéèêëíìîïóòôöõúùûüýÿñç"
-    plain = "aaaaaaeeeeiiiiooooouuuuyync"
-    name = F.translate(F.lower(col), accents, plain)
-    name = F.regexp_replace(name, r"[^a-z0-9 ]", "")
-    name = F.regexp_replace(F.trim(F.regexp_replace(name, " +", " ")), r" (?:jr|sr|ii|iii|iv|v)$", "")
-    return F.regexp_replace(name, " ", "")
+    """C6, by tokens: letters and digits of a folded name, without generational suffixes at its end."""
+    name = F.trim(F.regexp_replace(folded_name(col), r"[^a-z0-9]+", " "))
+    name = F.regexp_replace(name, r"^(?:(?:jr|sr|ii|iii|iv|v)(?: |$))+$", "")
+    return F.regexp_replace(F.regexp_replace(name, r"(?: (?:jr|sr|ii|iii|iv|v))+$", ""), " ", "")
+
+
+def identity_end(col: Column) -> Column:
+    """C6, by the end of the string: letters and digits of a folded name, less one suffix at the end."""
+    return F.regexp_replace(F.regexp_replace(folded_name(col), r"[^\p{L}\p{N}]", ""), r"(?:iii|ii|iv|jr|sr)$", "")
 
 
 def name_aliases(*names: Column) -> Column:
@@ -129,11 +201,24 @@ def name_aliases(*names: Column) -> Column:
 
 
 def staff_side(role: Column) -> Column:
-    """Side of a staff title by its first telling word."""
+    """Side of a staff title, by the first group of words that it has."""
+    text = F.lower(role)
+    offense = r"offens(?:iv)?e|quarterback|running back|wide receiver|tight end|pass(?:ing)? game|run(?:ning)? game"
+    return (
+        F.when(text.rlike(r"^head coach(?:$|/| &| and )"), "head_coach")
+        .when(text.rlike(r"defens(?:iv)?e|lineback|secondary"), "defense")
+        .when(text.rlike(r"special teams|kicking|punter|return game"), "special_teams")
+        .when(text.rlike(r"strength|performance|conditioning"), "performance")
+        .when(text.rlike(offense), "offense")
+        .otherwise("other")
+    )
+
+
+def staff_responsibilities(role: Column, side: Column) -> Column:
+    """Sorted responsibilities of a title; head coaches have their own, only offensive staff have others."""
     text = F.lower(role)
-    special, defense = r"special teams", r"defen[sc]|linebacker|cornerback|secondary|safet"
-    offense = r"offen[sc]|quarterback|running back|receiver|tight end|passing|run game"
-    return F.when(text.rlike(special), "special_teams").when(text.rlike(defense), "defense").when(text.rlike(offense), "offense").otherwise("other")
+    found = [F.when((side == "offense") & text.rlike(pattern), F.lit(name)) for name, pattern in RESPONSIBILITIES.items()]
+    return F.array_sort(F.array_compact(F.array(F.when(side == "head_coach", F.lit("head_coach")), *found)))
 
 
 def topic_tags(headline: Column, topics: Mapping[str, str] = TOPICS) -> Column:
@@ -149,6 +234,11 @@ def fantasy_points(projected: Column, stats: Mapping[str, Column], scoring: Mapp
     return F.coalesce(projected, total)
 
 
+def points_range(points: Column, floor: Column, ceiling: Column) -> tuple[Column, Column]:
+    """Floor and ceiling where given, else the points."""
+    return F.coalesce(floor, points), F.coalesce(ceiling, points)
+
+
 def depth_weight(position: Column, rank: Column, fullback: Column | None = None, resource: Column | None = None) -> Column:
     """Weight of a depth rank; beyond the table the last one falls by 0.55 a rank; 0.02 without a rank."""
     out = F.lit(None).cast("double")
@@ -169,6 +259,11 @@ def status_family(status: Column, description: Column) -> Column:
     return F.when(code == "RES", reserve).otherwise(lookup(HISTORY_STATUS, code))
 
 
+def current_status_family(status: Column, evidence: Column) -> Column:
+    """C14: cohort family of a current roster status; what evidence says goes first. Null for unknown ones."""
+    return F.coalesce(lookup(EVIDENCE_STATUS, F.lower(F.trim(evidence))), lookup(CURRENT_STATUS, F.upper(F.trim(status))))
+
+
 def score_band(score: Column, bands: Sequence[tuple[float, str]] = EVIDENCE_BANDS, lowest: str = "weak_role_evidence") -> Column:
     """The first band whose bound the score reaches; null scores stay null."""
     out = F.lit(lowest)
@@ -208,6 +303,15 @@ def lineup_status(count: Column, fixed: Column, flex_excess: Column, flex_slots:
     return F.when(count < fixed, "starter").when(flex_eligible & (flex_excess < flex_slots), "flex").otherwise("bench")
 
 
+def roster_needs(statuses: Mapping[str, Column], turn: Column, late: Sequence[str] = ("K", "DST"), from_round: int = 11) -> Column:
+    """The positions that are starter or flex, those of ``late`` only from a round on, in the order given."""
+    needs = []
+    for position, status in statuses.items():
+        open_ = status.isin("starter", "flex")
+        needs.append(F.when(open_ & (turn >= from_round) if position in late else open_, F.lit(position)))
+    return F.array_compact(F.array(*needs))
+
+
 def play_flags(p: dict[str, Column]) -> dict[str, Column]:
     """C11: situation flags of a play, from its columns by name."""
     known = (p["pass"] + p["rush"]) == 1
@@ -243,6 +347,8 @@ def event_flags(p: dict[str, Column]) -> dict[str, Column]:
         "two_minute_carries": late,
         "qb_scramble_carries": (p["position"] == "QB") & scramble,
         "designed_qb_carries": (p["position"] == "QB") & ~scramble,
+        "designed_qb_red_zone_carries": (p["position"] == "QB") & ~scramble & (yard <= 20),
+        "designed_qb_inside_10_carries": (p["position"] == "QB") & ~scramble & (yard <= 10),
         "designed_qb_inside_5_carries": (p["position"] == "QB") & ~scramble & (yard <= 5),
     }
     return {name: F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}

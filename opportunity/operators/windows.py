@@ -10,18 +10,29 @@ from pyspark.sql import functions as F
 from opportunity.functions.clean import safe_ratio
 from opportunity.functions.stored import stored
 from opportunity.operators.ranges import counted_values, running_total
+from opportunity.quality import QualityError
 
 
+#: Positions of a league.
+MOST_POSITIONS = 64
 #: Digits to which shares are compared: sums of the same numbers in another order are equal.
 TIE_DIGITS = 9
 
 
 def share_in_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Value over the sum of its group; null where the group has no mass."""
+    """Value over the sum of its group; null where the group has no mass (see ``checked_share``)."""
     totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
     return df.join(totals, list(keys)).withColumn("share", safe_ratio(F.col(value), F.when(F.col("_total") != 0, F.col("_total")))).drop("_total")
 
 
+def checked_share(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """W1 with its error: a group without mass."""
+    empty = df.groupBy(*keys).agg(F.sum(value).alias("_total")).filter(~F.coalesce(F.col("_total") > 0, F.lit(False)))
+    if found := empty.select(*keys).limit(1).collect():
+        raise QualityError(f"no mass in {found[0].asDict()}")
+    return share_in_group(df, keys, value)
+
+
 def average_rank_percentile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean rank of ties on 0..1; 0.5 for a group of one."""
     place = (F.col("_upto") - (F.col("_equal") + 1) / 2) / (F.col("_all") - 1)
@@ -71,16 +82,18 @@ def top_role(df: DataFrame, room: Sequence[str], player: str, share: str) -> Dat
 def half_season_trend(usage: DataFrame, through_week: int) -> DataFrame:
     """Mean volume of the later and earlier half of the weeks so far.
 
-    ``usage`` has player_id, week, team and volume. A player with usage and no late game is
-    unavailable.
+    ``usage`` has player_id, week, team and volume, and may have target_share, whose late mean is
+    late_share. A player with usage and no late game is unavailable.
     """
     middle = through_week // 2
     late, early = F.col("week") > middle, F.col("week") <= middle
+    more = [F.avg(F.when(late, F.col("target_share"))).alias("late_share")] if "target_share" in usage.columns else []
     out = usage.filter(F.col("week") <= through_week).groupBy("player_id").agg(
         F.avg(F.when(late, F.col("volume"))).alias("late"),
         F.avg(F.when(early, F.col("volume"))).alias("early"),
         F.count("*").alias("games"),
         F.max(F.struct("week", "team"))["team"].alias("team"),
+        *more,
     )
     return out.withColumn("trend", F.coalesce("late", F.lit(0.0)) - F.coalesce("early", F.lit(0.0))).withColumn("unavailable", F.col("late").isNull())
 
@@ -108,6 +121,22 @@ def recent_share(picks: DataFrame, keys: Sequence[str], order: str, n: int) -> D
     return counted.join(totals, list(keys)).select(*keys, "position", (F.col("_n") / F.col("_all")).alias("share"))
 
 
+def run_pressure(picks: DataFrame, demand: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
+    """How far each position's share of the last ``n`` picks is above its expected share, from 0 to 1.
+
+    ``demand`` has position and the starters that the league needs; the expected share is its part
+    of all. Drafts without picks have no rows; positions without recent picks have 0.
+    """
+    total = demand.agg(F.greatest(F.lit(1), F.sum("demand")).alias("_all"))
+    expected = demand.crossJoin(F.broadcast(total)).select("position", (F.col("demand") / F.col("_all")).alias("expected"))  # one row on the right
+    if demand.limit(MOST_POSITIONS + 1).count() > MOST_POSITIONS:
+        raise QualityError("too many positions")
+    drafts = picks.select(*keys).distinct().crossJoin(F.broadcast(expected))  # MOST_POSITIONS rows on the right
+    joined = drafts.join(recent_share(picks, keys, order, n), [*keys, "position"], "left")
+    excess = (F.coalesce("share", F.lit(0.0)) - F.col("expected")) / F.greatest(F.lit(0.05), F.col("expected"))
+    return joined.select(*keys, "position", "expected", F.greatest(F.lit(0.0), F.least(F.lit(1.0), excess)).alias("pressure"))
+
+
 def scope_deltas(rows: DataFrame, keys: Sequence[str], model: str, error: str, baseline: str) -> DataFrame:
     """Each model's error less the baseline's on the same key."""
     base = rows.filter(F.col(model) == baseline).select(*keys, F.col(error).alias("_base"))

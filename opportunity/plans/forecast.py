@@ -51,14 +51,14 @@ def position_environments(metrics: DataFrame, features: dict[str, float]) -> Dat
     return rank_in(scored, [], [F.desc("score"), F.col("team")])
 
 
-def resource_forecasts(style: DataFrame, factors: DataFrame) -> DataFrame:
+def resource_forecasts(style: DataFrame, factors: DataFrame, by: str | None = None) -> DataFrame:
     """six pools per team and game, long.
 
     ``style`` has team, plays_per_game, pass_rate, qb_scramble_rate, designed_qb_run_share and the
-    three target shares; ``factors`` one row. Shares that sum above 1 are scaled to 1; above 1.05
+    three target shares; ``factors`` one row, or one for each value of ``by``. Shares that sum above 1 are scaled to 1; above 1.05
     the row is invalid and its pools are null.
     """
-    joined = style.crossJoin(F.broadcast(factors))  # one row on the right
+    joined = style.join(factors, by) if by else style.crossJoin(F.broadcast(factors))  # one row on the right
     total = F.col("rb_target_share") + F.col("wr_target_share") + F.col("te_target_share")
     scale = F.when(total > 1.05, F.lit(None).cast("double")).when(total > 1, total).otherwise(1.0)
     passes, rushes = F.col("plays_per_game") * F.col("pass_rate"), F.col("plays_per_game") * (1 - F.col("pass_rate"))

@@ -50,6 +50,13 @@ def reconcile(parts: DataFrame, totals: DataFrame, keys: Sequence[str], part: st
     return totals.join(sums, list(keys), "left").select(*keys, total, F.coalesce("parts", F.lit(0.0)).alias("parts")).withColumn("error", F.abs(F.col("parts") - F.col(total)))
 
 
+def assert_reconciled(parts: DataFrame, totals: DataFrame, keys: Sequence[str], part: str, total: str, tolerance: float = 1e-6) -> None:
+    """Q4: raises on a group whose parts miss its total by more than ``tolerance``."""
+    off = reconcile(parts, totals, keys, part, total).filter(~F.coalesce(F.col("error") <= tolerance, F.lit(False)))
+    if found := off.limit(1).collect():
+        raise QualityError(f"parts do not sum to the total: {found[0].asDict()}")
+
+
 def not_after(df: DataFrame, date: str, cutoff: str) -> DataFrame:
     """Q5: latest date, age in days at the cutoff, and rows after it."""
     day = F.to_date(F.lit(cutoff))
@@ -76,9 +83,12 @@ def bundle_fingerprint(tables: Mapping[str, str], parameters: Mapping[str, objec
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def source_inventory(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Q7: rows and latest date of each table, by name."""
+def source_inventory(tables: Mapping[str, tuple[DataFrame, str]], as_of: str | None = None) -> DataFrame:
+    """Q7: rows and latest date of each table, by name; with ``as_of`` also its age in days then and its hash (Q6)."""
     parts = [df.agg(F.lit(name).alias("component"), F.count("*").alias("rows"), F.max(F.to_date(date)).alias("latest")) for name, (df, date) in tables.items()]
+    if as_of is not None:
+        hashes = [table_fingerprint(df) for df, _ in tables.values()]
+        parts = [p.withColumn("age_days", F.datediff(F.to_date(F.lit(as_of)), "latest").cast("long")).withColumn("hash", F.lit(h)) for p, h in zip(parts, hashes)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -95,6 +105,19 @@ def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(F.count("*").alias("rows"), *[F.avg(F.col(c).isNull().cast("double")).alias(f"{c}_null_share") for c in columns])
 
 
+def profile_snapshot(df: DataFrame, counts: Sequence[str], shares: Mapping[str, Column], conflicts: Mapping[str, Column]) -> DataFrame:
+    """Q9: one row: how many distinct values and rows, the mean and the most of each share, and rows in conflict."""
+    parts = [F.count("*").alias("rows"), *[F.countDistinct(c).alias(f"{c}_values") for c in counts]]
+    parts += [x for name, value in shares.items() for x in (F.avg(value).alias(f"mean_{name}"), F.max(value).alias(f"max_{name}"))]
+    return df.agg(*parts, *[F.sum(F.when(F.coalesce(rule, F.lit(False)), 1).otherwise(0)).alias(name) for name, rule in conflicts.items()])
+
+
+def assert_reproduces(recomputed: DataFrame, stored: DataFrame, what: str = "decision") -> None:
+    """Q10: raises unless a stored result has just the rows that its inputs give again."""
+    if not same_rows(recomputed, stored.select(*recomputed.columns)):
+        raise QualityError(f"the stored {what} is not what its inputs give")
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Q10: whether two tables hold the same rows, each as often."""
     columns = sorted(a.columns)

@@ -12,13 +12,15 @@ from opportunity.operators.joins import asof_latest
 from opportunity.operators.windows import keep_best
 from opportunity.quality import QualityError, assert_range, assert_unique
 
+#: Seasons of one read.
+MOST_SEASONS = 500
 PLAY_NUMBERS = ("yardline_100", "yards_gained", "air_yards", "epa", "wp", "pass_oe", "half_seconds_remaining", "ydstogo")
 PLAY_WHOLE = ("season", "week", "qtr", "down")
 PLAY_FLAGS = ("qb_kneel", "qb_spike", "qb_scramble", "pass", "rush", "shotgun", "no_huddle", "success", "goal_to_go")
 PLAY_TEXT = ("game_id", "play_id", "receiver_player_id", "rusher_player_id")
 CHARTING_FLAGS = ("is_motion", "is_play_action", "is_screen_pass", "is_rpo", "is_trick_play", "is_qb_out_of_pocket", "is_qb_sneak")
 # Fixed values.
-MARKET_POSITIONS = {"QB": "QB", "RB": "RB", "WR": "WR", "TE": "TE", "PK": "K", "K": "K", "DEF": "DST", "DST": "DST"}
+MARKET_POSITIONS = {"QB": "QB", "RB": "RB", "WR": "WR", "TE": "TE", "PK": "K", "K": "K", "DEF": "DST", "DST": "DST", "D/ST": "DST"}
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -83,7 +85,8 @@ def read_weekly_rosters(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 def read_opening_depth(spark: SparkSession, paths: Mapping[str, str], cutoffs: DataFrame) -> DataFrame:
     """Opening depth rows of two layouts: ``weekly`` (week 1 of a season) and ``dated`` (last time before the cutoff).
 
-    ``cutoffs`` has season and cutoff (a date); dated rows belong to the season of their path's cutoff.
+    ``cutoffs`` has season and cutoff (a date). A dated row belongs to the season whose cutoff is the
+    next one after it; of each season and team the last time stays.
     """
     parts = []
     if "weekly" in paths:
@@ -93,8 +96,11 @@ def read_opening_depth(spark: SparkSession, paths: Mapping[str, str], cutoffs: D
     if "dated" in paths:
         raw = read_text_table(spark, paths["dated"], ["dt", "team", "gsis_id", "pos_abb", "pos_rank"])
         rows = raw.select(F.to_timestamp(F.trim("dt")).alias("dt"), canonical_team(F.col("team")).alias("team"), skill_position(F.col("pos_abb")).alias("position"), _blank_to_null("gsis_id").alias("player_id"), integral(F.col("pos_rank")).cast("int").alias("depth_rank"))
-        bound = cutoffs.agg(F.max(F.struct("season", "cutoff")).alias("last")).select("last.season", F.col("last.cutoff").cast("timestamp").alias("cutoff"))
-        dated = asof_latest(rows.crossJoin(F.broadcast(bound)), "team", "dt", F.col("cutoff"))  # one row on the right
+        bounds = sorted((r.cutoff, r.season) for r in cutoffs.select("season", F.col("cutoff").cast("timestamp").alias("cutoff")).distinct().limit(MOST_SEASONS).collect())
+        season = F.lit(None).cast("int")
+        for cutoff, number in reversed(bounds):
+            season = F.when(F.col("dt") < F.lit(cutoff), number).otherwise(season)
+        dated = asof_latest(rows.withColumn("season", season).filter("season is not null"), ["season", "team"], "dt")
         parts.append(dated.select("season", "team", "position", "player_id", "depth_rank"))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return keep_best(found.filter("player_id is not null and position <> 'OTHER'"), ["season", "team", "position", "player_id"], [F.coalesce("depth_rank", F.lit(1 << 30))])
@@ -132,6 +138,29 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def read_roster(spark: SparkSession, path: str) -> DataFrame:
+    """Season roster: one row for each season and player."""
+    raw = read_text_table(spark, path, ["season", "team", "position", "full_name", "gsis_id", "status"])
+    more = [_blank_to_null(c).alias(n) for c, n in (("pfr_id", "other_id"), ("week", "week")) if c in raw.columns]
+    rows = raw.select(
+        integral(F.col("season")).cast("int").alias("season"), canonical_team(F.col("team")).alias("team"), skill_position(F.col("position")).alias("position"),
+        _blank_to_null("gsis_id").alias("player_id"), F.trim("full_name").alias("name"), F.upper(F.trim("status")).alias("status"), *more,
+    )
+    assert_unique(rows.filter("player_id is not null"), ["season", "player_id"])
+    return rows
+
+
+def read_snap_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Offensive snaps of each player and game of the regular season, by the second id."""
+    raw = read_text_table(spark, path, ["season", "game_id", "game_type", "week", "player", "pfr_player_id", "team", "offense_snaps"])
+    rows = raw.filter(F.upper(F.trim("game_type")) == "REG").select(
+        integral(F.col("season")).cast("int").alias("season"), F.trim("game_id").alias("game_id"), integral(F.col("week")).cast("int").alias("week"), canonical_team(F.col("team")).alias("team"),
+        F.trim("player").alias("name"), _blank_to_null("pfr_player_id").alias("other_id"), F.coalesce(finite(F.col("offense_snaps")), F.lit(0.0)).alias("snaps"),
+    )
+    assert_range(rows, {"snaps": F.col("snaps") >= 0})
+    return rows
+
+
 def read_adp(spark: SparkSession, path: str) -> DataFrame:
     """Draft positions of a JSON document with ``players``; positions mapped, ranges checked."""
     raw = spark.read.json(path, multiLine=True)
@@ -142,7 +171,7 @@ def read_adp(spark: SparkSession, path: str) -> DataFrame:
     )
     assert_range(found, {"position": F.col("position").isNotNull(), "range": F.col("high") <= F.col("low"), "bye": F.col("bye").between(1, 18), "adp": F.col("adp") > 0, "stdev": F.col("stdev") >= 0})
     assert_unique(found, ["source_player_id"])
-    return found
+    return found.orderBy("adp", "source_player_id")
 
 
 def read_season_usage(spark: SparkSession, path: str, season: int) -> DataFrame:
@@ -170,27 +199,48 @@ def read_closed_table(spark: SparkSession, path: str, text: Sequence[str], numbe
     return raw.select(*columns)
 
 
+EVIDENCE_SCHEMA = """
+sources array<struct<id:string,url:string,published:string>>,
+teams array<struct<team:string,scheme_family:string,scheme_continuity:double,returning_starters_fraction:double,
+  staff:array<struct<name:string,roles:array<string>,continuity:string,influence_weight:double,is_head_coach:boolean,is_play_caller:boolean,
+    completed_playcalling_seasons:double,playcaller_confirmation:string,source_ids:array<string>>>,
+  anchors:array<struct<team:string,season:int,weight:double,reason:string>>,
+  claims:array<struct<id:string,source_id:string,confidence:double,certainty_effect:double,dimensions:array<string>,metric_signals:map<string,double>>>>>,
+records array<struct<id:string,season:int,team:string,player_id:string,metrics:array<string>,finding:string,source_ids:array<string>>>
+"""
+
+
 def read_evidence(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Nested evidence as flat tables: sources, claims and claim_signals.
+    """Nested evidence as flat tables: sources, teams, staff, anchors, claims, claim_signals and records.
 
-    The document has ``sources`` (id, url, published) and ``teams`` with ``claims`` (id,
-    source_id, confidence, metric_signals as a map).
+    ``staff`` has a row for each person of a team, ``anchors`` for each past season that a team's
+    caller is judged by, ``claim_signals`` for each metric of a claim and ``records`` for each metric
+    of a reviewed record. Parts that a document lacks give no rows.
     """
-    schema = "sources array<struct<id:string,url:string,published:string>>, teams array<struct<team:string,claims:array<struct<id:string,source_id:string,confidence:double,metric_signals:map<string,double>>>>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
-    claims = raw.select(F.explode("teams").alias("t")).select("t.team", F.explode("t.claims").alias("c"))
+    raw = spark.read.schema(EVIDENCE_SCHEMA).json(path, multiLine=True)
+    teams = raw.select(F.explode("teams").alias("t")).select("t.*")
+    claims = teams.select("team", F.explode("claims").alias("c"))
     return {
         "sources": raw.select(F.explode("sources").alias("s")).select("s.id", "s.url", F.to_date("s.published").alias("published")),
-        "claims": claims.select("team", "c.id", "c.source_id", "c.confidence"),
+        "teams": teams.select("team", "scheme_family", "scheme_continuity", "returning_starters_fraction"),
+        "staff": teams.select("team", F.explode("staff").alias("s")).select("team", "s.*"),
+        "anchors": teams.select("team", F.explode("anchors").alias("a")).select("team", F.col("a.team").alias("anchor_team"), "a.season", "a.weight", "a.reason"),
+        "claims": claims.select("team", "c.id", "c.source_id", "c.confidence", "c.certainty_effect", "c.dimensions"),
         "claim_signals": claims.select("team", F.col("c.id").alias("claim_id"), F.explode("c.metric_signals").alias("metric", "signal")),
+        "records": raw.select(F.explode("records").alias("r")).select("r.id", "r.season", "r.team", "r.player_id", F.explode("r.metrics").alias("metric"), "r.finding", "r.source_ids"),
     }
 
 
 def read_news(spark: SparkSession, path: str, per_feed: int) -> DataFrame:
-    """Items of RSS files with all fields, one for each guid, the newest ``per_feed`` of each file."""
-    schema = "title string, link string, guid string, pubDate string, source string"
-    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).withColumn("feed", F.input_file_name())
-    full = raw.dropna(subset=["title", "link", "pubDate", "source"]).withColumn("guid", F.coalesce("guid", "link"))
-    one = keep_best(full, ["guid"], [F.col("feed"), F.col("link")])
-    place = F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("pubDate"), "guid"))
-    return one.withColumn("_place", place).filter(F.col("_place") <= per_feed).drop("_place")
+    """Items of RSS files with all fields, the first of each guid and the first ``per_feed`` of each file, in document order.
+
+    A feed is read whole, so that the places of its items are known; its items are then rows.
+    """
+    schema = "channel struct<item:array<struct<title:string,link:string,guid:string,pubDate:string,source:string>>>"
+    raw = spark.read.format("xml").option("rowTag", "rss").schema(schema).load(path).withColumn("feed", F.input_file_name())
+    items = raw.select("feed", F.posexplode("channel.item").alias("place", "i")).select("feed", "place", *[F.trim(F.col(f"i.{c}")).alias(c) for c in ("title", "link", "guid", "pubDate", "source")])
+    items = items.withColumn("guid", F.coalesce(F.when(F.col("guid") != "", F.col("guid")), F.col("link")))
+    full = items.filter(F.least(*[F.length(F.coalesce(c, F.lit(""))) for c in ("title", "link", "guid", "pubDate", "source")]) > 0)
+    one = keep_best(full, ["feed", "guid"], [F.col("place")])
+    kept = F.row_number().over(Window.partitionBy("feed").orderBy("place"))
+    return one.withColumn("_place", kept).filter(F.col("_place") <= per_feed).drop("_place", "place")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opportunity.functions.clean import safe_ratio
+from opportunity.operators.aggregates import leave_one_out
 from opportunity.operators.joins import prior_history
 from opportunity.operators.ranges import counted_values
 from opportunity.operators.windows import TIE_DIGITS
@@ -181,6 +182,60 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return both.groupBy(*keys).agg(F.corr(f"_{x}_rank", f"_{y}_rank").alias("spearman"), F.count("*").alias("n"))
 
 
+def bootstrap_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, samples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Interval (low, high) of the rank correlation over resampled rows, by key; degenerate samples are skipped.
+
+    A row of ``df`` is a unit such as a team-season, so a key has few of them. With less than half
+    of the samples usable the interval is null.
+    """
+
+    def resample(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([x, y], kind="stable")
+        name = [frame[k].iloc[0] for k in keys]
+        rng = np.random.default_rng(scope_seed("|".join(map(str, name)), seed))
+        a, b, found = frame[x].to_numpy(float), frame[y].to_numpy(float), []
+        for _ in range(samples):
+            at = rng.integers(0, len(a), len(a))
+            p, q = (pd.Series(v[at]).rank().to_numpy() for v in (a, b))
+            if p.std() > 0 and q.std() > 0:
+                found.append(np.corrcoef(p, q)[0, 1])
+        tail = 100 * (1 - level) / 2
+        low, high = np.percentile(found, [tail, 100 - tail]) if len(found) >= max(1, samples // 2) else (None, None)
+        return pd.DataFrame([[*name, low, high, len(found)]], columns=[*keys, "low", "high", "samples"])
+
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    types = dict(both.dtypes)
+    return both.groupBy(*keys).applyInPandas(resample, ", ".join([*(f"{k} {types[k]}" for k in keys), "low double, high double, samples long"]))
+
+
+def tier_radii(rows: DataFrame, keys: Sequence[str], error: str, coverage: float = 0.90) -> DataFrame:
+    """The radius (E6) of each tier of the keys, and of all tiers (tier ``global``)."""
+    every = rows.withColumn("tier", F.explode(F.array(F.col("tier"), F.lit("global"))))
+    return conformal_radius(every, [*keys, "tier"], error, coverage)
+
+
+def leave_one_out_brier(counts: DataFrame, outcomes: DataFrame, keys: Sequence[str], segment: Sequence[str], cluster: str, z: float = 1.645) -> DataFrame:
+    """Squared errors of a cohort and a coarse probability, both from all other seasons, per segment.
+
+    ``counts`` has season, the keys, trials and successes; ``outcomes`` season, the keys, the segment,
+    the cluster and active (0 or 1). The coarse model pools the last key. The interval of the paired
+    difference is normal over cluster means.
+    """
+    def chance(own: Sequence[str], name: str) -> DataFrame:
+        pooled = counts.groupBy("season", *own).agg(F.sum("trials").alias("trials"), F.sum("successes").alias("successes"))
+        rest = leave_one_out(pooled, own, "season", ["trials", "successes"])
+        return rest.select("season", *own, laplace_mean(F.col("successes"), F.col("trials")).alias(name))
+
+    rows = outcomes.join(chance(keys, "cohort"), ["season", *keys]).join(chance(keys[:-1], "coarse"), ["season", *keys[:-1]])
+    square = {m: F.pow(F.col(m) - F.col("active"), F.lit(2.0)) for m in ("cohort", "coarse")}
+    rows = rows.select(*segment, cluster, *[s.alias(m) for m, s in square.items()])
+    means = rows.groupBy(*segment, cluster).agg(F.count("*").alias("_n"), *[F.sum(m).alias(f"_{m}") for m in square], F.avg(F.col("cohort") - F.col("coarse")).alias("_d"))
+    out = means.groupBy(*segment).agg(
+        F.sum("_n").alias("n"), F.count("*").alias("clusters"), *[(F.sum(f"_{m}") / F.sum("_n")).alias(f"{m}_brier") for m in square], F.avg("_d").alias("delta"), (F.stddev_samp("_d") / F.sqrt(F.count("*"))).alias("_se")
+    )
+    return out.withColumn("low", F.col("delta") - z * F.col("_se")).withColumn("high", F.col("delta") + z * F.col("_se")).drop("_se")
+
+
 def tertiles(df: DataFrame, development: Column, score: str) -> DataFrame:
     """Tier of each row by cut points from the development rows alone."""
     cuts = df.filter(development).agg(F.percentile(score, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cuts"))
