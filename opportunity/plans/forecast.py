@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opportunity.functions.clean import depth_weight, normal_cdf, safe_ratio, score_band, snake_owner
+from opportunity.functions.clean import depth_weight, lookup, normal_cdf, safe_ratio, score_band, snake_owner
 from opportunity.operators.aggregates import weighted_mean
 from opportunity.operators.windows import average_rank_percentile, cume_percentile, drop_to_kth_next, keep_best, ordinal_percentile, rank_in, share_in_group
+from opportunity.quality import assert_rule
 from opportunity.stats import laplace_mean, shrunk_rate_multiplier, wilson_bounds
 
 RESOURCES = ("QB_DROPBACKS", "QB_RUSH_OPPORTUNITIES", "RB_CARRIES", "RB_TARGETS", "WR_TARGETS", "TE_TARGETS")
@@ -39,6 +42,110 @@ def caller_fingerprints(anchors: DataFrame, destination: DataFrame, league: Data
     return joined.select("team", "metric", F.coalesce("anchors", F.lit(0)).alias("anchors"), F.coalesce(blend, alone).alias("forecast"))
 
 
+# Weights of caller, destination and league by the caller's case.
+CALLER_CASES = {
+    "same": (0.65, 0.30, 0.05),
+    "moved": (0.70, 0.20, 0.10),
+    "staff_with_anchors": (0.40, 0.50, 0.10),
+    "staff": (0.00, 0.80, 0.20),
+    "anchors": (0.65, 0.20, 0.15),
+    "new_high_continuity": (0.00, 0.80, 0.20),
+    "new_half_continuity": (0.00, 0.60, 0.40),
+    "new": (0.00, 0.35, 0.65),
+}
+# Fixed values.
+CERTAINTY_LABELS = ((80, "high"), (65, "medium-high"), (50, "medium"), (35, "low-medium"))
+
+
+def caller_cases(teams: DataFrame) -> DataFrame:
+    """case, caller component and blend weights of each team.
+
+    ``teams`` has same, moved, on_prior_staff, anchors (how many), episodes (whether there is any
+    evidence) and destination_continuity (0-1).
+    """
+    anchored, near = F.col("anchors") > 0, F.col("destination_continuity")
+    case = (
+        F.when(F.col("same"), "same").when(F.col("moved"), "moved")
+        .when(F.col("on_prior_staff") & anchored, "staff_with_anchors").when(F.col("on_prior_staff"), "staff").when(anchored, "anchors")
+        .when(near >= 0.75, "new_high_continuity").when(near >= 0.50, "new_half_continuity").otherwise("new")
+    )
+    known = {"same": 1.0, "moved": 0.75, "staff_with_anchors": 0.65, "staff": 0.60, "anchors": 0.50}
+    component = F.coalesce(lookup(known, F.col("case")), F.when(F.col("episodes"), 0.35).otherwise(0.15))
+    weights = [lookup({c: w[k] for c, w in CALLER_CASES.items()}, F.col("case")).alias(n) for k, n in enumerate(("caller_weight", "destination_weight", "league_weight"))]
+    return teams.withColumn("case", case).select("*", component.alias("caller_component"), *weights)
+
+
+def caller_style_forecasts(teams: DataFrame, anchors: DataFrame, destination: DataFrame, specs: DataFrame, decay: float = 0.75) -> DataFrame:
+    """F1 in full: forecast, stability and certainty of each team and metric.
+
+    ``teams`` is what ``caller_cases`` takes, with identity (0-1), scheme_identity (0-1), staff (0-1) and
+    head_coach_kept; ``anchors`` has team, season, metric, age and value; ``destination`` team, metric and
+    value; ``specs`` metric, tolerance, low, high (null: no bound), and may have team signals in a
+    table of their own, joined as column ``signal`` (null: none) by team and metric.
+    """
+    cases = caller_cases(teams)
+    weight = F.pow(F.lit(decay), F.col("age"))
+    own = anchors.join(specs.select("metric", "tolerance").distinct(), "metric").withColumn("_w", weight)
+    means = own.groupBy("team", "metric").agg(weighted_mean(F.col("value"), F.col("_w")).alias("fingerprint"), F.count("value").alias("count"), F.first("tolerance").alias("_tolerance"))
+    spread = own.join(means, ["team", "metric"]).groupBy("team", "metric").agg(weighted_mean(F.abs(F.col("value") - F.col("fingerprint")), F.col("_w")).alias("_mad"))
+    stable = means.join(spread, ["team", "metric"]).withColumn("stability", F.when(F.col("count") == 0, 0.20).when(F.col("count") == 1, 0.45).otherwise(1 / (1 + F.col("_mad") / F.col("_tolerance")))).drop("_mad", "_tolerance")
+    strength = anchors.select("team", "season", "age").distinct().groupBy("team").agg(F.least(F.lit(1.0), F.sum(weight) / 2.2).alias("anchor_strength"))
+    overall = stable.filter("fingerprint is not null").groupBy("team").agg(F.avg("stability").alias("overall"))
+    scored = cases.join(strength, "team", "left").join(overall, "team", "left").fillna({"anchor_strength": 0.0, "overall": 0.20})
+    coach = F.col("head_coach_kept").cast("double")
+    c = F.col
+    broad = 100 * (0.20 * c("identity") + 0.45 * c("scheme_identity") + 0.15 * c("anchor_strength") + 0.10 * c("destination_continuity") + 0.05 * c("staff") + 0.05 * coach)
+    exact = 100 * (0.10 * c("identity") + 0.15 * c("caller_component") + 0.18 * c("anchor_strength") + 0.12 * c("staff") + 0.08 * coach + 0.12 * c("overall") + 0.15 * c("destination_continuity") + 0.10 * c("scheme_identity"))
+    scored = scored.select("team", "case", "caller_weight", "destination_weight", "league_weight", broad.alias("broad"), F.when(c("same"), exact).otherwise(F.least(exact, F.lit(79.0))).alias("exact"))
+    league = destination.groupBy("metric").agg(F.median("value").alias("league"))
+    joined = scored.join(destination.withColumnRenamed("value", "destination"), "team").join(stable, ["team", "metric"], "left").join(league, "metric").join(specs, ["team", "metric"] if "team" in specs.columns else ["metric"])
+    parts = [(c("fingerprint"), c("caller_weight")), (c("destination"), c("destination_weight")), (c("league"), c("league_weight"))]
+    mass = sum((F.when(v.isNotNull(), w).otherwise(0.0) for v, w in parts), F.lit(0.0))
+    blend = sum((F.coalesce(v * w, F.lit(0.0)) for v, w in parts), F.lit(0.0)) / mass
+    signal = F.coalesce("signal", F.lit(0.0)) if "signal" in specs.columns else F.lit(0.0)
+    moved = blend + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), signal)) * c("tolerance") * 0.5
+    value = F.least(F.coalesce("high", moved), F.greatest(F.coalesce("low", moved), moved))
+    return joined.select(
+        "team", "metric", "case", F.coalesce("count", F.lit(0)).alias("anchors"), F.coalesce("stability", F.lit(0.20)).alias("stability"), value.alias("forecast"), "broad", score_band(c("broad"), CERTAINTY_LABELS, "low").alias("broad_label"),
+        "exact", score_band(c("exact"), CERTAINTY_LABELS, "low").alias("exact_label"), (0.70 * c("exact") + 30 * F.coalesce("stability", F.lit(0.20))).alias("certainty"),
+    )
+
+
+# Features of each position's outlook.
+OUTLOOK_WEIGHTS = {
+    "QB": {"pass_plays": 0.55, "neutral_pass": 0.20, "air_yards": 0.15, "play_action": 0.10},
+    "RB": {"rush_plays": 0.55, "rb_share": 0.35, "plays": 0.10},
+    "WR": {"pass_plays": 0.50, "wr_share": 0.35, "air_yards": 0.15},
+    "TE": {"pass_plays": 0.40, "te_share": 0.60},
+}
+
+
+def position_outlook(forecasts: DataFrame, weights: dict[str, dict[str, float]] = OUTLOOK_WEIGHTS) -> DataFrame:
+    """F2 in full: score, label, drivers and league rank of each team and position.
+
+    ``forecasts`` has team, metric and forecast (F1). Metrics are pivoted, plays are parted by the pass
+    rate, each feature gets its percentile over the teams, and the two features that move the score
+    most are the drivers.
+    """
+    names = ["plays_per_game", "pass_rate", "neutral_early_down_pass_rate", "play_action_rate", "mean_air_yards", "rb_target_share", "wr_target_share", "te_target_share"]
+    wide = forecasts.filter(F.col("metric").isin(*names)).groupBy("team").pivot("metric", names).agg(F.first("forecast"))
+    plays, rate = F.col("plays_per_game"), F.col("pass_rate")
+    features = {
+        "plays": plays, "pass_plays": plays * rate, "rush_plays": plays * (1 - rate), "neutral_pass": F.col("neutral_early_down_pass_rate"), "play_action": F.col("play_action_rate"),
+        "air_yards": F.col("mean_air_yards"), "rb_share": F.col("rb_target_share"), "wr_share": F.col("wr_target_share"), "te_share": F.col("te_target_share"),
+    }
+    long = wide.select("team", *[v.alias(n) for n, v in features.items()]).unpivot("team", list(features), "feature", "value")
+    ranked = average_rank_percentile(long, ["feature"], "value")
+    table = F.array(*[F.struct(F.lit(p).alias("position"), F.lit(f).alias("feature"), F.lit(w).alias("weight")) for p, own in weights.items() for f, w in own.items()])
+    rows = ranked.withColumn("d", F.explode(F.filter(table, lambda d: d["feature"] == F.col("feature")))).select("team", "feature", "percentile", "d.position", "d.weight")
+    driver = F.struct((-F.abs(F.col("percentile") - 0.5) * F.col("weight")).alias("pull"), F.concat(F.col("feature"), F.when(F.col("percentile") >= 0.5, ":high").otherwise(":low")).alias("name"))
+    out = rows.groupBy("team", "position").agg((100 * F.sum(F.col("weight") * F.col("percentile"))).alias("score"), F.array_sort(F.collect_list(driver)).alias("_d"))
+    score = F.col("score")
+    label = F.when(score >= 80, "strongly_favorable").when(score >= 65, "favorable").when(score > 35, "neutral").when(score > 20, "unfavorable").otherwise("strongly_unfavorable")
+    named = out.select("team", "position", "score", label.alias("label"), F.array_join(F.transform(F.slice("_d", 1, 2), lambda d: d["name"]), "|").alias("drivers"))
+    return rank_in(named, ["position"], [F.desc(F.round("score", 1)), F.col("team")], "league_rank")
+
+
 def position_environments(metrics: DataFrame, features: dict[str, float]) -> DataFrame:
     """weighted mean of feature percentiles per team, with rank; ``metrics`` has team and the features."""
     scored = metrics
@@ -121,6 +228,25 @@ def weekly_availability(rows: DataFrame, z: float = 1.645) -> DataFrame:
     return rows.withColumn("p_low", zero(low)).withColumn("p_mean", zero(laplace_mean(F.col("successes"), F.col("trials")))).withColumn("p_high", zero(high))
 
 
+def availability_inputs(players: DataFrame, weeks: Sequence[int], schedule: DataFrame, minimums: DataFrame) -> DataFrame:
+    """F8: each player (player_id, team, family, position) with each week, whether the team has a bye, and the games missed at least.
+
+    ``schedule`` has team and week; ``minimums`` player_id and min_missed. What ``cohort_fallback`` then
+    takes has family and position.
+    """
+    each = players.withColumn("week", F.explode(F.array(*[F.lit(w) for w in weeks])))
+    games = schedule.select("team", "week", F.lit(True).alias("_game")).distinct()
+    joined = each.join(games, ["team", "week"], "left").join(minimums.select("player_id", "min_missed"), "player_id", "left")
+    return joined.withColumn("bye", F.col("_game").isNull()).drop("_game")
+
+
+def availability_support(rows: DataFrame, strong: int = 150, moderate: int = 30) -> DataFrame:
+    """F8: what supports a probability, and why it is 0 where a rule says so."""
+    missed = F.coalesce(F.col("week") <= F.col("min_missed"), F.lit(False))
+    reason = F.when(missed & F.col("bye"), "rule_minimum_and_bye").when(missed, "rule_minimum_absence").when(F.col("bye"), "scheduled_bye").otherwise("")
+    return rows.withColumn("support", F.when(F.col("trials") >= strong, "strong").when(F.col("trials") >= moderate, "moderate").otherwise("weak")).withColumn("constraint", reason)
+
+
 def uniform_draw(seed: int, *key: Column) -> Column:
     """A number in [0, 1) that depends on the key alone, so every resource of a player shares it."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]))
@@ -181,6 +307,13 @@ def scenario_shares(roles: DataFrame, availability: DataFrame, draws: int, seed:
     return out.unionByName(empty.select(*key, F.lit("__UNALLOCATED__").alias("player_id"), (F.col("_empty") / draws).alias("mean_share"), none.alias("p10"), none.alias("p50"), none.alias("p90")))
 
 
+def scenario_opportunities(shares: DataFrame, pools: DataFrame) -> DataFrame:
+    """expected opportunities and their percentiles, of what ``scenario_shares`` returns and the pools per game (team, resource, pool)."""
+    joined = shares.join(pools, ["team", "resource"])
+    names = {"mean_share": "expected", "p10": "opportunities_p10", "p50": "opportunities_p50", "p90": "opportunities_p90"}
+    return joined.select(*shares.columns, *[(F.col("pool") * F.col(share)).alias(name) for share, name in names.items()])
+
+
 def high_value_priors(roles: DataFrame, events: DataFrame, season: int, lookback: int = 3, priors: Sequence[int] = (12, 24, 48), primary: int = 24) -> DataFrame:
     """latent role shares times E8 multipliers at each prior strength, scaled to 1 in each room.
 
@@ -234,6 +367,42 @@ def event_pools(pools: DataFrame, rates: DataFrame, pool_radius: float, rate_rad
     return joined.withColumn("events", F.col("pool") * F.col("rate")).withColumn("events_low", low).withColumn("events_high", high)
 
 
+def raw_rate_reviews(rates: DataFrame, multiple: float = 1.0) -> DataFrame:
+    """teams whose raw rate is ``multiple`` radii or more off the selected one; ``rates`` has team, metric, base, raw_rate, rate and radius."""
+    off = (F.col("base") > 0) & (F.abs(F.col("raw_rate") - F.col("rate")) >= multiple * F.col("radius"))
+    return rates.filter(off).select("team", "metric", "raw_rate", "rate", "radius", F.lit("raw_team_history_outside_rate_calibration_radius").alias("issue"))
+
+
+def weekly_event_counts(shares: DataFrame, pools: DataFrame, totals: DataFrame) -> DataFrame:
+    """F13 in full: season events of each player with low and high, over weeks with a game.
+
+    ``shares`` has team, metric, week, player_id, share, share_low, share_high and scheduled; ``pools``
+    team, metric, events, events_low and events_high a game; ``totals`` team, metric, week and share_sum,
+    to which the shares of a week are scaled. A bye gives 0.
+    """
+    key = ["team", "metric", "week"]
+    scaled = share_in_group(shares.withColumnRenamed("share", "_s"), key, "_s").join(totals, key)
+    joined = scaled.join(pools, ["team", "metric"])
+    ratio = safe_ratio(F.col("share") * F.col("share_sum"), F.col("_s"))
+    plays = lambda value: F.when(F.col("scheduled"), value).otherwise(0.0)
+    values = {"events": F.col("events") * F.coalesce(F.col("share"), F.lit(0.0)) * F.col("share_sum"), "low": F.col("events_low") * F.coalesce(F.col("share_low") * ratio, F.lit(0.0)), "high": F.col("events_high") * F.coalesce(F.col("share_high") * ratio, F.lit(0.0))}
+    return joined.groupBy("team", "metric", "player_id").agg(*[F.sum(plays(v)).alias(f"season_{n}") for n, v in values.items()])
+
+
+def active_event_counts(priors: DataFrame, pools: DataFrame, priors_used: Sequence[int] = (12, 24, 48), primary: int = 24) -> DataFrame:
+    """events a game of each player if those now active play: shares at each prior among the active, and the pool's envelope.
+
+    ``priors`` is what ``high_value_priors`` returns; ``pools`` has team, metric, events, events_low and
+    events_high. Others have 0.
+    """
+    active = lambda p: F.when(F.col("active"), F.col(f"share_p{p}"))
+    totals = priors.groupBy("team", "metric").agg(*[F.sum(active(p)).alias(f"_t{p}") for p in priors_used])
+    rows = priors.join(totals, ["team", "metric"]).join(pools, ["team", "metric"])
+    shares = {p: F.coalesce(safe_ratio(active(p), F.when(F.col(f"_t{p}") > 0, F.col(f"_t{p}"))), F.lit(0.0)) for p in priors_used}
+    low, high = F.least(*shares.values()), F.greatest(*shares.values())
+    return rows.select("team", "metric", "player_id", *[v.alias(f"active_p{p}") for p, v in shares.items()], (F.col("events_low") * low).alias("low"), (F.col("events") * shares[primary]).alias("events"), (F.col("events_high") * high).alias("high"))
+
+
 def player_event_counts(shares: DataFrame, pools: DataFrame) -> DataFrame:
     """weekly events per player: the pool by share, scaled to the room's sum; season sums."""
     scaled = share_in_group(shares.withColumnRenamed("share", "_s"), ["team", "week"], "_s")
@@ -340,6 +509,56 @@ def coaching_census(registry: DataFrame, staff: DataFrame) -> DataFrame:
     return joined.withColumn("valid", F.coalesce((F.col("heads") == 1) & (F.col("coordinators") == 1) & F.col("on_staff"), F.lit(False)))
 
 
+def checked_census(registry: DataFrame, staff: DataFrame) -> DataFrame:
+    """F22 in full: the caller's titles of each team; any team that breaks a rule is an error.
+
+    ``registry`` has team, head_coach, coordinator, caller and confirmation; ``staff`` team, person,
+    side and title. A team has one head coach and one offensive coordinator, whose names are the
+    registry's, and its caller is on the staff and not unresolved.
+    """
+    people = staff.groupBy("team").agg(
+        F.sort_array(F.collect_set(F.when(F.col("side") == "head_coach", F.col("person")))).alias("heads"),
+        F.sort_array(F.collect_set(F.when((F.col("side") == "offense") & F.lower("title").rlike("offens(?:iv)?e coordinator"), F.col("person")))).alias("coordinators"),
+    )
+    titles = staff.groupBy("team", F.col("person").alias("caller")).agg(F.array_join(F.sort_array(F.collect_set("title")), " | ").alias("caller_title"))
+    joined = registry.join(people, "team", "full_outer").join(titles, ["team", "caller"], "left")
+    one = lambda names, name: (F.size(names) == 1) & (F.get(names, F.lit(0)) == F.col(name))
+    rules = {"head coach": one("heads", "head_coach"), "coordinator": one("coordinators", "coordinator"), "caller on staff": F.col("caller_title").isNotNull(), "caller": F.col("confirmation") != "unresolved"}
+    for name, rule in rules.items():
+        assert_rule(joined, rule, f"a team breaks the rule: {name}")
+    return joined.select("team", "head_coach", "coordinator", "caller", "caller_title", "confirmation")
+
+
+def ownership_states(transactions: DataFrame, history: int = 100) -> DataFrame:
+    """F23 in full: owner and slot of each player of each league.
+
+    As ``ownership_replay``, with slot beside owner, and with undos reaching back over the last
+    ``history`` changes only: changes that were older at an undo stand, so such an undo does nothing.
+    A league's changes are one history, replayed in order by one task.
+    """
+    columns = ["league_id", "seq", "kind", "player_id", "owner", "slot"]
+    types = {c: transactions.schema[c].dataType.simpleString() for c in columns}
+
+    def replay(frame: pd.DataFrame) -> pd.DataFrame:
+        owners: dict = {}
+        undo: deque = deque(maxlen=history)
+        for row in frame.sort_values("seq").itertuples(index=False):
+            if row.kind == "undo":
+                if undo:
+                    player, before = undo.pop()
+                    owners.pop(player, None)
+                    if before is not None:
+                        owners[player] = before
+                continue
+            undo.append((row.player_id, owners.get(row.player_id)))
+            owners.pop(row.player_id, None)
+            if row.kind == "add":
+                owners[row.player_id] = (row.owner, row.slot)
+        return pd.DataFrame([(frame["league_id"].iloc[0], p, *state) for p, state in owners.items()], columns=["league_id", "player_id", "owner", "slot"])
+
+    return transactions.select(*columns).groupBy("league_id").applyInPandas(replay, f"league_id {types['league_id']}, player_id {types['player_id']}, owner {types['owner']}, slot {types['slot']}")
+
+
 def ownership_replay(transactions: DataFrame) -> DataFrame:
     """current owner of each player of each league.
 
