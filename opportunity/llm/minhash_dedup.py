@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opportunity.llm.common import beside_texts, broadcast_if_light, broadcast_if_small, written
+from opportunity.llm.common import arrow_batches, beside_texts, broadcast_if_light, broadcast_if_small, written
 
 BANDS, ROWS = 32, 4
 PIVOT_TURNS = 2
@@ -356,6 +356,11 @@ def by_groups(prefix: DataFrame, keys: list[str], columns: dict[str, str], fits:
 
 def row_components(docs: DataFrame, words: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """row, doc_id, tie, n_shingles and component (a row number; null where a row has no words) of every row."""
+    with arrow_batches(docs.sparkSession):
+        return _row_components(docs, words, percent, bands, rows)
+
+
+def _row_components(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
     numbered = signatures(docs, words, bands, rows).withColumn("row", F.monotonically_increasing_id())
     signed = written(numbered, "signatures")  # the numbers stay as they are written
     linked = signed.filter("n_shingles > 0").withColumn("place", _place())

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from opportunity.llm.common import partitions, work_path
+from opportunity.llm.common import arrow_batches, partitions, work_path
 
 STORE_SCHEMA = (
     "part int, block int, first_token long, n_tokens long, doc_ids array<long>, doc_starts array<long>, "
@@ -64,7 +64,7 @@ class WordEncoder:
     are written. The memory of pieces starts anew beyond ``max_words``.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -280,7 +280,8 @@ def write_token_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    ordered.mapInArrow(encode, STORE_SCHEMA).write.parquet(path)
+    with arrow_batches(spark):
+        ordered.mapInArrow(encode, STORE_SCHEMA).write.parquet(path)
     return path
 
 
