@@ -5,8 +5,10 @@ consecutively. The rule layer runs regular expressions in the order of their pri
 where its keywords occur in the text. Of detections that overlap or lie within one another, the
 one with the higher priority stays, then the longer, then the earlier.
 
-The rules are made from licence names, versions and identifiers times the forms in which
-notices are written; see ``default_rules``. They can be replaced by rules of one's own.
+Some 190 rules are sentences of licence headers and texts, written one by one
+(``license_signatures`` and ``TEXTS``); the others are made from licence names, versions and
+identifiers times the forms in which notices are written, see ``default_rules``. They can be
+replaced by rules of one's own.
 
 Words are runs of digits, a-z and non-ASCII characters after A-Z are lower-cased. Null and empty
 texts have no words. Nothing is shuffled.
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opportunity.llm.common import beside_texts
+from opportunity.llm.license_signatures import CLAUSES, HEADERS
 
 #: Phrases of the base layer and their labels.
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -125,7 +128,9 @@ def default_rules() -> tuple[Rule, ...]:
         rules.append(Rule(label, 40, (keyword,), rf"\b{name}(?![\w-])", 0.6))
     for kind in CC_KINDS:
         rules.append(Rule(f"cc-{kind}", 95, ("creativecommons.org",), rf"https?://creativecommons\.org/licenses/{kind}/[\d.]+", 1.0))
-    for label, keyword, pattern in TEXTS:
+    for label, keyword, pattern in HEADERS:
+        rules.append(Rule(label, 85, (keyword,), pattern, 1.0))
+    for label, keyword, pattern in (*TEXTS, *CLAUSES):
         rules.append(Rule(label, 50, (keyword,), pattern, 0.7))
     return tuple(sorted(rules, key=lambda r: (-r.priority, r.label, r.pattern)))
 
