@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opportunity import quality, stats
 from opportunity.driver_queries import EVENTS_SQL, ORACLE_SQL, QUERIES, TRANSITION_SQL, WEEKLY_SQL, _read, player_weeks, query, transitions, weekly
 from opportunity.functions import clean
+from opportunity.functions.stored import stored
 from opportunity.operators import aggregates as agg
 from opportunity.operators import joins, windows
 from opportunity.plans import environment, evaluations, forecast
@@ -42,7 +43,7 @@ HIGH_SQL = (
 
 
 def high_value_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = player_weeks(spark, sf_dir)
+    weeks = stored(player_weeks(spark, sf_dir), "player-weeks")
     events = evaluations.event_rows(weeks)
     past = events.filter(F.col("season") == TARGET - 1).groupBy("team", "metric", "player_id").agg(F.sum("base").alias("base")).filter("base > 0")
     roles = windows.share_in_group(past, ["team", "metric"], "base").drop("base").withColumn("season", F.lit(TARGET))

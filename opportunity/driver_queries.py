@@ -613,9 +613,9 @@ def t3_retained(spark, sf_dir):
     return kept.unionByName(windows.unresolved_keys(a, b, ["o_custkey"]).agg(F.lit("lost").alias("side"), F.count("*").alias("n")))
 
 
-@query("t4_observed_universe", "with s as (select p_partkey as id, p_name as name, 0 as s from part where p_partkey % 2 = 0 union all select s_suppkey, s_name, 1 from supplier union all select c_custkey, c_name, 2 from customer) select id, name from s qualify row_number() over (partition by id order by s, name) = 1")
+@query("t4_observed_universe", "with s as (select p_partkey as id, p_name as name, 0 as s from part union all select s_suppkey, s_name, 1 from supplier union all select c_custkey, c_name, 2 from customer) select id, name from s qualify row_number() over (partition by id order by s, name) = 1")
 def t4_observed_universe(spark, sf_dir):
-    catalog = _read(spark, sf_dir, "part").filter("p_partkey % 2 = 0").selectExpr("p_partkey as id", "p_name as name")
+    catalog = _read(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_name as name")
     saved = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "s_name as name")
     return windows.observed_universe([catalog, saved, _read(spark, sf_dir, "customer").selectExpr("c_custkey as id", "c_name as name")], "id")
 
@@ -983,11 +983,11 @@ def j17_caller_episodes(spark, sf_dir):
 
 @query(
     "j18_evidence_dates",
-    "with t as (select c_custkey as team, unnest([c_custkey % 40, c_custkey % 23, c_custkey % 90]) as source_id, unnest([0, 1, 2]) as place from customer), s as (select o_orderkey as source_id, o_orderdate::date as published from orders where o_orderkey < 100 and o_orderkey % 5 <> 0) select team, arg_min(source_id, place) as primary_source, max(published)::varchar as latest from t join s using (source_id) group by team",
+    "with t as (select c_custkey as team, unnest([c_custkey % 40, c_custkey % 23, c_custkey % 90]) as source_id, unnest([0, 1, 2]) as place from customer), s as (select o_orderkey as source_id, o_orderdate::date as published from orders) select team, arg_min(source_id, place) as primary_source, max(published)::varchar as latest from t join s using (source_id) group by team",
 )
 def j18_evidence_dates(spark, sf_dir):
     teams = _read(spark, sf_dir, "customer").selectExpr("c_custkey as team", "array(c_custkey % 40, c_custkey % 23, c_custkey % 90) as source_ids")
-    sources = _read(spark, sf_dir, "orders").filter("o_orderkey < 100 and o_orderkey % 5 <> 0").selectExpr("o_orderkey as source_id", "to_date(o_orderdate) as published")
+    sources = _read(spark, sf_dir, "orders").selectExpr("o_orderkey as source_id", "to_date(o_orderdate) as published")
     return joins.evidence_dates(teams, sources)
 
 
@@ -1119,11 +1119,11 @@ def c14_status_families(spark, sf_dir):
     return _read(spark, sf_dir, "events").select(clean.status_family(codes, F.lit("R99")).alias("family")).groupBy("family").agg(F.count("*").alias("rows"))
 
 
-@query("c10_points", "select l_orderkey as game_id, l_linenumber::bigint as line, round(coalesce(case when l_partkey % 10 = 0 then 5.0 end, l_quantity * 0.1 + l_tax * 6), 6) as points from lineitem where l_orderkey % 4 = 0")
+@query("c10_points", "select l_orderkey as game_id, l_linenumber::bigint as line, round(coalesce(case when l_partkey % 10 = 0 then 5.0 end, l_quantity * 0.1 + l_tax * 6), 6) as points from lineitem")
 def c10_points(spark, sf_dir):
     projected = F.expr("case when l_partkey % 10 = 0 then 5.0D end")
     points = clean.fantasy_points(projected, {"yards": F.col("l_quantity"), "scores": F.col("l_tax")}, {"yards": 0.1, "scores": 6.0})
-    return _read(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("line"), points.alias("points"))
+    return _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("line"), points.alias("points"))
 
 
 @query("c10_points_all", "select l_orderkey as game_id, l_linenumber::bigint as line, round(coalesce(case when l_partkey % 10 = 0 then 5.0 end, l_quantity * 0.1 + l_tax * 6), 6) as points from lineitem")
@@ -1232,12 +1232,12 @@ def e19_paired_effects(spark, sf_dir):
 
 @query(
     "f7_availability_queue",
-    "with r as (select c_custkey as player_id, c_nationkey as team, c_custkey % 4 as position, case c_custkey % 5 when 0 then 'ACT' when 1 then 'RES' when 2 then 'PUP' else 'CUT' end as status from customer), d as (select s_suppkey as player_id, s_nationkey as team, s_suppkey % 4 as position, s_suppkey % 3 + 1 as depth_rank from supplier), m as (select p_partkey as player_id, p_size::double as adp from part where p_partkey % 3 = 0), g as (select o_custkey as player_id, count(*) as games from orders group by 1), k as (select r.*, depth_rank, adp, games from r left join d using (player_id, team, position) left join m using (player_id) left join g using (player_id) where status in ('RES', 'PUP') and (depth_rank is not null or adp is not null or games > 0)) select player_id, row_number() over (partition by team order by adp asc nulls last, player_id) as queue_rank from k",
+    "with r as (select c_custkey as player_id, c_nationkey as team, c_custkey % 4 as position, case c_custkey % 5 when 0 then 'ACT' when 1 then 'RES' when 2 then 'PUP' else 'CUT' end as status from customer), d as (select s_suppkey as player_id, s_nationkey as team, s_suppkey % 4 as position, s_suppkey % 3 + 1 as depth_rank from supplier), m as (select p_partkey as player_id, p_size::double as adp from part where p_type in ('ECONOMY', 'PROMO')), g as (select o_custkey as player_id, count(*) as games from orders group by 1), k as (select r.*, depth_rank, adp, games from r left join d using (player_id, team, position) left join m using (player_id) left join g using (player_id) where status in ('RES', 'PUP') and (depth_rank is not null or adp is not null or games > 0)) select player_id, row_number() over (partition by team order by adp asc nulls last, player_id) as queue_rank from k",
 )
 def f7_availability_queue(spark, sf_dir):
     roster_rows = _read(spark, sf_dir, "customer").selectExpr("c_custkey as player_id", "c_nationkey as team", "c_custkey % 4 as position", "case c_custkey % 5 when 0 then 'ACT' when 1 then 'RES' when 2 then 'PUP' else 'CUT' end as status")
     depth = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey as player_id", "s_nationkey as team", "s_suppkey % 4 as position", "s_suppkey % 3 + 1 as depth_rank")
-    market = _read(spark, sf_dir, "part").filter("p_partkey % 3 = 0").selectExpr("p_partkey as player_id", "cast(p_size as double) as adp")
+    market = _read(spark, sf_dir, "part").filter("p_type in ('ECONOMY', 'PROMO')").selectExpr("p_partkey as player_id", "cast(p_size as double) as adp")
     games = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("player_id")).agg(F.count("*").alias("games"))
     return forecast.availability_queue(roster_rows, depth, market, games, ["ACT", "RES", "PUP"]).select("player_id", "queue_rank")
 

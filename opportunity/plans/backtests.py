@@ -35,7 +35,7 @@ def role_weights(rooms: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def allocation_backtest(weights: DataFrame, active: DataFrame, actual: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
-    """Errors of each room, model and window when weekly pools are known and shared by weight.
+    """E15 (and E16, with a metric as the resource): errors of each room, model and window when weekly pools are known and shared by weight.
 
     ``weights`` has season, team, resource, player_id, model and weight; ``active`` season, team,
     week and player_id; ``actual`` season, team, resource, week, player_id and amount. Weekly pools
@@ -106,7 +106,7 @@ def transition_backtest(prior: DataFrame, actual: DataFrame, cohorts: DataFrame,
         aware = F.when(F.col("cohort") == cohort, blend + a * F.col("anchor") if a else blend).otherwise(aware)
     rows = rows.withColumn("shrunken", 0.8 * F.col("persistence") + 0.2 * F.col("league")).withColumn("caller_aware", aware)
     long = rows.unpivot(["team", "metric", "cohort"], ["persistence", "shrunken", "caller_aware"], "model", "forecast")
-    found = long.join(actual.withColumnRenamed("value", "actual"), ["team", "metric"]).join(F.broadcast(tolerances), "metric")  # a row for each metric
+    found = long.join(actual.withColumnRenamed("value", "actual"), ["team", "metric"]).join(tolerances, "metric")
     return found.filter("forecast is not null and actual is not null").withColumn("error", F.abs(F.col("forecast") - F.col("actual")) / F.col("tolerance"))
 
 
