@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opportunity import quality, stats
-from opportunity.driver_queries import EVENTS_SQL, ORACLE_SQL, QUERIES, TRANSITION_SQL, WEEKLY_SQL, _read, player_weeks, query, transitions, weekly
+from opportunity.driver_queries import EVENTS_SQL, ORACLE_SQL, QUERIES, TRANSITION_SQL, WEEKLY_SQL, _read, player_weeks, query, rate_rows, transitions, weekly
 from opportunity.functions import clean
 from opportunity.functions.stored import stored
 from opportunity.operators import aggregates as agg
 from opportunity.operators import joins, windows
-from opportunity.plans import environment, evaluations, forecast
+from opportunity.plans import backtests, environment, evaluations, forecast
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -413,3 +413,33 @@ def f5_role_priors(spark, sf_dir):
     pools = ranked.select("team", "resource").distinct().withColumn("pool", 10.0 + F.col("team"))
     found = forecast.role_priors(ranked.select("team", "resource", "position", "player_id", "depth_rank"), history, pools)
     return found.select("team", "resource", "player_id", "share", "opportunities", "evidence", "share_low")
+
+
+# E15, E17 and E19 -------------------------------------------------------------------------
+
+
+@query(
+    "e15_role_models",
+    WEEKLY_SQL + ", pl as (select team, player_id, position, sum(volume) as v, count(*) as g from weekly group by all), rk as (select *, row_number() over (partition by team, position order by v desc, player_id) as rank from pl where position in ('RB', 'WR')), "
+    "dw as (select *, case position when 'RB' then 'RB_CARRIES' else 'WR_TARGETS' end as resource, case position when 'RB' then case when rank <= 6 then [1.0, 0.55, 0.28, 0.14, 0.07, 0.035][rank] else 0.035 * power(0.55, rank - 6) end else case when rank <= 8 then [1.0, 0.90, 0.80, 0.35, 0.22, 0.13, 0.08, 0.05][rank] else 0.05 * power(0.55, rank - 8) end end as d, case when player_id % 5 <> 0 then 0.1 + player_id % 7 / 10.0 end as hs, case when player_id % 5 <> 0 then g::double end as wg, case when player_id % 5 <> 0 then player_id % 2 = 0 end as sm from rk), "
+    "a as (select *, d / sum(d) over w as dp, coalesce(hs, 0) / nullif(sum(coalesce(hs, 0)) over w, 0) as h0 from dw window w as (partition by team, resource)), b as (select *, coalesce(h0, dp) as h, coalesce(least(0.8, wg / (wg + 8)) * case when sm then 1 else 0.45 end, 0) as rel, case resource when 'RB_CARRIES' then 0.45 else 0.55 end as hw from a) "
+    "select 2024 as season, team, resource, player_id, unnest(['depth', 'prior', 'blend']) as model, round(unnest([dp, h, hw * (rel * h + (1 - rel) * dp) + (1 - hw) * dp]), 6) as weight from b",
+)
+def e15_role_models(spark, sf_dir):
+    rows = weekly(spark, sf_dir).groupBy("team", "player_id", "position").agg(F.sum("volume").alias("v"), F.count("*").cast("double").alias("g")).filter("position in ('RB', 'WR')")
+    ranked = windows.rank_in(rows, ["team", "position"], [F.desc("v"), F.col("player_id")], "depth_rank").withColumn("resource", F.expr("case position when 'RB' then 'RB_CARRIES' else 'WR_TARGETS' end")).withColumn("season", F.lit(2024))
+    history = ranked.filter("player_id % 5 <> 0").selectExpr("season", "team", "resource", "player_id", "0.1D + player_id % 7 / 10 as share", "g as weighted_games", "player_id % 2 = 0 as same_team")
+    return backtests.role_weights(ranked.select("season", "team", "resource", "position", "player_id", "depth_rank"), history)
+
+
+@query("e17_rate_comparisons")
+def e17_rate_comparisons(spark, sf_dir):
+    return backtests.rate_comparisons(stored(rate_rows(spark, sf_dir), "rates"), samples=500)
+
+
+@query("e19_transition_evaluation")
+def e19_transition_evaluation(spark, sf_dir):
+    rows = transitions(spark, sf_dir)
+    later = rows.withColumn("season", F.lit(2001)).withColumn("error", F.col("error") * 1.1)
+    effects, _ = backtests.transition_evaluation(stored(rows.withColumn("season", F.lit(2000)).unionByName(later), "transitions"), 2001, samples=300)
+    return effects

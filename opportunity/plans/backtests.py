@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from opportunity.functions.clean import depth_weight
 from opportunity.operators.aggregates import evaluation_summary, pool_by_window, unpivoted
 from opportunity.operators.joins import forecast_vs_actual
-from opportunity.operators.windows import share_in_group
+from opportunity.operators.windows import scope_deltas, share_in_group
 from opportunity.plans.forecast import HISTORY_WEIGHT, _by_resource
-from opportunity.stats import conformal_radius, holdout_coverage, oracle_allocation, room_errors, shrunk_team_rate
+from opportunity.quality import QualityError
+from opportunity.stats import conformal_radius, holdout_coverage, oracle_allocation, paired_cluster_bootstrap, promotion_gate, room_errors, shrunk_team_rate
 
 WINDOWS = (4, 8, 18)
 
@@ -115,3 +116,48 @@ def paired_team_effects(rows: DataFrame, candidate: str = "caller_aware", baseli
     by = ["team", "window_end", "metric"]
     wide = rows.filter(F.col("model").isin(candidate, baseline)).groupBy(*by).agg(F.max(F.when(F.col("model") == candidate, F.col("error"))).alias("_c"), F.max(F.when(F.col("model") == baseline, F.col("error"))).alias("_b"))
     return wide.filter("_c is not null and _b is not null").groupBy("team", "window_end").agg(F.avg(F.col("_c") - F.col("_b")).alias("paired_delta"), F.count("*").alias("metrics"))
+
+
+def rate_comparisons(rows: DataFrame, baseline: str = "league", samples: int = 2000, seed: int = 0) -> DataFrame:
+    """E3 of each model's error less the league rate's on the same season, team and window, clustered by team."""
+    key = ["target_season", "team", "window_end"]
+    deltas = scope_deltas(rows.select(*key, "model", "error"), key, "model", "error", baseline)
+    found = paired_cluster_bootstrap(deltas.withColumn("scope", F.concat_ws("|", F.col("window_end").cast("string"), "model")), "scope", "team", "delta", samples=samples, seed=seed)
+    parts = F.split("scope", r"\|")
+    return found.withColumn("window_end", parts[0].cast("int")).withColumn("challenger", parts[1]).drop("scope")
+
+
+def rate_decision(rows: DataFrame, comparisons: DataFrame, primary: str, windows: Sequence[int] = WINDOWS, min_rooms: int = 20) -> DataFrame:
+    """E13 of a rate backtest; each team and season is a room and the windows' games its events."""
+    evaluations = rows.groupBy("window_end", "model").agg(F.avg("error").alias("error"), F.count("*").alias("events"), F.count("*").alias("rooms")).withColumn("metric", F.lit("rate"))
+    return promotion_gate(evaluations, comparisons.withColumn("metric", F.lit("rate")), "league", primary, windows, min_rooms, min_rooms)
+
+
+def season_scopes(rows: DataFrame, season: str = "season") -> DataFrame:
+    """``rows`` in each scope that they count in: pooled, every leave-one-season-out scope but their own, and their season alone.
+
+    The seasons of a set of backtests are few; more than 100 are an error.
+    """
+    seasons = sorted(r[0] for r in rows.select(season).distinct().limit(101).collect())
+    if len(seasons) > 100:
+        raise QualityError("too many seasons")
+    out = [F.when(F.col(season) != s, F.lit(f"without_{s}")) for s in seasons]
+    scopes = F.array_compact(F.array(F.lit("pooled"), F.concat(F.lit("season_"), F.col(season).cast("string")), *out))
+    return rows.withColumn("scope", F.explode(scopes))
+
+
+def transition_evaluation(rows: DataFrame, holdout: int, candidate: str = "caller_aware", baseline: str = "shrunken", samples: int = 2000, seed: int = 0, exact_to: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Paired effects by scope and window with their interval (E3, or E4 up to ``exact_to`` teams), and the holdout's coverage.
+
+    ``rows`` is what E18 returns for several seasons, with season. Radii are of the seasons before the
+    holdout, by window and metric, in units of the metric's tolerance.
+    """
+    key = ["season", "team", "window_end", "metric"]
+    deltas = scope_deltas(rows.filter(F.col("model").isin(candidate, baseline)).select(*key, "model", "error"), key, "model", "error", baseline)
+    team = deltas.groupBy("season", "team", "window_end").agg(F.avg("delta").alias("delta"))
+    scoped = season_scopes(team).withColumn("scope", F.concat_ws("|", "scope", F.col("window_end").cast("string")))
+    effects = paired_cluster_bootstrap(scoped, "scope", "team", "delta", samples=samples, seed=seed, exact_to=exact_to)
+    own = rows.filter(F.col("model") == candidate)
+    radius = conformal_radius(own.filter(F.col("season") < holdout), ["window_end", "metric"], "error")
+    held = own.filter(F.col("season") == holdout).join(radius, ["window_end", "metric"]).withColumn("covered", F.col("error") <= F.col("radius"))
+    return effects, held.groupBy("window_end").agg(F.count("*").alias("rows"), F.avg(F.col("covered").cast("double")).alias("rate"), F.avg(2 * F.col("radius")).alias("mean_width"))

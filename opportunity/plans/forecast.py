@@ -181,6 +181,12 @@ def resource_forecasts(style: DataFrame, factors: DataFrame, by: str | None = No
     return joined.select("team", *[v.alias(k) for k, v in pools.items()]).unpivot("team", list(pools), "resource", "pool")
 
 
+def checked_resources(style: DataFrame, factors: DataFrame) -> DataFrame:
+    """F4 with its error: target shares that sum above 1.05."""
+    assert_rule(style, F.col("rb_target_share") + F.col("wr_target_share") + F.col("te_target_share") <= 1.05, "target shares sum above 1.05")
+    return resource_forecasts(style, factors)
+
+
 def role_priors(rooms: DataFrame, history: DataFrame, pools: DataFrame) -> DataFrame:
     """shares of each room from depth and history, with a band, pool share and evidence.
 

@@ -67,18 +67,20 @@ def read_charting(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_weekly_rosters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S3: one row per season, week, team and player of skill positions in weeks 1-18, and the rows for review."""
+    """S3: one row per season, week, team and player of skill positions in weeks 1-18 (the first in the file), and the rows for review."""
     raw = read_text_table(spark, path, ["season", "week", "team", "position", "status", "full_name", "gsis_id", "game_type"])
+    # Rows of one split are numbered in order, and splits by where they start.
+    raw = raw.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_order"))
     rows = raw.select(
         integral(F.col("season")).cast("int").alias("season"), integral(F.col("week")).cast("int").alias("week"), canonical_team(F.col("team")).alias("team"),
         skill_position(F.col("position")).alias("position"), _blank_to_null("gsis_id").alias("player_id"), F.trim("full_name").alias("player_name"),
-        F.upper(F.trim("status")).alias("status"), F.upper(F.trim("game_type")).alias("game_type"),
+        F.upper(F.trim("status")).alias("status"), F.upper(F.trim("game_type")).alias("game_type"), "_order",
     ).filter("game_type = 'REG' and week between 1 and 18 and position <> 'OTHER'").drop("game_type")
     keys = ["season", "week", "team", "player_id"]
     known = rows.filter("player_id is not null")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("status", "position", "player_name"))
-    ranked = known.withColumn("_place", place)
-    review = rows.filter("player_id is null").withColumn("reason", F.lit("missing_id")).unionByName(ranked.filter("_place > 1").drop("_place").withColumn("reason", F.lit("duplicate")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))
+    ranked = known.withColumn("_place", place).drop("_order")
+    review = rows.filter("player_id is null").drop("_order").withColumn("reason", F.lit("missing_id")).unionByName(ranked.filter("_place > 1").drop("_place").withColumn("reason", F.lit("duplicate")))
     return ranked.filter("_place = 1").drop("_place"), review
 
 

@@ -238,3 +238,24 @@ def test_core_continuity(spark):
 def test_adp_signal(spark):
     rows = frame(spark, [(None,), (5.0,), (15.0,), (40.0,)], "adp double").select(drafting.adp_signal(F.col("adp"), F.lit(10), F.lit(20)).alias("x")).collect()
     assert [r.x for r in rows] == [0.0, 5.0, 1.0, -8.0]
+
+
+def test_first_of_a_duplicate_stays(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("season,week,team,position,status,full_name,gsis_id,game_type\n2024,1,SEA,WR,RES,Z,1,REG\n2024,1,SEA,WR,ACT,A,1,REG\n")
+    kept, review = readers.read_weekly_rosters(spark, str(tmp_path / "r.csv"))
+    assert [r.status for r in kept.collect()] == ["RES"] and [r.status for r in review.collect()] == ["ACT"] and kept.columns == review.drop("reason").columns
+
+
+def test_season_scopes_and_rate_decision(spark):
+    from opportunity.plans import backtests
+
+    rows = frame(spark, [(2023, 1.0), (2024, 2.0)], "season int, delta double")
+    assert {(r.scope, r.season) for r in backtests.season_scopes(rows).collect()} == {
+        ("pooled", 2023), ("pooled", 2024), ("season_2023", 2023), ("season_2024", 2024), ("without_2024", 2023), ("without_2023", 2024),
+    }
+    rates = frame(spark, [(2024, f"t{t}", w, m, 0.2 if m == "league" else 0.1) for t in range(25) for w in (4, 8, 18) for m in ("league", "p4", "p17")], "target_season int, team string, window_end int, model string, error double")
+    found = backtests.rate_comparisons(rates, samples=100)
+    assert found.filter("high < 0").count() == 6
+    assert backtests.rate_decision(rates, found, "p17").first().promoted
+    with pytest.raises(QualityError):
+        forecast.checked_resources(frame(spark, [(0.5, 0.5, 0.2)], "rb_target_share double, wr_target_share double, te_target_share double"), None)
