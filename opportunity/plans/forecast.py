@@ -266,12 +266,14 @@ def role_scenarios(roles: DataFrame, availability: DataFrame, draws: int, seed:
     p. An empty room leaves the draw unallocated, as a row of ``__UNALLOCATED__``.
     """
     live = availability.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    live = live.filter(uniform_draw(seed, F.col("player_id"), F.col("week"), F.col("draw")) < F.col("p")).select("team", "week", "player_id", "draw")
-    weighted = live.join(roles, ["team", "player_id"])
-    key = ["team", "week", "resource", "draw"]
-    total = weighted.groupBy(*key).agg(F.sum("weight").alias("_total")).filter("_total > 0")
-    shares = weighted.join(total, key).withColumn("share", F.col("weight") / F.col("_total"))
-    out = shares.groupBy("team", "week", "resource", F.col("player_id").cast("string").alias("player_id")).agg((F.sum("share") / draws).alias("mean_share"), F.count("*").alias("active_draws"))
+    live = live.filter(uniform_draw(seed, F.col("player_id"), F.col("week"), F.col("draw")) < F.col("p"))
+    # A team's players of one draw, and a room's roles, are short lists: draws are shuffled once.
+    drawn = live.groupBy("team", "week", "draw").agg(F.collect_set("player_id").alias("_players"))
+    lists = roles.groupBy("team", "resource").agg(F.sort_array(F.collect_list(F.struct("player_id", "weight"))).alias("_roles"))
+    active = drawn.join(lists, "team").select("team", "week", "resource", F.filter("_roles", lambda r: F.array_contains("_players", r["player_id"])).alias("_active"))
+    total = active.withColumn("_total", F.aggregate("_active", F.lit(0.0), lambda x, r: x + r["weight"])).filter("_total > 0")
+    shares = total.select("team", "week", "resource", "_total", F.explode("_active").alias("r")).select("team", "week", "resource", F.col("r.player_id").cast("string").alias("player_id"), (F.col("r.weight") / F.col("_total")).alias("share"))
+    out = shares.groupBy("team", "week", "resource", "player_id").agg((F.sum("share") / draws).alias("mean_share"), F.count("*").alias("active_draws"))
     rooms = availability.select("team", "week").distinct().join(roles.select("team", "resource").distinct(), "team")
     filled = total.groupBy("team", "week", "resource").agg(F.count("*").alias("_filled"))
     empty = rooms.join(filled, ["team", "week", "resource"], "left").withColumn("_empty", draws - F.coalesce("_filled", F.lit(0))).filter("_empty > 0")
