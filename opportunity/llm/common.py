@@ -28,15 +28,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for what is run inside, so that Python workers stay small next to a full heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """Smaller Arrow batches for what is run inside, so that Python workers stay small next to a full heap."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def work_path(spark: SparkSession, name: str) -> str:

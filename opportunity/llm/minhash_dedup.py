@@ -44,8 +44,8 @@ from opportunity.llm.common import arrow_batches, beside_texts, broadcast_if_lig
 
 BANDS, ROWS = 32, 4
 PIVOT_TURNS = 2
-#: Turns in which groups are linked to one member each, and pairs a row from which that is done.
-STAR_TURNS, PAIRS_A_ROW = 4, 4
+#: Turns in which rows are compared with one member of a group, and pairs a row from which that is done.
+STAR_TURNS, PAIRS_A_ROW = 4, 8
 #: Edges that one task joins to components at most (two 64-bit numbers each).
 TASK_EDGES = 500_000
 #: Stands for a null doc_id in joins.
@@ -290,9 +290,10 @@ def by_differences(pivots: DataFrame, sets: DataFrame, labels: DataFrame, percen
 
     With ``x`` lacking ``ax`` shingles of the pivot's ``m``, two sets have
     ``m - ax - ay + (common differences)`` shingles in common, and need
-    ``percent * (nx + ny) / (100 + percent)``. Where that needs no common difference the pair is
-    linked, and so are both with the member of the least ``percent * n / (100 + percent) + a``.
-    Otherwise they share one of the first ``differences - needed + 1`` in order of frequency.
+    ``percent * (nx + ny) / (100 + percent)``. All members are compared with the one of the least
+    ``percent * n / (100 + percent) + a``; where a pair needs no common difference, both are linked
+    with that one. Otherwise they share one of the first ``differences - needed + 1`` in order of
+    frequency.
     """
     share = percent / (100 + percent)
     # Likeness to the pivot differs by 100 - percent points at most, so two like sets are both near or both far.
@@ -301,8 +302,8 @@ def by_differences(pivots: DataFrame, sets: DataFrame, labels: DataFrame, percen
     near = _labelled(near.withColumn("g", share * F.col("n") + F.col("lacks")), labels, "id")
     groups = near.groupBy("pivot").agg(F.min("g").alias("g_low"), F.min_by("id", F.struct("g", "id")).alias("least"), F.min("id_in").alias("low"), F.max("id_in").alias("high"))
     near = written(near.join(groups.filter("low < high").drop("low", "high"), "pivot"), "near")
-    trivial = near.filter((F.col("g") + F.col("g_low") <= F.col("m") + 1e-9) & (F.col("id") != F.col("least")))
-    trivial = trivial.select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
+    # The least member is the most central one, such as the text that all others are edits of.
+    hubs = near.filter(F.col("id") != F.col("least")).select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
 
     def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -319,7 +320,7 @@ def by_differences(pivots: DataFrame, sets: DataFrame, labels: DataFrame, percen
     ranked = ranked.join(near.select("pivot", "id", "id_in", "m", "g", "g_low", "size"), ["pivot", "id"]).withColumn("rank", F.col("size") - F.col("shared") + F.col("place"))
     least_need = F.greatest(F.lit(1), F.ceil(F.col("g") + F.col("g_low") - F.col("m") - 1e-9))
     prefix = written(ranked.filter(F.col("rank") <= F.col("size") - least_need + 1).select("pivot", "mark", "id", "id_in", "m", "g", "size", "rank"), "prefixes")
-    labels = merged(labels, confirmed(trivial.distinct(), sets, percent))
+    labels = merged(labels, confirmed(hubs.distinct(), sets, percent))
     need = F.ceil(F.col("ga") + F.col("gb") - F.col("m") - 1e-9)
     fits = (need >= 1) & (F.col("ra") <= F.col("sa") - need + 1) & (F.col("rb") <= F.col("sb") - need + 1)
     return by_groups(prefix.drop("id_in"), ["pivot", "mark", "m"], {"g": "g", "size": "s", "rank": "r"}, fits, sets, labels, percent)
@@ -329,21 +330,23 @@ def by_groups(prefix: DataFrame, keys: list[str], columns: dict[str, str], fits:
     """``labels`` after all links between rows of ``prefix`` (keys, id, columns) that share the keys and satisfy ``fits``.
 
     ``fits`` names a pair's columns by their short name and a or b. Only pairs across components
-    matter, so groups are first linked to one member each, which gives a candidate a row, as long
-    as that joins components and many pairs are left; then what is left is paired.
+    matter. Where they are many, every row is first compared with one member of one of its groups,
+    as long as that joins components; then what is left is paired.
     """
     for turn in range(STAR_TURNS + 1):
         rows = written(_labelled(prefix, labels, "id"), "grouped")
         order = F.xxhash64(F.col("id"), F.lit(turn))
-        groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("id_in").alias("_low"), F.max("id_in").alias("_high"), F.min_by("id", order).alias("b"), F.min_by("id_in", order).alias("b_in")).filter("_low < _high")
-        groups = written(groups, "groups")
-        load = groups.agg(F.sum(F.col("_n")).alias("n"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("pairs")).first()
+        parts = rows.groupBy(*keys, "id_in").agg(F.count("*").alias("_n"), F.min(F.struct(order.alias("o"), "id")).alias("_first"))
+        groups = parts.groupBy(*keys).agg(F.count("*").alias("_parts"), F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_n")).alias("_same"), F.min(F.struct("_first", "id_in")).alias("_centre"))
+        groups = written(groups.filter("_parts > 1"), "groups")
+        load = groups.agg(F.sum("_n").alias("n"), F.sum((F.col("_n") * F.col("_n") - F.col("_same")) / 2).alias("pairs")).first()
         if not load.n:
             return labels
         if turn == STAR_TURNS or load.pairs <= PAIRS_A_ROW * load.n:
             break
-        stars = rows.join(groups.drop("_n", "_low", "_high"), keys).filter("id_in <> b_in").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        more = merged(labels, confirmed(stars, sets, percent))
+        own = rows.join(groups.select(*keys, F.col("_centre._first.id").alias("centre"), F.col("_centre.id_in").alias("centre_in")), keys).filter("id_in <> centre_in")
+        stars = own.groupBy("id").agg(F.min_by("centre", F.xxhash64("centre", F.lit(turn))).alias("centre"))
+        more = merged(labels, confirmed(stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), sets, percent))
         if more is labels:
             break
         labels = more
