@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BITS = 18
 SIZE = 1 << BITS
 TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
-MAX_MEMORY = 120_000
+MAX_MEMORY = 60_000
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 # Shapes of tokens, kept in the low bits of a token's code.
 LOWER, TITLE, UPPER, MIXED, DIGITS, MARK, MARKS, ONE = range(8)

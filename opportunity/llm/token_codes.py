@@ -64,7 +64,7 @@ class WordEncoder:
     are written. The memory of pieces starts anew beyond ``max_words``.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

@@ -22,14 +22,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opportunity.llm.common import beside_texts
+from opportunity.llm.common import arrow_batches, beside_texts, broadcast_if_small, written
 from opportunity.llm.linear_text import SIZE, Rows, Stems, best_threshold, fitted, folds_of, labelled_sample, sigmoid
 
 MAX_TRAIN = 8_000
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
 #: Kinds of toxic texts, the categories before ``toxic``.
 KINDS = 2
 
@@ -165,14 +166,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFra
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their own columns."""
+    """The rows of ``docs`` that are not predicted toxic, with their own columns.
+
+    The decisions are written first, by doc_id and text hash, so the rows themselves never pass
+    through Python.
+    """
     chain, stems = fitted_chain(docs, labels, **parameters)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series([probabilities(chain, stems.features(t))[-1] >= chain[-1].threshold for t in texts], dtype=bool)
+    def judge(texts: list[str | None]) -> dict[str, list]:
+        return {"toxic": [probabilities(chain, stems.features(t))[-1] >= chain[-1].threshold for t in texts]}
 
-    return docs.filter(~toxic(F.col("text")))
+    place, tie = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    with arrow_batches(docs.sparkSession):
+        judged = beside_texts(docs.select(place.alias("_place"), tie.alias("_tie"), "text"), lambda: judge, "toxic boolean")
+        gone = written(judged.filter("toxic").select("_place", "_tie").distinct(), "toxic")
+    gone = broadcast_if_small(gone)
+    return docs.join(gone, (place == F.col("_place")) & (tie == F.col("_tie")), "left_anti")
 
 
 def probabilities(chain: list[Link], features: np.ndarray) -> list[float]:
