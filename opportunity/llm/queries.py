@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opportunity.llm import decontaminate, license_rules, minhash_dedup, mixing, pii_surrogates, prefix_fingerprints, quality_nbsvm, token_codes, token_transducer, toxicity_chain
+from opportunity.llm import decontaminate, lexical_ranking, license_rules, minhash_dedup, mixing, pii_surrogates, prefix_fingerprints, quality_nbsvm, rotated_codes, token_codes, token_transducer, toxicity_chain
 from opportunity.llm.common import table
 
 
@@ -56,6 +57,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), repeats=2.0)
 
 
+def op11_lexical_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_codes.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 QUERIES = {
     "op1_token_codes": op1_token_codes,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -67,9 +76,13 @@ QUERIES = {
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_quality_nbsvm": op9_quality_nbsvm,
     "op10_mixing": op10_mixing,
+    "op11_lexical_ranking": op11_lexical_ranking,
+    "op12_rotated_codes": op12_rotated_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op6_decontamination": decontaminate.ORACLE_SQL,
+    "op11_lexical_ranking": lexical_ranking.ORACLE_SQL,
+    "op12_rotated_codes": rotated_codes.ORACLE_SQL,
 }
