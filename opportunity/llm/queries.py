@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opportunity.llm import decontaminate, lexical_ranking, license_rules, minhash_dedup, mixing, pii_surrogates, prefix_fingerprints, quality_nbsvm, rotated_codes, token_codes, token_transducer, toxicity_chain
+from opportunity.llm import decontaminate, lexical_ranking, license_rules, minhash_dedup, mixing, pii_surrogates, prefix_fingerprints, prefix_trie, quality_nbsvm, rotated_codes, token_codes, token_transducer, toxicity_chain
 from opportunity.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op12_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated_codes.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_codes": op1_token_codes,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_lexical_ranking": op11_lexical_ranking,
     "op12_rotated_codes": op12_rotated_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +90,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontaminate.ORACLE_SQL,
     "op11_lexical_ranking": lexical_ranking.ORACLE_SQL,
     "op12_rotated_codes": rotated_codes.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
