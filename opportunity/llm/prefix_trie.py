@@ -22,7 +22,7 @@ chunks, one chunk in memory at a time.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -188,23 +188,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), table.column("sha").combine_chunks().take(pa.array(row)), pa.array(clash)], ["d1", "d2", "depth", "p1", "p2", "chars", "members", "least", "sha", "clash"])
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _adder(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Leaves and saved tokens below each digest of a shard, by its own rows' weights."""
-    table = _whole(batches)
-    if table is None:
-        return
-    digests, parents, depths = _longs(table, "d1", "d2"), _longs(table, "p1", "p2"), table.column("depth").to_numpy()
-    nodes = NodeTable(np.unique(np.concatenate([digests, np.zeros((1, 2), np.int64)]), axis=0))  # and the root
-    slot, n = nodes.slots(digests), len(nodes.keys)
-    sums = np.zeros((n, 2), np.int64)
-    np.add.at(sums, slot, _longs(table, "leaf", "saved"))
-    parent, depth = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    parent[slot], depth[slot] = nodes.slots(parents), depths  # -1: the parent is in another block
-    order = np.argsort(-depth, kind="stable")
-    order = order[(depth[order] > 0) & (parent[order] >= 0)]
-    for level in np.split(order, np.flatnonzero(np.diff(depth[order])) + 1):
-        np.add.at(sums, parent[level], sums[level])
-    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in (*nodes.keys.T, *sums.T))], ["d1", "d2", "leaves", "saved"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _whole(batches)
+        if table is None:
+            return
+        digests, parents, depths = _longs(table, "d1", "d2"), _longs(table, "p1", "p2"), table.column("depth").to_numpy()
+        nodes = NodeTable(np.unique(np.concatenate([digests, np.zeros((1, 2), np.int64)]), axis=0))  # and the root
+        slot, n = nodes.slots(digests), len(nodes.keys)
+        sums = np.zeros((n, 2), np.int64)
+        np.add.at(sums, slot, _longs(table, "leaf", "saved"))
+        parent, depth = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        parent[slot], depth[slot] = nodes.slots(parents), depths
+        parent[(depth > 1) & ((depth - 1) % block == 0)] = -1  # in the block before, which gets it by what is carried
+        order = np.argsort(-depth, kind="stable")
+        order = order[(depth[order] > 0) & (parent[order] >= 0)]
+        for level in np.split(order, np.flatnonzero(np.diff(depth[order])) + 1):
+            np.add.at(sums, parent[level], sums[level])
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in (*nodes.keys.T, *sums.T))], ["d1", "d2", "leaves", "saved"])
+
+    return added
 
 
 def _nodes(paths: DataFrame, shards: int) -> DataFrame:
@@ -229,20 +234,24 @@ def _sums(paths: DataFrame, nodes: DataFrame, shards: int) -> DataFrame:
     carry = totals.select("conv_id", ((F.col("block") + 1) * BLOCK).alias("depth"), F.sum("_leaf").over(later).alias("_leaf"), F.sum("_saved").over(later).alias("_saved")).filter("_leaf is not null and (_leaf > 0 or _saved > 0)")
     rows = rows.join(carry, ["conv_id", "depth"], "left")
     rows = rows.withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in ("leaf", "saved")}).drop("_leaf", "_saved")
-    found = rows.repartition(shards, "conv_id", "block").mapInArrow(_added, "d1 long, d2 long, leaves long, saved long")
+    found = rows.repartition(shards, "conv_id", "block").mapInArrow(_adder(BLOCK), "d1 long, d2 long, leaves long, saved long")
     return found.groupBy("d1", "d2").agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
 
 
 # Ends --------------------------------------------------------------------------------------
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (digest, id) rows as joined ids, CHUNK at most to a row."""
-    for batch in batches:
-        frame = batch.to_pandas()
-        part = frame.groupby(["d1", "d2"], sort=False).cumcount() // CHUNK
-        rows = [(*key[:2], int(ids.iloc[0]), ",".join(map(str, ids))) for key, ids in frame.groupby(["d1", "d2", part], sort=False)["conv_id"]]
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["d1", "d2", "start", "ids"]), preserve_index=False)
+def _chunker(chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted (digest, id) rows as joined ids, ``chunk`` at most to a row."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame = batch.to_pandas()
+            part = frame.groupby(["d1", "d2"], sort=False).cumcount() // chunk
+            rows = [(*key[:2], int(ids.iloc[0]), ",".join(map(str, ids))) for key, ids in frame.groupby(["d1", "d2", part], sort=False)["conv_id"]]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["d1", "d2", "start", "ids"]), preserve_index=False)
+
+    return chunks
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +277,7 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ends(ends: DataFrame, parts: int) -> DataFrame:
     """d1, d2 and ends_sha256 of every node where a conversation ends; ``ends`` has conv_id, d1 and d2."""
     dealt = ends.repartitionByRange(parts, "d1", "d2", "conv_id").sortWithinPartitions("d1", "d2", "conv_id")
-    chunks = dealt.select("d1", "d2", "conv_id").mapInArrow(_chunks, "d1 long, d2 long, start long, ids string")
+    chunks = dealt.select("d1", "d2", "conv_id").mapInArrow(_chunker(CHUNK), "d1 long, d2 long, start long, ids string")
     return chunks.repartition(parts, "d1", "d2").sortWithinPartitions("d1", "d2", "start").select("d1", "d2", "ids").mapInArrow(_streamed, "d1 long, d2 long, ends_sha256 string")
 
 
