@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opportunity import quality, stats
-from opportunity.driver_queries import EVENTS_SQL, ORACLE_SQL, QUERIES, TRANSITION_SQL, WEEKLY_SQL, _read, player_weeks, query, rate_rows, transitions, weekly
+from opportunity import driver_sql, quality, stats
+from opportunity.driver_queries import ELIGIBLE, EVENTS_SQL, ORACLE_SQL, PLAYS_SQL, QUERIES, RATE_SQL, SAMPLES, TRANSITION_SQL, WEEKLY_SQL, _read, player_weeks, plays, query, rate_rows, transitions, weekly
 from opportunity.functions import clean
 from opportunity.functions.stored import stored
 from opportunity.operators import aggregates as agg
@@ -66,10 +66,18 @@ def e16_high_value_evaluations(spark, sf_dir):
     return evaluations.high_value_evaluations(high_value_rooms(spark, sf_dir))
 
 
-@query("e16_high_value_decisions")
+@query(
+    "e16_high_value_decisions",
+    HIGH_SQL
+    + ", hd as (select metric || '|' || window_end || '|' || c.model as scope, team as cluster, c.total_variation - b.total_variation as delta from rm c join rm b using (season, team, metric, window_end) where c.model <> 'base' and b.model = 'base'), " + driver_sql.cluster_bootstrap("hd", SAMPLES, 0.90)
+    + ", ev2 as (select metric, window_end, model, avg(total_variation) as error, sum(events) as events, count(*) as rooms from rm group by all), me as (select metric, model, avg(error) as mean, count(distinct window_end) as windows from ev2 group by all), ba as (select metric, mean as base from me where model = 'base'), "
+    + "de as (select metric, max(case when model <> 'base' then mean - base end) as worst_delta, min(windows) as windows, arg_min(model, (mean, model)) filter (where model <> 'base') as best_model from me join ba using (metric) group by metric), la as (select metric, events, rooms from ev2 where model = 'base' and window_end = 18), "
+    + "ow as (select split_part(scope, '|', 1) as metric, sum((high < 0)::int)::bigint as wins, sum((low > 0)::int)::bigint as losses from br where split_part(scope, '|', 3) = 'p24' group by 1) "
+    + "select metric, round(worst_delta, 6) + 0.0 as worst_delta, best_model, coalesce(wins, 0) as wins, coalesce(losses, 0) as losses, coalesce(windows = 3 and events >= 100 and rooms >= 20 and wins >= 2 and losses = 0 and worst_delta < 0, false) as promoted from de left join la using (metric) left join ow using (metric)",
+)
 def e16_high_value_decisions(spark, sf_dir):
-    rooms = high_value_rooms(spark, sf_dir)
-    return evaluations.high_value_decisions(rooms, evaluations.high_value_comparisons(rooms, samples=500))
+    rooms = stored(high_value_rooms(spark, sf_dir), "rooms")
+    return evaluations.high_value_decisions(rooms, evaluations.high_value_comparisons(rooms, samples=SAMPLES))
 
 
 # F3 ---------------------------------------------------------------------------------------
@@ -168,9 +176,12 @@ def e20_holdout_coverage(spark, sf_dir):
     return rows.select("season", "team", "resource", F.round("radius", 5).alias("radius"), "covered")
 
 
-@query("e20_comparisons")
+@query(
+    "e20_comparisons",
+    E20_SQL + ", pd as (select c.resource || '|18' as scope, c.team as cluster, c.error - b.error as delta from er c join er b using (season, team, resource) where c.model = 'caller_aware' and b.model = 'shrunken'), " + driver_sql.cluster_bootstrap("pd", SAMPLES, 0.90) + f" select scope, {driver_sql.BOOTSTRAP_COLUMNS} from br",
+)
 def e20_comparisons(spark, sf_dir):
-    return evaluations.caller_resource_comparisons(evaluations.caller_resource_pairs(e20_errors(spark, sf_dir)), samples=500)
+    return evaluations.caller_resource_comparisons(evaluations.caller_resource_pairs(e20_errors(spark, sf_dir)), samples=SAMPLES)
 
 
 # E21 --------------------------------------------------------------------------------------
@@ -212,14 +223,52 @@ def e21_certainty_scores(spark, sf_dir):
     "select score_kind, 8 as window_end, tier, count(*) as rows, round(avg((error <= tr)::int), 6) as tier_rate, round(avg((error <= mr)::int), 6) as metric_rate from h group by all",
 )
 def e21_certainty_coverage(spark, sf_dir):
-    return evaluations.certainty_coverage(evaluations.certainty_tiers(e21_rows(spark, sf_dir), 1999), 1999)
+    found = evaluations.certainty_coverage(evaluations.certainty_tiers(e21_rows(spark, sf_dir), 1999), 1999)
+    return found.select("score_kind", "window_end", "tier", "rows", "tier_rate", "metric_rate")
 
 
-@query("e21_certainty_decision")
+E21_RANKS_SQL = (
+    ", tq as (select score_kind, case when season = 1999 then 'holdout' else 'development' end as part, season, team, round(score, 9) as x, round(avg(error), 9) as y from rw group by score_kind, season, team, score), ts as (select score_kind || '|' || part || '|8' as scope, * from tq), "
+    + driver_sql.spearman_bootstrap("ts", "season, team", SAMPLES, 0.95)
+    + ", rk as (select scope, score_kind, part, rank() over (partition by scope order by x) + (count(*) over (partition by scope, x) - 1) / 2 as a, rank() over (partition by scope order by y) + (count(*) over (partition by scope, y) - 1) / 2 as b from ts where x is not null and y is not null), sp as (select scope, score_kind, part, corr(a, b) as spearman, count(*) as n from rk group by all), rr as (select score_kind, part, spearman, n, low, high, samples from sp join qr using (scope))"
+)
+E21_RADII_SQL = (
+    ", gz as (select *, unnest([tier, 'global']) as g from tr where season < 1999), ot as (select score_kind, metric, g, error, row_number() over (partition by score_kind, metric, g order by error) as i, count(*) over (partition by score_kind, metric, g) as n from gz), ra as (select score_kind, metric, g, error as radius from ot where i = least(n, ceil((n + 1) * 0.9))), "
+    "ho as (select t.score_kind, unnest([t.tier, 'all']) as tier, error, a.radius as tr, b.radius as mr from tr t left join ra a on a.score_kind = t.score_kind and a.metric = t.metric and a.g = t.tier join ra b on b.score_kind = t.score_kind and b.metric = t.metric and b.g = 'global' where season = 1999), "
+    "co as (select score_kind, tier, count(*) as rows, avg((error <= tr)::int) as tier_rate, sum(coalesce((error <= tr)::int, 0)) as covered, avg(tr) as tier_radius, avg(mr) as metric_radius from ho group by all)"
+)
+
+
+@query(
+    "e21_certainty_decision",
+    E21_SQL + E21_RANKS_SQL + E21_RADII_SQL
+    + ", he as (select score_kind, bool_and(round(spearman, 6) < 0) as negative, bool_and(coalesce(round(high, 6) < 0, false)) as clear from rr where part = 'holdout' group by 1), ru as (select score_kind, bool_and(coalesce(round(tier_rate, 6) >= 0.9, false)) filter (where tier <> 'all') as tiers_covered, bool_and(coalesce(round(tier_rate, 6) >= 0.9, false)) filter (where tier = 'all') as all_covered, bool_and(coalesce(round(tier_radius, 6) <= round(metric_radius, 6), false)) filter (where tier = 'all') as no_wider from co group by 1) "
+    + "select *, negative and clear and tiers_covered and all_covered and no_wider as promoted from he join ru using (score_kind)",
+)
 def e21_certainty_decision(spark, sf_dir):
-    rows = e21_rows(spark, sf_dir)
+    rows = stored(e21_rows(spark, sf_dir), "certainty-rows")
     covered = evaluations.certainty_coverage(evaluations.certainty_tiers(rows, 1999), 1999)
-    return evaluations.certainty_decision(evaluations.certainty_ranks(rows, 1999, samples=200), covered)
+    return evaluations.certainty_decision(evaluations.certainty_ranks(rows, 1999, samples=SAMPLES), stored(covered, "certainty-coverage"))
+
+
+@query(
+    "e21_certainty_widths",
+    E21_SQL + E21_RADII_SQL + ", z as (select *, covered / rows as p, 1.959963984540054 * 1.959963984540054 as z2 from co), b as (select *, (p + z2 / (2 * rows)) / (1 + z2 / rows) as c, 1.959963984540054 * sqrt(p * (1 - p) / rows + z2 / (4.0 * rows * rows)) / (1 + z2 / rows) as m from z) "
+    "select score_kind, tier, rows, round(tier_radius, 6) as tier_radius, round(metric_radius, 6) as metric_radius, round(greatest(0.0, c - m), 6) as tier_low, round(least(1.0, c + m), 6) as tier_high from b",
+)
+def e21_certainty_widths(spark, sf_dir):
+    return evaluations.certainty_coverage(evaluations.certainty_tiers(e21_rows(spark, sf_dir), 1999), 1999).select("score_kind", "tier", "rows", "tier_radius", "metric_radius", "tier_low", "tier_high")
+
+
+@query(
+    "e21_worst_cases",
+    E21_SQL + ", te as (select season, team, avg(error) as error from er where season = 1999 group by all), o as (select te.*, row_number() over (order by te.error desc, te.team) as rank from te) select 8 as window_end, rank, team, cohort, round(broad_low, 5) as broad_low, round(exact_low, 5) as exact_low, round(error, 5) as error from o join s using (season, team) where rank <= 5",
+)
+def e21_worst_cases(spark, sf_dir):
+    teams = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} as {c}" for c, e in E21_TEAMS.items()])
+    scores = evaluations.certainty_scores(teams)
+    found = evaluations.certainty_worst(scores, e21_rows(spark, sf_dir).filter("score_kind = 'broad'"), 1999)
+    return found.withColumns({c: F.round(c, 5) for c in ("broad_low", "exact_low", "error")})
 
 
 @query(
@@ -250,9 +299,9 @@ def e10_leave_one_out_brier(spark, sf_dir):
     return stats.leave_one_out_brier(counts, rows, ["family", "position"], ["position"], "team")
 
 
-@query("e11_bootstrap_spearman")
+@query("e11_bootstrap_spearman", E21_SQL + E21_RANKS_SQL + " select score_kind, part, 8 as window_end, round(spearman, 6) + 0.0 as spearman, n, round(low, 6) + 0.0 as low, round(high, 6) + 0.0 as high, samples from rr")
 def e11_bootstrap_spearman(spark, sf_dir):
-    return evaluations.certainty_ranks(e21_rows(spark, sf_dir), 1999, samples=200)
+    return evaluations.certainty_ranks(stored(e21_rows(spark, sf_dir), "certainty-rows"), 1999, samples=SAMPLES)
 
 
 # With three clusters all 27 resamples are listed, and SQL can list them too.
@@ -432,14 +481,98 @@ def e15_role_models(spark, sf_dir):
     return backtests.role_weights(ranked.select("season", "team", "resource", "position", "player_id", "depth_rank"), history)
 
 
-@query("e17_rate_comparisons")
+@query(
+    "e17_rate_comparisons",
+    RATE_SQL + ", rd as (select c.window_end || '|' || c.model as scope, team as cluster, c.error - b.error as delta from rt c join rt b using (target, team, window_end) where c.model <> 'league' and b.model = 'league'), " + driver_sql.cluster_bootstrap("rd", SAMPLES, 0.90)
+    + f" select {driver_sql.BOOTSTRAP_COLUMNS}, split_part(scope, '|', 1)::int as window_end, split_part(scope, '|', 2) as challenger from br",
+)
 def e17_rate_comparisons(spark, sf_dir):
-    return backtests.rate_comparisons(stored(rate_rows(spark, sf_dir), "rates"), samples=500)
+    return backtests.rate_comparisons(stored(rate_rows(spark, sf_dir), "rates"), samples=SAMPLES)
+
+
+# Counts of the plays stand for resources, alike for all teams or not; games are games with a play.
+RESOURCE_COUNTS = {"PASSES": "pass", "TEAM_PASSES": "pass * (1 + team % 7)", "SUCCESSES": "success * (20 + team % 3)"}
+RESOURCE_PRIORS = (4, 8, 16, 32, 64)
+RESOURCE_SQL = (
+    PLAYS_SQL
+    + f", v as (select season, week, team, unnest({list(RESOURCE_COUNTS)}) as resource, unnest([{', '.join(f'sum({c})' for c in RESOURCE_COUNTS.values())}]) as amount, count(distinct game_id) as games from plays group by season, week, team), "
+    + "tg as (select unnest([1999, 2000, 2001]) as target), past as (select target, v.*, power(0.65, target - 1 - season) as w from v, tg where season between target - 3 and target - 1), "
+    + "t as (select target, resource, team, sum(w * amount) as x, sum(w * games) as n from past group by all), l as (select target, resource, sum(w * amount) / sum(w * games) as league from past group by all), "
+    + "act as (select season as target, resource, team, we as window_end, sum(amount) / sum(games) as actual from v, (select unnest([4, 8, 18]) as we) where week <= we group by all), "
+    + f"pr as (select target, resource, team, unnest(['league', 'raw', {', '.join(repr(f'p{p}') for p in RESOURCE_PRIORS)}]) as model, unnest([league, x / n, {', '.join(f'(x + {p} * league) / (n + {p})' for p in RESOURCE_PRIORS)}]) as forecast from t join l using (target, resource)), "
+    + "rt as (select pr.*, window_end, actual, abs(forecast - actual) as error, case when target = 2001 then 'holdout' else 'development' end as segment from pr join act using (target, resource, team)), "
+    + "rd as (select unnest(['ALL', resource]) || '|' || c.segment || '|' || c.window_end || '|' || c.model as scope, target || '|' || team as cluster, c.error - b.error as delta from rt c join rt b using (target, resource, team, window_end) where c.model <> 'league' and b.model = 'league'), "
+    + driver_sql.cluster_bootstrap("rd", SAMPLES, 0.90)
+    + ", cp as (select split_part(scope, '|', 1) as metric, split_part(scope, '|', 2) as segment, split_part(scope, '|', 3)::int as window_end, split_part(scope, '|', 4) as challenger, * from br), "
+    + "mw as (select resource as metric, segment, window_end, model, avg(error) as e from rt group by all), me as (select metric, segment, model, sum(e) / 3 as mean from mw group by all), "
+    + "ch as (select metric, arg_min(model, (mean, model)) as candidate from me where segment = 'development' and model <> 'league' group by 1), "
+    + "gt as (select metric, candidate, sum((segment = 'development' and mean_delta < 0)::int)::bigint as development_wins, sum((segment = 'holdout' and mean_delta < 0)::int)::bigint as holdout_wins, sum((segment = 'holdout' and high < 0)::int)::bigint as clear_wins, sum((segment = 'holdout' and low > 0)::int)::bigint as clear_losses from ch join cp using (metric) where challenger = candidate group by all), "
+    + "dc as (select *, development_wins = 3 and holdout_wins = 3 and clear_wins >= 2 and clear_losses = 0 as passed from gt), "
+    + "fd as (select dc.*, case when passed then candidate else 'league' end as selected, a.mean as candidate_development, b.mean as baseline_development, c.mean as candidate_holdout, d.mean as baseline_holdout from dc join me a on a.metric = dc.metric and a.segment = 'development' and a.model = candidate join me b on b.metric = dc.metric and b.segment = 'development' and b.model = 'league' join me c on c.metric = dc.metric and c.segment = 'holdout' and c.model = candidate join me d on d.metric = dc.metric and d.segment = 'holdout' and d.model = 'league')"
+)
+
+
+def resource_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks = plays(spark, sf_dir).groupBy("season", "week", "team").agg(*[F.sum(F.expr(c)).alias(r) for r, c in RESOURCE_COUNTS.items()], F.countDistinct("game_id").alias("games"))
+    values = weeks.unpivot(["season", "week", "team", "games"], list(RESOURCE_COUNTS), "resource", "amount")
+    return stored(backtests.rate_backtest(stored(values, "resource-weeks"), (1999, 2000, 2001), priors=RESOURCE_PRIORS, keys=["resource"]), "resource-rates")
+
+
+@query("e17_segment_comparisons", RESOURCE_SQL + f" select metric, segment, window_end, challenger, {driver_sql.BOOTSTRAP_COLUMNS} from cp")
+def e17_segment_comparisons(spark, sf_dir):
+    return backtests.segment_comparisons(resource_rates(spark, sf_dir), 2001, "resource", samples=SAMPLES)
+
+
+@query("e17_rate_decision", RESOURCE_SQL + " select metric, candidate, round(candidate_development, 6) as candidate_development, round(baseline_development, 6) as baseline_development, round(candidate_holdout, 6) as candidate_holdout, round(baseline_holdout, 6) as baseline_holdout, development_wins, holdout_wins, clear_wins, clear_losses, passed, selected from fd")
+def e17_rate_decision(spark, sf_dir):
+    rows = resource_rates(spark, sf_dir)
+    return backtests.rate_decision(rows, backtests.segment_comparisons(rows, 2001, "resource", samples=SAMPLES), 2001, "resource")
+
 
+@query(
+    "e17_selected_calibration",
+    RESOURCE_SQL + ", ow as (select rt.*, resource as metric from rt join fd on fd.metric = resource and fd.selected = model where window_end = 18), oo as (select metric, model, error, row_number() over (partition by metric order by error) as i, count(*) over (partition by metric) as n from ow where segment = 'development'), ra as (select metric, model, error as radius, n from oo where i = least(n, ceil((n + 1) * 0.9))), "
+    "hl as (select ow.*, radius, n, greatest(0, forecast - radius) as lo, forecast + radius as hi from ow join ra using (metric, model) where segment = 'holdout') "
+    "select metric, model, n as development_rows, round(any_value(radius), 6) as radius, count(*) as rows, sum((actual < lo)::int)::bigint as below, sum((actual > hi)::int)::bigint as above, round(avg(hi - lo), 6) as mean_width, round(1 - sum((actual < lo or actual > hi)::int) / count(*), 6) as rate from hl group by metric, model, n",
+)
+def e17_selected_calibration(spark, sf_dir):
+    rows = resource_rates(spark, sf_dir)
+    decision = backtests.rate_decision(rows, backtests.segment_comparisons(rows, 2001, "resource", samples=SAMPLES), 2001, "resource")
+    return backtests.selected_calibration(rows, decision, 2001, "resource")
+
+
+# E19 over three target seasons, each forecast from the season before it.
+E19_SEASONS = (1999, 2000, 2001)
+E19_SQL = (
+    PLAYS_SQL
+    + f", ep as (select * from plays where {ELIGIBLE}), st as (select season, team, sum(pass)::double / count(*) as pass_rate, sum(success)::double / count(*) as success_rate from ep group by all), "
+    + f"pr as (select season + 1 as season, team, unnest(['pass_rate', 'success_rate']) as metric, unnest([pass_rate, success_rate]) as value from st where season + 1 in {E19_SEASONS}), lg as (select season, metric, median(value) as league from pr group by all), "
+    + f"wk as (select season, we as window_end, team, sum(pass)::double / count(*) as pass_rate, sum(success)::double / count(*) as success_rate from ep, (select unnest([6, 8]) as we) where season in {E19_SEASONS} and week <= we group by all), ac as (select season, team, window_end, unnest(['pass_rate', 'success_rate']) as metric, unnest([pass_rate, success_rate]) as actual from wk), "
+    + "co as (select distinct season, team, case team % 3 when 0 then 'returning' when 1 then 'changed_with_anchor' else 'changed_without_anchor' end as cohort, case when team % 3 = 1 then team - 1 end as anchor_team from pr), "
+    + "j as (select pr.season, pr.team, pr.metric, cohort, pr.value as persistence, league, an.value as anchor from pr join lg using (season, metric) join co on co.season = pr.season and co.team = pr.team left join pr an on an.season = co.season and an.team = co.anchor_team and an.metric = pr.metric), "
+    + "f as (select season, team, metric, unnest(['shrunken', 'caller_aware']) as model, unnest([0.8 * persistence + 0.2 * league, case cohort when 'returning' then 0.95 * persistence + 0.05 * league when 'changed_with_anchor' then 0.7 * anchor + 0.2 * persistence + 0.1 * league else 0.6 * persistence + 0.4 * league end]) as forecast from j), "
+    + "tr as (select f.*, window_end, abs(forecast - actual) / 0.05 as error from f join ac using (season, team, metric) where forecast is not null), "
+    + "pe as (select c.season, c.team, c.window_end, avg(c.error - b.error) as delta from tr c join tr b using (season, team, window_end, metric) where c.model = 'caller_aware' and b.model = 'shrunken' group by all), "
+    + f"sc as (select unnest(list_filter(['pooled', 'season_' || season, {', '.join(f'case when season <> {s} then {chr(39)}without_{s}{chr(39)} end' for s in E19_SEASONS)}], lambda x: x is not null)) || '|' || window_end as scope, team as cluster, delta from pe), "
+    + driver_sql.cluster_bootstrap("sc", SAMPLES, 0.95, exact_to=7, pooled=True)
+)
+
+
+def transition_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [transitions(spark, sf_dir, season).withColumn("season", F.lit(season)) for season in E19_SEASONS]
+    return stored(parts[0].unionByName(parts[1]).unionByName(parts[2]), "transitions")
 
-@query("e19_transition_evaluation")
+
+@query("e19_transition_evaluation", E19_SQL + f" select scope, {driver_sql.BOOTSTRAP_COLUMNS} from br")
 def e19_transition_evaluation(spark, sf_dir):
-    rows = transitions(spark, sf_dir)
-    later = rows.withColumn("season", F.lit(2001)).withColumn("error", F.col("error") * 1.1)
-    effects, _ = backtests.transition_evaluation(stored(rows.withColumn("season", F.lit(2000)).unionByName(later), "transitions"), 2001, samples=300)
-    return effects
+    return backtests.transition_evaluation(transition_seasons(spark, sf_dir), 2001, samples=SAMPLES)[0]
+
+
+@query(
+    "e19_transition_decision",
+    E19_SQL + ", d as (select split_part(scope, '|', 1) as s, round(mean_delta, 6) as mean, round(high, 6) as high from br), g as (select count(distinct s) filter (where s like 'season_%') as seasons, bool_and(mean < 0) filter (where s like 'season_%') as every_season_improves, bool_and(high < 0) filter (where s = 'pooled') as pooled_below_zero, bool_and(high < 0) filter (where s = 'season_2001') as holdout_below_zero, bool_and(high < 0) filter (where s like 'without_%') as leave_one_out_below_zero, bool_and(high < 0) filter (where s = 'without_2001') as development_below_zero from d) "
+    "select *, seasons >= 3 and every_season_improves and pooled_below_zero and holdout_below_zero as promoted from g",
+)
+def e19_transition_decision(spark, sf_dir):
+    effects, _ = backtests.transition_evaluation(transition_seasons(spark, sf_dir), 2001, samples=SAMPLES)
+    return backtests.transition_decision(stored(effects, "effects"), 2001)

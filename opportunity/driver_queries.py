@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opportunity import quality, stats
+from opportunity import driver_sql, quality, stats
 from opportunity.functions import clean
 from opportunity.functions.stored import stored
 from opportunity.operators import aggregates as agg
@@ -495,6 +495,8 @@ def a18_pool_by_window(spark, sf_dir):
     return agg.pool_by_window(weekly(spark, sf_dir), ["team", "position"], ["volume"])
 
 
+#: Samples of every bootstrap.
+SAMPLES = 2000
 EVAL_SQL = WEEKLY_SQL + ", e as (select position, case when week <= 4 then 4 when week <= 8 then 8 else 18 end as window_end, case player_id % 3 when 0 then 'base' when 1 then 'p12' else 'p24' end as model, volume / 97 as error, team, player_id, week from weekly)"
 
 
@@ -693,10 +695,10 @@ def e2_oracle_allocation(spark, sf_dir):
     return stats.oracle_allocation(weights, active, rows.groupBy("team", "week").agg(F.sum("volume").alias("pool")), ["team"])
 
 
-@query("e3_cluster_bootstrap")
+@query("e3_cluster_bootstrap", EVAL_SQL + ", xd as (select position as scope, team as cluster, error - 0.5 as delta from e), " + driver_sql.cluster_bootstrap("xd", SAMPLES, 0.90) + f" select scope, {driver_sql.BOOTSTRAP_COLUMNS} from br")
 def e3_cluster_bootstrap(spark, sf_dir):
     rows = errors(spark, sf_dir).withColumn("delta", F.col("error") - F.lit(0.5))
-    return stats.paired_cluster_bootstrap(rows, "position", "team", "delta", samples=500)
+    return stats.paired_cluster_bootstrap(rows, "position", "team", "delta", samples=SAMPLES)
 
 
 @query("e6_conformal_radius", EVAL_SQL + ", o as (select position, error, row_number() over (partition by position order by error) as i, count(*) over (partition by position) as n from e) select position, round(error, 6) as radius, n from o where i = least(n, ceil((n + 1) * 0.9))")
@@ -1206,11 +1208,11 @@ TRANSITION_SQL = (
 )
 
 
-def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transitions(spark: SparkSession, sf_dir: str, season: int = 2000) -> DataFrame:
     rows = plays(spark, sf_dir)
     metrics = ["pass_rate", "success_rate"]
-    prior = agg.unpivoted(agg.team_style(rows.filter("season = 1999")), ["team"], metrics)
-    parts = [agg.unpivoted(agg.team_style(rows.filter("season = 2000"), weeks=(1, w)), ["team"], metrics).withColumn("window_end", F.lit(w)) for w in (6, 8)]
+    prior = agg.unpivoted(agg.team_style(rows.filter(F.col("season") == season - 1)), ["team"], metrics)
+    parts = [agg.unpivoted(agg.team_style(rows.filter(F.col("season") == season), weeks=(1, w)), ["team"], metrics).withColumn("window_end", F.lit(w)) for w in (6, 8)]
     kind = F.expr("case team % 3 when 0 then 'returning' when 1 then 'changed_with_anchor' else 'changed_without_anchor' end")
     cohorts = prior.select("team").distinct().select("team", kind.alias("cohort"), F.expr("case when team % 3 = 1 then team - 1 end").alias("anchor_team"))
     tolerances = spark.createDataFrame([(m, 0.05) for m in metrics], "metric string, tolerance double")

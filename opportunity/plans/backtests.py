@@ -13,7 +13,8 @@ from opportunity.operators.joins import forecast_vs_actual
 from opportunity.operators.windows import scope_deltas, share_in_group
 from opportunity.plans.forecast import HISTORY_WEIGHT, _by_resource
 from opportunity.quality import QualityError
-from opportunity.stats import conformal_radius, holdout_coverage, oracle_allocation, paired_cluster_bootstrap, promotion_gate, room_errors, shrunk_team_rate
+from opportunity.resampling import MOST_EXACT, paired_cluster_bootstrap
+from opportunity.stats import conformal_radius, holdout_coverage, oracle_allocation, room_errors, shrunk_team_rate, two_stage_gate
 
 WINDOWS = (4, 8, 18)
 
@@ -55,19 +56,20 @@ def allocation_backtest(weights: DataFrame, active: DataFrame, actual: DataFrame
     return room_errors(forecast_vs_actual(share(ahead, "allocated", "forecast"), share(seen, "amount", "actual"), [*by, "player_id"]), by)
 
 
-def rate_backtest(values: DataFrame, targets: Sequence[int], lookback: int = 3, priors: Sequence[int] = (4, 17), decay: float = 0.65, windows: Sequence[int] = WINDOWS) -> DataFrame:
+def rate_backtest(values: DataFrame, targets: Sequence[int], lookback: int = 3, priors: Sequence[int] = (4, 17), decay: float = 0.65, windows: Sequence[int] = WINDOWS, keys: Sequence[str] = ()) -> DataFrame:
     """Forecast and actual rate per game of each target season, team, window and model.
 
-    ``values`` has season, week, team, amount and games. The loop is over the few target seasons;
-    each forecast reads earlier seasons only.
+    ``values`` has season, week, team, amount and games, and the ``keys`` (a resource, or a metric whose
+    games are base opportunities). The loop is over the few target seasons; each forecast reads earlier
+    seasons only.
     """
-    parts = []
+    parts, unit = [], [*keys, "team"]
     for target in targets:
-        rates = shrunk_team_rate(values.groupBy("season", "team").agg(F.sum("amount").alias("amount"), F.sum("games").alias("games")), target, lookback, priors, decay)
-        ahead = unpivoted(rates, ["team"], ["league", "raw", *[f"p{p}" for p in priors]]).withColumnsRenamed({"metric": "model", "value": "forecast"})
-        seen = pool_by_window(values.filter(F.col("season") == target), ["team"], ["amount", "games"], windows)
-        seen = seen.filter("games > 0").select("team", "window_end", (F.col("amount") / F.col("games")).alias("actual"))
-        parts.append(ahead.join(seen, "team").withColumn("target_season", F.lit(target)))
+        rates = shrunk_team_rate(values.groupBy("season", *unit).agg(F.sum("amount").alias("amount"), F.sum("games").alias("games")), target, lookback, priors, decay, keys)
+        ahead = unpivoted(rates, unit, ["league", "raw", *[f"p{p}" for p in priors]]).withColumnsRenamed({"metric": "model", "value": "forecast"})
+        seen = pool_by_window(values.filter(F.col("season") == target), unit, ["amount", "games"], windows)
+        seen = seen.filter("games > 0").select(*unit, "window_end", (F.col("amount") / F.col("games")).alias("actual"))
+        parts.append(ahead.join(seen, unit).withColumn("target_season", F.lit(target)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -127,10 +129,46 @@ def rate_comparisons(rows: DataFrame, baseline: str = "league", samples: int = 2
     return found.withColumn("window_end", parts[0].cast("int")).withColumn("challenger", parts[1]).drop("scope")
 
 
-def rate_decision(rows: DataFrame, comparisons: DataFrame, primary: str, windows: Sequence[int] = WINDOWS, min_rooms: int = 20) -> DataFrame:
-    """E13 of a rate backtest; each team and season is a room and the windows' games its events."""
-    evaluations = rows.groupBy("window_end", "model").agg(F.avg("error").alias("error"), F.count("*").alias("events"), F.count("*").alias("rooms")).withColumn("metric", F.lit("rate"))
-    return promotion_gate(evaluations, comparisons.withColumn("metric", F.lit("rate")), "league", primary, windows, min_rooms, min_rooms)
+def segmented(rows: DataFrame, holdout: int, key: str) -> DataFrame:
+    """A rate backtest's rows by metric (``key``, and ALL) and segment: seasons before the holdout, and the holdout."""
+    segment = F.when(F.col("target_season") == holdout, "holdout").when(F.col("target_season") < holdout, "development")
+    return rows.withColumn("segment", segment).filter("segment is not null").withColumn("metric", F.explode(F.array(F.lit("ALL"), F.col(key).cast("string"))))
+
+
+def segment_comparisons(rows: DataFrame, holdout: int, key: str, baseline: str = "league", samples: int = 2000, seed: int = 0) -> DataFrame:
+    """E3 of each model's error less the baseline's by metric, segment and window, clustered by season and team."""
+    unit = ["target_season", "team", key, "window_end"]
+    deltas = segmented(scope_deltas(rows.select(*unit, "model", "error"), unit, "model", "error", baseline), holdout, key)
+    cluster = F.concat_ws("|", F.col("target_season").cast("string"), F.col("team").cast("string"))
+    deltas = deltas.withColumn("cluster", cluster).withColumn("scope", F.concat_ws("|", "metric", "segment", F.col("window_end").cast("string"), "model"))
+    found = paired_cluster_bootstrap(deltas, "scope", "cluster", "delta", samples=samples, seed=seed)
+    parts = F.split("scope", r"\|")
+    return found.select(parts[0].alias("metric"), parts[1].alias("segment"), parts[2].cast("int").alias("window_end"), parts[3].alias("challenger"), *found.columns[1:])
+
+
+def rate_decision(rows: DataFrame, comparisons: DataFrame, holdout: int, key: str, baseline: str = "league", windows: Sequence[int] = WINDOWS, min_wins: int = 2) -> DataFrame:
+    """E13 in two stages for each metric: the model that development rows choose, and whether the holdout season promotes it.
+
+    ``comparisons`` is what ``segment_comparisons`` returns. The metric ALL is compared but not decided.
+    """
+    own = segmented(rows, holdout, key).filter("metric <> 'ALL'")
+    evaluations = own.groupBy("metric", "segment", "window_end", "model").agg(F.avg("error").alias("error"))
+    return two_stage_gate(evaluations, comparisons.filter("metric <> 'ALL'"), baseline, windows, min_wins)
+
+
+def selected_calibration(rows: DataFrame, decision: DataFrame, holdout: int, key: str, window: int = WINDOWS[-1], coverage: float = 0.90) -> DataFrame:
+    """The radius of each metric's selected model over development rows of one window, and how often the holdout lies within it.
+
+    Intervals end at 0 below, so their width can be less than two radii.
+    """
+    own = segmented(rows, holdout, key).filter((F.col("metric") != "ALL") & (F.col("window_end") == window))
+    own = own.join(decision.select("metric", F.col("selected").alias("model")), ["metric", "model"])
+    radius = conformal_radius(own.filter("segment = 'development'"), ["metric", "model"], "error", coverage)
+    low, high = F.greatest(F.lit(0.0), F.col("forecast") - F.col("radius")), F.col("forecast") + F.col("radius")
+    held = own.filter("segment = 'holdout'").join(radius.withColumnRenamed("n", "development_rows"), ["metric", "model"])
+    count = lambda flag: F.sum(F.when(flag, 1).otherwise(0))
+    out = held.groupBy("metric", "model", "development_rows", "radius").agg(F.count("*").alias("rows"), count(F.col("actual") < low).alias("below"), count(F.col("actual") > high).alias("above"), F.avg(high - low).alias("mean_width"))
+    return out.withColumn("rate", (F.col("rows") - F.col("below") - F.col("above")) / F.col("rows"))
 
 
 def season_scopes(rows: DataFrame, season: str = "season") -> DataFrame:
@@ -146,18 +184,38 @@ def season_scopes(rows: DataFrame, season: str = "season") -> DataFrame:
     return rows.withColumn("scope", F.explode(scopes))
 
 
-def transition_evaluation(rows: DataFrame, holdout: int, candidate: str = "caller_aware", baseline: str = "shrunken", samples: int = 2000, seed: int = 0, exact_to: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Paired effects by scope and window with their interval (E3, or E4 up to ``exact_to`` teams), and the holdout's coverage.
+def transition_evaluation(rows: DataFrame, holdout: int, candidate: str = "caller_aware", baseline: str = "shrunken", samples: int = 2000, seed: int = 0, exact_to: int = MOST_EXACT, level: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """Paired effects by scope and window with their interval, and the holdout's coverage.
 
-    ``rows`` is what E18 returns for several seasons, with season. Radii are of the seasons before the
-    holdout, by window and metric, in units of the metric's tolerance.
+    ``rows`` is what E18 returns for several seasons, with season. Effects of a team over seasons are
+    drawn together; with up to ``exact_to`` teams all resamples are listed (E4), else drawn (E3). Radii
+    are of the seasons before the holdout, by window and metric, in units of the metric's tolerance.
     """
     key = ["season", "team", "window_end", "metric"]
     deltas = scope_deltas(rows.filter(F.col("model").isin(candidate, baseline)).select(*key, "model", "error"), key, "model", "error", baseline)
     team = deltas.groupBy("season", "team", "window_end").agg(F.avg("delta").alias("delta"))
     scoped = season_scopes(team).withColumn("scope", F.concat_ws("|", "scope", F.col("window_end").cast("string")))
-    effects = paired_cluster_bootstrap(scoped, "scope", "team", "delta", samples=samples, seed=seed, exact_to=exact_to)
+    effects = paired_cluster_bootstrap(scoped, "scope", "team", "delta", samples=samples, seed=seed, exact_to=exact_to, level=level, pooled=True)
     own = rows.filter(F.col("model") == candidate)
     radius = conformal_radius(own.filter(F.col("season") < holdout), ["window_end", "metric"], "error")
     held = own.filter(F.col("season") == holdout).join(radius, ["window_end", "metric"]).withColumn("covered", F.col("error") <= F.col("radius"))
     return effects, held.groupBy("window_end").agg(F.count("*").alias("rows"), F.avg(F.col("covered").cast("double")).alias("rate"), F.avg(2 * F.col("radius")).alias("mean_width"))
+
+
+def transition_decision(effects: DataFrame, holdout: int, min_seasons: int = 3, digits: int = 6) -> DataFrame:
+    """Whether the candidate is promoted, one row with a column for each rule.
+
+    Every season's mean effect must be below 0 in every window, and so must the whole interval of the
+    pooled seasons and of the holdout season; ``min_seasons`` are asked for. That every
+    leave-one-season-out interval, and that without the holdout, lies below 0 is told beside it. Effects
+    are compared as rounded to ``digits``.
+    """
+    scope = F.element_at(F.split("scope", r"\|"), 1)
+    rows = effects.select(scope.alias("s"), F.round("mean_delta", digits).alias("mean"), F.round("high", digits).alias("high"))
+    single, held = F.col("s").startswith("season_"), F.col("s") == f"season_{holdout}"
+    every = lambda which, rule: F.coalesce(F.every(F.when(which, rule)), F.lit(False))
+    out = rows.agg(
+        F.countDistinct(F.when(single, F.col("s"))).alias("seasons"), every(single, F.col("mean") < 0).alias("every_season_improves"), every(F.col("s") == "pooled", F.col("high") < 0).alias("pooled_below_zero"),
+        every(held, F.col("high") < 0).alias("holdout_below_zero"), every(F.col("s").startswith("without_"), F.col("high") < 0).alias("leave_one_out_below_zero"), every(F.col("s") == f"without_{holdout}", F.col("high") < 0).alias("development_below_zero"),
+    )
+    return out.withColumn("promoted", (F.col("seasons") >= min_seasons) & F.col("every_season_improves") & F.col("pooled_below_zero") & F.col("holdout_below_zero"))

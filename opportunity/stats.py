@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import itertools
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +12,9 @@ from opportunity.operators.aggregates import leave_one_out
 from opportunity.operators.joins import prior_history
 from opportunity.operators.ranges import counted_values
 from opportunity.operators.windows import TIE_DIGITS
+from opportunity.quality import QualityError
+from opportunity.resampling import bootstrap_spearman, paired_cluster_bootstrap  # noqa: F401  E3, E4 and E11 are statistics too
+
 
 
 def room_errors(rows: DataFrame, room: Sequence[str]) -> DataFrame:
@@ -51,52 +50,6 @@ def oracle_allocation(weights: DataFrame, active: DataFrame, pools: DataFrame, r
     return shared.withColumn("player_id", F.col("player_id").cast("string")).unionByName(left)
 
 
-def _interval(values: np.ndarray, samples: int, seed: int, level: float) -> tuple[float, float]:
-    rng = np.random.default_rng(seed)
-    tail = (1 - level) / 2
-    means = np.empty(samples)
-    step = max(1, 2_000_000 // max(1, len(values)))  # bounded memory
-    for start in range(0, samples, step):
-        stop = min(samples, start + step)
-        means[start:stop] = values[rng.integers(0, len(values), (stop - start, len(values)))].mean(axis=1)
-    return float(np.percentile(means, 100 * tail)), float(np.percentile(means, 100 * (1 - tail)))
-
-
-def scope_seed(scope: str, seed: int) -> int:
-    """Seed of one scope: the first 8 bytes of a hash, so that scopes stay independent."""
-    return int.from_bytes(hashlib.sha256(f"{seed}|{scope}".encode()).digest()[:8], "big")
-
-
-def paired_cluster_bootstrap(deltas: DataFrame, scope: str, cluster: str, delta: str, samples: int = 2000, level: float = 0.90, seed: int = 0, exact_to: int = 0) -> DataFrame:
-    """Interval of the mean of cluster means, per scope.
-
-    Cluster means are taken in Spark, so a task gets one value for each cluster of a scope. With
-    up to ``exact_to`` clusters (7 at most) all resamples are listed instead of drawn.
-    """
-    if exact_to > 7:
-        raise ValueError("all resamples of more than 7 clusters are too many")
-    means = deltas.groupBy(scope, cluster).agg(F.avg(delta).alias("_mean"), F.sum(delta).alias("_sum"), F.count(delta).alias("_n"), F.sum(F.when(F.col(delta) < 0, 1).otherwise(0)).alias("_wins"))
-
-    def resample(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(cluster)
-        name, values = frame[scope].iloc[0], frame["_mean"].to_numpy()
-        if len(values) <= exact_to:
-            drawn = np.array([np.mean(x) for x in itertools.product(values, repeat=len(values))])
-            low, high = np.percentile(drawn, [100 * (1 - level) / 2, 100 * (1 + level) / 2])
-        else:
-            low, high = _interval(values, samples, scope_seed(str(name), seed), level)
-        label = "lower_error" if high < 0 else "higher_error" if low > 0 else "uncertain"
-        n = int(frame["_n"].sum())
-        return pd.DataFrame([[name, n, len(values), frame["_sum"].sum() / n, low, high, frame["_wins"].sum() / n, label]], columns=BOOTSTRAP_COLUMNS)
-
-    kind = dict(deltas.dtypes)[scope]
-    schema = f"scope {kind}, rows long, clusters long, mean_delta double, low double, high double, win_rate double, interpretation string"
-    return means.groupBy(scope).applyInPandas(resample, schema)
-
-
-BOOTSTRAP_COLUMNS = ["scope", "rows", "clusters", "mean_delta", "low", "high", "win_rate", "interpretation"]
-
-
 def wilson_bounds(successes: Column, trials: Column, z: float = 1.645) -> tuple[Column, Column]:
     """E5: score interval of a share, within 0 and 1."""
     p, z2 = successes / trials, z * z
@@ -151,18 +104,19 @@ def shrunk_rate_multiplier(events: DataFrame, teams: DataFrame, targets: DataFra
     return out.select("player_id", "target_season", "high", "base", *[f"p{p}" for p in priors])
 
 
-def shrunk_team_rate(values: DataFrame, target: int, lookback: int, priors: Sequence[int], decay: float) -> DataFrame:
+def shrunk_team_rate(values: DataFrame, target: int, lookback: int, priors: Sequence[int], decay: float, keys: Sequence[str] = ()) -> DataFrame:
     """League rate, raw team rate and shrunk team rates from strictly earlier seasons.
 
-    ``values`` has season, team, amount and games.
+    ``values`` has season, team, amount and games, and the ``keys`` (such as a resource) that have a
+    league rate of their own.
     """
     past = values.filter(F.col("season").between(target - lookback, target - 1)).withColumn("_w", F.pow(F.lit(decay), F.lit(target - 1) - F.col("season")))
-    team = past.groupBy("team").agg(F.sum(F.col("_w") * F.col("amount")).alias("x"), F.sum(F.col("_w") * F.col("games")).alias("n"))
-    league = past.agg((F.sum(F.col("_w") * F.col("amount")) / F.sum(F.col("_w") * F.col("games"))).alias("league"))
-    joined = team.crossJoin(F.broadcast(league))  # one row on the right
+    team = past.groupBy(*keys, "team").agg(F.sum(F.col("_w") * F.col("amount")).alias("x"), F.sum(F.col("_w") * F.col("games")).alias("n"))
+    league = past.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("amount")) / F.sum(F.col("_w") * F.col("games"))).alias("league"))
+    joined = team.join(league, list(keys)) if keys else team.crossJoin(F.broadcast(league))  # one row on the right
     raw = F.when(F.col("n") > 0, F.col("x") / F.col("n")).otherwise(F.col("league"))
     shrunk = [F.when(F.col("n") > 0, (F.col("x") + p * F.col("league")) / (F.col("n") + p)).otherwise(F.col("league")).alias(f"p{p}") for p in priors]
-    return joined.select("team", "league", raw.alias("raw"), *shrunk)
+    return joined.select(*keys, "team", "league", raw.alias("raw"), *shrunk)
 
 
 def brier_scores(rows: DataFrame, segment: Sequence[str], models: Sequence[str], outcome: str) -> DataFrame:
@@ -182,32 +136,6 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return both.groupBy(*keys).agg(F.corr(f"_{x}_rank", f"_{y}_rank").alias("spearman"), F.count("*").alias("n"))
 
 
-def bootstrap_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, samples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Interval (low, high) of the rank correlation over resampled rows, by key; degenerate samples are skipped.
-
-    A row of ``df`` is a unit such as a team-season, so a key has few of them. With less than half
-    of the samples usable the interval is null.
-    """
-
-    def resample(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([x, y], kind="stable")
-        name = [frame[k].iloc[0] for k in keys]
-        rng = np.random.default_rng(scope_seed("|".join(map(str, name)), seed))
-        a, b, found = frame[x].to_numpy(float), frame[y].to_numpy(float), []
-        for _ in range(samples):
-            at = rng.integers(0, len(a), len(a))
-            p, q = (pd.Series(v[at]).rank().to_numpy() for v in (a, b))
-            if p.std() > 0 and q.std() > 0:
-                found.append(np.corrcoef(p, q)[0, 1])
-        tail = 100 * (1 - level) / 2
-        low, high = np.percentile(found, [tail, 100 - tail]) if len(found) >= max(1, samples // 2) else (None, None)
-        return pd.DataFrame([[*name, low, high, len(found)]], columns=[*keys, "low", "high", "samples"])
-
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    types = dict(both.dtypes)
-    return both.groupBy(*keys).applyInPandas(resample, ", ".join([*(f"{k} {types[k]}" for k in keys), "low double, high double, samples long"]))
-
-
 def tier_radii(rows: DataFrame, keys: Sequence[str], error: str, coverage: float = 0.90) -> DataFrame:
     """The radius (E6) of each tier of the keys, and of all tiers (tier ``global``)."""
     every = rows.withColumn("tier", F.explode(F.array(F.col("tier"), F.lit("global"))))
@@ -263,6 +191,36 @@ def promotion_gate(evaluations: DataFrame, comparisons: DataFrame, baseline: str
     return joined.select("metric", "worst_delta", "best_model", F.coalesce("wins", F.lit(0)).alias("wins"), F.coalesce("losses", F.lit(0)).alias("losses"), F.coalesce(passed, F.lit(False)).alias("promoted"))
 
 
+def two_stage_gate(evaluations: DataFrame, comparisons: DataFrame, baseline: str, windows: Sequence[int], min_wins: int = 2) -> DataFrame:
+    """The challenger chosen on development rows, and whether the holdout lets it replace the baseline.
+
+    ``evaluations`` has metric, segment (development or holdout), window_end, model and error;
+    ``comparisons`` metric, segment, window_end, challenger, mean_delta, low and high. The candidate has
+    the lowest mean error over the development windows, ties to the first name. It passes if it beats
+    the baseline in every window of both segments, clearly in at least ``min_wins`` holdout windows, and
+    clearly loses in none. A metric without rows of both segments is an error.
+    """
+    means = evaluations.groupBy("metric", "segment", "model").agg((F.sum("error") / len(windows)).alias("mean"))
+    parts = means.groupBy("metric").agg(F.bool_or(F.col("segment") == "development").alias("_d"), F.bool_or(F.col("segment") == "holdout").alias("_h"))
+    if lost := parts.filter(~(F.col("_d") & F.col("_h"))).select("metric").limit(1).collect():
+        raise QualityError(f"no development or no holdout rows: {lost[0].metric}")
+    at = lambda segment, model: F.max(F.when((F.col("segment") == segment) & (F.col("model") == model), F.col("mean")))
+    rivals = F.when((F.col("segment") == "development") & (F.col("model") != baseline), F.struct("mean", "model"))
+    chosen = means.groupBy("metric").agg(F.min(rivals).alias("_best"), at("development", baseline).alias("baseline_development"), at("holdout", baseline).alias("baseline_holdout"))
+    chosen = chosen.select("metric", F.col("_best.model").alias("candidate"), F.col("_best.mean").alias("candidate_development"), "baseline_development", "baseline_holdout")
+    held = means.filter("segment = 'holdout'").select("metric", F.col("model").alias("candidate"), F.col("mean").alias("candidate_holdout"))
+    own = comparisons.withColumnRenamed("challenger", "candidate").join(chosen.select("metric", "candidate"), ["metric", "candidate"])
+    holdout, count = F.col("segment") == "holdout", lambda flag: F.sum(F.when(flag, 1).otherwise(0))
+    rules = own.groupBy("metric").agg(
+        count(~holdout & (F.col("mean_delta") < 0)).alias("development_wins"), count(holdout & (F.col("mean_delta") < 0)).alias("holdout_wins"),
+        count(holdout & (F.col("high") < 0)).alias("clear_wins"), count(holdout & (F.col("low") > 0)).alias("clear_losses"),
+    )
+    out = chosen.join(held, ["metric", "candidate"], "left").join(rules, "metric", "left").fillna(0, ["development_wins", "holdout_wins", "clear_wins", "clear_losses"])
+    n = len(windows)
+    passed = (F.col("development_wins") == n) & (F.col("holdout_wins") == n) & (F.col("clear_wins") >= min_wins) & (F.col("clear_losses") == 0)
+    return out.withColumn("passed", passed).withColumn("selected", F.when(passed, F.col("candidate")).otherwise(baseline))
+
+
 def joint_coverage(rows: DataFrame, unit: str, covered: str) -> DataFrame:
     """Share of units with every row covered; one row."""
     units = rows.groupBy(unit).agg(F.every(covered).alias("_all"))

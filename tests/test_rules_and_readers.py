@@ -256,6 +256,10 @@ def test_season_scopes_and_rate_decision(spark):
     rates = frame(spark, [(2024, f"t{t}", w, m, 0.2 if m == "league" else 0.1) for t in range(25) for w in (4, 8, 18) for m in ("league", "p4", "p17")], "target_season int, team string, window_end int, model string, error double")
     found = backtests.rate_comparisons(rates, samples=100)
     assert found.filter("high < 0").count() == 6
-    assert backtests.rate_decision(rates, found, "p17").first().promoted
+    two = rates.withColumn("resource", F.lit("R"))
+    two = two.unionByName(two.withColumn("target_season", F.lit(2023)))
+    compared = backtests.segment_comparisons(two, 2024, "resource", samples=100)
+    decided = backtests.rate_decision(two, compared, 2024, "resource").first()
+    assert decided.passed and decided.selected == "p17" and decided.clear_wins == 3  # a tie with p4, to the first name
     with pytest.raises(QualityError):
         forecast.checked_resources(frame(spark, [(0.5, 0.5, 0.2)], "rb_target_share double, wr_target_share double, te_target_share double"), None)
