@@ -771,14 +771,14 @@ def f4_resource_forecasts(spark, sf_dir):
 
 @query(
     "f9_role_scenarios",
-    WEEKLY_SQL + ", ro as (select team, player_id, 'R' || (player_id % 2) as resource, sum(volume) as weight from weekly group by all), av as (select distinct team, week, player_id, 0.3 + (player_id % 5) / 10.0 as p from weekly where week <= 4), dr as (select *, unnest(range(20)) as draw from av), live as (select * from dr where ('0x' || substr(md5('7|' || player_id || '|' || week || '|' || draw), 1, 8))::bigint / 4294967296.0 < p), wt as (select l.team, l.week, resource, draw, l.player_id, weight from live l join ro using (team, player_id)), sh as (select *, weight / sum(weight) over (partition by team, week, resource, draw) as share from wt), ag as (select team, week, resource, player_id::varchar as player_id, sum(share) / 20 as mean_share, count(*) as active_draws from sh group by all), "
-    "rm as (select distinct av.team, week, resource from av join ro on av.team = ro.team), fl as (select team, week, resource, count(distinct draw) as f from wt group by all), em as (select team, week, resource, '__UNALLOCATED__', (20 - coalesce(f, 0)) / 20.0, 20 - coalesce(f, 0) from rm left join fl using (team, week, resource) where coalesce(f, 0) < 20) select team, week::bigint as week, resource, player_id, round(mean_share, 6) as mean_share, active_draws from ag union all select team, week, resource, '__UNALLOCATED__', round((20 - coalesce(f, 0)) / 20.0, 6)::double, 20 - coalesce(f, 0) from rm left join fl using (team, week, resource) where coalesce(f, 0) < 20",
+    WEEKLY_SQL + ", ro as (select team, player_id, 'R' || (player_id % 2) as resource, sum(volume) as weight from weekly group by all), av as (select distinct team, week, player_id, 0.3 + (player_id % 5) / 10.0 as p from weekly), dr as (select *, unnest(range(5000)) as draw from av), live as (select * from dr where ('0x' || substr(md5('7|' || player_id || '|' || week || '|' || draw), 1, 8))::bigint / 4294967296.0 < p), wt as (select l.team, l.week, resource, draw, l.player_id, weight from live l join ro using (team, player_id)), sh as (select *, weight / sum(weight) over (partition by team, week, resource, draw) as share from wt), ag as (select team, week, resource, player_id::varchar as player_id, sum(share) / 5000 as mean_share, count(*) as active_draws from sh group by all), "
+    "rm as (select distinct av.team, week, resource from av join ro on av.team = ro.team), fl as (select team, week, resource, count(distinct draw) as f from wt group by all), em as (select team, week, resource, '__UNALLOCATED__', (5000 - coalesce(f, 0)) / 5000.0, 5000 - coalesce(f, 0) from rm left join fl using (team, week, resource) where coalesce(f, 0) < 5000) select team, week::bigint as week, resource, player_id, round(mean_share, 6) as mean_share, active_draws from ag union all select team, week, resource, '__UNALLOCATED__', round((5000 - coalesce(f, 0)) / 5000.0, 6)::double, 5000 - coalesce(f, 0) from rm left join fl using (team, week, resource) where coalesce(f, 0) < 5000",
 )
 def f9_role_scenarios(spark, sf_dir):
     rows = weekly(spark, sf_dir)
     roles = rows.groupBy("team", "player_id").agg(F.sum("volume").alias("weight")).withColumn("resource", F.concat(F.lit("R"), F.col("player_id") % 2))
-    availability = rows.filter("week <= 4").select("team", "week", "player_id").distinct().withColumn("p", 0.3 + (F.col("player_id") % 5) / 10)
-    return forecast.role_scenarios(roles, availability, draws=20, seed=7)
+    availability = rows.select("team", "week", "player_id").distinct().withColumn("p", 0.3 + (F.col("player_id") % 5) / 10)
+    return forecast.role_scenarios(roles, availability, draws=5000, seed=7)
 
 
 @query(
@@ -1092,15 +1092,15 @@ def f10_high_value_reviews(spark, sf_dir):
 
 @query(
     "f11_high_value_scenarios",
-    PRIORS_SQL + ", ca as (select team, week, metric, player_id, share_p24 as weight, 0.3 + (player_id % 5) / 10.0 as p, (team + week) % 3 <> 0 as scheduled from pr, (select unnest([1, 2, 3]) as week)), dr as (select *, unnest(range(20)) as draw from ca), on_ as (select *, scheduled and ('0x' || substr(md5('7|' || player_id || '|' || week || '|' || draw), 1, 8))::bigint / 4294967296.0 < p as live from dr), "
+    PRIORS_SQL + ", ca as (select team, week, metric, player_id, share_p24 as weight, 0.3 + (player_id % 5) / 10.0 as p, (team + week) % 3 <> 0 as scheduled from pr, (select unnest([1, 2, 3]) as week)), dr as (select *, unnest(range(500)) as draw from ca), on_ as (select *, scheduled and ('0x' || substr(md5('7|' || player_id || '|' || week || '|' || draw), 1, 8))::bigint / 4294967296.0 < p as live from dr), "
     "to_ as (select *, sum(case when live then weight end) over (partition by team, week, metric, draw) as t from on_), sd as (select *, case when live and t > 0 then weight / t else 0.0 end as share from to_), un as (select team, week, metric, count(distinct case when t > 0 then draw end) as f from to_ where scheduled group by all) "
-    "select team, week::bigint as week, metric, player_id::varchar as player_id, round(avg(share), 6) as mean_share, round(quantile_cont(share, 0.1), 6) as p10, round(quantile_cont(share, 0.5), 6) as p50, round(quantile_cont(share, 0.9), 6) as p90 from sd group by all union all select team, week, metric, '__UNALLOCATED__', round((20 - f) / 20.0, 6), null, null, null from un where f < 20",
+    "select team, week::bigint as week, metric, player_id::varchar as player_id, round(avg(share), 6) as mean_share, round(quantile_cont(share, 0.1), 6) as p10, round(quantile_cont(share, 0.5), 6) as p50, round(quantile_cont(share, 0.9), 6) as p90 from sd group by all union all select team, week, metric, '__UNALLOCATED__', round((500 - f) / 500.0, 6), null, null, null from un where f < 500",
 )
 def f11_high_value_scenarios(spark, sf_dir):
     found = priors(spark, sf_dir)
     weeks = found.select("team", "player_id").distinct().withColumn("week", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])))
     weeks = weeks.withColumn("p", 0.3 + (F.col("player_id") % 5) / 10).withColumn("scheduled", (F.col("team") + F.col("week")) % 3 != 0)
-    return forecast.high_value_scenarios(found, weeks, draws=20, seed=7)
+    return forecast.high_value_scenarios(found, weeks, draws=500, seed=7)
 
 
 @query(

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from collections import deque
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opportunity.functions.clean import depth_weight, lookup, normal_cdf, safe_ratio, score_band, snake_owner
 from opportunity.operators.aggregates import weighted_mean
 from opportunity.operators.windows import average_rank_percentile, cume_percentile, drop_to_kth_next, keep_best, ordinal_percentile, rank_in, share_in_group
+from opportunity.plans.draws import room_draws, with_bits
+from opportunity.plans.ownership import checked_ownership, ownership_states  # noqa: F401  F23 in full
 from opportunity.quality import assert_rule
 from opportunity.stats import laplace_mean, shrunk_rate_multiplier, wilson_bounds
 
@@ -253,35 +252,27 @@ def availability_support(rows: DataFrame, strong: int = 150, moderate: int = 30)
     return rows.withColumn("support", F.when(F.col("trials") >= strong, "strong").when(F.col("trials") >= moderate, "moderate").otherwise("weak")).withColumn("constraint", reason)
 
 
-def uniform_draw(seed: int, *key: Column) -> Column:
-    """A number in [0, 1) that depends on the key alone, so every resource of a player shares it."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
-
-
-def role_scenarios(roles: DataFrame, availability: DataFrame, draws: int, seed: int) -> DataFrame:
+def role_scenarios(roles: DataFrame, availability: DataFrame, draws: int = 5000, seed: int = 0) -> DataFrame:
     """active draws per player and week, and shares among the active, summed over draws.
 
     ``roles`` has team, resource, player_id and weight; ``availability`` team, week, player_id and
-    p. An empty room leaves the draw unallocated, as a row of ``__UNALLOCATED__``.
+    p. An empty room leaves the draw unallocated, as a row of ``__UNALLOCATED__``. Draws are bit strings
+    (see ``draws``), written to the work folder while the plan is built.
     """
-    live = availability.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    live = live.filter(uniform_draw(seed, F.col("player_id"), F.col("week"), F.col("draw")) < F.col("p"))
-    # A team's players of one draw, and a room's roles, are short lists: draws are shuffled once.
-    drawn = live.groupBy("team", "week", "draw").agg(F.collect_set("player_id").alias("_players"))
-    lists = roles.groupBy("team", "resource").agg(F.sort_array(F.collect_list(F.struct("player_id", "weight"))).alias("_roles"))
-    active = drawn.join(lists, "team").select("team", "week", "resource", F.filter("_roles", lambda r: F.array_contains("_players", r["player_id"])).alias("_active"))
-    total = active.withColumn("_total", F.aggregate("_active", F.lit(0.0), lambda x, r: x + r["weight"])).filter("_total > 0")
-    shares = total.select("team", "week", "resource", "_total", F.explode("_active").alias("r")).select("team", "week", "resource", F.col("r.player_id").cast("string").alias("player_id"), (F.col("r.weight") / F.col("_total")).alias("share"))
-    out = shares.groupBy("team", "week", "resource", "player_id").agg((F.sum("share") / draws).alias("mean_share"), F.count("*").alias("active_draws"))
+    live = with_bits(availability.select("team", "week", "player_id", "p"), draws, seed)
+    found, filled = room_draws(live.join(roles.select("team", "resource", "player_id", "weight"), ["team", "player_id"]), draws)
+    out = found.filter("active_draws > 0").select("team", "week", "resource", F.col("player_id").cast("string").alias("player_id"), "mean_share", "active_draws")
     rooms = availability.select("team", "week").distinct().join(roles.select("team", "resource").distinct(), "team")
-    filled = total.groupBy("team", "week", "resource").agg(F.count("*").alias("_filled"))
-    empty = rooms.join(filled, ["team", "week", "resource"], "left").withColumn("_empty", draws - F.coalesce("_filled", F.lit(0))).filter("_empty > 0")
-    none = empty.select("team", "week", "resource", F.lit("__UNALLOCATED__").alias("player_id"), (F.col("_empty") / draws).alias("mean_share"), F.col("_empty").cast("long").alias("active_draws"))
-    return out.unionByName(none)
+    return out.unionByName(_unallocated(rooms, filled, draws).select("team", "week", "resource", "player_id", "mean_share", F.col("_empty").cast("long").alias("active_draws")))
+
+
+def _unallocated(rooms: DataFrame, filled: DataFrame, draws: int) -> DataFrame:
+    """Rooms with draws in which no one of them is active."""
+    empty = rooms.join(filled, ["team", "week", "resource"], "left").withColumn("_empty", draws - F.coalesce("filled", F.lit(0))).filter("_empty > 0")
+    return empty.withColumn("player_id", F.lit("__UNALLOCATED__")).withColumn("mean_share", F.col("_empty") / draws)
 
 
-def scenario_shares(roles: DataFrame, availability: DataFrame, draws: int, seed: int) -> DataFrame:
+def scenario_shares(roles: DataFrame, availability: DataFrame, draws: int = 5000, seed: int = 0) -> DataFrame:
     """F9 with percentiles: mean, p10, p50 and p90 of every candidate's share over all draws.
 
     Tables as in ``role_scenarios``; ``availability`` may have scheduled. A draw without the player
@@ -289,30 +280,15 @@ def scenario_shares(roles: DataFrame, availability: DataFrame, draws: int, seed:
     """
     if "scheduled" not in availability.columns:
         availability = availability.withColumn("scheduled", F.lit(True))
-    key = ["team", "week", "resource"]
-    candidates = availability.select("team", "week", "player_id", "p", "scheduled").join(roles, ["team", "player_id"])
-    live = candidates.filter("scheduled").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    live = live.filter(uniform_draw(seed, F.col("player_id"), F.col("week"), F.col("draw")) < F.col("p")).select(*key, "draw", "player_id", "weight")
-    total = live.groupBy(*key, "draw").agg(F.sum("weight").alias("_total")).filter("_total > 0")
-    shares = live.join(total, [*key, "draw"]).groupBy(*key, "player_id").agg(F.sort_array(F.collect_list(F.col("weight") / F.col("_total"))).alias("_shares"))
-    found = candidates.select(*key, "player_id").join(shares, [*key, "player_id"], "left").withColumn("_shares", F.coalesce("_shares", F.array().cast("array<double>")))
-    absent = F.lit(draws) - F.size("_shares")
-
-    def at(place: int) -> Column:
-        return F.when(F.lit(place) < absent, 0.0).otherwise(F.get("_shares", F.lit(place) - absent))
-
-    def percentile(q: float) -> Column:
-        place = q * (draws - 1)
-        low, high = math.floor(place), math.ceil(place)
-        return at(low) + (at(high) - at(low)) * (place - low)
-
-    mean = F.aggregate("_shares", F.lit(0.0), lambda x, y: x + y) / draws
-    out = found.select(*key, F.col("player_id").cast("string").alias("player_id"), mean.alias("mean_share"), *[percentile(q).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9)])
-    rooms = candidates.filter("scheduled").select(*key).distinct()
-    filled = total.groupBy(*key).agg(F.count("*").alias("_filled"))
-    empty = rooms.join(filled, key, "left").withColumn("_empty", draws - F.coalesce("_filled", F.lit(0))).filter("_empty > 0")
-    none = F.lit(None).cast("double")
-    return out.unionByName(empty.select(*key, F.lit("__UNALLOCATED__").alias("player_id"), (F.col("_empty") / draws).alias("mean_share"), none.alias("p10"), none.alias("p50"), none.alias("p90")))
+    key, measures = ["team", "week", "resource"], ["mean_share", "p10", "p50", "p90"]
+    live = with_bits(availability.select("team", "week", "player_id", "p", "scheduled"), draws, seed).join(roles, ["team", "player_id"])
+    found, filled = room_draws(live.filter("scheduled").select(*key, "player_id", "weight", "bits"), draws)
+    name = F.col("player_id").cast("string").alias("player_id")
+    idle = availability.filter("not coalesce(scheduled, false)").select("team", "week", "player_id").join(roles, ["team", "player_id"])
+    out = found.select(*key, name, *measures).unionByName(idle.select(*key, name, *[F.lit(0.0).alias(m) for m in measures]))
+    rooms = availability.filter("scheduled").select("team", "week", "player_id").join(roles, ["team", "player_id"]).select(*key).distinct()
+    none = _unallocated(rooms, filled, draws).select(*key, "player_id", "mean_share", *[F.lit(None).cast("double").alias(p) for p in ("p10", "p50", "p90")])
+    return out.unionByName(none)
 
 
 def scenario_opportunities(shares: DataFrame, pools: DataFrame) -> DataFrame:
@@ -537,36 +513,6 @@ def checked_census(registry: DataFrame, staff: DataFrame) -> DataFrame:
     return joined.select("team", "head_coach", "coordinator", "caller", "caller_title", "confirmation")
 
 
-def ownership_states(transactions: DataFrame, history: int = 100) -> DataFrame:
-    """F23 in full: owner and slot of each player of each league.
-
-    As ``ownership_replay``, with slot beside owner, and with undos reaching back over the last
-    ``history`` changes only: changes that were older at an undo stand, so such an undo does nothing.
-    A league's changes are one history, replayed in order by one task.
-    """
-    columns = ["league_id", "seq", "kind", "player_id", "owner", "slot"]
-    types = {c: transactions.schema[c].dataType.simpleString() for c in columns}
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        owners: dict = {}
-        undo: deque = deque(maxlen=history)
-        for row in frame.sort_values("seq").itertuples(index=False):
-            if row.kind == "undo":
-                if undo:
-                    player, before = undo.pop()
-                    owners.pop(player, None)
-                    if before is not None:
-                        owners[player] = before
-                continue
-            undo.append((row.player_id, owners.get(row.player_id)))
-            owners.pop(row.player_id, None)
-            if row.kind == "add":
-                owners[row.player_id] = (row.owner, row.slot)
-        return pd.DataFrame([(frame["league_id"].iloc[0], p, *state) for p, state in owners.items()], columns=["league_id", "player_id", "owner", "slot"])
-
-    return transactions.select(*columns).groupBy("league_id").applyInPandas(replay, f"league_id {types['league_id']}, player_id {types['player_id']}, owner {types['owner']}, slot {types['slot']}")
-
-
 def ownership_replay(transactions: DataFrame) -> DataFrame:
     """current owner of each player of each league.
 
