@@ -41,6 +41,14 @@ F17_SQL = BOARD_SQL + (
 
 @query("f17_draft_scores", F17_SQL + " select league_id, player_id, " + ", ".join(f"round({t}, 4) + 0.0 as {t}" for t in ("vorp_term", "need_term", "scarcity_term", "adp_term", "context_term", "range_term", "penalty_term")) + " from y")
 def f17_draft_scores(spark, sf_dir):
+    players, leagues = f17_inputs(spark, sf_dir)
+    levels = players.groupBy("league_id", "position").agg(F.least(F.lit(20), F.count("*")).alias("demand"), F.expr("percentile_disc(0.6) within group (order by points)").alias("replacement"))
+    scored = drafting.draft_scores(players, leagues, levels, STRATEGY)
+    terms = [c for c in scored.columns if c.endswith("_term")]
+    return scored.select("league_id", "player_id", *[(F.round(t, 4) + 0.0).alias(t) for t in terms])
+
+
+def f17_inputs(spark, sf_dir):
     rating = {n: F.lit(None).cast("double") for parts in (*(p for c in drafting.CONTEXT.values() for p in c[:2]), drafting.OTHER_CONTEXT) for n in parts}
     rating |= {"opportunity_rating": F.expr("(size % 11) / 10"), "pass_volume_rating": F.expr("(size % 7) / 10")}
     context = drafting.context_signal(rating, F.col("position"), F.lit(0.1))
@@ -49,10 +57,7 @@ def f17_draft_scores(spark, sf_dir):
         "case player_id % 3 when 0 then 'starter' when 1 then 'flex' else 'bench' end as status", "(size % 4) / 4 as run", "size % 3 as surplus", "size % 2 as same_bye",
     )
     leagues = spark.createDataFrame([(0, 10, 15, 5, 16), (1, 10, 15, 48, 53), (2, 10, 15, 91, 110)], "league_id int, teams int, rounds int, current int, following int")
-    levels = players.groupBy("league_id", "position").agg(F.least(F.lit(20), F.count("*")).alias("demand"), F.expr("percentile_disc(0.6) within group (order by points)").alias("replacement"))
-    scored = drafting.draft_scores(players, leagues, levels, STRATEGY)
-    terms = [c for c in scored.columns if c.endswith("_term")]
-    return scored.select("league_id", "player_id", *[(F.round(t, 4) + 0.0).alias(t) for t in terms])
+    return players, leagues
 
 
 @query(
@@ -147,7 +152,7 @@ def f1_caller_forecasts(spark, sf_dir):
     "l as (select team, unnest(['plays', 'pass_plays', 'rush_plays', 'neutral_pass', 'play_action', 'air_yards', 'rb_share', 'wr_share', 'te_share']) as f, unnest([plays::double, plays * pr, plays * (1 - pr), np, pa, ay, rb, wr, te]) as v from m), "
     "r as (select team, f, (rank() over (partition by f order by v) - 1 + (count(*) over (partition by f, v) - 1) / 2.0) / (count(*) over (partition by f) - 1) as p from l), "
     "w as (select * from (values ('QB', 'pass_plays', 0.55), ('QB', 'neutral_pass', 0.20), ('QB', 'air_yards', 0.15), ('QB', 'play_action', 0.10), ('RB', 'rush_plays', 0.55), ('RB', 'rb_share', 0.35), ('RB', 'plays', 0.10), ('WR', 'pass_plays', 0.50), ('WR', 'wr_share', 0.35), ('WR', 'air_yards', 0.15), ('TE', 'pass_plays', 0.40), ('TE', 'te_share', 0.60)) as t(position, f, wt)), "
-    "s as (select team, position, 100 * sum(wt::double * p) as score from r join w using (f) group by all) select team, position, round(score, 3) as score, case when score >= 80 then 'strongly_favorable' when score >= 65 then 'favorable' when score > 35 then 'neutral' when score > 20 then 'unfavorable' else 'strongly_unfavorable' end as label from s",
+    "s as (select team, position, 100 * sum(wt::double * p) as score from r join w using (f) group by all) select team, position, round(score, 3) as score, case when score >= 80 then 'strongly_favorable_opportunity' when score >= 65 then 'favorable_opportunity' when score > 35 then 'neutral_opportunity' when score > 20 then 'unfavorable_opportunity' else 'strongly_unfavorable_opportunity' end as label from s",
 )
 def f2_position_outlook(spark, sf_dir):
     columns = {"plays_per_game": "cast(50 + c_custkey % 37 as double)", "pass_rate": "0.4D + (c_custkey % 29) / 100", "neutral_early_down_pass_rate": "(c_custkey % 23) / 23", "play_action_rate": "(c_custkey % 19) / 19", "mean_air_yards": "5 + (c_custkey % 17) / 4", "rb_target_share": "(c_custkey % 13) / 50", "wr_target_share": "0.4D + (c_custkey % 11) / 50", "te_target_share": "(c_custkey % 7) / 30"}

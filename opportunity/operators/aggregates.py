@@ -308,7 +308,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Ma
 
 
 # Fixed values.
-CORE_RESPONSIBILITIES = ("offensive_coordinator", "quarterbacks", "running_backs", "wide_receivers", "tight_ends", "offensive_line", "pass_game")
+CORE_RESPONSIBILITIES = ("head_coach", "offensive_coordinator", "quarterbacks", "running_backs", "wide_receivers", "tight_ends", "offensive_line")
 
 
 def staff_continuity(changes: DataFrame) -> DataFrame:

@@ -146,14 +146,18 @@ def segment_comparisons(rows: DataFrame, holdout: int, key: str, baseline: str =
     return found.select(parts[0].alias("metric"), parts[1].alias("segment"), parts[2].cast("int").alias("window_end"), parts[3].alias("challenger"), *found.columns[1:])
 
 
+def segment_evaluations(rows: DataFrame, holdout: int, key: str) -> DataFrame:
+    """Mean error of each metric, segment, window and model, as ``two_stage_gate`` takes it."""
+    own = segmented(rows, holdout, key).filter("metric <> 'ALL'")
+    return own.groupBy("metric", "segment", "window_end", "model").agg(F.avg("error").alias("error"))
+
+
 def rate_decision(rows: DataFrame, comparisons: DataFrame, holdout: int, key: str, baseline: str = "league", windows: Sequence[int] = WINDOWS, min_wins: int = 2) -> DataFrame:
     """E13 in two stages for each metric: the model that development rows choose, and whether the holdout season promotes it.
 
     ``comparisons`` is what ``segment_comparisons`` returns. The metric ALL is compared but not decided.
     """
-    own = segmented(rows, holdout, key).filter("metric <> 'ALL'")
-    evaluations = own.groupBy("metric", "segment", "window_end", "model").agg(F.avg("error").alias("error"))
-    return two_stage_gate(evaluations, comparisons.filter("metric <> 'ALL'"), baseline, windows, min_wins)
+    return two_stage_gate(segment_evaluations(rows, holdout, key), comparisons.filter("metric <> 'ALL'"), baseline, windows, min_wins)
 
 
 def selected_calibration(rows: DataFrame, decision: DataFrame, holdout: int, key: str, window: int = WINDOWS[-1], coverage: float = 0.90) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opportunity.functions.clean import lookup
 from opportunity.operators.windows import cume_percentile, drop_to_kth_next, ordinal_percentile, rank_in
-from opportunity.plans.forecast import survival_estimates
+from opportunity.plans.forecast import league_shortlist, survival_estimates
 
 # Points a percentile point over 50 of each rating.
 BOARD_WEIGHTS = {"opportunity": 0.08, "high_value": 0.04, "environment": 0.03, "evidence": 0.015}
@@ -165,18 +165,16 @@ def season_scores(trends: DataFrame) -> DataFrame:
     return rows.withColumn("score", score).drop("_volume", "_share", "_slope")
 
 
-def season_board(scores: DataFrame, owners: DataFrame) -> DataFrame:
+def season_board(scores: DataFrame, owners: DataFrame, rows: int | None = None) -> DataFrame:
     """each league's players that others own or no one owns, against one's weakest peer, with a reason.
 
     ``owners`` has league_id, player_id and mine. The peer is the weakest available own player of the
-    position, or of the unavailable ones where there is no other.
+    position, or of the unavailable ones where there is no other. ``rows`` is how many free players of a
+    position each league is offered, the best ones (see ``league_shortlist``); all if None.
     """
     own = owners.filter("mine").join(scores.select("player_id", "position", "score", "unavailable"), "player_id")
     peer = own.groupBy("league_id", "position").agg(F.min(F.struct("unavailable", "score", "player_id")).alias("_peer"))
-    held = owners.select("league_id", "player_id", "mine")
-    # Every player is offered in every league: that is the job's result.
-    board = owners.select("league_id").distinct().crossJoin(scores.select("player_id", "position", "score", "unavailable"))
-    board = board.join(held, ["league_id", "player_id"], "left").filter("mine is null or not mine").join(peer, ["league_id", "position"], "left")
+    board = league_shortlist(scores.select("player_id", "position", "score", "unavailable"), owners, rows).join(peer, ["league_id", "position"], "left")
     delta = F.col("score") - F.coalesce(F.col("_peer.score"), F.lit(0.0))
     reason = F.when(F.col("unavailable"), "unavailable").when(F.col("_peer").isNull(), "empty_position").when(delta > 0, "upgrade").otherwise("depth_only")
-    return board.select("league_id", "player_id", "position", "score", delta.alias("delta"), F.when(F.col("mine").isNull(), "waiver").otherwise("trade").alias("list"), F.col("_peer.player_id").alias("compare_with"), reason.alias("reason"))
+    return board.select("league_id", "player_id", "position", "score", delta.alias("delta"), "list", F.col("_peer.player_id").alias("compare_with"), reason.alias("reason"))

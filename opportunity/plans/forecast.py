@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opportunity.functions.clean import depth_weight, lookup, normal_cdf, safe_ratio, score_band, snake_owner
+from opportunity.functions.stored import stored
 from opportunity.operators.aggregates import weighted_mean
-from opportunity.operators.windows import average_rank_percentile, cume_percentile, drop_to_kth_next, keep_best, ordinal_percentile, rank_in, share_in_group
+from opportunity.operators.windows import TIE_DIGITS, average_rank_percentile, cume_percentile, drop_to_kth_next, keep_best, ordinal_percentile, rank_in, share_in_group
 from opportunity.plans.draws import room_draws, with_bits
 from opportunity.plans.ownership import checked_ownership, ownership_states  # noqa: F401  F23 in full
-from opportunity.quality import assert_rule
+from opportunity.quality import QualityError, assert_rule
 from opportunity.stats import laplace_mean, shrunk_rate_multiplier, wilson_bounds
 
+#: Flex slots that a league may have.
+MOST_FLEX = 50
+
 RESOURCES = ("QB_DROPBACKS", "QB_RUSH_OPPORTUNITIES", "RB_CARRIES", "RB_TARGETS", "WR_TARGETS", "TE_TARGETS")
 # Fixed values.
 HISTORY_WEIGHT = {"QB_DROPBACKS": 0.0, "QB_RUSH_OPPORTUNITIES": 0.0, "RB_CARRIES": 0.45, "RB_TARGETS": 0.50, "WR_TARGETS": 0.55, "TE_TARGETS": 0.55}
@@ -140,7 +144,7 @@ def position_outlook(forecasts: DataFrame, weights: dict[str, dict[str, float]]
     driver = F.struct((-F.abs(F.col("percentile") - 0.5) * F.col("weight")).alias("pull"), F.concat(F.col("feature"), F.when(F.col("percentile") >= 0.5, ":high").otherwise(":low")).alias("name"))
     out = rows.groupBy("team", "position").agg((100 * F.sum(F.col("weight") * F.col("percentile"))).alias("score"), F.array_sort(F.collect_list(driver)).alias("_d"))
     score = F.col("score")
-    label = F.when(score >= 80, "strongly_favorable").when(score >= 65, "favorable").when(score > 35, "neutral").when(score > 20, "unfavorable").otherwise("strongly_unfavorable")
+    label = F.when(score >= 80, "strongly_favorable_opportunity").when(score >= 65, "favorable_opportunity").when(score > 35, "neutral_opportunity").when(score > 20, "unfavorable_opportunity").otherwise("strongly_unfavorable_opportunity")
     named = out.select("team", "position", "score", label.alias("label"), F.array_join(F.transform(F.slice("_d", 1, 2), lambda d: d["name"]), "|").alias("drivers"))
     return rank_in(named, ["position"], [F.desc(F.round("score", 1)), F.col("team")], "league_rank")
 
@@ -393,11 +397,12 @@ def player_event_counts(shares: DataFrame, pools: DataFrame) -> DataFrame:
     return scaled.join(pools, "team").withColumn("expected", F.col("events") * F.coalesce("share", F.lit(0.0))).groupBy("team", "player_id").agg(F.sum("expected").alias("season_events"))
 
 
-def season_watchlist(trends: DataFrame, owners: DataFrame) -> DataFrame:
+def season_watchlist(trends: DataFrame, owners: DataFrame, rows: int | None = None) -> DataFrame:
     """score of each player and its lead over the weakest own player of the position.
 
     ``trends`` has player_id, position, late, trend and unavailable; ``owners`` league_id,
-    player_id, and mine. Percentiles are of players with a late game; the others score 0.
+    player_id, and mine. Percentiles are of players with a late game; the others score 0. ``rows`` is how
+    many free players of a position each league is offered, all if None.
     """
     seen = trends.filter("not unavailable")
     level = cume_percentile(seen, ["position"], "late").select("player_id", F.col("percentile").alias("level"))
@@ -405,10 +410,34 @@ def season_watchlist(trends: DataFrame, owners: DataFrame) -> DataFrame:
     scored = trends.join(level, "player_id", "left").join(slope, "player_id", "left").withColumn("score", F.coalesce(0.7 * F.col("level") + 0.3 * F.col("slope"), F.lit(0.0)))
     own = owners.filter("mine").join(scored.select("player_id", "position", "score", "unavailable"), "player_id")
     weakest = own.groupBy("league_id", "position").agg(F.min(F.struct("unavailable", "score"))["score"].alias("base"))
-    leagues = owners.select("league_id").distinct()
-    held = owners.select("league_id", "player_id", "mine")
-    board = leagues.join(scored.select("player_id", "position", "score")).join(held, ["league_id", "player_id"], "left").filter("mine is null or not mine").join(weakest, ["league_id", "position"], "left")
-    return board.select("league_id", "player_id", "position", "score", (F.col("score") - F.coalesce("base", F.lit(0.0))).alias("delta"), F.when(F.col("mine").isNull(), "waiver").otherwise("trade").alias("list"))
+    board = league_shortlist(scored.select("player_id", "position", "score"), owners, rows).join(weakest, ["league_id", "position"], "left")
+    return board.select("league_id", "player_id", "position", "score", (F.col("score") - F.coalesce("base", F.lit(0.0))).alias("delta"), "list")
+
+
+def league_shortlist(scored: DataFrame, owners: DataFrame, rows: int | None = None) -> DataFrame:
+    """each league's free players (list ``waiver``), the ``rows`` best of each position, and all that others own (``trade``).
+
+    ``scored`` has player_id, position and score; ``owners`` league_id, player_id and mine. Players are ranked
+    once for each position, for all leagues; a league reads the ranks up to ``rows`` and as many more as it
+    owns of the position, less those owned, so its rows grow with what is asked for. Without ``rows`` all
+    ranks are asked for. Ranks are written to the work folder while the plan is built.
+    """
+    ranked = stored(rank_in(scored, ["position"], [F.desc("score"), F.col("player_id")], "_place"), "position-ranks")
+    names = [c for c in ranked.columns if c != "_place"]
+    held = owners.select("league_id", "player_id", "mine").join(ranked, "player_id")
+    sizes = ranked.groupBy("position").agg(F.max("_place").alias("_all")).agg(F.collect_list(F.struct("position", "_all")).alias("_sizes"))
+    counts = held.groupBy("league_id", "position").agg(F.count("*").alias("_held"))
+    # Every league asks for every position: few, so they are one row.
+    asked = owners.select("league_id").distinct().crossJoin(F.broadcast(sizes)).select("league_id", F.inline("_sizes")).join(counts, ["league_id", "position"], "left")
+    upto = F.col("_all") if rows is None else F.least(F.col("_all"), F.lit(rows) + F.coalesce("_held", F.lit(0)))
+    ranks = asked.select("league_id", "position", F.explode(F.sequence(F.lit(1).cast("long"), upto)).alias("_place"))
+    free = ranks.join(ranked, ["position", "_place"]).join(held.select("league_id", "player_id"), ["league_id", "player_id"], "left_anti")
+    if rows is not None:
+        place = F.row_number().over(Window.partitionBy("league_id", "position").orderBy("_place"))
+        free = free.withColumn("_n", place).filter(F.col("_n") <= rows)
+    waiver = free.select("league_id", *names, F.lit("waiver").alias("list"))
+    return waiver.unionByName(held.filter("not mine").select("league_id", *names, F.lit("trade").alias("list")))
+
 
 
 def market_board(board: DataFrame, weight: float = 6.0) -> DataFrame:
@@ -441,6 +470,39 @@ def replacement_levels(players: DataFrame, teams: int, starters: dict[str, int],
     return players.select("position").distinct().join(used, "position", "left").select("position", F.coalesce("demand", F.lit(0)).alias("demand"), F.coalesce("replacement", F.lit(0.0)).alias("replacement"))
 
 
+def league_replacement_levels(players: DataFrame, slots: DataFrame, flex: DataFrame) -> DataFrame:
+    """F16 for many leagues: league_id, position, demand and replacement, as ``draft_scores`` takes them.
+
+    ``players`` has league_id, player_id, position and points; ``slots`` league_id, position and starters (of
+    all teams together); ``flex`` league_id, slot (their order), eligible (positions) and picks (of all
+    teams together). A flex slot takes the best that are left of its positions, equal points the later
+    position by name. Fixed starters count as demand even where players are fewer; without players or
+    demand the level is 0. Ranks by league and position are written to the work folder while the plan is built.
+    """
+    spots = slots.groupBy("league_id", "position").agg(F.sum("starters").alias("_want"))
+    extra = flex.groupBy("league_id").agg(F.sum("picks").alias("_extra"))
+    rows = rank_in(players.select("league_id", "player_id", "position", "points"), ["league_id", "position"], [F.desc("points"), F.col("player_id")], "_place")
+    rows = stored(rows.join(spots, ["league_id", "position"], "left").join(extra, "league_id", "left").fillna(0, ["_want", "_extra"]), "league-ranks")
+    # Whoever stands behind all fixed and flex picks of his league is never taken: what is left is as small as the league.
+    near = rows.filter(F.col("_place") <= F.col("_want") + F.col("_extra")).withColumn("_taken", F.col("_place") <= F.col("_want"))
+    order = sorted(r[0] for r in flex.select("slot").distinct().limit(MOST_FLEX + 1).collect())
+    if len(order) > MOST_FLEX:
+        raise QualityError(f"more than {MOST_FLEX} flex slots")
+    for slot in order:
+        own = flex.filter(F.col("slot") == slot).select("league_id", F.col("eligible").alias("_eligible"), F.col("picks").alias("_picks"))
+        near = near.join(own, "league_id", "left")
+        free = ~F.col("_taken") & F.coalesce(F.array_contains("_eligible", F.col("position")), F.lit(False))
+        place = F.row_number().over(Window.partitionBy("league_id", free).orderBy(F.desc("points"), F.desc("position"), "_place"))
+        near = near.withColumn("_taken", F.col("_taken") | (free & (place <= F.col("_picks")))).drop("_eligible", "_picks")
+    filled = near.groupBy("league_id", "position").agg(F.sum(F.when(F.col("_taken") & (F.col("_place") > F.col("_want")), 1).otherwise(0)).alias("_flex"))
+    counts = rows.groupBy("league_id", "position").agg(F.count("*").alias("_n"))
+    both = spots.join(counts, ["league_id", "position"], "full_outer").join(filled, ["league_id", "position"], "left").fillna(0, ["_want", "_n", "_flex"])
+    both = both.select("league_id", "position", (F.col("_want") + F.col("_flex")).cast("long").alias("demand"), "_n")
+    last = near.select("league_id", "position", F.col("_place").alias("_last"), F.col("points").alias("_points"))
+    out = both.withColumn("_last", F.least("demand", "_n")).join(last, ["league_id", "position", "_last"], "left")
+    return out.select("league_id", "position", "demand", F.coalesce("_points", F.lit(0.0)).alias("replacement"))
+
+
 def draft_recommendations(players: DataFrame, levels: DataFrame, picks_until_next: int) -> DataFrame:
     """points over replacement and scarcity of each available player, and the rank of their sum."""
     total = levels.agg(F.greatest(F.lit(1), F.sum("demand")).alias("_demand"))
@@ -543,12 +605,22 @@ def availability_queue(roster: DataFrame, depth: DataFrame, market: DataFrame, g
     return rank_in(kept, ["team"], [F.asc_nulls_last("adp"), F.col("player_id")], "queue_rank")
 
 
+def personal_score(position: Column, modeled: Column, weights: Mapping[str, Mapping[str, float]]) -> Column:
+    """what one's own weights (0-200 by position and metric, 100 is neutral) add for metrics of 0-100; 0 for a player who is not modelled."""
+    out = F.lit(0.0)
+    for name, own in weights.items():
+        moved = sum(((F.col(m) - 50) / 50 * ((w - 100) / 100) * 2 for m, w in own.items()), F.lit(0.0))
+        out = F.when(position == name, moved).otherwise(out)
+    return F.when(F.coalesce(modeled, F.lit(False)), out).otherwise(0.0)
+
+
 def live_board(board: DataFrame) -> DataFrame:
-    """draft score with need, scarcity, urgency, opponent demand, position run and penalties.
+    """draft score with personal weights, need, scarcity, urgency, opponent demand, position run and penalties.
 
     ``board`` has draft_id, player_id, position, draft_score, status (of ``lineup_status``), round,
     drop (to the player likely to be left), survival (0-100), pressure, run (recent picks of the
-    position) and over (players of the position beyond its slots).
+    position) and over (players of the position beyond its slots). It may have personal (``personal_score``)
+    and same_bye (own players of the position with the same bye, if that counts yet).
     """
     progress = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("round") - 1) / 12))
     need = F.when(F.col("status") == "starter", 0.45 + progress * 1.2).when(F.col("status") == "flex", 0.25 + progress * 0.65).otherwise(0.0)
@@ -558,5 +630,7 @@ def live_board(board: DataFrame) -> DataFrame:
     run = F.least(F.lit(1.28), F.col("run") * 0.16)
     early = F.when(F.col("position").isin("K", "DST") & (F.col("round") < 12), (12 - F.col("round")) * 0.65).otherwise(0.0)
     bench = F.when(F.col("status") == "bench", F.greatest(F.lit(1), F.col("over") + 1) * 0.8).otherwise(0.0)
-    scored = board.withColumn("total", F.col("draft_score") + need + scarcity + urgency + opponent + run - early - bench)
-    return rank_in(scored, ["draft_id"], [F.desc("total"), F.col("player_id")])
+    more = F.col("personal") if "personal" in board.columns else F.lit(0.0)
+    bye = F.col("same_bye") * 0.5 if "same_bye" in board.columns else F.lit(0.0)
+    scored = board.withColumn("total", F.col("draft_score") + more + need + scarcity + urgency + opponent + run - early - bench - bye)
+    return rank_in(scored, ["draft_id"], [F.desc(F.round("total", TIE_DIGITS)), F.col("player_id")])

@@ -112,6 +112,35 @@ def profile_snapshot(df: DataFrame, counts: Sequence[str], shares: Mapping[str,
     return df.agg(*parts, *[F.sum(F.when(F.coalesce(rule, F.lit(False)), 1).otherwise(0)).alias(name) for name, rule in conflicts.items()])
 
 
+def row_differences(recomputed: DataFrame, stored: DataFrame) -> DataFrame:
+    """Q10: the rows that only one side has, with side (recomputed or stored)."""
+    columns = recomputed.columns
+    held = stored.select(*columns)
+    return recomputed.exceptAll(held).withColumn("side", F.lit("recomputed")).unionByName(held.exceptAll(recomputed).withColumn("side", F.lit("stored")))
+
+
+def decision_differences(evaluations: DataFrame, comparisons: DataFrame, decision: DataFrame, baseline: str, windows: Sequence[int], digits: int = 9) -> DataFrame:
+    """Q10: E13 run again from stored evaluations and comparisons, and where the stored decision differs; numbers are compared as rounded."""
+    from opportunity.stats import two_stage_gate
+
+    same = lambda df: df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return row_differences(same(two_stage_gate(evaluations, comparisons, baseline, windows)), same(decision))
+
+
+def radius_differences(rows: DataFrame, radii: DataFrame, keys: Sequence[str], error: str, coverage: float = 0.90, digits: int = 9) -> DataFrame:
+    """Q10: E6 run again from the scored rows, and where the stored radii differ."""
+    from opportunity.stats import conformal_radius
+
+    again = conformal_radius(rows, keys, error, coverage).select(*keys, F.round("radius", digits).alias("radius"))
+    return row_differences(again, radii.select(*keys, F.round("radius", digits).alias("radius")))
+
+
+def assert_no_differences(differences: DataFrame, what: str = "decision") -> None:
+    """Q10: raises on what ``decision_differences`` or ``radius_differences`` finds, naming one row."""
+    if found := differences.limit(1).collect():
+        raise QualityError(f"the stored {what} is not what its inputs give: {found[0].asDict()}")
+
+
 def assert_reproduces(recomputed: DataFrame, stored: DataFrame, what: str = "decision") -> None:
     """Q10: raises unless a stored result has just the rows that its inputs give again."""
     if not same_rows(recomputed, stored.select(*recomputed.columns)):

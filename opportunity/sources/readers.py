@@ -98,7 +98,9 @@ def read_opening_depth(spark: SparkSession, paths: Mapping[str, str], cutoffs: D
     if "dated" in paths:
         raw = read_text_table(spark, paths["dated"], ["dt", "team", "gsis_id", "pos_abb", "pos_rank"])
         rows = raw.select(F.to_timestamp(F.trim("dt")).alias("dt"), canonical_team(F.col("team")).alias("team"), skill_position(F.col("pos_abb")).alias("position"), _blank_to_null("gsis_id").alias("player_id"), integral(F.col("pos_rank")).cast("int").alias("depth_rank"))
-        bounds = sorted((r.cutoff, r.season) for r in cutoffs.select("season", F.col("cutoff").cast("timestamp").alias("cutoff")).distinct().limit(MOST_SEASONS).collect())
+        bounds = sorted((r.cutoff, r.season) for r in cutoffs.select("season", F.col("cutoff").cast("timestamp").alias("cutoff")).distinct().limit(MOST_SEASONS + 1).collect())
+        if len(bounds) > MOST_SEASONS:
+            raise QualityError(f"more than {MOST_SEASONS} cutoffs")
         season = F.lit(None).cast("int")
         for cutoff, number in reversed(bounds):
             season = F.when(F.col("dt") < F.lit(cutoff), number).otherwise(season)
