@@ -88,7 +88,7 @@ def f20_tier_outlook(spark, sf_dir):
 
 
 F14_SQL = WEEKLY_SQL + (
-    ", u as (select *, (player_id * week % 10)::double as ts from weekly where week <= 12), s as (select player_id, any_value(position) as position, avg(case when week > 6 then volume end) as late, avg(case when week <= 6 then volume end) as early, avg(case when week > 6 then ts end) as ls, coalesce(avg(case when week > 6 then volume end), 0) - coalesce(avg(case when week <= 6 then volume end), 0) as tr from u group by player_id), "
+    ", u as (select *, (player_id * week % 10)::double as ts from weekly), s as (select player_id, any_value(position) as position, avg(case when week > 9 then volume end) as late, avg(case when week <= 9 then volume end) as early, avg(case when week > 9 then ts end) as ls, coalesce(avg(case when week > 9 then volume end), 0) - coalesce(avg(case when week <= 9 then volume end), 0) as tr from u group by player_id), "
     "v as (select player_id, 100.0 * count(*) over (partition by position order by late) / count(*) over (partition by position) as pv, 100.0 * count(*) over (partition by position order by ls) / count(*) over (partition by position) as ps from s where late is not null), "
     "w as (select player_id, 100.0 * count(*) over (partition by position order by tr) / count(*) over (partition by position) as pt from s where late is not null and early is not null), "
     "x as (select s.*, case when position in ('WR', 'TE') and ps is not null then (pv + ps) / 2 else pv end as lv, pt from s left join v using (player_id) left join w using (player_id)), y as (select player_id, position, case when late is null then 0.0 else 0.7 * lv + 0.3 * coalesce(pt, lv) end as score, late is null as un from x), "
@@ -103,8 +103,8 @@ F14_SQL = WEEKLY_SQL + (
 )
 def f14_season_board(spark, sf_dir):
     rows = weekly(spark, sf_dir).withColumn("target_share", F.expr("cast(player_id * week % 10 as double)"))
-    positions = rows.filter("week <= 12").select("player_id", "position").distinct()
-    trends = windows.half_season_trend(rows, 12).join(positions, "player_id")
+    positions = rows.select("player_id", "position").distinct()
+    trends = windows.half_season_trend(rows, 18).join(positions, "player_id")
     scores = drafting.season_scores(trends)
     owners = scores.filter("position <> 'QB'").select("player_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("league_id")).withColumn("mine", F.col("player_id") % 2 == F.col("league_id"))
     found = drafting.season_board(scores, owners)
@@ -114,7 +114,7 @@ def f14_season_board(spark, sf_dir):
 F1_TEAMS = {"team": "c_custkey", "same": "c_custkey % 5 = 0", "moved": "c_custkey % 5 = 1", "on_prior_staff": "c_custkey % 5 = 2", "episodes": "c_custkey % 7 = 0", "destination_continuity": "(c_custkey % 11) / 10.0", "identity": "(c_custkey % 4) / 4.0", "scheme_identity": "(c_custkey % 3) / 2.0", "staff": "(c_nationkey % 5) / 5.0", "head_coach_kept": "c_custkey % 2 = 0"}
 F1_SQL = (
     f"with tm0 as (select {', '.join(f'({e})::double as {c}' if '.0' in e else f'{e} as {c}' for c, e in F1_TEAMS.items())} from customer), "
-    "an as (select team, season, 1999 - season as age, unnest(['pass_rate', 'plays_per_game']) as metric, unnest([pr, pg]) as value from (select o_custkey as team, year(o_orderdate) as season, avg((o_orderstatus = 'F')::int) as pr, avg(o_totalprice) / 1000 as pg from orders where o_custkey % 3 <> 0 and year(o_orderdate) between 1996 and 1998 group by all)), "
+    "an as (select team, season, 1999 - season as age, unnest(['pass_rate', 'plays_per_game']) as metric, unnest([pr, pg]) as value from (select o_custkey as team, year(o_orderdate) as season, avg((o_orderstatus = 'F')::int) as pr, avg(o_totalprice) / 1000 as pg from orders where year(o_orderdate) < 1999 group by all)), "
     "de as (select c_custkey as team, m as metric, case m when 'pass_rate' then (c_custkey % 10) / 10.0 else 50 + c_custkey % 20 end::double as value from customer, (select unnest(['pass_rate', 'plays_per_game']) as m)), "
     "tm as (select tm0.*, coalesce(n, 0) as anchors from tm0 left join (select team, count(distinct season) as n from an group by 1) using (team)), ca as (select *, case when same then 'same' when moved then 'moved' when on_prior_staff and anchors > 0 then 'staff_with_anchors' when on_prior_staff then 'staff' when anchors > 0 then 'anchors' when destination_continuity >= 0.75 then 'new_high_continuity' when destination_continuity >= 0.5 then 'new_half_continuity' else 'new' end as cs from tm), "
     "wt as (select * from (values ('same', 1.0, 0.65, 0.30, 0.05), ('moved', 0.75, 0.70, 0.20, 0.10), ('staff_with_anchors', 0.65, 0.40, 0.50, 0.10), ('staff', 0.60, 0.0, 0.80, 0.20), ('anchors', 0.50, 0.65, 0.20, 0.15), ('new_high_continuity', null, 0.0, 0.8, 0.2), ('new_half_continuity', null, 0.0, 0.6, 0.4), ('new', null, 0.0, 0.35, 0.65)) as t(cs, cc, a, b, c)), "
@@ -134,7 +134,7 @@ F1_SQL = (
 )
 def f1_caller_forecasts(spark, sf_dir):
     metrics = F.explode(F.array(F.lit("pass_rate"), F.lit("plays_per_game"))).alias("metric")
-    orders = _read(spark, sf_dir, "orders").filter((F.col("o_custkey") % 3 != 0) & F.year("o_orderdate").between(1996, 1998))
+    orders = _read(spark, sf_dir, "orders").filter(F.year("o_orderdate") < 1999)
     seen = orders.groupBy(F.col("o_custkey").alias("team"), F.year("o_orderdate").alias("season")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("pass_rate"), (F.avg("o_totalprice") / 1000).alias("plays_per_game"))
     anchors = seen.unpivot(["team", "season"], ["pass_rate", "plays_per_game"], "metric", "value").withColumn("age", 1999 - F.col("season"))
     customers = _read(spark, sf_dir, "customer")

@@ -133,7 +133,7 @@ def f3_position_scores(spark, sf_dir):
 
 E20_METRICS = evaluations.RESOURCE_STYLE
 E20_SQL = (
-    "with tm as (select l_suppkey % 32 as team, year(l_shipdate)::bigint as season, count(distinct l_orderkey)::double as games, sum(l_quantity) as qty, avg(l_discount) as d, avg(l_tax) as t, count(*) as n from lineitem where year(l_shipdate) between 1996 and 1999 group by all), "
+    "with tm as (select l_suppkey % 32 as team, year(l_shipdate)::bigint as season, count(distinct l_orderkey)::double as games, sum(l_quantity) as qty, avg(l_discount) as d, avg(l_tax) as t, count(*) as n from lineitem group by all), "
     "fc as (select season, team, m as model, 60 + 100 * d + case m when 'shrunken' then 1 when 'caller_aware' then 2 else 0 end as ppg, 0.5 + d as pr, t as qs, t / 2 as dq, 0.2 + d as rb, 0.5 + d as wr, 0.2 + t as te from tm, (select unnest(['persistence', 'shrunken', 'caller_aware']) as m)), "
     "fa as (select season, 0.9 as qd, 0.85 as tp, 0.9 + (season - 1996) / 100.0 as rc from (select distinct season from tm)), "
     "sc as (select fc.*, qd, tp, rc, greatest(1.0, rb + wr + te) as s, rb + wr + te > 1.05 as bad from fc join fa using (season)), "
@@ -144,7 +144,7 @@ E20_SQL = (
 
 
 def e20_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    teams = _read(spark, sf_dir, "lineitem").filter(F.year("l_shipdate").between(1996, 1999)).groupBy((F.col("l_suppkey") % 32).alias("team"), F.year("l_shipdate").cast("long").alias("season")).agg(
+    teams = _read(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 32).alias("team"), F.year("l_shipdate").cast("long").alias("season")).agg(
         F.countDistinct("l_orderkey").cast("double").alias("games"), F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), F.count("*").alias("n")
     )
     style = {"plays_per_game": "60 + 100 * d + case model when 'shrunken' then 1 when 'caller_aware' then 2 else 0 end", "pass_rate": "0.5D + d", "qb_scramble_rate": "t", "designed_qb_run_share": "t / 2", "rb_target_share": "0.2D + d", "wr_target_share": "0.5D + d", "te_target_share": "0.2D + t"}
@@ -419,11 +419,11 @@ def j4_resolve_identity(spark, sf_dir):
 
 @query(
     "j7_match_feed",
-    "with p as (select c_custkey as player_id, c_name as name_key, c_nationkey as team, c_mktsegment as position from customer), f as (select case when o_orderkey % 3 = 0 then o_custkey end as player_id, c_name as name_key, c_nationkey as team, c_mktsegment as position, o_orderpriority as alert from orders join customer on c_custkey = o_custkey where o_orderkey % 7 = 0), i as (select player_id, min(alert) as a from f where player_id is not null group by 1), n as (select name_key, team, position, min(alert) as b from f group by all having count(*) = 1) select p.player_id, coalesce(a, b) as alert from p left join i using (player_id) left join n using (name_key, team, position) where coalesce(a, b) is not null",
+    "with p as (select c_custkey as player_id, c_name as name_key, c_nationkey as team, c_mktsegment as position from customer), f as (select case when o_orderkey % 3 = 0 then o_custkey end as player_id, c_name as name_key, c_nationkey as team, c_mktsegment as position, o_orderpriority as alert from orders join customer on c_custkey = o_custkey ), i as (select player_id, min(alert) as a from f where player_id is not null group by 1), n as (select name_key, team, position, min(alert) as b from f group by all having count(*) = 1) select p.player_id, coalesce(a, b) as alert from p left join i using (player_id) left join n using (name_key, team, position) where coalesce(a, b) is not null",
 )
 def j7_match_feed(spark, sf_dir):
     players = _read(spark, sf_dir, "customer").selectExpr("c_custkey as player_id", "c_name as name_key", "c_nationkey as team", "c_mktsegment as position")
-    alerts = _read(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").selectExpr("case when o_orderkey % 3 = 0 then o_custkey end as player_id", "o_custkey as owner", "o_orderpriority as alert")
+    alerts = _read(spark, sf_dir, "orders").selectExpr("case when o_orderkey % 3 = 0 then o_custkey end as player_id", "o_custkey as owner", "o_orderpriority as alert")
     feed = alerts.join(players.withColumnRenamed("player_id", "owner"), "owner").drop("owner")
     return joins.match_feed(players, feed)
 
@@ -446,18 +446,19 @@ def q3_rule_breaks(spark, sf_dir):
 
 # F5 ---------------------------------------------------------------------------------------
 
+ROLE_RESOURCE = "case position when 'QB' then 'QB_DROPBACKS' when 'RB' then 'RB_CARRIES' when 'WR' then 'WR_TARGETS' else 'TE_TARGETS' end"
 
 @query(
     "f5_role_priors",
-    WEEKLY_SQL + ", pl as (select team, player_id, position, sum(volume) as v, count(*) as g from weekly group by all), rk as (select *, row_number() over (partition by team, position order by v desc, player_id) as rank from pl where position in ('RB', 'WR')), "
-    "dw as (select *, case position when 'RB' then 'RB_CARRIES' else 'WR_TARGETS' end as resource, case position when 'RB' then case when rank <= 6 then [1.0, 0.55, 0.28, 0.14, 0.07, 0.035][rank] else 0.035 * power(0.55, rank - 6) end else case when rank <= 8 then [1.0, 0.90, 0.80, 0.35, 0.22, 0.13, 0.08, 0.05][rank] else 0.05 * power(0.55, rank - 8) end end as d, case when player_id % 5 <> 0 then 0.1 + player_id % 7 / 10.0 end as hs, case when player_id % 5 <> 0 then g::double end as wg, case when player_id % 5 <> 0 then player_id % 2 = 0 end as sm from rk), "
-    "a as (select *, d / sum(d) over w as dp, coalesce(hs, 0) / nullif(sum(coalesce(hs, 0)) over w, 0) as h0 from dw window w as (partition by team, resource)), b as (select *, coalesce(h0, dp) as h, coalesce(least(0.8, wg / (wg + 8)) * case when sm then 1 else 0.45 end, 0) as rel, case resource when 'RB_CARRIES' then 0.45 else 0.55 end as hw from a), "
+    WEEKLY_SQL + ", pl as (select team, player_id, position, sum(volume) as v, count(*) as g from weekly group by all), rk as (select *, row_number() over (partition by team, position order by v desc, player_id) as rank from pl), "
+    "dw as (select *, case position when 'QB' then 'QB_DROPBACKS' when 'RB' then 'RB_CARRIES' when 'WR' then 'WR_TARGETS' else 'TE_TARGETS' end as resource, case position when 'QB' then case when rank <= 4 then [1.0, 0.07, 0.015, 0.005][rank] else 0.005 * power(0.55, rank - 4) end when 'RB' then case when rank <= 6 then [1.0, 0.55, 0.28, 0.14, 0.07, 0.035][rank] else 0.035 * power(0.55, rank - 6) end when 'WR' then case when rank <= 8 then [1.0, 0.90, 0.80, 0.35, 0.22, 0.13, 0.08, 0.05][rank] else 0.05 * power(0.55, rank - 8) end else case when rank <= 6 then [1.0, 0.45, 0.18, 0.08, 0.04, 0.02][rank] else 0.02 * power(0.55, rank - 6) end end as d, case when player_id % 5 <> 0 then 0.1 + player_id % 7 / 10.0 end as hs, case when player_id % 5 <> 0 then g::double end as wg, case when player_id % 5 <> 0 then player_id % 2 = 0 end as sm from rk), "
+    "a as (select *, d / sum(d) over w as dp, coalesce(hs, 0) / nullif(sum(coalesce(hs, 0)) over w, 0) as h0 from dw window w as (partition by team, resource)), b as (select *, coalesce(h0, dp) as h, coalesce(least(0.8, wg / (wg + case position when 'QB' then 6 else 8 end)) * case when sm then 1 else 0.45 end, 0) as rel, case resource when 'QB_DROPBACKS' then 0.0 when 'RB_CARRIES' then 0.45 else 0.55 end as hw from a), "
     "c as (select *, hw * (rel * h + (1 - rel) * dp) + (1 - hw) * dp as raw from b), e as (select *, raw / sum(raw) over (partition by team, resource) as share, least(95, 50 + 40 * rel + case when coalesce(sm, false) then 10 else 0 end) as ev from c) "
-    "select team, resource, player_id, round(share, 6) as share, round(share * (10 + team), 6) as opportunities, round(ev, 6) as evidence, round(greatest(0, share - case resource when 'RB_CARRIES' then 0.20 else 0.18 end * (1.25 - ev / 100)), 6) + 0.0 as share_low from e",
+    "select team, resource, player_id, round(share, 6) as share, round(share * (10 + team), 6) as opportunities, round(ev, 6) as evidence, round(greatest(0, share - case resource when 'QB_DROPBACKS' then 0.14 when 'RB_CARRIES' then 0.20 when 'WR_TARGETS' then 0.18 else 0.19 end * (1.25 - ev / 100)), 6) + 0.0 as share_low from e",
 )
 def f5_role_priors(spark, sf_dir):
-    rows = weekly(spark, sf_dir).groupBy("team", "player_id", "position").agg(F.sum("volume").alias("v"), F.count("*").cast("double").alias("g")).filter("position in ('RB', 'WR')")
-    ranked = windows.rank_in(rows, ["team", "position"], [F.desc("v"), F.col("player_id")], "depth_rank").withColumn("resource", F.expr("case position when 'RB' then 'RB_CARRIES' else 'WR_TARGETS' end"))
+    rows = weekly(spark, sf_dir).groupBy("team", "player_id", "position").agg(F.sum("volume").alias("v"), F.count("*").cast("double").alias("g"))
+    ranked = windows.rank_in(rows, ["team", "position"], [F.desc("v"), F.col("player_id")], "depth_rank").withColumn("resource", F.expr(ROLE_RESOURCE))
     history = rows.filter("player_id % 5 <> 0").selectExpr("player_id", "team", "0.1D + player_id % 7 / 10 as share", "g as weighted_games", "player_id % 2 = 0 as same_team").distinct()
     pools = ranked.select("team", "resource").distinct().withColumn("pool", 10.0 + F.col("team"))
     found = forecast.role_priors(ranked.select("team", "resource", "position", "player_id", "depth_rank"), history, pools)
@@ -467,20 +468,72 @@ def f5_role_priors(spark, sf_dir):
 # E15, E17 and E19 -------------------------------------------------------------------------
 
 
-@query(
-    "e15_role_models",
-    WEEKLY_SQL + ", pl as (select team, player_id, position, sum(volume) as v, count(*) as g from weekly group by all), rk as (select *, row_number() over (partition by team, position order by v desc, player_id) as rank from pl where position in ('RB', 'WR')), "
-    "dw as (select *, case position when 'RB' then 'RB_CARRIES' else 'WR_TARGETS' end as resource, case position when 'RB' then case when rank <= 6 then [1.0, 0.55, 0.28, 0.14, 0.07, 0.035][rank] else 0.035 * power(0.55, rank - 6) end else case when rank <= 8 then [1.0, 0.90, 0.80, 0.35, 0.22, 0.13, 0.08, 0.05][rank] else 0.05 * power(0.55, rank - 8) end end as d, case when player_id % 5 <> 0 then 0.1 + player_id % 7 / 10.0 end as hs, case when player_id % 5 <> 0 then g::double end as wg, case when player_id % 5 <> 0 then player_id % 2 = 0 end as sm from rk), "
-    "a as (select *, d / sum(d) over w as dp, coalesce(hs, 0) / nullif(sum(coalesce(hs, 0)) over w, 0) as h0 from dw window w as (partition by team, resource)), b as (select *, coalesce(h0, dp) as h, coalesce(least(0.8, wg / (wg + 8)) * case when sm then 1 else 0.45 end, 0) as rel, case resource when 'RB_CARRIES' then 0.45 else 0.55 end as hw from a) "
-    "select 2024 as season, team, resource, player_id, unnest(['depth', 'prior', 'blend']) as model, round(unnest([dp, h, hw * (rel * h + (1 - rel) * dp) + (1 - hw) * dp]), 6) as weight from b",
+ROLE_SQL = (
+    WEEKLY_SQL + ", pl as (select team, player_id, position, sum(volume) as v, count(*) as g from weekly group by all), rk as (select *, row_number() over (partition by team, position order by v desc, player_id) as rank from pl), "
+    "dw as (select *, case position when 'QB' then 'QB_DROPBACKS' when 'RB' then 'RB_CARRIES' when 'WR' then 'WR_TARGETS' else 'TE_TARGETS' end as resource, case position when 'QB' then case when rank <= 4 then [1.0, 0.07, 0.015, 0.005][rank] else 0.005 * power(0.55, rank - 4) end when 'RB' then case when rank <= 6 then [1.0, 0.55, 0.28, 0.14, 0.07, 0.035][rank] else 0.035 * power(0.55, rank - 6) end when 'WR' then case when rank <= 8 then [1.0, 0.90, 0.80, 0.35, 0.22, 0.13, 0.08, 0.05][rank] else 0.05 * power(0.55, rank - 8) end else case when rank <= 6 then [1.0, 0.45, 0.18, 0.08, 0.04, 0.02][rank] else 0.02 * power(0.55, rank - 6) end end as d, case when player_id % 5 <> 0 then 0.1 + player_id % 7 / 10.0 end as hs, case when player_id % 5 <> 0 then g::double end as wg, case when player_id % 5 <> 0 then player_id % 2 = 0 end as sm from rk), "
+    "a as (select *, d / sum(d) over w as dp, coalesce(hs, 0) / nullif(sum(coalesce(hs, 0)) over w, 0) as h0 from dw window w as (partition by team, resource)), b as (select *, coalesce(h0, dp) as h, coalesce(least(0.8, wg / (wg + case position when 'QB' then 6 else 8 end)) * case when sm then 1 else 0.45 end, 0) as rel, case resource when 'QB_DROPBACKS' then 0.0 when 'RB_CARRIES' then 0.45 else 0.55 end as hw from a) "
 )
+
+
+@query("e15_role_models", ROLE_SQL + " select 2024 as season, team, resource, player_id, unnest(['depth', 'prior', 'blend']) as model, round(unnest([dp, h, hw * (rel * h + (1 - rel) * dp) + (1 - hw) * dp]), 6) as weight from b")
 def e15_role_models(spark, sf_dir):
-    rows = weekly(spark, sf_dir).groupBy("team", "player_id", "position").agg(F.sum("volume").alias("v"), F.count("*").cast("double").alias("g")).filter("position in ('RB', 'WR')")
-    ranked = windows.rank_in(rows, ["team", "position"], [F.desc("v"), F.col("player_id")], "depth_rank").withColumn("resource", F.expr("case position when 'RB' then 'RB_CARRIES' else 'WR_TARGETS' end")).withColumn("season", F.lit(2024))
+    return role_models(spark, sf_dir)
+
+
+def role_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = weekly(spark, sf_dir).groupBy("team", "player_id", "position").agg(F.sum("volume").alias("v"), F.count("*").cast("double").alias("g"))
+    ranked = windows.rank_in(rows, ["team", "position"], [F.desc("v"), F.col("player_id")], "depth_rank").withColumn("resource", F.expr(ROLE_RESOURCE)).withColumn("season", F.lit(2024))
     history = ranked.filter("player_id % 5 <> 0").selectExpr("season", "team", "resource", "player_id", "0.1D + player_id % 7 / 10 as share", "g as weighted_games", "player_id % 2 = 0 as same_team")
     return backtests.role_weights(ranked.select("season", "team", "resource", "position", "player_id", "depth_rank"), history)
 
 
+# The models through E2 and E1: a seventh of the players has no actual amounts, a third is never active.
+MODELS_SQL = (
+    ROLE_SQL
+    + ", wt as (select team, resource, player_id, unnest(['depth', 'prior', 'blend']) as model, unnest([dp, h, hw * (rel * h + (1 - rel) * dp) + (1 - hw) * dp]) as weight from b), "
+    + "po as (select distinct team, player_id, resource from b), am as (select w.team, resource, week, player_id, volume as amount from weekly w join po using (team, player_id) where player_id % 7 <> 0), act as (select distinct team, week, player_id from weekly where player_id % 3 <> 0), "
+    + "pool as (select team, resource, week, sum(amount) as pool from am group by all having sum(amount) > 0), md as (select distinct team, resource, model from wt), live as (select w.*, a2.week from wt w join act a2 using (team, player_id)), tot as (select team, resource, model, week, sum(weight) as t from live group by all having sum(weight) > 0), "
+    + "al as (select l.team, l.resource, l.model, l.week, l.player_id::varchar as player_id, pool * weight / t as x from live l join tot using (team, resource, model, week) join pool using (team, resource, week) union all select p.team, p.resource, m.model, p.week, '__UNALLOCATED__', p.pool from pool p join md m using (team, resource) where not exists (select 1 from tot where tot.team = p.team and tot.resource = p.resource and tot.model = m.model and tot.week = p.week)), "
+    + "we as (select unnest([4, 8, 18]) as window_end), f as (select team, resource, model, window_end, player_id, sum(x) as f from al, we where week <= window_end group by all), ac as (select team, resource, window_end, player_id::varchar as player_id, sum(amount) as a from am, we where week <= window_end group by all), ad as (select ac.*, model from ac join md using (team, resource)), tp as (select team, resource, window_end, sum(pool) as pool from pool, we where week <= window_end group by all), "
+    + "j as (select coalesce(f.team, ad.team) as team, coalesce(f.resource, ad.resource) as resource, coalesce(f.model, ad.model) as model, coalesce(f.window_end, ad.window_end) as window_end, coalesce(f.player_id, ad.player_id) as player_id, coalesce(f, 0) as f, coalesce(a, 0) as a, f.team is not null and f.player_id <> '__UNALLOCATED__' as opening from f full join ad on f.team = ad.team and f.resource = ad.resource and f.model = ad.model and f.window_end = ad.window_end and f.player_id = ad.player_id), "
+    + "rm as (select team, resource, model, window_end, sum(abs(f - a) / pool) / 2 as total_variation, avg(abs(f - a) / pool) as mean_error, sum(case when opening then a / pool else 0 end) as coverage, (first(player_id order by round(f / pool, 9) desc, player_id) = first(player_id order by round(a / pool, 9) desc, player_id)) as top_hit from j join tp using (team, resource, window_end) group by all)"
+)
+
+
+def model_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks = stored(weekly(spark, sf_dir), "weeks")
+    weights = stored(role_models(spark, sf_dir), "role-weights")
+    own = weights.select("team", "player_id", "resource").distinct()
+    actual = weeks.filter("player_id % 7 <> 0").join(own, ["team", "player_id"]).select(F.lit(2024).alias("season"), "team", "resource", "week", "player_id", F.col("volume").alias("amount"))
+    active = weeks.filter("player_id % 3 <> 0").select(F.lit(2024).alias("season"), "team", "week", "player_id").distinct()
+    return backtests.allocation_backtest(weights, active, actual)
+
+
+@query("e15_model_backtest", MODELS_SQL + " select 2024 as season, team, resource, model, window_end::bigint as window_end, round(total_variation, 6) as total_variation, round(mean_error, 6) as mean_error, round(coverage, 6) as coverage, top_hit from rm")
+def e15_model_backtest(spark, sf_dir):
+    return model_rooms(spark, sf_dir)
+
+
+@query(
+    "e15_model_evaluations",
+    MODELS_SQL
+    + ", sc as (select unnest(['ALL', resource]) as scope, window_end, model, total_variation as e, top_hit from rm), g as (select scope, window_end, model, count(*) as n, avg(e) as m, median(e) as md, quantile_cont(e, 0.75) as q, sqrt(avg(e * e)) as r, avg(top_hit::int) as hit from sc group by all), bb as (select *, max(case when model = 'depth' then m end) over (partition by scope, window_end) as base from g) "
+    + "select scope, window_end, model, n, round(m, 6) as mean_error, round(md, 6) as median_error, round(q, 6) as p75_error, round(r, 6) as rmse, round(hit, 6) as hit_rate, round(m - base, 6) + 0.0 as delta, round((base - m) / nullif(base, 0), 6) + 0.0 as improvement from bb",
+)
+def e15_model_evaluations(spark, sf_dir):
+    rows = model_rooms(spark, sf_dir).select("window_end", "model", F.col("total_variation").alias("error"), "top_hit", "resource")
+    return agg.evaluation_summary(rows, F.array(F.lit("ALL"), F.col("resource")), "depth")
+
+
+@query(
+    "e15_model_comparisons",
+    MODELS_SQL + ", xd as (select unnest(['ALL', c.resource]) || '|' || window_end || '|' || c.model as scope, team as cluster, round(c.total_variation, 9) - round(d.total_variation, 9) as delta from rm c join rm d using (team, resource, window_end) where c.model <> 'depth' and d.model = 'depth'), "
+    + driver_sql.cluster_bootstrap("xd", SAMPLES, 0.90, prefix="cb") + f" select scope, {driver_sql.BOOTSTRAP_COLUMNS} from cbr",
+)
+def e15_model_comparisons(spark, sf_dir):
+    return backtests.allocation_comparisons(model_rooms(spark, sf_dir), "depth", samples=SAMPLES)
+
+
 @query(
     "e17_rate_comparisons",
     RATE_SQL + ", rd as (select c.window_end || '|' || c.model as scope, team as cluster, c.error - b.error as delta from rt c join rt b using (target, team, window_end) where c.model <> 'league' and b.model = 'league'), " + driver_sql.cluster_bootstrap("rd", SAMPLES, 0.90)

@@ -67,7 +67,7 @@ def f17_league_scores(spark, sf_dir):
 )
 def f14_shortlist(spark, sf_dir):
     rows = weekly(spark, sf_dir).withColumn("target_share", F.expr("cast(player_id * week % 10 as double)"))
-    trends = windows.half_season_trend(rows, 12).join(rows.filter("week <= 12").select("player_id", "position").distinct(), "player_id")
+    trends = windows.half_season_trend(rows, 18).join(rows.select("player_id", "position").distinct(), "player_id")
     scores = drafting.season_scores(trends).withColumn("score", F.round("score", 6))
     owners = scores.filter("position <> 'QB'").select("player_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("league_id")).withColumn("mine", F.col("player_id") % 2 == F.col("league_id"))
     return forecast.league_shortlist(scores.select("player_id", "position", "score"), owners, rows=10)

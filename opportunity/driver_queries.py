@@ -1084,10 +1084,10 @@ def f10_high_value_priors(spark, sf_dir):
 
 @query(
     "f10_high_value_reviews",
-    PRIORS_SQL + " select metric, team, player_id::double as player_id, unnest(list_filter([case when base <= 0 and base_share >= 0.05 then 'role_without_history' end, case when base > 0 and base < 24 and base_share >= 0.05 then 'role_with_limited_history' end, case when abs(delta) >= 0.1 then 'large_adjustment' end], lambda x: x is not null)) as issue from pr union all select metric, team, null, 'no_active_candidate' from pr group by metric, team having not bool_or(active)",
+    PRIORS_SQL + " select metric, team, player_id::double as player_id, unnest(list_filter([case when base <= 0 and base_share >= 0.001 then 'role_without_history' end, case when base > 0 and base < 24 and base_share >= 0.001 then 'role_with_limited_history' end, case when abs(delta) >= 0.0005 then 'large_adjustment' end], lambda x: x is not null)) as issue from pr union all select metric, team, null, 'no_active_candidate' from pr group by metric, team having not bool_or(active)",
 )
 def f10_high_value_reviews(spark, sf_dir):
-    return as_double(forecast.high_value_reviews(priors(spark, sf_dir)), "player_id")
+    return as_double(forecast.high_value_reviews(priors(spark, sf_dir), material=0.001, large=0.0005), "player_id")
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opportunity.functions.clean import depth_weight
 from opportunity.operators.aggregates import evaluation_summary, pool_by_window, unpivoted
 from opportunity.operators.joins import forecast_vs_actual
-from opportunity.operators.windows import scope_deltas, share_in_group
+from opportunity.operators.windows import TIE_DIGITS, scope_deltas, share_in_group
 from opportunity.plans.forecast import HISTORY_WEIGHT, _by_resource
 from opportunity.quality import QualityError
 from opportunity.resampling import MOST_EXACT, paired_cluster_bootstrap
@@ -56,6 +56,15 @@ def allocation_backtest(weights: DataFrame, active: DataFrame, actual: DataFrame
     return room_errors(forecast_vs_actual(share(ahead, "allocated", "forecast"), share(seen, "amount", "actual"), [*by, "player_id"]), by)
 
 
+def allocation_comparisons(rooms: DataFrame, baseline: str, samples: int = 2000, seed: int = 0) -> DataFrame:
+    """E3 of each model's total variation less the baseline's in the same room and window, by resource (and ALL), window and model, clustered by team."""
+    room = ["season", "team", "resource", "window_end"]
+    # Errors are sums, whose last bits depend on the order of rows: equal ones must stay equal.
+    deltas = scope_deltas(rooms.select(*room, "model", F.round("total_variation", TIE_DIGITS).alias("total_variation")), room, "model", "total_variation", baseline)
+    deltas = deltas.withColumn("_in", F.explode(F.array(F.lit("ALL"), F.col("resource").cast("string"))))
+    return paired_cluster_bootstrap(deltas.withColumn("scope", F.concat_ws("|", "_in", F.col("window_end").cast("string"), "model")), "scope", "team", "delta", samples=samples, seed=seed)
+
+
 def rate_backtest(values: DataFrame, targets: Sequence[int], lookback: int = 3, priors: Sequence[int] = (4, 17), decay: float = 0.65, windows: Sequence[int] = WINDOWS, keys: Sequence[str] = ()) -> DataFrame:
     """Forecast and actual rate per game of each target season, team, window and model.
 
