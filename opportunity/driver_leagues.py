@@ -8,10 +8,11 @@ from opportunity import driver_drafts, quality, stats
 from opportunity.driver_drafts import F14_SQL, F17_SQL, STRATEGY
 from opportunity.driver_evaluations import RESOURCE_SQL, resource_rates
 from opportunity.driver_queries import BOARD_SQL, ORACLE_SQL, QUERIES, SAMPLES, STARTERS, _read, board, query, weekly
-from opportunity.functions.stored import stored
+from opportunity.functions.stored import shared_path, stored
 from opportunity.operators import aggregates as agg
 from opportunity.operators import windows
 from opportunity.plans import backtests, drafting, forecast, ownership
+from opportunity.sources import bundles
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -187,3 +188,35 @@ def f21_personal_board(spark, sf_dir):
     weights = {"QB": {"opportunity": 150.0, "highValue": 80.0, "environment": 0.0}, "RB": {"opportunity": 100.0, "highValue": 200.0, "environment": 0.0}, "WR": {"opportunity": 100.0, "highValue": 80.0, "environment": 0.0}, "TE": {"opportunity": 100.0, "highValue": 80.0, "environment": 0.0}}
     scored = rows.withColumn("personal", forecast.personal_score(F.col("position"), F.col("modeled"), weights))
     return forecast.live_board(scored).select("draft_id", "player_id", "personal", "rank")
+
+
+# S14 and Q6 --------------------------------------------------------------------------------
+
+_PART = "('0x' || substr(md5('=' || {key}), 1, 8))::bigint % 64"
+
+
+@query(
+    "q6_changed_parts",
+    f"with c as (select *, {_PART.format(key='c_custkey')} as part from customer), s as (select *, {_PART.format(key='s_suppkey')} as part from supplier), x as (select part from c where c_custkey = (select max(c_custkey) from customer)), y as (select part from s where s_suppkey = (select min(s_suppkey) from supplier)) "
+    "select 'customer' as \"table\", part, 'changed' as change, count(*) as rows from c where part in (select part from x) group by part union all select 'supplier', part, case when count(*) = 1 then 'missing' else 'changed' end, count(*) from s where part in (select part from y) group by part",
+)
+def q6_changed_parts(spark, sf_dir):
+    """A customer is renamed and a supplier is lost: the parts that two trees tell apart, and how many rows those had."""
+    tables = {n: _read(spark, sf_dir, n) for n in ("customer", "supplier")}
+    keys = {"customer": ["c_custkey"], "supplier": ["s_suppkey"]}
+    last = tables["customer"].agg(F.max("c_custkey")).first()[0]
+    first = tables["supplier"].agg(F.min("s_suppkey")).first()[0]
+    later = {"customer": tables["customer"].withColumn("c_name", F.when(F.col("c_custkey") == last, "Somebody").otherwise(F.col("c_name"))), "supplier": tables["supplier"].filter(F.col("s_suppkey") != first)}
+    old = stored(bundles.bundle_tree(tables, keys), "tree")
+    found = bundles.tree_differences(old, bundles.bundle_tree(later, keys))
+    return found.join(old.select("table", "part", "rows"), ["table", "part"]).select("table", F.col("part").cast("long").alias("part"), "change", "rows")
+
+
+@query("s14_bundle_round_trip", "select 'nation' as \"table\", count(*) as rows from nation union all select 'orders', count(*) from orders")
+def s14_bundle_round_trip(spark, sf_dir):
+    """Two tables written as a bundle and read back verified."""
+    tables = {n: _read(spark, sf_dir, n) for n in ("nation", "orders")}
+    root = shared_path(spark, "bundles")
+    bundles.write_bundle(tables, root, "first", {"orders": ["o_orderkey"]}, parameters={"season": 2000})
+    back = bundles.read_bundle(spark, root, "first", parameters={"season": 2000})
+    return back["nation"].agg(F.lit("nation").alias("table"), F.count("*").alias("rows")).unionByName(back["orders"].agg(F.lit("orders").alias("table"), F.count("*").alias("rows")))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opportunity.functions.clean import canonical_team, finite, flag01, integral, lookup, skill_position, word_bool
+from opportunity.functions.clean import canonical_team, draft_position, finite, flag01, integral, lookup, skill_position, word_bool
 from opportunity.operators.joins import asof_latest
 from opportunity.operators.windows import keep_best
 from opportunity.quality import QualityError, assert_range, assert_unique
@@ -203,6 +203,67 @@ def read_closed_table(spark: SparkSession, path: str, text: Sequence[str], numbe
     return raw.select(*columns)
 
 
+# Columns of the two tables and what a blank means.
+PROJECTION_TEXT = ("player_id", "name", "position", "team")
+PROJECTION_NUMBERS = {
+    "bye_week": None, "adp": None, "projected_points": None, "floor_points": None, "ceiling_points": None,
+    "passing_yards": 0.0, "passing_touchdowns": 0.0, "interceptions": 0.0, "rushing_yards": 0.0, "rushing_touchdowns": 0.0, "receptions": 0.0, "receiving_yards": 0.0, "receiving_touchdowns": 0.0,
+    "two_point_conversions": 0.0, "fumbles_lost": 0.0, "return_touchdowns": 0.0, "field_goals_0_39": 0.0, "field_goals_40_49": 0.0, "field_goals_50_plus": 0.0, "extra_points": 0.0,
+    "team_offense_rating": 0.5, "offensive_line_rating": 0.5, "role_security": 0.5, "injury_risk": 0.0, "upside_rating": 0.5, "opportunity_rating": 0.5, "high_value_usage_rating": 0.5,
+    "competition_rating": 0.5, "efficiency_rating": 0.5, "receiving_role_rating": 0.5, "rushing_floor_rating": 0.5, "weekly_variance": 0.5,
+}
+PROJECTION_RATINGS = tuple(c for c in PROJECTION_NUMBERS if c.endswith("_rating") or c in ("role_security", "injury_risk", "weekly_variance"))
+PROFILE_RATINGS = (
+    "pass_volume_rating", "rush_volume_rating", "qb_play_rating", "play_caller_rating", "pass_blocking_rating", "run_blocking_rating", "pace_rating", "scoring_environment_rating", "positive_game_script_rating", "continuity_rating",
+)
+
+
+def _typed(spark: SparkSession, path: str, text: Sequence[str], numbers: Mapping[str, float | None]) -> DataFrame:
+    """``read_closed_table`` whose text columns must be there and whose numbers, if not blank, must be finite; no rows are an error."""
+    raw = read_text_table(spark, path, list(text))
+    given = [c for c in numbers if c in raw.columns]
+    bad = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when((F.trim(c) != "") & finite(F.col(c)).isNull(), F.lit(c)) for c in given]))
+    if found := raw.select(bad.alias("bad")).filter(F.size("bad") > 0).limit(1).collect():
+        raise QualityError(f"not a number: {found[0].bad[0]}")
+    rows = read_closed_table(spark, path, text, numbers)
+    if not rows.limit(1).count():
+        raise QualityError("the table has no rows")
+    return rows
+
+
+def read_projections(spark: SparkSession, path: str) -> DataFrame:
+    """Projected players; blank counts are 0, blank ratings neutral, and a blank bye, market position or total unknown.
+
+    Teams are upper-cased, positions as in drafts. A player without an id, name or team, an id that is
+    there twice, another position, a rating outside 0 to 1, a bye outside 1 to 18, a floor above the
+    ceiling and a broken number are errors.
+    """
+    rows = _typed(spark, path, PROJECTION_TEXT, PROJECTION_NUMBERS)
+    rows = rows.withColumn("team", F.upper("team")).withColumn("position", draft_position(F.col("position")))
+    assert_range(rows, {
+        **{c: F.coalesce(F.col(c) != "", F.lit(False)) for c in ("player_id", "name", "team")},
+        "bye_week": F.col("bye_week").isNull() | (F.col("bye_week").between(1, 18) & (F.col("bye_week") == F.floor("bye_week"))),
+        "position": F.coalesce(F.col("position").isin("QB", "RB", "WR", "TE", "K", "DST"), F.lit(False)),
+        "floor": F.coalesce(F.col("floor_points") <= F.col("ceiling_points"), F.lit(True)),
+        **{c: F.col(c).between(0, 1) for c in PROJECTION_RATINGS},
+    })
+    assert_unique(rows, ["player_id"])
+    return rows.withColumn("bye_week", F.col("bye_week").cast("int"))
+
+
+def read_team_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Ratings of teams, 0 to 1; a blank or absent one is neutral (0.5). A team that is there twice is an error."""
+    rows = _typed(spark, path, ("team",), {c: 0.5 for c in PROFILE_RATINGS}).withColumn("team", F.upper("team"))
+    assert_range(rows, {"team": F.coalesce(F.col("team") != "", F.lit(False)), **{c: F.col(c).between(0, 1) for c in PROFILE_RATINGS}})
+    assert_unique(rows, ["team"])
+    return rows
+
+
+def with_profiles(players: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Players with their team's ratings; a team without a profile has neutral ones."""
+    return players.join(profiles.select("team", *PROFILE_RATINGS), "team", "left").fillna(0.5, list(PROFILE_RATINGS))
+
+
 EVIDENCE_SCHEMA = """
 sources array<struct<id:string,url:string,published:string>>,
 teams array<struct<team:string,scheme_family:string,scheme_continuity:double,returning_starters_fraction:double,
@@ -238,11 +299,15 @@ def read_evidence(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def read_news(spark: SparkSession, path: str, per_feed: int) -> DataFrame:
     """Items of RSS files with all fields, the first of each guid and the first ``per_feed`` of each file, in document order.
 
-    A feed is read whole, so that the places of its items are known; its items are then rows.
+    A feed is read up to each end of an item, so a large one is read by as many tasks as it has blocks; an
+    item's place is its block's start and its number in the block. An item that is no XML is an error.
     """
-    schema = "channel struct<item:array<struct<title:string,link:string,guid:string,pubDate:string,source:string>>>"
-    raw = spark.read.format("xml").option("rowTag", "rss").schema(schema).load(path).withColumn("feed", F.input_file_name())
-    items = raw.select("feed", F.posexplode("channel.item").alias("place", "i")).select("feed", "place", *[F.trim(F.col(f"i.{c}")).alias(c) for c in ("title", "link", "guid", "pubDate", "source")])
+    raw = spark.read.option("lineSep", "</item>").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"))
+    found = raw.select(F.col("_metadata.file_path").alias("feed"), place.alias("place"), F.regexp_extract("value", r"(?s)<item(?:\s[^>]*)?>.*$", 0).alias("item")).filter("item <> ''")
+    schema = "title string, link string, guid string, pubDate string, source string"
+    parsed = found.select("feed", "place", F.from_xml(F.concat("item", F.lit("</item>")), schema, {"mode": "FAILFAST", "rowTag": "item"}).alias("i"))
+    items = parsed.select("feed", "place", *[F.trim(F.col(f"i.{c}")).alias(c) for c in ("title", "link", "guid", "pubDate", "source")])
     items = items.withColumn("guid", F.coalesce(F.when(F.col("guid") != "", F.col("guid")), F.col("link")))
     full = items.filter(F.least(*[F.length(F.coalesce(c, F.lit(""))) for c in ("title", "link", "guid", "pubDate", "source")]) > 0)
     one = keep_best(full, ["feed", "guid"], [F.col("place")])
