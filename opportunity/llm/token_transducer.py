@@ -20,10 +20,12 @@ counted where it is read. Null and empty texts have no tokens. Nothing is trunca
 from __future__ import annotations
 
 import json
-import unicodedata
+import string
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from opportunity.llm.common import beside_texts
 
@@ -32,7 +34,6 @@ RUN_CHARS = 1_500_000
 CHUNK = 256
 MAX_WORDS, MAX_STATES, LONG_WORD = 900_000, 200_000, 128
 
-WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 END = 0x110000
 # Classes of code points. S1 completes a contraction alone; R, V and L1 need one letter more.
 LETTER, S1, R, V, L1, E1, NUMBER, SPACE, OTHER_WHITE, APOSTROPHE, OTHER, STOP = range(12)
@@ -79,13 +80,25 @@ def _splitter() -> tuple[np.ndarray, np.ndarray]:
     return step, marks
 
 
-def _classes() -> np.ndarray:
-    """16 * class of every code point, and of END."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(END)), np.uint8, END)
-    table = np.append(table, np.uint8(STOP))
-    table[WHITE] = OTHER_WHITE
-    for kind, chars in ((S1, "stmd"), (R, "r"), (V, "v"), (L1, "l"), (E1, "e"), (SPACE, " "), (APOSTROPHE, "'")):
+def _classes(tokenizer: Tokenizer) -> np.ndarray:
+    """16 * class of every code point, and of END, as the library's own splitter has them.
+
+    Unicode tables differ in age, so the library is asked: where it splits the sequence of all code points
+    past ASCII, their class changes, and the first of each run is tried beside a letter, a number and a
+    mark. What joins none of them is white space.
+    """
+    split = tokenizer.pre_tokenizer.pre_tokenize_str
+    points = np.r_[0x80:0xD800, 0xE000:END]  # surrogates are no text
+    runs = np.array(sorted({start for _, (start, _) in split("".join(map(chr, points.tolist())))} | {0}))
+    kinds = np.full(len(runs), OTHER_WHITE, np.uint8)
+    for beside, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
+        begun = np.zeros(3 * len(runs) + 1, bool)
+        begun[[start for _, (start, _) in split("".join(f"{beside}{chr(c)}\n" for c in points[runs].tolist()))]] = True
+        kinds[~begun[3 * np.arange(len(runs)) + 1]] = kind
+    table = np.full(END + 1, OTHER, np.uint8)
+    table[points] = np.repeat(kinds, np.diff(np.append(runs, len(points))))
+    table[END] = STOP
+    for kind, chars in ((LETTER, string.ascii_letters), (NUMBER, string.digits), (OTHER_WHITE, "\t\n\v\f\r"), (S1, "stmd"), (R, "r"), (V, "v"), (L1, "l"), (E1, "e"), (SPACE, " "), (APOSTROPHE, "'")):
         table[[ord(c) for c in chars]] = kind
     return table * np.uint8(16)
 
@@ -246,7 +259,7 @@ class TokenCounter:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merger = Merger(vocab, [(raw(a), raw(b)) for a, b in pairs])
         self.special = special
-        self.classes = _classes()
+        self.classes = _classes(Tokenizer.from_file(path))
         self.step, self.marks = _splitter()
         self.words: dict[str, int] = {}
 
