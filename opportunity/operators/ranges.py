@@ -39,6 +39,33 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], m
     return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias("_upto"), "_all")
 
 
+def places_in(df: DataFrame, orders: Mapping[str, tuple[Sequence[str], Sequence[tuple[str, bool]]]]) -> DataFrame:
+    """``df`` with a column for each of ``orders``: the row's place from 1 within keys, in an order of (column, ascending).
+
+    All orders go through one set of ranges and one table, written while the plan is built: a row stands in it
+    once for each order, and carries its columns once. Orders must be total within their keys.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.monotonically_increasing_id().alias("_id"), F.struct(*df.columns).alias("_row"))
+    rows = rows.withColumn("_o", F.explode(F.array(*[F.lit(k) for k in range(len(orders))])))
+    sort, key = [F.col("_o"), F.col("_key")], F.lit(None).cast("string")
+    for at, (keys, order) in enumerate(orders.values()):
+        own = F.col("_o") == at
+        key = F.when(own, F.to_json(F.struct(F.lit(at).alias("_"), *[F.col(f"_row.{k}") for k in keys]))).otherwise(key)
+        for j, (column, ascending) in enumerate(order):
+            # Null in the rows of other orders, so it does not sort these.
+            rows = rows.withColumn(f"_s{at}_{j}", F.when(own, F.col(f"_row.{column}")))
+            sort.append(F.asc(f"_s{at}_{j}") if ascending else F.desc(f"_s{at}_{j}"))
+    rows = rows.withColumn("_key", key).withColumn("_row", F.when(F.col("_o") == 0, F.col("_row")))
+    dealt = stored(rows.repartitionByRange(ranges, *sort).withColumn("_range", F.spark_partition_id()), "places")
+    counts = dealt.groupBy("_o", "_key", "_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_o", "_key", "_range", (F.sum("_n").over(Window.partitionBy("_o", "_key").orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range", "_o", "_key").orderBy(*sort[2:]))
+    placed = dealt.withColumn("_inside", inside).join(before, ["_o", "_key", "_range"])
+    found = placed.groupBy("_id").agg(F.first("_row", ignorenulls=True).alias("_row"), *[F.max(F.when(F.col("_o") == k, F.col("_before") + F.col("_inside"))).alias(f"_p{k}") for k in range(len(orders))])
+    return found.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns], *[F.col(f"_p{k}").alias(name) for k, name in enumerate(orders)])
+
+
 def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys and each known value, with _equal (rows that have it), _upto (rows at or below it) and _all."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_equal"))

@@ -70,11 +70,12 @@ def rate_backtest(values: DataFrame, targets: Sequence[int], lookback: int = 3,
 
     ``values`` has season, week, team, amount and games, and the ``keys`` (a resource, or a metric whose
     games are base opportunities). The loop is over the few target seasons; each forecast reads earlier
-    seasons only.
+    seasons only. A team that is new takes the league rate.
     """
     parts, unit = [], [*keys, "team"]
     for target in targets:
-        rates = shrunk_team_rate(values.groupBy("season", *unit).agg(F.sum("amount").alias("amount"), F.sum("games").alias("games")), target, lookback, priors, decay, keys)
+        asked = values.filter(F.col("season") == target).select(*unit).distinct()
+        rates = shrunk_team_rate(values.groupBy("season", *unit).agg(F.sum("amount").alias("amount"), F.sum("games").alias("games")), target, lookback, priors, decay, keys, asked)
         ahead = unpivoted(rates, unit, ["league", "raw", *[f"p{p}" for p in priors]]).withColumnsRenamed({"metric": "model", "value": "forecast"})
         seen = pool_by_window(values.filter(F.col("season") == target), unit, ["amount", "games"], windows)
         seen = seen.filter("games > 0").select(*unit, "window_end", (F.col("amount") / F.col("games")).alias("actual"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opportunity.functions.clean import lookup
+from opportunity.operators.ranges import places_in
 from opportunity.operators.windows import cume_percentile, drop_to_kth_next, ordinal_percentile, rank_in
 from opportunity.plans.forecast import league_shortlist, survival_estimates
 
@@ -53,9 +54,8 @@ def draft_board(board: DataFrame, weights: Mapping[str, float] = BOARD_WEIGHTS,
         shift = shift + weight * (F.coalesce(rating[name], F.lit(50.0)) - 50)
     score = F.round(100 - 0.35 * (F.col("adp") - 1) + F.when(F.col("_opportunity").isNotNull(), shift).otherwise(0.0), 2)
     rows = rows.withColumn("score", score).drop("_opportunity")
-    rows = rank_in(rows, [], [F.col("adp"), F.col("player_id")], "adp_rank")
-    order = [F.desc("score"), F.col("adp"), F.col("player_id")]
-    rows = rank_in(rank_in(rows, [], order, "model_rank"), ["position"], order, "position_rank")
+    order = [("score", False), ("adp", True), ("player_id", True)]
+    rows = places_in(rows, {"adp_rank": ([], [("adp", True), ("player_id", True)]), "model_rank": ([], order), "position_rank": (["position"], order)})
     tier = F.lit(1)
     for k in range(3):
         bound = lookup({p: c[k] for p, c in cuts.items()}, F.col("position"))

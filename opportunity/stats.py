@@ -104,14 +104,17 @@ def shrunk_rate_multiplier(events: DataFrame, teams: DataFrame, targets: DataFra
     return out.select("player_id", "target_season", "high", "base", *[f"p{p}" for p in priors])
 
 
-def shrunk_team_rate(values: DataFrame, target: int, lookback: int, priors: Sequence[int], decay: float, keys: Sequence[str] = ()) -> DataFrame:
+def shrunk_team_rate(values: DataFrame, target: int, lookback: int, priors: Sequence[int], decay: float, keys: Sequence[str] = (), teams: DataFrame | None = None) -> DataFrame:
     """League rate, raw team rate and shrunk team rates from strictly earlier seasons.
 
     ``values`` has season, team, amount and games, and the ``keys`` (such as a resource) that have a
-    league rate of their own.
+    league rate of their own. ``teams`` (keys and team) are those asked for, all with a past if None; one
+    without a past takes the league rate.
     """
     past = values.filter(F.col("season").between(target - lookback, target - 1)).withColumn("_w", F.pow(F.lit(decay), F.lit(target - 1) - F.col("season")))
     team = past.groupBy(*keys, "team").agg(F.sum(F.col("_w") * F.col("amount")).alias("x"), F.sum(F.col("_w") * F.col("games")).alias("n"))
+    if teams is not None:
+        team = teams.join(team, [*keys, "team"], "left").fillna(0, ["x", "n"])
     league = past.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("amount")) / F.sum(F.col("_w") * F.col("games"))).alias("league"))
     joined = team.join(league, list(keys)) if keys else team.crossJoin(F.broadcast(league))  # one row on the right
     raw = F.when(F.col("n") > 0, F.col("x") / F.col("n")).otherwise(F.col("league"))

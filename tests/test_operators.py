@@ -206,3 +206,19 @@ def test_no_python_in_builtin_plans(spark):
     df = spark.createDataFrame([("g", 1, 5.0)], "g string, id int, v double")
     plan = windows.cume_percentile(df, ["g"], "v")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_places_in_several_orders_are_written_once(spark, monkeypatch):
+    from opportunity.operators import ranges
+
+    writes = []
+    plain = ranges.stored
+    monkeypatch.setattr(ranges, "stored", lambda df, name: writes.append(name) or plain(df, name))
+    rows = [(k, k * 7 % 31, k % 3, None if k % 11 == 0 else f"v{k * 5 % 13:02}") for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, x int, g int, v string")
+    got = ranges.places_in(df.repartition(3), {"by_x": ([], [("x", False), ("id", True)]), "in_g": (["g"], [("v", True), ("id", False)]), "same": ([], [("id", True)])})
+    assert got.columns == ["id", "x", "g", "v", "by_x", "in_g", "same"] and writes == ["places"]
+    by_x = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    in_g = {r[0]: n for g in range(3) for n, r in enumerate(sorted((r for r in rows if r[2] == g), key=lambda r: (r[3] is not None, r[3] or "", -r[0])), 1)}
+    assert {r.id: (r.x, r.g, r.v, r.by_x, r.in_g, r.same) for r in got.collect()} == {k: (x, g, v, by_x[k], in_g[k], k + 1) for k, x, g, v in rows}
+    assert ranges.places_in(df.limit(0), {"a": ([], [("id", True)])}).collect() == []
