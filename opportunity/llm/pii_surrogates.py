@@ -1,17 +1,20 @@
 """Keyed surrogates for personal data, with DataFrame functions only.
 
 Entities are e-mail addresses, secrets in hex, IPv4 addresses, IBANs, phone numbers, card
-numbers, social security numbers, and names after a form of address or an introduction ("my name
-is", "signed by", "Dear" and the like). Each gets a surrogate that
-depends on a key, its kind and its normal form alone, so an entity reads alike everywhere
-(coreference), in whatever format it is written:
+numbers, social security numbers, and names after forms of address or an introduction ("my name
+is", "signed by", "Dear" and the like). A name has one to five words (two at least after a mere
+introduction) with hyphens, apostrophes, initials and particles such as "van" and "de"; words that
+letters put after such cues without naming anyone ("Dear Customer Service") end it. Where the whole
+name or its family name stands again in the same document, with or without a cue, it is replaced
+too. Each entity gets a surrogate that depends on a key, its kind and its normal form alone, so it
+reads alike everywhere (coreference), in whatever format it is written:
 
 * marks, spaces and the number and case of characters stay; digits become digits, letters letters;
 * phone numbers keep their country code, card numbers their first digit and whether their check
   digit is right, addresses the size of their parts, IBANs their country, e-mails the top level;
 * e-mails of one domain keep one domain, and those of different domains different ones;
-* names keep what stands before them, the gender that it tells (if it does) and their script
-  (Latin, Cyrillic, Greek).
+* names keep what stands before them, the gender that it tells (if it does), their script (Latin,
+  Cyrillic, Greek), capitals, hyphens, particles and prefixes such as O', and initials stay initials.
 
 Distinct entities must stay distinct, and a surrogate must not be another entity of the corpus.
 All entities, the domains of e-mails among them, are checked for that in one aggregate and one
@@ -21,8 +24,8 @@ the third attempt on the parts of an address may change size. What still collide
 ``ROUNDS`` attempts, which takes as many distinct entities as their format has forms, is written
 as ``<KIND-16 hex digits>``. Only the exceptions, few or none, are joined back to documents.
 
-Null texts stay null, empty ones empty. Rows with the same doc_id are replaced by their own
-texts. Overlapping patterns are matched from the left, in the order above.
+Null texts stay null, empty ones empty. Rows with the same doc_id, or none, are replaced by their
+own texts: exceptions go by doc_id and a hash of the text. Overlapping patterns are matched from the left, in the order above.
 """
 
 from __future__ import annotations
@@ -30,17 +33,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opportunity.llm.common import broadcast_if_small, partitions, written
+from opportunity.llm.common import broadcast_if_light, broadcast_if_small, partitions, written
 
 ROUNDS = 12
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")
-#: What introduces a name without telling a gender.
+MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sir", "Господин", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Dame", "Госпожа", "Κυρία")
+#: Forms of address that tell no gender.
+NEUTRAL = ("[Dd]octor", "Dr", "[Pp]rofessor", "Prof")
+#: What introduces a name without being a form of address.
 CUES = (
-    "[Mm]y name is", "[Nn]ame:", "[Ss]igned by", "[Ww]ritten by", "[Aa]uthor:", "[Cc]ontact:", "[Aa]ttn:", "Dear", "Sincerely,", "Regards,", "[Dd]octor", "Dr", "Prof",
+    "[Mm]y name is", "[Nn]ame:", "[Ss]igned by", "[Ww]ritten by", "[Aa]uthor:", "[Cc]ontact:", "[Aa]ttn:", "Dear", "Sincerely,", "Regards,",
     "[Mm]ein Name ist", "[Ii]ch heiße", "[Jj]e m'appelle", "[Mm]on nom est", "[Mm]e llamo", "[Mm]i nombre es",
     "[Мм]еня зовут", "[Μμ]ε λένε",
 )
+#: Words of a name that are written small and stay.
+PARTICLES = ("van", "von", "de", "da", "di", "del", "della", "der", "den", "dos", "du", "la", "le", "ter", "ten", "zu", "zur", "bin", "ibn", "al")
+#: Capitalised words that are no part of a name after a cue.
+NO_NAMES = (
+    "Customers?", "Clients?", "Sirs?", "Madams?", "Team", "All", "Everyone", "Friends?", "Colleagues?", "Members?", "Service", "Support", "Readers?", "Users?", "Editors?",
+    "Hiring", "Managers?", "Valued", "Parents?", "Students?", "Applicants?", "Candidates?", "Subscribers?", "Guests?", "Committee", "Department", "Office", "Board",
+    "The", "This", "That", "These", "Those", "And", "But", "He", "She", "It", "We", "You", "They", "His", "Her", "Our", "Your", "My", "I", "A", "An", "In", "On", "At", "As", "If",
+    "For", "From", "To", "With", "When", "Please", "Thanks?", "Phone", "Tel", "Telephone", "Mobile", "Email", "E-mail", "Mail", "Fax", "Address", "Date", "Subject", "Best", "Kind",
+    "Regards", "Sincerely", "Dear", "Contact", "Name", "Author", "Call", "Card", "Account", "IBAN", "IP", "SSN",
+)
+TITLES = "|".join(sorted(MALE + FEMALE, key=len, reverse=True) + list(NEUTRAL))
+START, STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{M}\p{N}@_])"
+LETTERS = r"[\p{L}\p{M}]*+"
+WORD = rf"(?!(?:{'|'.join(NO_NAMES)}|{TITLES}){STOP})(?:(?:\p{{Lu}}\.)++(?= )|\p{{Lu}}{LETTERS}(?:['’]\p{{Lu}}{LETTERS}|-\p{{L}}{LETTERS})*+{STOP})"
+PARTS = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b",
@@ -50,13 +70,13 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,4}){1,2}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b",
     "card": r"\b\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "name": rf"\b(?:(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?|(?:{'|'.join(CUES)})\.? \p{{Lu}}\p{{L}}+ \p{{Lu}}\p{{L}}+)",
+    "name": rf"{START}(?:(?:(?:{'|'.join(CUES)})\.? )?(?:(?:{TITLES})\.? )++{PARTS}{WORD}(?: {PARTS}{WORD}){{0,4}}|(?:{'|'.join(CUES)})\.? {WORD}(?: {PARTS}{WORD}){{1,4}})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every text with an entity has; the others are not searched further.
-GATE = rf"[0-9@]|(?:{'|'.join(MALE + FEMALE + CUES)})\.? \p{{Lu}}"
+GATE = rf"[0-9@]|(?:{TITLES}|{'|'.join(CUES)})\.? \p{{L}}"
 #: The part of a name's match before the name itself.
-BEFORE = rf"^(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))}|{'|'.join(CUES)})\.? "
+BEFORE = rf"^(?:(?:{TITLES}|{'|'.join(CUES)})\.? )+"
 SYLLABLES = {
     "latin": ("ba", "co", "de", "fi", "ga", "hu", "jo", "ka", "le", "mi", "no", "pe", "ra", "si", "ta", "vo"),
     "cyrillic": ("ба", "во", "ге", "ди", "жа", "зу", "ки", "ла", "ме", "ни", "по", "ра", "се", "та", "фи", "ша"),
@@ -70,10 +90,37 @@ ENDINGS = {
 
 
 def entities(text: Column) -> Column:
-    """All matches of a text in order."""
+    """All matches of a text in order, second mentions of names left out."""
     return F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
 
 
+def bare(match: Column) -> Column:
+    """A name without what stands before it."""
+    return F.regexp_replace(match, BEFORE, "")
+
+
+def family(name: Column) -> Column:
+    return F.substring_index(name, " ", -1)
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """``docs`` (_text and more) with _pattern, and _found: the matches in order, each with the entity that it is a mention ``of``."""
+    named = docs.withColumn("_cued", entities(F.col("_text"))).withColumn("_named", F.filter("_cued", lambda match: match.rlike(BEFORE)))
+    whole = F.transform("_named", bare)
+    known = F.filter(F.array_distinct(F.concat(whole, F.transform(whole, family))), lambda name: F.length(name) > 1)
+    # The longest first, so that a family name does not cut a whole one short.
+    known = F.array_sort(known, lambda x, y: F.length(y) - F.length(x))
+    again = F.concat(F.lit(rf"{ENTITY}|{START}(?:\Q"), F.array_join(known, r"\E|\Q"), F.lit(rf"\E){STOP}"))
+    found = named.withColumn("_pattern", F.when(F.size("_named") > 0, again).otherwise(F.lit(ENTITY)))
+    found = found.withColumn("_found", F.when(F.size("_named") > 0, F.regexp_extract_all("_text", F.col("_pattern"), F.lit(0))).otherwise(F.col("_cued")))
+
+    def of(match: Column) -> Column:
+        first = F.get(F.filter("_named", lambda entity: bare(entity) == match), F.lit(0))
+        return F.coalesce(first, F.get(F.filter("_named", lambda entity: family(entity) == match), F.lit(0)), match)
+
+    return found.withColumn("_found", F.transform("_found", lambda match: F.struct(match.alias("match"), of(match).alias("of"))))
+
+
 def kind_of(match: Column) -> Column:
     """Which pattern a match fits."""
     kind = F.lit("name")
@@ -85,7 +132,19 @@ def kind_of(match: Column) -> Column:
 def normal_form(kind: Column, match: Column) -> Column:
     """What two writings of one entity share."""
     plain = F.regexp_replace(match, r"[^0-9A-Za-z+]", "")
-    return F.when(kind.isin("email", "secret"), F.lower(match)).when(kind.isin("ip", "name"), match).otherwise(plain)
+    # A single word is a family name, which every gender shares.
+    name = F.when(bare(match).contains(" "), F.concat(gender(match), F.lit(" "), bare(match))).otherwise(bare(match))
+    return F.when(kind.isin("email", "secret"), F.lower(match)).when(kind == "ip", match).when(kind == "name", name).otherwise(plain)
+
+
+def gender(match: Column) -> Column:
+    """What the forms of address before a name tell: male, female or any."""
+    before = F.regexp_extract(match, BEFORE, 0)
+
+    def told(titles: tuple[str, ...]) -> Column:
+        return before.rlike(rf"(?:^| )(?:{'|'.join(titles)})\.? ")
+
+    return F.when(told(MALE), F.lit("male")).when(told(FEMALE), F.lit("female")).otherwise(F.lit("any"))
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -176,28 +235,48 @@ def _syllables(count: Column, digest: Column, known: tuple[str, ...]) -> Column:
 def _name(match: Column, attempt: Column, key: str) -> Column:
     """Word by word, so that a family name reads alike with and without a given name."""
     before = F.regexp_extract(match, BEFORE, 0)
-    title = F.regexp_replace(before, r"\.? $", "")
-    words = F.split(F.substring(match, F.length(before) + 1, F.length(match)), " ")
-    gender = F.when(title.isin(*MALE), F.lit("male")).when(title.isin(*FEMALE), F.lit("female")).otherwise(F.lit("any"))
+    words = F.split(bare(match), " ")
     script = F.when(match.rlike(r"\p{IsCyrillic}+(?: |$)"), F.lit("cyrillic")).when(match.rlike(r"\p{IsGreek}+(?: |$)"), F.lit("greek")).otherwise(F.lit("latin"))
 
+    def spelled(role: Column, digest: Column) -> Column:
+        made = None
+        for name, syllables in SYLLABLES.items():
+            stem = F.concat(_pick(syllables, _number(digest, F.lit(1))), _pick(syllables, _number(digest, F.lit(2))))
+            third = F.when(role == "family", _pick(syllables, _number(digest, F.lit(3)))).otherwise(F.lit(""))
+            more = _syllables(F.when((role == "family") & (attempt > 0), attempt).otherwise(0), digest, syllables)
+            end = F.lit("")
+            for kind, endings in ENDINGS[name].items():
+                end = F.when(role == kind, _pick(endings, _number(digest, F.lit(4)))).otherwise(end)
+            whole = F.initcap(F.concat(stem, third, more, end))
+            made = whole if made is None else F.when(script == name, whole).otherwise(made)
+        return made
+
+    def initial(number: Column) -> Column:
+        made = None
+        for name, syllables in SYLLABLES.items():
+            letter = F.upper(F.substring(_pick(syllables, number), 1, 1))
+            made = letter if made is None else F.when(script == name, letter).otherwise(made)
+        return made
+
+    def initials(w: Column, digest: Column) -> Column:
+        letters = F.split(F.regexp_replace(w, r"\.", ""), "")
+        mark = F.when(w.endswith("."), F.lit(".")).otherwise(F.lit(""))
+        return F.array_join(F.transform(letters, lambda _, k: F.concat(initial(_number(digest, k)), mark)), "")
+
+    def part(w: Column, role: Column) -> Column:
+        prefix = F.regexp_extract(w, r"^\p{Lu}['’](?=\p{Lu})", 0)
+
+        def drawn(digest: Column) -> Column:
+            new = spelled(role, digest)
+            return F.concat(prefix, F.when((F.upper(w) == w) & (F.lower(w) != w), F.upper(new)).otherwise(new))
+
+        return _let(_digest(key, F.lit("word"), role, F.initcap(w), attempt.cast("string")), drawn)
+
     def word(w: Column, i: Column) -> Column:
-        role = F.when(i == F.size(words) - 1, F.lit("family")).otherwise(gender)
-
-        def spelled(digest: Column) -> Column:
-            made = None
-            for name, syllables in SYLLABLES.items():
-                stem = F.concat(_pick(syllables, _number(digest, F.lit(1))), _pick(syllables, _number(digest, F.lit(2))))
-                third = F.when(role == "family", _pick(syllables, _number(digest, F.lit(3)))).otherwise(F.lit(""))
-                more = _syllables(F.when((role == "family") & (attempt > 0), attempt).otherwise(0), digest, syllables)
-                end = F.lit("")
-                for kind, endings in ENDINGS[name].items():
-                    end = F.when(role == kind, _pick(endings, _number(digest, F.lit(4)))).otherwise(end)
-                whole = F.initcap(F.concat(stem, third, more, end))
-                made = whole if made is None else F.when(script == name, whole).otherwise(made)
-            return made
-
-        return _let(_digest(key, F.lit("word"), role, w, attempt.cast("string")), spelled)
+        role = F.when(i == F.size(words) - 1, F.lit("family")).otherwise(gender(match))
+        short = _let(_digest(key, F.lit("initial"), w, attempt.cast("string")), lambda digest: initials(w, digest))
+        long = F.array_join(F.transform(F.split(w, "-"), lambda p: part(p, role)), "-")
+        return F.when(w.isin(*PARTICLES), w).when(w.rlike(r"^(?:\p{Lu}|(?:\p{Lu}\.)+)$"), short).otherwise(long)
 
     return F.concat(before, F.array_join(F.transform(words, word), " "))
 
@@ -229,17 +308,21 @@ def domain_of(match: Column) -> Column:
     return F.lower(F.substring_index(match, "@", -1))
 
 
-def collisions(docs: DataFrame, key: str) -> DataFrame:
-    """normal, kind and attempt of the entities, and domains of e-mails, that need another attempt than 0."""
-    found = docs.select(F.explode(entities(F.col("text"))).alias("match"))
+def occurrences(docs: DataFrame) -> DataFrame:
+    """_id, _tie (a hash of the text), kind, normal and match of every entity of ``docs`` (doc_id, text), the domains of e-mails among them."""
+    found = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.explode(entities(F.col("text"))).alias("match"))
     found = found.withColumn("kind", kind_of(F.col("match"))).withColumn("normal", normal_form(F.col("kind"), F.col("match")))
     own = F.array(F.struct("kind", "normal", "match"), F.when(F.col("kind") == "email", F.struct(F.lit("domain").alias("kind"), domain_of(F.col("match")).alias("normal"), domain_of(F.col("match")).alias("match"))))
-    found = found.select(F.explode(F.array_compact(own)).alias("e")).select("e.*")
+    return written(found.select("_id", "_tie", F.explode(F.array_compact(own)).alias("e")).select("_id", "_tie", "e.*"), "occurrences")
+
+
+def collisions(found: DataFrame, key: str) -> DataFrame:
+    """normal, kind and attempt of the entities among ``found`` (kind, normal, match) that need another attempt than 0."""
     known = written(found.groupBy("kind", "normal").agg(F.min("match").alias("match")).withColumn("attempt", F.lit(0)), "entities")
     settled = known
     for turn in range(1, ROUNDS + 2):
         # Few bytes, but much work on each of them.
-        drawn = settled.repartition(partitions(docs.sparkSession), "kind", "normal")
+        drawn = settled.repartition(partitions(found.sparkSession), "kind", "normal")
         new = F.when((F.col("kind") == "domain") & (F.col("attempt") >= 0), _domain(F.col("match"), F.col("attempt"), key)).otherwise(surrogate(F.col("match"), F.col("attempt"), key))
         drawn = drawn.withColumn("new", new)
         drawn = drawn.withColumn("new", F.when((F.col("attempt") < 0) | (F.col("kind") == "domain"), F.col("new")).otherwise(normal_form(F.col("kind"), F.col("new"))))
@@ -262,19 +345,17 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
 
     Columns of ``docs`` that are named n_entities or kinds give way to the new ones.
     """
-    exceptions = written(collisions(docs, key), "pii-exceptions")
-    source = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), entities(F.col("text")).alias("_found"))
+    known = occurrences(docs)
+    exceptions = written(collisions(known, key), "pii-exceptions")
+    source = mentions(docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text")))
     if exceptions.isEmpty():
         attempt = domain_attempt = lambda match: F.lit(0)
     else:
-        kind = kind_of(F.col("match"))
-        odd = docs.select("doc_id", F.explode(entities(F.col("text"))).alias("match"))
-        own = F.array(F.struct(kind.alias("kind"), normal_form(kind, F.col("match")).alias("normal")), F.when(kind == "email", F.struct(F.lit("domain").alias("kind"), domain_of(F.col("match")).alias("normal"))))
-        odd = odd.select("doc_id", F.explode(F.array_compact(own)).alias("e")).select("doc_id", "e.*")
-        odd = odd.join(broadcast_if_small(exceptions), ["kind", "normal"])
         entry = F.struct(F.concat_ws("|", "kind", "normal").alias("key"), F.col("attempt").alias("value"))
-        odd = written(odd.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(entry)).alias("_attempts")).withColumnRenamed("doc_id", "_odd"), "pii-odd")
-        source = source.join(broadcast_if_small(odd), F.col("_id").eqNullSafe(F.col("_odd")), "left")
+        odd = known.join(broadcast_if_small(exceptions), ["kind", "normal"]).groupBy("_id", "_tie").agg(F.map_from_entries(F.collect_set(entry)).alias("_attempts"))
+        odd = odd.select(F.col("_id").alias("_odd"), F.col("_tie").alias("_odd_tie"), "_attempts", F.to_json("_attempts").alias("_held"))
+        odd = broadcast_if_light(written(odd, "pii-odd"), "_held").drop("_held")
+        source = source.join(odd, F.col("_id").eqNullSafe(F.col("_odd")) & (F.xxhash64("_text") == F.col("_odd_tie")), "left")
 
         def attempt(match: Column) -> Column:
             own = F.concat_ws("|", kind_of(match), normal_form(kind_of(match), match))
@@ -283,10 +364,16 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
         def domain_attempt(match: Column) -> Column:
             return F.coalesce(F.try_element_at("_attempts", F.concat(F.lit("domain|"), domain_of(match))), F.lit(0))
 
-    pieces = F.split(F.col("_text"), ENTITY, -1)
-    new = F.transform("_found", lambda match: surrogate(match, attempt(match), key, domain_attempt(match)))
-    whole = F.array_join(F.zip_with(pieces, new, lambda piece, s: F.concat(piece, F.coalesce(s, F.lit("")))), "")
+    def mention(found: Column) -> Column:
+        def told(new: Column) -> Column:
+            name = F.when(found.match == bare(found.of), bare(new)).otherwise(family(bare(new)))
+            return F.when(found.match == found.of, new).otherwise(name)
+
+        return _let(surrogate(found.of, attempt(found.of), key, domain_attempt(found.of)), told)
+
+    pieces = F.split(F.col("_text"), F.col("_pattern"), -1)
+    whole = F.array_join(F.zip_with(pieces, F.transform("_found", mention), lambda piece, s: F.concat(piece, F.coalesce(s, F.lit("")))), "")
     text = F.when(F.size("_found") > 0, whole).otherwise(F.col("_text"))
-    kinds = F.array_sort(F.array_distinct(F.transform("_found", lambda match: kind_of(match))))
+    kinds = F.array_sort(F.array_distinct(F.transform("_found", lambda found: kind_of(found.of))))
     columns = [text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_entities", "kinds")]
     return source.select(*columns, F.size("_found").cast("long").alias("n_entities"), kinds.alias("kinds"))

@@ -35,26 +35,42 @@ def shape(text):
 
 def test_surrogates_by_plain_search(docs, texts):
     patterns = {kind: regex.compile(p) for kind, p in pii_surrogates.PATTERNS.items()}
-    either = regex.compile(pii_surrogates.ENTITY)
+    cued, before = regex.compile(pii_surrogates.ENTITY), regex.compile(pii_surrogates.BEFORE)
     seen: dict = {}
     for row in pii_surrogates.replaced(docs.select("doc_id", "text"), "key").collect():
-        found = list(either.finditer(texts[row.doc_id]))
+        text = texts[row.doc_id]
+        named = [m[0] for m in cued.finditer(text) if before.match(m[0])]
+        known = {w for m in named for name in [before.sub("", m)] for w in (name, name.split(" ")[-1]) if len(w) > 1}
+        again = "|".join(regex.escape(w) for w in sorted(known, key=len, reverse=True))
+        either = regex.compile(pii_surrogates.ENTITY + (f"|{pii_surrogates.START}(?:{again}){pii_surrogates.STOP}" if known else ""))
+        found = list(either.finditer(text))
         assert row.n_entities == len(found)
-        at, rest = 0, row.text or ""
+        at, rest, names = 0, row.text or "", {}
         for m in found:
-            kept = texts[row.doc_id][at : m.start()]
+            kept = text[at : m.start()]
             assert rest.startswith(kept)
             rest, at = rest[len(kept) :], m.end()
-            kind = next(k for k, p in patterns.items() if p.fullmatch(m[0]))
+            kind = next((k for k, p in patterns.items() if p.fullmatch(m[0])), "name")
+            if kind == "name":
+                own = len(before.match(m[0])[0]) if before.match(m[0]) else 0
+                assert rest.startswith(m[0][:own])
+                rest, name = rest[own:], m[0][own:]
+                new = " ".join(rest.split(" ")[: name.count(" ")] + [regex.match(r"[\p{L}\p{M}.'’-]*[\p{L}\p{M}]", rest.split(" ")[name.count(" ")])[0]])
+                assert new != name and all(regex.fullmatch(r"\p{Lu}[\p{L}\p{M}.'’-]*", x) or x in pii_surrogates.PARTICLES for x in new.split(" "))
+                # The family name reads alike everywhere in a document.
+                assert names.setdefault(name.split(" ")[-1], new.split(" ")[-1]) == new.split(" ")[-1]
+                rest = rest[len(new) :]
+                if " " not in name:
+                    assert seen.setdefault((kind, name), new) == new
+                continue
             new = rest[: len(m[0])]
             if kind in ("email", "secret", "ip", "card", "phone", "ssn"):
                 assert kind == "secret" or shape(new) == shape(m[0])
                 assert patterns[kind].fullmatch(new) and new != m[0]
-            normal = m[0].lower() if kind in ("email", "secret") else m[0] if kind in ("ip", "name") else re.sub(r"[^0-9A-Za-z+]", "", m[0])
-            plain = new.lower() if kind in ("email", "secret") else new if kind in ("ip", "name") else re.sub(r"[^0-9A-Za-z+]", "", new)
+            normal, plain = (x.lower() if kind in ("email", "secret") else x if kind == "ip" else re.sub(r"[^0-9A-Za-z+]", "", x) for x in (m[0], new))
             assert seen.setdefault((kind, normal), plain) == plain
             rest = rest[len(new) :]
-        assert rest == texts[row.doc_id][at:]
+        assert rest == text[at:]
     assert len(seen) > 10 and len({(k, s) for (k, _), s in seen.items()}) == len(seen)
     assert not {(k, s) for (k, _), s in seen.items()} & set(seen)
 
