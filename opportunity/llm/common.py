@@ -72,10 +72,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def light(df: DataFrame, column: str, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written side has at most ``size`` bytes in ``column``, which holds nearly all of them."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first().n <= size
+
+
 def broadcast_if_light(df: DataFrame, column: str, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast a written side whose bytes in ``column``, which holds nearly all of them, were summed first."""
-    held = df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first().n
-    return F.broadcast(df) if held <= size else df
+    """Broadcast a written side whose bytes were summed first."""
+    return F.broadcast(df) if light(df, column, size) else df
 
 
 def text_or_empty(column: str = "text"):
@@ -98,5 +102,7 @@ def beside_texts(rows: DataFrame, begin: Callable[[], Callable[[list], dict[str,
             made = work(batch.column("text").to_pylist())
             columns = [*(batch.column(c) for c in kept), *(pa.array(made[f.name], f.type) for f in fields)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *fields.names])
+            del made, columns
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
     return rows.mapInArrow(mapped, StructType([*rows.select(*kept).schema.fields, *new.fields]))

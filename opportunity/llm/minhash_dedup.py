@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opportunity.llm.common import arrow_batches, beside_texts, broadcast_if_light, broadcast_if_small, written
+from opportunity.llm.common import arrow_batches, beside_texts, broadcast_if_small, light, written
 
 BANDS, ROWS = 32, 4
 PIVOT_TURNS = 2
@@ -48,6 +48,8 @@ PIVOT_TURNS = 2
 STAR_TURNS, PAIRS_A_ROW = 4, 8
 #: Edges that one task joins to components at most (two 64-bit numbers each).
 TASK_EDGES = 500_000
+#: A bucket or pivot of more than one part in so many of all rows is joined on its own; there are at most so many of them.
+HEAVY_PARTS = 1000
 #: Stands for a null doc_id in joins.
 NO_ID = -(1 << 63)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -232,9 +234,10 @@ def _labelled(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
 def by_rare_shingles(own: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """``labels`` after the links among the sets of ``own``, by prefix filtering.
 
-    ``own`` has id, id_in and hashes. The rarest shingles come first in each set. Sets with the
-    asked likeness have sizes in that ratio and share a shingle among their first
-    ``n - ceil(n * percent / 100) + 1``.
+    ``own`` has id, id_in and hashes. The rarest shingles come first in each set. Two sets of ``na``
+    and ``nb`` shingles need ``need = ceil(percent * (na + nb) / (100 + percent))`` in common, so the
+    first one that they share is among the first ``n - need + 1`` of both. No pair is made for a
+    shingle that comes later in either; which sizes a shingle's sets have shortens each set at once.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,30 +248,64 @@ def by_rare_shingles(own: DataFrame, sets: DataFrame, labels: DataFrame, percent
 
     shingles = own.select("id", "id_in", "hashes").mapInPandas(rows, "id long, comp long, n long, shingle long")
     shingles = written(shingles, "shingles")
-    common = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("df > 1")
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("n_low")).filter("df > 1")
     shared = shingles.join(common, "shingle")
     # Shingles of one set alone come first: their number is n less the shared ones.
     by_doc = Window.partitionBy("id")
-    ranked = shared.withColumn("alone", F.col("n") - F.count("*").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy("df", "shingle")))
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = written(ranked.filter(F.col("alone") + F.col("rank") <= size).filter("low < high").select("shingle", "id", "comp", "n"), "prefixes")
-    fits = (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
-    return by_groups(prefix.drop("comp"), ["shingle"], {"n": "n"}, fits, sets, labels, percent)
+    ranked = shared.withColumn("shared", F.count("*").over(by_doc)).withColumn("place", F.row_number().over(by_doc.orderBy("df", "shingle")))
+    ranked = ranked.withColumn("rank", F.col("n") - F.col("shared") + F.col("place"))
+    least_need = _needed(F.col("n"), F.greatest("n_low", F.ceil(F.col("n") * percent / 100)), percent)
+    prefix = ranked.filter(F.col("rank") <= F.col("n") - least_need + 1).filter("low < high").select("shingle", "id", "n", "rank")
+    need = _needed(F.col("na"), F.col("nb"), percent)
+    like_sizes = (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
+    fits = like_sizes & (F.col("ra") <= F.col("na") - need + 1) & (F.col("rb") <= F.col("nb") - need + 1)
+    return by_groups(written(prefix, "prefixes"), ["shingle"], {"n": "n", "rank": "r"}, fits, sets, labels, percent)
 
 
-def _pivot_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """pivot and base (its hashes); a pivot of many rows must not gather them in one task, so few bytes are broadcast."""
-    pivots = rows.select(F.col("pivot").alias("id")).distinct()
-    return broadcast_if_light(written(sets.join(pivots, "id").select(F.col("id").alias("pivot"), F.col("hashes").alias("base")), "bases"), "base")
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that sets of n and m must have in common."""
+    return F.ceil(percent * (n + m) / (100 + percent) - 1e-9)
 
 
-def _pivoted(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _with_bases(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The written ``rows`` (id, pivot and more) with the hashes of both, those of the pivot as base.
+
+    Few bytes of pivots are broadcast. Beyond that, a pivot of many rows must not gather them in one
+    task: its hashes are repeated for parts of its rows, twice ``HEAVY_PARTS`` times in all at most.
+    """
+    pivots = rows.groupBy(F.col("pivot").alias("id")).agg(F.count("*").alias("_rows"))
+    bases = written(sets.join(pivots, "id").select(F.col("id").alias("pivot"), F.col("hashes").alias("base"), "_rows"), "bases")
+    own = rows.join(sets.select("id", "hashes"), "id")
+    if light(bases, "base"):
+        return own.join(F.broadcast(bases.drop("_rows")), "pivot")
+    step = rows.count() // HEAVY_PARTS + 1
+    parts = F.ceil(F.col("_rows") / step)
+    heavy = bases.filter(F.col("_rows") > step).select("pivot", parts.alias("_parts"))
+    dealt = own.join(F.broadcast(heavy), "pivot", "left").withColumn("_part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1).cast("long"))))
+    repeated = bases.select("pivot", "base", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    return dealt.join(repeated, ["pivot", "_part"]).drop("_part", "_parts")
+
+
+def _with_centres(members: DataFrame, rows: int) -> DataFrame:
+    """``members`` (bucket, id and more) of buckets with several, with centre (smallest id) and size of the bucket.
+
+    ``rows`` counts the classes. Buckets that hold more than one part in ``HEAVY_PARTS`` of them, at
+    most so many for each band, are broadcast, so that none gathers its members in one task.
+    """
+    centres = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size"))
+    centres = written(centres.filter("size > 1"), "centres")
+    most = rows // HEAVY_PARTS + 1
+    heavy = centres.filter(F.col("size") > most)
+    light_ones = members.join(F.broadcast(heavy.select("bucket")), "bucket", "left_anti").join(centres.filter(F.col("size") <= most), "bucket")
+    return light_ones.unionByName(members.join(F.broadcast(heavy), "bucket"))
+
+
+def _pivoted(members: DataFrame, rows: int, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """id, pivot, sizes n and m of both, and both (their common shingles) of the members (bucket, id); links to pivots.
 
-    A pivot is the smallest id of those that the buckets connect.
+    A pivot is the smallest id of those that the buckets connect. ``rows`` counts the classes.
     """
-    centres = broadcast_if_small(written(members.groupBy("bucket").agg(F.min("id").alias("b")), "centres"))
-    ties = members.join(centres, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b")
+    ties = _with_centres(members, rows).filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     roots = components(ties).filter("id <> component").select("id", F.col("component").alias("pivot"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,8 +316,7 @@ def _pivoted(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
             out["both"] = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs]
             yield out
 
-    joined = roots.join(sets.select("id", "hashes"), "id").join(_pivot_sets(roots, sets), "pivot")
-    found = written(joined.select("id", "pivot", "hashes", "base").mapInPandas(compare, "id long, pivot long, n long, m long, both long"), "pivots")
+    found = written(_with_bases(roots, sets).select("id", "pivot", "hashes", "base").mapInPandas(compare, "id long, pivot long, n long, m long, both long"), "pivots")
     alike = 100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))
     return found, found.filter(alike).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
 
@@ -300,7 +336,7 @@ def by_differences(pivots: DataFrame, sets: DataFrame, labels: DataFrame, percen
     near = pivots.filter(100 * F.col("both") >= (2 * percent - 120) * (F.col("n") + F.col("m") - F.col("both")))
     near = near.withColumn("lacks", F.col("m") - F.col("both")).withColumn("size", F.col("n") + F.col("m") - 2 * F.col("both"))
     near = _labelled(near.withColumn("g", share * F.col("n") + F.col("lacks")), labels, "id")
-    groups = near.groupBy("pivot").agg(F.min("g").alias("g_low"), F.min_by("id", F.struct("g", "id")).alias("least"), F.min("id_in").alias("low"), F.max("id_in").alias("high"))
+    groups = near.groupBy("pivot").agg(F.min_by("id", F.struct("g", "id")).alias("least"), F.min("id_in").alias("low"), F.max("id_in").alias("high"))
     near = written(near.join(groups.filter("low < high").drop("low", "high"), "pivot"), "near")
     # The least member is the most central one, such as the text that all others are edits of.
     hubs = near.filter(F.col("id") != F.col("least")).select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
@@ -310,14 +346,14 @@ def by_differences(pivots: DataFrame, sets: DataFrame, labels: DataFrame, percen
             for row in batch.itertuples(index=False):
                 own, base = np.frombuffer(row.hashes, np.uint64), np.frombuffer(row.base, np.uint64)
                 # A hash names one shingle, which a member either lacks or adds; no tag is needed.
-                yield pd.DataFrame({"pivot": row.pivot, "id": row.id, "mark": np.setxor1d(own, base, assume_unique=True).view(np.int64)})
+                yield pd.DataFrame({"pivot": row.pivot, "id": row.id, "g": row.g, "mark": np.setxor1d(own, base, assume_unique=True).view(np.int64)})
 
-    joined = near.select("id", "pivot").join(sets.select("id", "hashes"), "id").join(_pivot_sets(near, sets), "pivot")
-    marks = written(joined.select("id", "pivot", "hashes", "base").mapInPandas(differences, "pivot long, id long, mark long"), "marks")
-    common = marks.groupBy("pivot", "mark").agg(F.count("*").alias("df")).filter("df > 1")
+    marks = written(_with_bases(near.select("id", "pivot", "g"), sets).select("id", "pivot", "g", "hashes", "base").mapInPandas(differences, "pivot long, id long, g double, mark long"), "marks")
+    common = marks.groupBy("pivot", "mark").agg(F.count("*").alias("df"), F.min("g").alias("g_low")).filter("df > 1")
+    marks = marks.drop("g")
     by_doc = Window.partitionBy("pivot", "id")
     ranked = marks.join(common, ["pivot", "mark"]).withColumn("shared", F.count("*").over(by_doc)).withColumn("place", F.row_number().over(by_doc.orderBy("df", "mark")))
-    ranked = ranked.join(near.select("pivot", "id", "id_in", "m", "g", "g_low", "size"), ["pivot", "id"]).withColumn("rank", F.col("size") - F.col("shared") + F.col("place"))
+    ranked = ranked.join(near.select("pivot", "id", "id_in", "m", "g", "size"), ["pivot", "id"]).withColumn("rank", F.col("size") - F.col("shared") + F.col("place"))
     least_need = F.greatest(F.lit(1), F.ceil(F.col("g") + F.col("g_low") - F.col("m") - 1e-9))
     prefix = written(ranked.filter(F.col("rank") <= F.col("size") - least_need + 1).select("pivot", "mark", "id", "id_in", "m", "g", "size", "rank"), "prefixes")
     labels = merged(labels, confirmed(hubs.distinct(), sets, percent))
@@ -372,8 +408,8 @@ def _row_components(docs: DataFrame, words: int, percent: int, bands: int, rows:
     )
     classes = written(classes, "classes")
     members = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    buckets = written(members.join(centres, "bucket").select("bucket", "id", "n", "centre", "size"), "buckets")
+    count = classes.count()
+    buckets = written(_with_centres(members, count), "buckets")
     sized = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
     stars = buckets.filter("id <> centre").groupBy("id", "centre").agg(F.first("n").alias("na"))
     stars = stars.select(F.col("id").alias("a"), F.col("centre").alias("b"), "na").join(sized, "b")
@@ -393,7 +429,7 @@ def _row_components(docs: DataFrame, words: int, percent: int, bands: int, rows:
     for _ in range(PIVOT_TURNS):
         if not rest.count():
             break
-        pivots, near = _pivoted(rest, sets, percent)
+        pivots, near = _pivoted(rest, count, sets, percent)
         labels = merged(labels, near)
         labels = by_differences(pivots, sets, labels, percent)
         far = pivots.filter(100 * F.col("both") < (percent - 20) * (F.col("n") + F.col("m") - F.col("both"))).select("id")

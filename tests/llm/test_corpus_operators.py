@@ -233,6 +233,31 @@ def test_residual_joins_find_every_link(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("seed,percent", [(11, 85), (12, 80), (13, 90)])
+def test_rare_shingles_alone_find_every_link(spark, monkeypatch, seed, percent):
+    """All links beyond the centre from rare shingles, for texts of many sizes that share a passage."""
+    rng = random.Random(seed)
+    passage = " ".join(f"p{k}" for k in range(30))
+    some = [f"{passage} {t}" if k % 2 else t for k, t in enumerate(family(seed, 60, 50, 6))]
+    some = [" ".join(t.split()[: len(t.split()) - rng.randrange(12)]) for t in some]
+    some += [f"{passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 14))) for _ in range(60)]
+    rows = list(enumerate(some, 1))
+    monkeypatch.setattr(minhash_dedup.OnePermutation, "keys", lambda self, hashes: np.array([7], np.int64))
+    monkeypatch.setattr(minhash_dedup, "PIVOT_TURNS", 0)
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 3, percent)
+
+
+def test_heavy_buckets_and_pivots_lose_no_link(spark, monkeypatch):
+    """Every bucket counts as heavy, and every pivot's rows are dealt into parts."""
+    rows = list(enumerate(family(6, 60, 60, 9) + family(7, 40, 40, 7), 1))
+    monkeypatch.setattr(minhash_dedup, "HEAVY_PARTS", 10**9)
+    monkeypatch.setattr(minhash_dedup, "light", lambda *_: False)
+    monkeypatch.setattr(minhash_dedup.OnePermutation, "keys", lambda self, hashes: np.array([7, hashes[0] % 3], np.int64))
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 3, 85)
+
+
 def test_signature_estimates_likeness():
     rng = np.random.default_rng(2)
     hasher = minhash_dedup.OnePermutation(32, 4)
