@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,27 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> It
             spark.conf.set(name, value)
 
 
+def give_back() -> None:
+    """Return memory that is free in this Python worker to the machine: the worker stays for later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on the batches of a task, with free memory given back at its end."""
+
+    @wraps(work)
+    def mapped(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return mapped
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
@@ -103,6 +126,5 @@ def beside_texts(rows: DataFrame, begin: Callable[[], Callable[[list], dict[str,
             columns = [*(batch.column(c) for c in kept), *(pa.array(made[f.name], f.type) for f in fields)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *fields.names])
             del made, columns
-        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
-    return rows.mapInArrow(mapped, StructType([*rows.select(*kept).schema.fields, *new.fields]))
+    return rows.mapInArrow(giving_back(mapped), StructType([*rows.select(*kept).schema.fields, *new.fields]))

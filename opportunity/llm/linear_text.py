@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opportunity.llm.common import give_back, giving_back
+
 BITS = 18
 SIZE = 1 << BITS
 TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
@@ -174,15 +176,19 @@ def fitted(sample: DataFrame, grams: Grams | Stems, columns: list[str], fit: Cal
             out["features"] = [grams.features(t).astype(np.int32).tobytes() for t in batch["text"]]
             yield out
 
-    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+    def model_of(frame: pd.DataFrame) -> bytes:
         frame = frame.sort_values(["doc_id", *columns], kind="stable")
         rows = Rows([np.frombuffer(x, np.int32) for x in frame["features"]])
-        model = fit(rows, {c: frame[c].to_numpy(dtype=float) for c in columns}, frame["doc_id"].tolist())
-        return pd.DataFrame({"model": [pickle.dumps(model)]})
+        return pickle.dumps(fit(rows, {c: frame[c].to_numpy(dtype=float) for c in columns}, frame["doc_id"].tolist()))
+
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        model = model_of(frame)
+        give_back()
+        return pd.DataFrame({"model": [model]})
 
     wanted = ", ".join(f"{c} int" for c in columns)
     read = sample.select("doc_id", *[F.col(c).cast("int") for c in columns], "text")
-    taken = read.mapInPandas(extract, f"doc_id long, {wanted}, features binary").withColumn("_all", F.lit(0))
+    taken = read.mapInPandas(giving_back(extract), f"doc_id long, {wanted}, features binary").withColumn("_all", F.lit(0))
     found = taken.groupBy("_all").applyInPandas(learn, "model binary").first()
     if found is None:
         return fit(Rows([]), {c: np.zeros(0) for c in columns}, [])

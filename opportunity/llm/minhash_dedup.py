@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opportunity.llm.common import arrow_batches, beside_texts, broadcast_if_small, light, written
+from opportunity.llm.common import arrow_batches, beside_texts, broadcast_if_small, giving_back, light, written
 
 BANDS, ROWS = 32, 4
 PIVOT_TURNS = 2
@@ -169,7 +169,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(alike, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(giving_back(alike), "a long, b long")
 
 
 def _joined(edges: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +205,7 @@ def components(edges: DataFrame) -> DataFrame:
         right = step.select(F.col("id").alias("b"), F.col("component").alias("pb"))
         moved = current.join(left, "a").join(right, "b").filter("pa <> pb")
         current = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-    labels = written(current.coalesce(1).mapInPandas(_joined, "id long, component long"), "components")
+    labels = written(current.coalesce(1).mapInPandas(giving_back(_joined), "id long, component long"), "components")
     for step in reversed(steps):
         later = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
         labels = written(step.join(later, "component", "left").select("id", F.coalesce("next", "component").alias("component")), "components")
@@ -246,7 +246,7 @@ def by_rare_shingles(own: DataFrame, sets: DataFrame, labels: DataFrame, percent
                 hashes = np.frombuffer(data, np.int64)
                 yield pd.DataFrame({"id": id_, "comp": comp, "n": len(hashes), "shingle": hashes})
 
-    shingles = own.select("id", "id_in", "hashes").mapInPandas(rows, "id long, comp long, n long, shingle long")
+    shingles = own.select("id", "id_in", "hashes").mapInPandas(giving_back(rows), "id long, comp long, n long, shingle long")
     shingles = written(shingles, "shingles")
     common = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("n_low")).filter("df > 1")
     shared = shingles.join(common, "shingle")
@@ -316,7 +316,7 @@ def _pivoted(members: DataFrame, rows: int, sets: DataFrame, percent: int) -> tu
             out["both"] = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs]
             yield out
 
-    found = written(_with_bases(roots, sets).select("id", "pivot", "hashes", "base").mapInPandas(compare, "id long, pivot long, n long, m long, both long"), "pivots")
+    found = written(_with_bases(roots, sets).select("id", "pivot", "hashes", "base").mapInPandas(giving_back(compare), "id long, pivot long, n long, m long, both long"), "pivots")
     alike = 100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))
     return found, found.filter(alike).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
 
@@ -348,7 +348,7 @@ def by_differences(pivots: DataFrame, sets: DataFrame, labels: DataFrame, percen
                 # A hash names one shingle, which a member either lacks or adds; no tag is needed.
                 yield pd.DataFrame({"pivot": row.pivot, "id": row.id, "g": row.g, "mark": np.setxor1d(own, base, assume_unique=True).view(np.int64)})
 
-    marks = written(_with_bases(near.select("id", "pivot", "g"), sets).select("id", "pivot", "g", "hashes", "base").mapInPandas(differences, "pivot long, id long, g double, mark long"), "marks")
+    marks = written(_with_bases(near.select("id", "pivot", "g"), sets).select("id", "pivot", "g", "hashes", "base").mapInPandas(giving_back(differences), "pivot long, id long, g double, mark long"), "marks")
     common = marks.groupBy("pivot", "mark").agg(F.count("*").alias("df"), F.min("g").alias("g_low")).filter("df > 1")
     marks = marks.drop("g")
     by_doc = Window.partitionBy("pivot", "id")

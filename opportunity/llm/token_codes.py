@@ -17,6 +17,7 @@ long text makes a block of its own. An empty table gives an empty store.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from opportunity.llm.common import arrow_batches, partitions, work_path
+from opportunity.llm.common import arrow_batches, give_back, giving_back, partitions, work_path
 
 STORE_SCHEMA = (
     "part int, block int, first_token long, n_tokens long, doc_ids array<long>, doc_starts array<long>, "
@@ -49,7 +50,7 @@ _IS_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Longer words are encoded again each time, so that the memory of words stays small.
 LONG_WORD = 256
 #: Bytes of text that are looked up together, and ids that the memory of words holds at most.
-RUN_BYTES, MAX_IDS = 4_000_000, 4_000_000
+RUN_BYTES, MAX_IDS = 1_500_000, 4_000_000
 
 
 class WordEncoder:
@@ -197,6 +198,8 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def word_encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
+        give_back()  # what earlier stages have left in this worker
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread keeps memory
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
@@ -281,7 +284,7 @@ def write_token_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     with arrow_batches(spark):
-        ordered.mapInArrow(encode, STORE_SCHEMA).write.parquet(path)
+        ordered.mapInArrow(giving_back(encode), STORE_SCHEMA).write.parquet(path)
     return path
 
 
@@ -309,7 +312,7 @@ def read_token_codes(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("base"))
     found = store.select("part", "block", "first_token", "doc_ids", "doc_starts", "chunks", "more")
-    found = found.mapInArrow(documents, DOCUMENTS_SCHEMA)
+    found = found.mapInArrow(giving_back(documents), DOCUMENTS_SCHEMA)
     joined = found.join(F.broadcast(bases), "part")  # as many rows as the store has parts
     return joined.select("doc_id", (F.col("base") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32", "part", "block")
 
