@@ -51,11 +51,34 @@ def give_back() -> None:
         trim(0)
 
 
-def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``work`` on the batches of a task, with free memory given back at its end."""
+#: What this Python worker holds for the next task of the same work.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """``make()``, held in this Python worker under ``name`` until a task of other work begins."""
+    if name not in _KEPT:
+        let_go()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def let_go() -> None:
+    """Drop what ``kept`` holds, and give its memory back with what earlier stages have left."""
+    _KEPT.clear()
+    give_back()
+
+
+def giving_back(work: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """``work`` on the batches of a task, with free memory given back at its end.
+
+    Only work that ``keeps`` finds again what earlier tasks of this worker have ``kept``.
+    """
 
     @wraps(work)
     def mapped(batches: Iterator) -> Iterator:
+        if _KEPT and not keeps:
+            let_go()
         try:
             yield from work(batches)
         finally:

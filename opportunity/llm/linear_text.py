@@ -12,16 +12,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opportunity.llm.common import give_back, giving_back
+from opportunity.llm.common import arrow_batches, give_back, giving_back, let_go
 
 BITS = 18
 SIZE = 1 << BITS
 TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 MAX_MEMORY = 60_000
+#: Rows that are counted together: the counting copies their features as 64-bit numbers.
+COUNT_ROWS = 250
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 # Shapes of tokens, kept in the low bits of a token's code.
 LOWER, TITLE, UPPER, MIXED, DIGITS, MARK, MARKS, ONE = range(8)
@@ -116,9 +119,10 @@ class Rows:
 
     def counts(self, chosen: np.ndarray) -> np.ndarray:
         """In how many of the chosen rows each feature stands."""
-        if not len(chosen):
-            return np.zeros(SIZE)
-        return np.bincount(np.concatenate([self.rows[i] for i in chosen]), minlength=SIZE).astype(float)
+        found = np.zeros(SIZE, np.int64)
+        for k in range(0, len(chosen), COUNT_ROWS):
+            found += np.bincount(np.concatenate([self.rows[i] for i in chosen[k : k + COUNT_ROWS]]), minlength=SIZE)
+        return found.astype(float)
 
 
 def sigmoid(x):
@@ -176,20 +180,23 @@ def fitted(sample: DataFrame, grams: Grams | Stems, columns: list[str], fit: Cal
             out["features"] = [grams.features(t).astype(np.int32).tobytes() for t in batch["text"]]
             yield out
 
-    def model_of(frame: pd.DataFrame) -> bytes:
-        frame = frame.sort_values(["doc_id", *columns], kind="stable")
-        rows = Rows([np.frombuffer(x, np.int32) for x in frame["features"]])
-        return pickle.dumps(fit(rows, {c: frame[c].to_numpy(dtype=float) for c in columns}, frame["doc_id"].tolist()))
+    def model_of(found: pa.Table) -> bytes:
+        keys = found.select(["doc_id", *columns]).to_pandas().sort_values(["doc_id", *columns], kind="stable")
+        features = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("features")]  # no copies
+        rows = Rows([features[i] for i in keys.index])
+        return pickle.dumps(fit(rows, {c: keys[c].to_numpy(dtype=float) for c in columns}, keys["doc_id"].tolist()))
 
-    def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        model = model_of(frame)
+    def learn(found: pa.Table) -> pa.Table:
+        let_go()
+        model = model_of(found)
         give_back()
-        return pd.DataFrame({"model": [model]})
+        return pa.table({"model": pa.array([model], pa.binary())})
 
     wanted = ", ".join(f"{c} int" for c in columns)
     read = sample.select("doc_id", *[F.col(c).cast("int") for c in columns], "text")
     taken = read.mapInPandas(giving_back(extract), f"doc_id long, {wanted}, features binary").withColumn("_all", F.lit(0))
-    found = taken.groupBy("_all").applyInPandas(learn, "model binary").first()
+    with arrow_batches(sample.sparkSession):
+        found = taken.groupBy("_all").applyInArrow(learn, "model binary").first()
     if found is None:
         return fit(Rows([]), {c: np.zeros(0) for c in columns}, [])
     return pickle.loads(found.model)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from opportunity.llm.common import arrow_batches, give_back, giving_back, partitions, work_path
+from opportunity.llm.common import arrow_batches, giving_back, kept, partitions, work_path
 
 STORE_SCHEMA = (
     "part int, block int, first_token long, n_tokens long, doc_ids array<long>, doc_starts array<long>, "
@@ -193,15 +193,10 @@ def _room(values: np.ndarray, used: int, more: int) -> np.ndarray:
     return grown
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def word_encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        give_back()  # what earlier stages have left in this worker
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread keeps memory
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of this worker and its memory of words, which its later tasks of this operator use again."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread keeps memory
+    return kept(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def pack_block(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
@@ -284,7 +279,8 @@ def write_token_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     with arrow_batches(spark):
-        ordered.mapInArrow(giving_back(encode), STORE_SCHEMA).write.parquet(path)
+        # Pages are looked at after few rows, as a row is a block: Parquet would else hold a hundred of them in one.
+        ordered.mapInArrow(giving_back(encode, keeps=True), STORE_SCHEMA).write.option("parquet.page.size.row.check.min", 8).parquet(path)
     return path
 
 
@@ -312,7 +308,7 @@ def read_token_codes(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("base"))
     found = store.select("part", "block", "first_token", "doc_ids", "doc_starts", "chunks", "more")
-    found = found.mapInArrow(giving_back(documents), DOCUMENTS_SCHEMA)
+    found = found.mapInArrow(giving_back(documents, keeps=True), DOCUMENTS_SCHEMA)
     joined = found.join(F.broadcast(bases), "part")  # as many rows as the store has parts
     return joined.select("doc_id", (F.col("base") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32", "part", "block")
 
