@@ -52,7 +52,9 @@ def draft_board(board: DataFrame, weights: Mapping[str, float] = BOARD_WEIGHTS,
     shift = F.lit(0.0)
     for name, weight in weights.items():
         shift = shift + weight * (F.coalesce(rating[name], F.lit(50.0)) - 50)
-    score = F.round(100 - 0.35 * (F.col("adp") - 1) + F.when(F.col("_opportunity").isNotNull(), shift).otherwise(0.0), 2)
+    score = 100 - 0.35 * (F.col("adp") - 1) + F.when(F.col("_opportunity").isNotNull(), shift).otherwise(0.0)
+    # Hundredths are rounded as whole numbers: 79.44499999999999 is half a hundredth that a sum has left short.
+    score = F.round(100 * score) / 100
     rows = rows.withColumn("score", score).drop("_opportunity")
     order = [("score", False), ("adp", True), ("player_id", True)]
     rows = places_in(rows, {"adp_rank": ([], [("adp", True), ("player_id", True)]), "model_rank": ([], order), "position_rank": (["position"], order)})
