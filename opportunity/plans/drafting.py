@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opportunity.functions.clean import lookup
+from opportunity.functions.stored import stored
 from opportunity.operators.ranges import places_in
-from opportunity.operators.windows import cume_percentile, drop_to_kth_next, ordinal_percentile, rank_in
+from opportunity.operators.windows import TIE_DIGITS, cume_percentile, drop_to_kth_next, ordinal_percentile, rank_in
 from opportunity.plans.forecast import league_shortlist, survival_estimates
 
 # Points a percentile point over 50 of each rating.
@@ -155,9 +156,11 @@ def season_scores(trends: DataFrame) -> DataFrame:
 
     The level is the percentile of late volume, for WR and TE averaged with that of late target
     share. A player without an early game has no trend and takes the level for it; one without a
-    late game scores 0 and is no peer.
+    late game scores 0 and is no peer. Means are compared as rounded to the digits of ties, as their
+    last bits depend on the order of rows.
     """
-    seen = trends.filter("not unavailable")
+    seen = trends.filter("not unavailable").withColumns({c: F.round(c, TIE_DIGITS) + F.lit(0.0) for c in ("late", "late_share", "trend")})
+    seen = stored(seen.select("player_id", "position", "late", "early", "late_share", "trend"), "season-means")
     rank = lambda column, name: cume_percentile(seen.filter(F.col(column).isNotNull()), ["position"], column).select("player_id", F.col("percentile").alias(name))
     trend = seen.withColumn("trend", F.when(F.col("early").isNotNull(), F.col("trend")))
     slope = cume_percentile(trend.filter("trend is not null"), ["position"], "trend").select("player_id", F.col("percentile").alias("_slope"))
