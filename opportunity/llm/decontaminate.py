@@ -15,9 +15,10 @@ What is found is exactly what has such a window, for items of any length from on
 * shorter items allow none, and are their own seed.
 
 Documents are cut into short overlapping chunks before their seeds are laid out, so that bytes
-grow with the words and not with their square. Only the seeds of the test items are broadcast,
-after they are counted; beyond the bound both sides are shuffled by seed. A document's words
-are read again only where it has a hit.
+grow with the words and not with their square. Up to a bound the seeds of the test items are
+broadcast, after they are counted. Beyond it only a bit for each of ``BITS`` remainders is, 16 MB
+for any number of seeds; the documents' seeds that find their bit set are then shuffled by seed.
+A document's words are read again only where it has a hit.
 
 Items are told apart by row: a repeated or null item_id is searched by each of its texts, and
 reported once under that id. Null and empty texts have no words. Documents with the same doc_id
@@ -29,14 +30,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opportunity.llm.common import broadcast_if_small, written
+from opportunity.llm.common import BROADCAST_BYTES, broadcast_if_small, small, written
 
 #: Every pattern of two substitutions in 13 words leaves one of these whole (checked in the tests).
 MASKS = ("111001001", "10001111", "110111")
 WINDOW, EQUAL = 13, 11
 SPLIT = r"[^\p{L}\p{N}]+"
 #: Seeds of the test items up to which they are broadcast.
-SEED_ROWS = 2_000_000
+SEED_ROWS = 200_000
+#: Bits that tell which seeds may be asked for, and the 64-bit words of a row of them.
+BITS, ROW_WORDS = 1 << 27, 512
 #: Words of a chunk of a document.
 CHUNK = 64
 #: Stands for a null doc_id in joins.
@@ -85,21 +88,38 @@ def document_seeds(docs: DataFrame, masks: list[str]) -> DataFrame:
     return laid.filter("laid is not null").select("doc_place", "tie", "place", "laid.mask", "laid.seed")
 
 
+def _with_bit(own: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The rows of ``own`` whose seed leaves a remainder that one of ``seeds`` leaves: all that are asked for, and few others."""
+    bit = F.pmod("seed", F.lit(BITS))
+    word, at = F.floor(bit / 64), F.pmod("seed", F.lit(64)).cast("int")
+    words = seeds.groupBy(word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(seed, 64) as int))")).alias("_bits"))
+    rows = words.groupBy(F.floor(F.col("_word") / ROW_WORDS).alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("_word") % ROW_WORDS).alias("at"), "_bits"))).alias("_set"))
+    rows = rows.select("_row", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(ROW_WORDS - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("_set", k), F.lit(0).cast("long"))).alias("_words"))
+    rows = written(rows, "seed-bits")  # at most BITS / 64 / ROW_WORDS rows
+    joined = own.withColumn("_row", F.floor(word / ROW_WORDS)).join(F.broadcast(rows), "_row")
+    return joined.filter(F.getbit(F.get("_words", (word % ROW_WORDS).cast("int")), at) == 1).drop("_row", "_words")
+
+
 def row_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, equal: int = EQUAL) -> DataFrame:
     """doc_place and tie (of the document's row), item_id, equal_words and place of each hit that holds."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item_words")).withColumn("item", F.monotonically_increasing_id())
     items = written(items, "items")  # the numbers stay as they are written
     seeds = written(item_seeds(items, masks, window, equal), "item-seeds")
     runs = [r.mask for r in seeds.filter(~F.col("mask").isin(*masks)).select("mask").distinct().collect()]  # fewer than ``window``
-    seeds = broadcast_if_small(seeds, SEED_ROWS)
     read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_place"), F.xxhash64("text").alias("tie"), "text")
     own = document_seeds(read.select("doc_place", "tie", word_hashes(F.col("text")).alias("words")), [*masks, *sorted(runs)])
-    hits = own.join(seeds, ["mask", "seed"]).select("doc_place", "tie", "place", F.length("mask").alias("span"), "item", "item_place")
+    if small(seeds, SEED_ROWS):
+        hits = own.join(F.broadcast(seeds), ["mask", "seed"])
+    else:
+        hits = _with_bit(own, seeds).join(seeds.hint("merge"), ["mask", "seed"])
+    hits = hits.select("doc_place", "tie", "place", F.length("mask").alias("span"), "item", "item_place")
     hits = written(hits, "seed-hits").distinct()  # rows alike in id and text give the same hits
     asked = broadcast_if_small(written(hits.select("doc_place", "tie").distinct(), "hit-documents"))
     texts = read.join(asked, ["doc_place", "tie"], "left_semi").dropDuplicates(["doc_place", "tie"])
     texts = written(texts.select("doc_place", "tie", word_hashes(F.col("text")).alias("words")), "hit-words")
-    laid = hits.join(texts, ["doc_place", "tie"]).join(broadcast_if_small(items), "item")
+    # Words of the items, 8 bytes each.
+    few = items.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0)).alias("n")).first().n * 8 <= BROADCAST_BYTES
+    laid = hits.join(F.broadcast(items) if few else items, "item").join(texts, ["doc_place", "tie"])
 
     length = F.size("item_words")
     width = F.least(F.lit(window), length)
